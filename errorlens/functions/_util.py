@@ -25,3 +25,15 @@ def java_trim(c) -> Column:
 
 def js_trim(c) -> Column:
     return F.regexp_replace(as_col(c), JS_TRIM_RE, "")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Catalyst copies an aliased expression into every place that refers to
+    it (filter pushdown, project collapsing, lambdas), so an expensive
+    expression used several times would run several times per row. Binding
+    it as the element of a one-element array makes every use a cheap
+    variable reference.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

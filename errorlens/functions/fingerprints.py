@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from errorlens.functions._util import as_col
+from errorlens.functions._util import as_col, let
 from errorlens.functions.levels import has_stack_trace
 from errorlens.functions.templates import normalize_message
 from errorlens.functions.traces import (_exception_head, _kept, _classified, _frames_of,
@@ -33,13 +33,14 @@ def location_key(class_name="class_name", method_name="method_name",
 def trace_key(trace, frames: int = 5) -> Column:
     """core: exception class then ``|class.method:line`` for the first user
     frames of the outermost exception. Null when the trace does not parse."""
-    t = as_col(trace)
-    lines = _lines(t)
-    cls, _ = _exception_head(java_trim(F.element_at(lines, 1)))
-    outer = _frames_of(_outer_items(_kept(_classified(lines))))
-    keys = F.transform(top_user_frames(outer, frames), lambda f: F.concat(F.lit("|"), frame_key(f)))
-    return F.when(lines.isNotNull(), F.concat(F.coalesce(cls, F.lit("Unknown")),
-                                              F.array_join(keys, "")))
+    def on_lines(ls):
+        cls = _exception_head(java_trim(F.element_at(ls, 1)))["cls"]
+        outer = _frames_of(_outer_items(_kept(_classified(ls))))
+        keys = F.transform(top_user_frames(outer, frames),
+                           lambda f: F.concat(F.lit("|"), frame_key(f)))
+        return F.when(ls.isNotNull(), F.concat(F.coalesce(cls, F.lit("Unknown")),
+                                               F.array_join(keys, "")))
+    return let(_lines(as_col(trace)), on_lines)
 
 
 def fingerprint(mode: str = "core", frames: int = 5, trace="stack_trace",
@@ -57,33 +58,39 @@ def fingerprint(mode: str = "core", frames: int = 5, trace="stack_trace",
     t = as_col(trace)
     if mode == "core":
         tk = F.when(has_stack_trace(t), trace_key(t, frames))
-        loc = location_key(class_name, method_name, line_number)
-        return F.coalesce(tk, F.when(loc != "", loc), normalize_message(message, "core"))
+        loc = let(location_key(class_name, method_name, line_number),
+                  lambda x: F.when(x != "", x))
+        return F.coalesce(tk, loc, normalize_message(message, "core"))
     if mode != "cloud":
         raise ValueError(f"mode must be 'core' or 'cloud', not {mode!r}")
-    found = F.when(has_stack_trace(t), cloud_frames(t, frames))
+    found = let(F.when(has_stack_trace(t), cloud_frames(t, frames)),
+                lambda xs: F.when(F.size(xs) > 0, F.array_join(xs, "|")))
     c, m, l = as_col(class_name), as_col(method_name), as_col(line_number)
-    parts = F.concat_ws("|",
-                        F.when(F.length(c) > 0, c),
-                        F.when(F.length(m) > 0, m),
-                        F.when(l != 0, l.cast("string")))
+    parts = let(F.concat_ws("|", F.when(F.length(c) > 0, c), F.when(F.length(m) > 0, m),
+                            F.when(l != 0, l.cast("string"))),
+                lambda x: F.when(x != "", x))
     msg = as_col(message)
     msg = F.when(msg.isNull() | (F.length(msg) == 0), F.lit("unknown")).otherwise(msg)
-    return (F.when(F.size(found) > 0, F.array_join(found, "|"))
-            .when(parts != "", parts)
-            .otherwise(normalize_message(msg, "cloud")))
+    return F.coalesce(found, parts, normalize_message(msg, "cloud"))
 
 
 def cluster_id(fp) -> Column:
     """``ERR-`` and 8 upper hex digits of the Java string hash of the
     fingerprint (UTF-16 code units, 32-bit wrap-around)."""
     f = as_col(fp)
-    units = F.hex(F.encode(f, "UTF-16BE"))
-    n = (F.length(units) / 4).cast("int")
+    # UTF-16 code units as 4-hex-digit chunks, computed once per value
+    units = F.split(F.hex(F.encode(f, "UTF-16BE")), r"(?<=\G.{4})", -1)
     h = F.aggregate(
-        F.sequence(F.lit(0), n - 1),
+        F.filter(units, lambda u: F.length(u) == 4),
         F.lit(0).cast("bigint"),
-        lambda acc, i: (acc * 31 + F.conv(F.substr(units, i * 4 + 1, F.lit(4)), 16, 10)
-                        .cast("bigint")) % F.lit(4294967296))
-    h = F.when(n > 0, h).otherwise(F.lit(0).cast("bigint"))
+        lambda acc, u: (acc * 31 + F.conv(u, 16, 10).cast("bigint")) % F.lit(4294967296))
     return F.when(f.isNotNull(), F.format_string("ERR-%08X", h))
+
+
+def java_hash_id(text: str) -> str:
+    """Driver-side F7 for a literal parameter (a cluster id to look up)."""
+    h = 0
+    data = text.encode("utf-16-be")
+    for i in range(0, len(data), 2):
+        h = (h * 31 + (data[i] << 8 | data[i + 1])) % 4294967296
+    return f"ERR-{h:08X}"

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from errorlens.functions._util import JS_SPACE_CHARS, as_col, java_trim, js_trim
+from errorlens.functions._util import JS_SPACE_CHARS, as_col, java_trim, js_trim, let
 
 # Line grammar of a Java stack trace.
 EXCEPTION_RE = r"\A([\w.$]+(?:Exception|Error|Throwable))(?::\s*(.*))?\z"
@@ -68,43 +68,48 @@ def parse_frame(line) -> Column:
 
 
 def _frame_struct(trimmed: Column, is_frame: Column) -> Column:
-    loc = F.regexp_extract(trimmed, FRAME_RE, 3)
-    has_line = loc.rlike(LOCATION_RE)
-    special = loc.isin("Native Method", "Unknown Source")
-    file_name = (F.when(special, F.lit(None).cast("string"))
-                 .when(has_line, F.regexp_extract(loc, LOCATION_RE, 1))
-                 .otherwise(loc))
-    line_no = F.when(has_line & ~special,
-                     F.regexp_extract(loc, LOCATION_RE, 2).try_cast("int")).otherwise(F.lit(-1))
-    frame = F.struct(
-        F.regexp_extract(trimmed, FRAME_RE, 1).alias("class_name"),
-        F.regexp_extract(trimmed, FRAME_RE, 2).alias("method_name"),
-        file_name.alias("file_name"),
-        F.coalesce(line_no, F.lit(-1)).alias("line_number"),
-        (loc == "Native Method").alias("native"),
-    )
-    return F.when(is_frame, frame)
+    def build(t):
+        def with_loc(loc):
+            has_line = loc.rlike(LOCATION_RE)
+            special = loc.isin("Native Method", "Unknown Source")
+            file_name = (F.when(special, F.lit(None).cast("string"))
+                         .when(has_line, F.regexp_extract(loc, LOCATION_RE, 1))
+                         .otherwise(loc))
+            line_no = F.when(has_line & ~special,
+                             F.regexp_extract(loc, LOCATION_RE, 2).try_cast("int"))
+            return F.struct(
+                F.regexp_extract(t, FRAME_RE, 1).alias("class_name"),
+                F.regexp_extract(t, FRAME_RE, 2).alias("method_name"),
+                file_name.alias("file_name"),
+                F.coalesce(line_no, F.lit(-1)).alias("line_number"),
+                (loc == "Native Method").alias("native"),
+            )
+        return let(F.regexp_extract(t, FRAME_RE, 3), with_loc)
+    return F.when(is_frame, let(trimmed, build))
 
 
 # ---------------------------------------------------------------- header
 
-def _exception_head(raw: Column):
-    """Class and message of an exception line (first line or cause).
+def _exception_head(raw: Column) -> Column:
+    """``struct<cls, msg>`` of an exception line (first line or cause).
 
     The full pattern is tried on the trimmed text; the colon split is done
     on the text as given.
     """
-    t = java_trim(raw)
-    full = t.rlike(EXCEPTION_RE)
-    colon = F.instr(raw, ":")
-    cls = (F.when(full, F.regexp_extract(t, EXCEPTION_RE, 1))
-           .when(colon > 1, java_trim(F.substring_index(raw, ":", 1)))
-           .otherwise(t))
-    msg = (F.when(full, F.when(t.rlike(EXCEPTION_NO_MESSAGE_RE), F.lit(None).cast("string"))
-                  .otherwise(F.regexp_extract(t, EXCEPTION_RE, 2)))
-           .when(colon > 1, java_trim(F.substr(raw, colon + 1)))
-           .otherwise(F.lit(None).cast("string")))
-    return cls, msg
+    def on_raw(r):
+        def on_trimmed(t):
+            full = t.rlike(EXCEPTION_RE)
+            colon = F.instr(r, ":")
+            cls = (F.when(full, F.regexp_extract(t, EXCEPTION_RE, 1))
+                   .when(colon > 1, java_trim(F.substring_index(r, ":", 1)))
+                   .otherwise(t))
+            msg = (F.when(full, F.when(t.rlike(EXCEPTION_NO_MESSAGE_RE), F.lit(None).cast("string"))
+                          .otherwise(F.regexp_extract(t, EXCEPTION_RE, 2)))
+                   .when(colon > 1, java_trim(F.substr(r, colon + 1)))
+                   .otherwise(F.lit(None).cast("string")))
+            return F.struct(cls.alias("cls"), msg.alias("msg"))
+        return let(java_trim(r), on_trimmed)
+    return let(raw, on_raw)
 
 
 # ---------------------------------------------------------------- parse
@@ -117,21 +122,22 @@ def _lines(trace: Column) -> Column:
 
 def _classified(lines: Column) -> Column:
     """Lines after the first, as struct<line, kind>; kind C, M, F or X."""
-    tail = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-
     def kind(l):
         return (F.when(l.rlike(CAUSE_RE), F.lit("C"))
                 .when(l.rlike(MORE_RE), F.lit("M"))
                 .when(java_trim(l).rlike(FRAME_RE), F.lit("F"))
                 .otherwise(F.lit("X")))
 
-    return F.transform(tail, lambda l: F.struct(l.alias("line"), kind(l).alias("kind")))
+    return F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
+                       lambda l: F.struct(l.alias("line"), kind(l).alias("kind")))
 
 
 def _kept(items: Column) -> Column:
     """Items before the first line of kind X."""
-    stop = F.array_position(F.transform(items, lambda x: x["kind"] == "X"), True)
-    return F.slice(items, 1, F.when(stop == 0, F.size(items)).otherwise(stop - 1).cast("int"))
+    def cut(xs):
+        stop = F.array_position(F.transform(xs, lambda x: x["kind"] == "X"), True)
+        return F.slice(xs, 1, F.when(stop == 0, F.size(xs)).otherwise(stop - 1).cast("int"))
+    return let(items, cut)
 
 
 def _frames_of(items: Column) -> Column:
@@ -140,15 +146,17 @@ def _frames_of(items: Column) -> Column:
 
 
 def _outer_items(kept: Column) -> Column:
-    first_cause = F.array_position(F.transform(kept, lambda x: x["kind"] == "C"), True)
-    n = F.when(first_cause == 0, F.size(kept)).otherwise(first_cause - 1).cast("int")
-    return F.slice(kept, 1, n)
+    def cut(xs):
+        first_cause = F.array_position(F.transform(xs, lambda x: x["kind"] == "C"), True)
+        n = F.when(first_cause == 0, F.size(xs)).otherwise(first_cause - 1).cast("int")
+        return F.slice(xs, 1, n)
+    return let(kept, cut)
 
 
 def outer_frames(trace) -> Column:
     """Frames of the outermost exception only (null when no parse)."""
-    lines = _lines(as_col(trace))
-    return _frames_of(_outer_items(_kept(_classified(lines))))
+    return let(_lines(as_col(trace)),
+               lambda ls: F.when(ls.isNotNull(), _frames_of(_outer_items(_kept(_classified(ls))))))
 
 
 def parse_trace(trace) -> Column:
@@ -158,28 +166,31 @@ def parse_trace(trace) -> Column:
     ``array<struct<depth, exception_class, exception_message, frames>>``
     with depth 1 for the direct cause.
     """
-    t = as_col(trace)
-    lines = _lines(t)
-    kept = _kept(_classified(lines))
-    n = F.size(kept)
-    head_cls, head_msg = _exception_head(java_trim(F.element_at(lines, 1)))
-    cause_pos = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                         lambda i: (i <= n) & (F.try_element_at(kept, i)["kind"] == "C"))
-    n_causes = F.size(cause_pos)
-
-    def cause(p, j):
-        nxt = F.coalesce(F.try_element_at(cause_pos, j + 2), n + 1)
-        header = F.regexp_extract(F.element_at(kept, p)["line"], CAUSE_RE, 1)
-        cls, msg = _exception_head(header)
-        body = F.slice(kept, p + 1, (nxt - p - 1).cast("int"))
-        return F.struct((j + 1).cast("int").alias("depth"), cls.alias("exception_class"),
-                        msg.alias("exception_message"), _frames_of(body).alias("frames"))
-
-    causes = F.when(n_causes > 0, F.transform(cause_pos, cause)).otherwise(
-        F.array().cast(_CAUSES_TYPE))
-    parsed = F.struct(head_cls.alias("exception_class"), head_msg.alias("exception_message"),
-                      _frames_of(_outer_items(kept)).alias("frames"), causes.alias("causes"))
-    return F.when(lines.isNotNull(), parsed)
+    def on_lines(ls):
+        def on_kept(kept):
+            n = F.size(kept)
+            cause_pos = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                 lambda i: (i <= n) & (F.try_element_at(kept, i)["kind"] == "C"))
+
+            def on_pos(pos):
+                def cause(p, j):
+                    nxt = F.coalesce(F.try_element_at(pos, j + 2), n + 1)
+                    head = _exception_head(F.regexp_extract(F.element_at(kept, p)["line"], CAUSE_RE, 1))
+                    body = F.slice(kept, p + 1, (nxt - p - 1).cast("int"))
+                    return F.struct((j + 1).cast("int").alias("depth"),
+                                    head["cls"].alias("exception_class"),
+                                    head["msg"].alias("exception_message"),
+                                    _frames_of(body).alias("frames"))
+                return F.when(F.size(pos) > 0, F.transform(pos, cause)).otherwise(
+                    F.array().cast(_CAUSES_TYPE))
+
+            head = _exception_head(java_trim(F.element_at(ls, 1)))
+            return F.struct(head["cls"].alias("exception_class"),
+                            head["msg"].alias("exception_message"),
+                            _frames_of(_outer_items(kept)).alias("frames"),
+                            let(cause_pos, on_pos).alias("causes"))
+        return F.when(ls.isNotNull(), let(_kept(_classified(ls)), on_kept))
+    return let(_lines(as_col(trace)), on_lines)
 
 
 _CAUSES_TYPE = ("array<struct<depth:int,exception_class:string,exception_message:string,"
@@ -242,8 +253,7 @@ def class_of_head_line(head, mode: str = "core") -> Column:
     """F4 on the output of :func:`exception_head_line`."""
     h = as_col(head)
     if mode == "core":
-        cls, _ = _exception_head(java_trim(h))
-        return F.when(h.isNotNull(), cls)
+        return F.when(h.isNotNull(), _exception_head(java_trim(h))["cls"])
     return F.when(h.isNotNull(),
                   F.when(h.rlike(CLOUD_EXCEPTION_RE), F.regexp_extract(h, CLOUD_EXCEPTION_RE, 1))
                   .otherwise(js_trim(F.substring_index(h, ":", 1))))
@@ -263,8 +273,7 @@ def exception_class(trace, mode: str = "core") -> Column:
 def cloud_frames(trace, n: int = 5) -> Column:
     """cloud: first ``n`` non-framework ``name:location`` texts of a trace,
     any line, causes included (one frame per line at most)."""
-    t = as_col(trace)
-    lines = F.split(t, "\n", -1)
+    lines = F.split(as_col(trace), "\n", -1)
     found = F.filter(lines, lambda l: l.rlike(CLOUD_FRAME_RE))
     named = F.transform(found, lambda l: F.struct(
         F.regexp_extract(l, CLOUD_FRAME_RE, 1).alias("name"),

@@ -49,3 +49,91 @@ def raw_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_view_sql(events: str = "events") -> str:
     """The same statement for DuckDB over a table or view named ``events``."""
     return LOG_VIEW_SQL.replace("{events}", events)
+
+
+# ---------------------------------------------------------------- dimensions
+# Small dimension and state tables, each written once as SQL that Spark and
+# DuckDB both run. ``{TS}`` is the timestamp type name of the engine.
+
+APPLICATIONS_SQL = """
+SELECT app_id, name, user_id, api_key, CAST(created AS {TS}) AS created_at
+FROM (VALUES
+  ('app-0', 'Orders API', 'user-1', 'key-0-a1', '2023-12-01 00:00:00'),
+  ('app-1', 'Payments API', 'user-1', 'key-1-b2', '2023-12-02 00:00:00'),
+  ('app-2', 'Catalog API', 'user-2', 'key-2-c3', '2023-12-03 00:00:00'),
+  ('app-3', 'Cache Service', 'user-2', 'key-3-d4', '2023-12-04 00:00:00'),
+  ('app-4', 'Idle Service', 'user-2', 'key-4-e5', '2023-12-05 00:00:00')
+) AS t(app_id, name, user_id, api_key, created)
+"""
+
+# Cut between the stored cluster state and the newer scan.
+STATE_CUT = "2024-01-15 00:00:00"
+
+# Stored cluster state: one row per (app, fingerprint) of the errors before
+# the cut, with a status that the next scan must keep, plus one cluster the
+# next scan will not see.
+CLUSTER_STATE_SQL = """
+SELECT app_id || ':' || cluster_id AS id, app_id, fingerprint, exception_class, message_pattern,
+       primary_file, primary_line, primary_method, primary_class, occurrence_count, severity,
+       CASE occurrence_count % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACKNOWLEDGED'
+            WHEN 2 THEN 'RESOLVED' ELSE 'IGNORED' END AS status,
+       first_seen, last_seen, first_seen AS created_at, last_seen AS updated_at
+FROM {clusters}
+UNION ALL
+SELECT 'app-0:ERR-00000000', 'app-0', 'legacy.RetiredError|gone', 'legacy.RetiredError',
+       'retired', NULL, NULL, NULL, NULL, CAST(3 AS BIGINT), 'LOW', 'IGNORED',
+       CAST('2023-12-20 00:00:00' AS {TS}), CAST('2023-12-21 00:00:00' AS {TS}),
+       CAST('2023-12-20 00:00:00' AS {TS}), CAST('2023-12-21 00:00:00' AS {TS})
+"""
+
+# Two analyses per stored cluster, so "the newest analysis" matters; the
+# newer one carries a patch for clusters with an even count.
+ANALYSES_SQL = """
+SELECT id || '#1' AS id, id AS cluster_id,
+       'First look at ' || coalesce(exception_class, 'Unknown') AS explanation,
+       'Unchecked input in ' || coalesce(primary_class, 'unknown code') AS root_cause,
+       'Validate input' AS recommendation,
+       CAST(NULL AS VARCHAR) AS patch, CAST(NULL AS VARCHAR) AS patch_file_name,
+       'LOW' AS confidence, 'EXPLANATION: first look' AS raw_response,
+       last_seen + INTERVAL '1' HOUR AS created_at
+FROM {state}
+UNION ALL
+SELECT id || '#2', id,
+       'Second look at ' || coalesce(exception_class, 'Unknown'),
+       'Missing null check in ' || coalesce(primary_method, 'unknown method'),
+       'Add a guard before use',
+       CASE WHEN occurrence_count % 2 = 0 THEN '--- a/' || coalesce(primary_file, 'X.java')
+            || chr(10) || '+++ b/' || coalesce(primary_file, 'X.java') || chr(10) || '@@ -1 +1 @@'
+            || chr(10) || '-old' || chr(10) || '+new' || chr(10) END,
+       CASE WHEN occurrence_count % 2 = 0 THEN coalesce(primary_file, 'X.java') || '.diff' END,
+       'HIGH', 'EXPLANATION: second look',
+       last_seen + INTERVAL '2' HOUR
+FROM {state}
+"""
+
+
+def spark_sql(text: str) -> str:
+    return text.replace("{TS}", "TIMESTAMP_NTZ").replace("AS VARCHAR", "AS STRING")
+
+
+def duck_sql(text: str, **tables: str) -> str:
+    out = text.replace("{TS}", "TIMESTAMP")
+    for name, value in tables.items():
+        out = out.replace("{" + name + "}", value)
+    return out
+
+
+def applications(spark: SparkSession) -> DataFrame:
+    return spark.sql(spark_sql(APPLICATIONS_SQL))
+
+
+def cluster_state(spark: SparkSession, logs: DataFrame) -> DataFrame:
+    """Stored state from a cloud scan (per app) of the errors before the cut."""
+    from pyspark.sql import functions as F
+    from errorlens.operators.clusters import cluster_errors
+    before = logs.filter(F.col("timestamp") < F.lit(STATE_CUT).cast(logs.schema["timestamp"].dataType))
+    return spark.sql(spark_sql(CLUSTER_STATE_SQL), clusters=cluster_errors(before, mode="cloud"))
+
+
+def analyses(spark: SparkSession, state: DataFrame) -> DataFrame:
+    return spark.sql(spark_sql(ANALYSES_SQL), state=state)

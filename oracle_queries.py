@@ -198,8 +198,9 @@ def logs_cte() -> str:
             f"logs AS (SELECT * REPLACE ({level('level')} AS level) FROM raw_logs)")
 
 
-def clusters_cte(mode: str = "core", by: tuple[str, ...] = ()) -> str:
-    """CTE ``clusters`` over ``logs``."""
+def clusters_cte(mode: str = "core", by: tuple[str, ...] = (), src: str = "logs",
+                 name: str = "clusters") -> str:
+    """CTE ``name`` (plus helpers ``name_rows``, ``name_agg``) over ``src``."""
     keys = "".join(f"{k}, " for k in by)
     order = "row(timestamp, id)"
     if mode == "core":
@@ -208,21 +209,62 @@ def clusters_cte(mode: str = "core", by: tuple[str, ...] = ()) -> str:
     else:
         head = f"arg_max_null(_head, {order})"
         loc = f"arg_max_null(_loc, {order})"
-    return f"""fp_rows AS (
+    return f"""{name}_rows AS (
   SELECT {keys}{fingerprint(mode)} AS fingerprint, timestamp, id, message,
          {head_line(mode)} AS _head, file_name,
          {{'file_name': file_name, 'line_number': line_number, 'method_name': method_name, 'class_name': class_name}} AS _loc
-  FROM logs WHERE level IN ('ERROR', 'FATAL')),
-agg AS (
+  FROM {src} WHERE level IN ('ERROR', 'FATAL')),
+{name}_agg AS (
   SELECT {keys}fingerprint, count(*) AS occurrence_count, min(timestamp) AS first_seen,
          max(timestamp) AS last_seen, arg_max_null(message, {order}) AS _message,
          {head} AS _head, {loc} AS _loc
-  FROM fp_rows GROUP BY {keys}fingerprint),
-clusters AS (
+  FROM {name}_rows GROUP BY {keys}fingerprint),
+{name} AS (
   SELECT {keys}{cluster_id('fingerprint')} AS cluster_id, fingerprint,
          {class_of_head('_head', mode)} AS exception_class,
          {normalize('_message', mode)} AS message_pattern,
          _loc.file_name AS primary_file, _loc.line_number AS primary_line,
          _loc.method_name AS primary_method, _loc.class_name AS primary_class,
          first_seen, last_seen, occurrence_count, {severity('occurrence_count')} AS severity
-  FROM agg)"""
+  FROM {name}_agg)"""
+
+
+def with_logs(*ctes: str) -> str:
+    """``WITH raw_logs, logs, ...`` header."""
+    return "WITH " + ",\n".join([logs_cte(), *ctes]) + "\n"
+
+
+def apps_cte() -> str:
+    from errorlens.sources.fixtures import APPLICATIONS_SQL, duck_sql
+    return f"apps AS ({duck_sql(APPLICATIONS_SQL)})"
+
+
+def state_ctes() -> list[str]:
+    """CTEs ``state`` (stored clusters) and ``analyses``."""
+    from errorlens.sources.fixtures import ANALYSES_SQL, CLUSTER_STATE_SQL, STATE_CUT, duck_sql
+    return [
+        f"before_cut AS (SELECT * FROM logs WHERE timestamp < TIMESTAMP '{STATE_CUT}')",
+        clusters_cte("cloud", ("app_id",), src="before_cut", name="old_clusters"),
+        f"state AS ({duck_sql(CLUSTER_STATE_SQL, clusters='old_clusters')})",
+        f"analyses AS ({duck_sql(ANALYSES_SQL, state='state')})",
+    ]
+
+
+def format_count(c: str) -> str:
+    def scaled(unit, suffix):
+        t = f"(({c}) * 10 + {unit // 2}) // {unit}"
+        return f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '{suffix}'"
+    return (f"(CASE WHEN ({c}) >= 1000000 THEN {scaled(1000000, 'M')} WHEN ({c}) >= 1000 "
+            f"THEN {scaled(1000, 'K')} ELSE CAST(({c}) AS VARCHAR) END)")
+
+
+def mdc_pairs(m: str) -> str:
+    """Valid ``k=v`` pairs of a context text, as structs, in order."""
+    return (f"list_transform(list_filter(string_split({m}, ';'), lambda p: strpos(p, '=') > 1), "
+            f"lambda p: {{'key': substr(p, 1, strpos(p, '=') - 1), 'value': substr(p, strpos(p, '=') + 1)}})")
+
+
+def mdc_value(m: str, key: str) -> str:
+    """Value of the last pair with ``key``."""
+    hits = f"list_filter({mdc_pairs(m)}, lambda e: e.key = {q(key)})"
+    return f"(CASE WHEN len({hits}) > 0 THEN {hits}[-1].value END)"
