@@ -454,6 +454,436 @@ def q_most_recent(spark, sf_dir):
         "fingerprint", "id", "timestamp")
 
 
+# ---------------------------------------------------------------- traces
+
+@register("parse_traces", W() + "SELECT id, "
+          + O.head_class(O.jtrim(O.lines('stack_trace') + "[1]")) + " AS exception_class, "
+          + O.head_message(O.jtrim(O.lines('stack_trace') + "[1]")) + " AS exception_message, "
+          + f"len({O.outer_frame_lines('stack_trace')}) AS n_frames, "
+          + f"len(list_filter({O.kept_kinds('stack_trace')[1]}, lambda k: k = 'C')) AS n_causes "
+          + "FROM logs WHERE " + O.has_trace() + " AND " + O.lines('stack_trace') + " IS NOT NULL")
+def q_parse_traces(spark, sf_dir):
+    lg = logs(spark, sf_dir).filter(LV.has_stack_trace("stack_trace"))
+    p = lg.select("id", TR.parse_trace("stack_trace").alias("p")).filter(F.col("p").isNotNull())
+    return p.select("id", F.col("p.exception_class").alias("exception_class"),
+                    F.col("p.exception_message").alias("exception_message"),
+                    F.size("p.frames").alias("n_frames"), F.size("p.causes").alias("n_causes"))
+
+
+@register("root_causes", W() + "SELECT id, " + O.head_class(
+    f"regexp_extract(list_filter({O.kept_kinds('stack_trace')[0]}, lambda l, i: {O.kept_kinds('stack_trace')[1]}[i] = 'C')[-1], "
+    + O.q(O.CAUSE) + ", 1)") + " AS root_class FROM logs WHERE " + O.has_trace()
+    + f" AND len(list_filter({O.kept_kinds('stack_trace')[1]}, lambda k: k = 'C')) > 0")
+def q_root_causes(spark, sf_dir):
+    lg = logs(spark, sf_dir).filter(LV.has_stack_trace("stack_trace"))
+    p = lg.select("id", TR.parse_trace("stack_trace").alias("p")).filter(F.size("p.causes") > 0)
+    return p.select("id", TR.root_cause("p")["exception_class"].alias("root_class"))
+
+
+@register("frame_lines", W() + "SELECT id, pos, " + O.jtrim("l") + " AS line, "
+          + f"regexp_extract({O.jtrim('l')}, {O.q(O.FRAME)}, 1) AS class_name, "
+          + f"regexp_extract({O.jtrim('l')}, {O.q(O.FRAME)}, 2) AS method_name, "
+          + O.frame_file(O.jtrim('l')) + " AS file_name, " + O.frame_line(O.jtrim('l')) + " AS line_number, "
+          + f"regexp_extract({O.jtrim('l')}, {O.q(O.FRAME)}, 3) = 'Native Method' AS native "
+          + "FROM (SELECT id, unnest(string_split(stack_trace, chr(10))) AS l, "
+          + "generate_subscripts(string_split(stack_trace, chr(10)), 1) - 1 AS pos FROM logs "
+          + "WHERE stack_trace IS NOT NULL) WHERE regexp_full_match(" + O.jtrim('l') + ", " + O.q(O.FRAME) + ")")
+def q_frame_lines(spark, sf_dir):
+    lg = logs(spark, sf_dir).filter(F.col("stack_trace").isNotNull())
+    ex = lg.select("id", F.posexplode(F.split("stack_trace", "\n", -1)).alias("pos", "l"))
+    fr = ex.select("id", "pos", F.regexp_replace("l", r"\A[\x00-\x20]+|[\x00-\x20]+\z", "").alias("line"),
+                   TR.parse_frame("l").alias("f")).filter(F.col("f").isNotNull())
+    return fr.select("id", "pos", "line", "f.class_name", "f.method_name", "f.file_name", "f.line_number", "f.native")
+
+
+@register("user_frames", W() + "SELECT id, len(list_filter(" + O.outer_frame_lines('stack_trace')
+          + ", lambda t: NOT " + O.framework(f"regexp_extract(t, {O.q(O.FRAME)}, 1)", O.CORE_PREFIXES)
+          + ")) AS n_user, " + f"regexp_extract({O.outer_frame_lines('stack_trace')}[1], {O.q(O.FRAME)}, 1) AS top_class, "
+          + f"regexp_extract(list_filter({O.outer_frame_lines('stack_trace')}, lambda t: NOT "
+          + O.framework(f"regexp_extract(t, {O.q(O.FRAME)}, 1)", O.CORE_PREFIXES) + f")[1], {O.q(O.FRAME)}, 1) AS first_user_class "
+          + "FROM logs WHERE " + O.has_trace() + " AND " + O.lines('stack_trace') + " IS NOT NULL")
+def q_user_frames(spark, sf_dir):
+    lg = logs(spark, sf_dir).filter(LV.has_stack_trace("stack_trace"))
+    fr = lg.select("id", TR.outer_frames("stack_trace").alias("fr")).filter(F.col("fr").isNotNull())
+    return fr.select("id", F.size(TR.user_frames("fr")).alias("n_user"),
+                     TR.top_frame("fr")["class_name"].alias("top_class"),
+                     TR.first_user_frame("fr")["class_name"].alias("first_user_class"))
+
+
+@register("class_names", W() + "SELECT id, CASE WHEN class_name IS NULL THEN NULL WHEN strpos(class_name, '.') > 0 "
+          "THEN regexp_extract(class_name, '^(.*)\\.', 1) ELSE '' END AS package_name, "
+          "CASE WHEN class_name IS NULL THEN NULL ELSE regexp_extract(class_name, '([^.]*)$', 1) END AS simple_name FROM logs")
+def q_class_names(spark, sf_dir):
+    return logs(spark, sf_dir).select("id", TR.package_name("class_name").alias("package_name"),
+                                      TR.simple_class_name("class_name").alias("simple_name"))
+
+
+@register("source_info", W() + "SELECT id, " + O.frame_file(O.outer_frame_lines('stack_trace') + "[1]")
+          + " IS NOT NULL AND " + O.frame_line(O.outer_frame_lines('stack_trace') + "[1]") + " > 0 AS has_source "
+          + "FROM logs WHERE " + O.has_trace() + " AND len(" + O.outer_frame_lines('stack_trace') + ") > 0")
+def q_source_info(spark, sf_dir):
+    lg = logs(spark, sf_dir).filter(LV.has_stack_trace("stack_trace"))
+    fr = lg.select("id", TR.outer_frames("stack_trace").alias("fr")).filter(F.size("fr") > 0)
+    return fr.select("id", TR.has_source_info(F.col("fr")[0]).alias("has_source"))
+
+
+@register("format_traces")
+def q_format_traces(spark, sf_dir):
+    lg = logs(spark, sf_dir).filter(LV.has_stack_trace("stack_trace"))
+    return lg.select("id", TR.format_trace(TR.parse_trace("stack_trace")).alias("text"))
+
+
+@register("previews", W() + "SELECT id, CASE WHEN length(message) <= 20 THEN message ELSE substr(message, 1, 17) "
+          "|| '...' END AS preview, coalesce(CASE WHEN length(stack_trace) <= 42 THEN stack_trace ELSE "
+          "substr(stack_trace, 1, 39) || '...' END, 'N/A') AS trace_preview FROM logs")
+def q_previews(spark, sf_dir):
+    return logs(spark, sf_dir).select("id", TX.preview("message", 20).alias("preview"),
+                                      TX.preview("stack_trace", 42, "N/A").alias("trace_preview"))
+
+
+@register("trace_previews", W() + "SELECT id, list_slice(ls, 1, 3) AS lines, greatest(len(ls) - 3, 0) AS more FROM "
+          "(SELECT id, CASE WHEN length(regexp_replace(stack_trace, '\\n+$', '')) > 0 THEN "
+          "string_split(regexp_replace(stack_trace, '\\n+$', ''), chr(10)) ELSE [] END AS ls FROM logs "
+          "WHERE stack_trace IS NOT NULL)")
+def q_trace_previews(spark, sf_dir):
+    lg = logs(spark, sf_dir).filter(F.col("stack_trace").isNotNull())
+    return lg.select("id", TR.trace_preview("stack_trace", 3).alias("p")).select("id", "p.lines", "p.more")
+
+
+@register("enrich_location", W("blanked AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN NULL ELSE class_name END AS "
+                               "class_name, CASE WHEN id % 2 = 0 THEN NULL ELSE method_name END AS method_name, "
+                               "CASE WHEN id % 2 = 0 THEN NULL ELSE file_name END AS file_name, CASE WHEN id % 2 = 0 "
+                               "THEN NULL ELSE line_number END AS line_number) FROM logs)")
+          + "SELECT id, coalesce(class_name, CASE WHEN " + O.has_trace() + " THEN regexp_extract(" + O.outer_frame_lines('stack_trace')
+          + "[1], " + O.q(O.FRAME) + ", 1) END) AS class_name, coalesce(line_number, CASE WHEN " + O.has_trace()
+          + " THEN " + O.frame_line(O.outer_frame_lines('stack_trace') + "[1]") + " END) AS line_number FROM blanked")
+def q_enrich_location(spark, sf_dir):
+    lg = logs(spark, sf_dir)
+    blank = F.col("id") % 2 == 0
+    for c in ("class_name", "method_name", "file_name", "line_number"):
+        lg = lg.withColumn(c, F.when(blank, F.lit(None)).otherwise(F.col(c)))
+    return FL.enrich_location(lg).select("id", "class_name", "line_number")
+
+
+# ---------------------------------------------------------------- context maps
+
+def _mdc_text_sql(m: str) -> str:
+    pairs = O.mdc_pairs(m)
+    last = (f"list_filter({pairs}, lambda e, i: NOT list_contains(list_transform(list_slice({pairs}, i + 1, "
+            f"len({pairs})), lambda x: x.key), e.key))")
+    return (f"CASE WHEN {m} IS NULL OR {m} = '' OR len({last}) = 0 THEN NULL ELSE array_to_string("
+            f"list_transform(list_sort({last}), lambda e: e.key || '=' || e.value), ';') END")
+
+
+@register("mdc_round_trip", W() + f"SELECT id, {_mdc_text_sql('mdc_context')} AS mdc_text, "
+          f"{O.mdc_value('mdc_context', 'user')} AS user_key FROM logs")
+def q_mdc(spark, sf_dir):
+    m = MDC.parse_mdc("mdc_context")
+    return logs(spark, sf_dir).select("id", MDC.format_mdc(m).alias("mdc_text"),
+                                      F.try_element_at(m, F.lit("user")).alias("user_key"))
+
+
+# ---------------------------------------------------------------- similarity and merge
+
+@register("message_similarity", W() + "SELECT a.id, 1.0::DOUBLE - levenshtein(" + O.normalize('a.message') + ", "
+          + O.normalize('b.message') + ") / greatest(length(" + O.normalize('a.message') + "), length("
+          + O.normalize('b.message') + "))::DOUBLE AS similarity FROM logs a JOIN logs b ON b.id = a.id + 1")
+def q_message_similarity(spark, sf_dir):
+    from errorlens.operators.merge import similarity
+    lg = logs(spark, sf_dir).select("id", "message")
+    a, b = lg.alias("a"), lg.alias("b")
+    j = a.join(b, F.col("b.id") == F.col("a.id") + 1)
+    return j.select(F.col("a.id").alias("id"),
+                    similarity(normalize_message("a.message"), normalize_message("b.message")).alias("similarity"))
+
+
+@register("similar_templates", W(O.clusters_cte("core", ("app_id",)),
+                                 "k AS (SELECT DISTINCT exception_class, " + O.normalize("message_pattern")
+                                 + " AS template FROM clusters)")
+          + "SELECT a.exception_class, a.template AS template_a, b.template AS template_b, 1.0::DOUBLE - "
+            "levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template))::DOUBLE AS similarity "
+            "FROM k a JOIN k b ON a.exception_class IS NOT DISTINCT FROM b.exception_class AND a.template <> b.template "
+            "WHERE 1.0::DOUBLE - levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template))::DOUBLE >= 0.7")
+def q_similar_templates(spark, sf_dir):
+    from errorlens.operators.merge import similar_template_pairs
+    cl = C.cluster_errors(logs(spark, sf_dir), mode="core", by=["app_id"])
+    return similar_template_pairs(cl.select("exception_class",
+                                            normalize_message("message_pattern").alias("template")))
+
+
+@register("merge_similar")
+def q_merge_similar(spark, sf_dir):
+    from errorlens.operators.merge import merge_similar
+    return merge_similar(C.cluster_errors(logs(spark, sf_dir), mode="cloud").drop("app_id"))
+
+
+# ---------------------------------------------------------------- cluster state
+
+_STATE_COLS = ("id, app_id, fingerprint, exception_class, message_pattern, primary_file, primary_line, primary_method, "
+               "primary_class, occurrence_count, severity, status, first_seen, last_seen, created_at, updated_at")
+
+
+@register("upsert_clusters", W(*O.state_ctes(), O.clusters_cte("cloud", ("app_id",), name="scan"))
+          + "SELECT CASE WHEN s.fingerprint IS NOT NULL THEN s.id ELSE n.app_id || ':' || n.cluster_id END AS id, "
+            "coalesce(s.app_id, n.app_id) AS app_id, coalesce(s.fingerprint, n.fingerprint) AS fingerprint, "
+          + ", ".join(f"CASE WHEN n.fingerprint IS NOT NULL THEN n.{c} ELSE s.{c} END AS {c}" for c in
+                      ["exception_class", "message_pattern", "primary_file", "primary_line", "primary_method",
+                       "primary_class", "occurrence_count"])
+          + ", coalesce(CASE WHEN n.fingerprint IS NOT NULL THEN n.severity ELSE s.severity END, 'MEDIUM') AS severity, "
+            "CASE WHEN n.fingerprint IS NOT NULL THEN n.first_seen ELSE s.first_seen END AS first_seen, "
+            "CASE WHEN n.fingerprint IS NOT NULL THEN n.last_seen ELSE s.last_seen END AS last_seen, "
+            "CASE WHEN s.fingerprint IS NOT NULL THEN s.status ELSE 'OPEN' END AS status, "
+            f"CASE WHEN s.fingerprint IS NOT NULL THEN s.created_at ELSE {ASOF} END AS created_at, "
+            f"CASE WHEN n.fingerprint IS NOT NULL THEN {ASOF} ELSE s.updated_at END AS updated_at "
+            "FROM state s FULL OUTER JOIN scan n ON s.app_id = n.app_id AND s.fingerprint = n.fingerprint")
+def q_upsert(spark, sf_dir):
+    from errorlens.operators.state import upsert_clusters
+    lg = logs(spark, sf_dir)
+    return upsert_clusters(FX.cluster_state(spark, lg), C.cluster_errors(lg, mode="cloud"), FL.asof_of(lg))
+
+
+@register("increment_clusters", W(*O.state_ctes(), "hits AS (SELECT r.app_id || ':' || " + O.cluster_id("r.fingerprint")
+                                  + " AS id FROM (SELECT app_id, " + O.fingerprint("cloud") + " AS fingerprint FROM logs "
+                                  f"WHERE level IN ('ERROR', 'FATAL') AND timestamp >= TIMESTAMP '{FX.STATE_CUT}') r)")
+          + "SELECT s.id, s.occurrence_count + coalesce(h.n, 0) AS occurrence_count, s.severity, "
+            f"CASE WHEN h.n IS NOT NULL THEN {ASOF} ELSE s.last_seen END AS last_seen FROM state s LEFT JOIN "
+            "(SELECT id, count(*) AS n FROM hits GROUP BY id) h ON s.id = h.id")
+def q_increment(spark, sf_dir):
+    from errorlens.operators.state import increment_clusters
+    lg = logs(spark, sf_dir)
+    after = FL.errors(lg.filter(F.col("timestamp") >= F.lit(FX.STATE_CUT).cast("timestamp_ntz")))
+    hits = after.select(F.concat("app_id", F.lit(":"), cluster_id(fingerprint("cloud"))).alias("id"))
+    out = increment_clusters(FX.cluster_state(spark, lg), hits, FL.asof_of(lg))
+    return out.select("id", "occurrence_count", "severity", "last_seen")
+
+
+_SCAN_EVENTS_SQL = (
+    "days AS (SELECT app_id, CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS day, count(*) AS n, "
+    "count(*) FILTER (WHERE level IN ('ERROR', 'FATAL')) AS errs, count(*) FILTER (WHERE level = 'FATAL') AS fatals "
+    "FROM logs GROUP BY 1, 2), "
+    "scan_events AS (SELECT app_id || '/' || strftime(day, '%Y-%m-%d') AS scan_id, app_id, 'RUNNING' AS status, "
+    "day AS event_time, NULL AS logs_scanned, NULL AS errors_found FROM days UNION ALL "
+    "SELECT app_id || '/' || strftime(day, '%Y-%m-%d'), app_id, CASE WHEN fatals > 0 THEN 'FAILED' ELSE 'COMPLETED' END, "
+    "day + INTERVAL 1 DAY, n, errs FROM days)")
+
+
+@register("scan_history", W(_SCAN_EVENTS_SQL)
+          + "SELECT scan_id, arg_max(status, row(event_time, CASE WHEN status = 'RUNNING' THEN 0 ELSE 1 END)) AS status, "
+            "min(event_time) FILTER (WHERE status = 'RUNNING') AS started_at, "
+            "max(event_time) FILTER (WHERE status <> 'RUNNING') AS completed_at, "
+            "coalesce(arg_max_null(logs_scanned, row(event_time, CASE WHEN status = 'RUNNING' THEN 0 ELSE 1 END)), 0) AS logs_scanned, "
+            "coalesce(arg_max_null(errors_found, row(event_time, CASE WHEN status = 'RUNNING' THEN 0 ELSE 1 END)), 0) AS errors_found "
+            "FROM scan_events GROUP BY scan_id")
+def q_scan_history(spark, sf_dir):
+    from errorlens.operators.state import scan_event, scan_history
+    lg = logs(spark, sf_dir)
+    days = lg.groupBy("app_id", F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("level").isin("ERROR", "FATAL")).alias("errs"),
+        F.count_if(F.col("level") == "FATAL").alias("fatals"))
+    sid = F.concat("app_id", F.lit("/"), F.date_format("day", "yyyy-MM-dd"))
+    start = days.select(*scan_event(sid, F.col("app_id"), "RUNNING", F.col("day")))
+    done = days.filter("fatals = 0").select(*scan_event(
+        sid, F.col("app_id"), "COMPLETED", F.col("day") + F.expr("INTERVAL 1 DAY"),
+        {"logs_scanned": F.col("n"), "errors_found": F.col("errs")}))
+    failed = days.filter("fatals > 0").select(*scan_event(
+        sid, F.col("app_id"), "FAILED", F.col("day") + F.expr("INTERVAL 1 DAY"),
+        {"logs_scanned": F.col("n"), "errors_found": F.col("errs")}, F.lit("fatal error in scanned logs")))
+    hist = scan_history(start.unionByName(done).unionByName(failed))
+    return hist.select("scan_id", "status", "started_at", "completed_at", "logs_scanned", "errors_found")
+
+
+_PATCHES_SQL = ("patches AS (SELECT id AS cluster_id, '--- a/' || coalesce(primary_file, 'X.java') || chr(10) || "
+                "'+++ b/' || coalesce(primary_file, 'X.java') || chr(10) || '@@ -1 +1 @@' || chr(10) || '+fix' AS patch, "
+                "coalesce(replace(primary_file, '.java', ''), 'unknown') || '_' || id || '.diff' AS patch_file_name, "
+                "last_seen + INTERVAL 3 HOUR AS created_at FROM state)")
+
+
+@register("attach_patch", W(*O.state_ctes(), O.apps_cte(), _PATCHES_SQL,
+                            "mine AS (SELECT * FROM analyses WHERE cluster_id IN (SELECT id FROM state WHERE app_id IN "
+                            "(SELECT app_id FROM apps WHERE user_id = 'user-1')))",
+                            "newest AS (SELECT cluster_id, arg_max(id, row(created_at, id)) AS nid FROM mine GROUP BY cluster_id)")
+          + "SELECT m.id, m.cluster_id, CASE WHEN p.patch IS NOT NULL THEN p.patch ELSE m.patch END AS patch, "
+            "CASE WHEN p.patch IS NOT NULL THEN p.patch_file_name ELSE m.patch_file_name END AS patch_file_name, m.confidence "
+            "FROM mine m LEFT JOIN newest nw ON nw.nid = m.id LEFT JOIN patches p ON p.cluster_id = nw.cluster_id "
+            "UNION ALL SELECT cluster_id || '#patch', cluster_id, patch, patch_file_name, 'MEDIUM' FROM patches "
+            "WHERE cluster_id NOT IN (SELECT cluster_id FROM mine)")
+def q_attach_patch(spark, sf_dir):
+    from errorlens.operators.state import attach_patch
+    st = state(spark, sf_dir)
+    apps = FX.applications(spark)
+    mine = TN.scope_analyses_to_user(FX.analyses(spark, st), st, apps, "user-1")
+    patches = spark.sql(FX.spark_sql(_PATCHES_SQL.split(" AS (", 1)[1][:-1].replace("FROM state", "FROM {state}")),
+                        state=st)
+    return attach_patch(mine, patches).select("id", "cluster_id", "patch", "patch_file_name", "confidence")
+
+
+# ---------------------------------------------------------------- answers
+
+_RESP = "responses AS (" + FX.duck_sql(FX.RESPONSES_SQL, documents="documents") + ")"
+
+
+def _resp_sql(mode):
+    from oracle_queries import confidence, response_patch, section
+    cols = ", ".join(f"{section('raw_response', n, mode)} AS {n.lower()}" for n in O.MARKERS[:3])
+    return (f"WITH {_RESP} SELECT id, {cols}, {response_patch('raw_response', mode)} AS patch, "
+            f"{confidence('raw_response', mode)} AS confidence FROM responses")
+
+
+def _q_responses(mode):
+    def run(spark, sf_dir):
+        from errorlens.functions import responses as RS
+        r = FX.responses(spark, sf_dir)
+        return r.select("id", RS.parse_response("raw_response", mode).alias("p"),
+                        RS.confidence("raw_response", mode).alias("confidence")).select(
+            "id", F.col("p.explanation").alias("explanation"), F.col("p.root_cause").alias("root_cause"),
+            F.col("p.recommendation").alias("recommendation"), F.col("p.patch").alias("patch"), "confidence")
+    return run
+
+
+register("parse_responses_core", _resp_sql("core"))(_q_responses("core"))
+register("parse_responses_cloud", _resp_sql("cloud"))(_q_responses("cloud"))
+
+
+@register("extract_patches", f"WITH {_RESP}, x AS (SELECT id, {O.extract_patch('raw_response', 'core')} AS core_patch, "
+          f"{O.extract_patch('raw_response', 'cloud')} AS cloud_patch FROM responses) SELECT id, core_patch, cloud_patch, "
+          f"{O.valid_diff('cloud_patch')} AS valid, {O.patch_target('cloud_patch')} AS target, "
+          "CASE WHEN core_patch IS NOT NULL AND length(core_patch) > 0 THEN true ELSE false END AS has_patch_core, "
+          "CASE WHEN cloud_patch IS NOT NULL AND length(cloud_patch) > 0 AND strpos(lower(cloud_patch), 'no code changes') = 0 "
+          "THEN true ELSE false END AS has_patch_cloud FROM x")
+def q_extract_patches(spark, sf_dir):
+    from errorlens.functions import responses as RS
+    r = FX.responses(spark, sf_dir).select("id", RS.extract_patch("raw_response", "core").alias("core_patch"),
+                                           RS.extract_patch("raw_response", "cloud").alias("cloud_patch"))
+    return r.select("id", "core_patch", "cloud_patch", RS.is_valid_diff("cloud_patch").alias("valid"),
+                    RS.patch_target("cloud_patch").alias("target"),
+                    F.coalesce(RS.has_patch("core_patch", "core"), F.lit(False)).alias("has_patch_core"),
+                    F.coalesce(RS.has_patch("cloud_patch", "cloud"), F.lit(False)).alias("has_patch_cloud"))
+
+
+@register("patch_names", W(O.clusters_cte("cloud", ("app_id",)))
+          + "SELECT app_id, fingerprint, coalesce(replace(primary_file, '.java', ''), 'unknown') || '_' || cluster_id || '.diff' "
+            "AS core_name, coalesce(nullif(CASE WHEN strpos(primary_file, '.java') > 0 THEN substr(primary_file, 1, "
+            "strpos(primary_file, '.java') - 1) || substr(primary_file, strpos(primary_file, '.java') + 5) ELSE primary_file END, ''), "
+            "'unknown') || '_' || substr(cluster_id, 1, 8) || '.diff' AS cloud_name, "
+            "CASE WHEN strpos('@@ -1 +1 @@', '---') > 0 AND strpos('@@ -1 +1 @@', '+++') > 0 THEN '@@ -1 +1 @@' ELSE "
+            "'--- a/' || coalesce(primary_file, 'X.java') || chr(10) || '+++ b/' || coalesce(primary_file, 'X.java') || chr(10) "
+            "|| '@@ -1 +1 @@' END AS with_header FROM clusters")
+def q_patch_names(spark, sf_dir):
+    from errorlens.functions import responses as RS
+    cl = C.cluster_errors(logs(spark, sf_dir), mode="cloud")
+    return cl.select("app_id", "fingerprint",
+                     RS.patch_file_name("primary_file", "cluster_id", "core").alias("core_name"),
+                     RS.patch_file_name("primary_file", "cluster_id", "cloud").alias("cloud_name"),
+                     RS.add_diff_header(F.lit("@@ -1 +1 @@"), F.coalesce("primary_file", F.lit("X.java")))
+                     .alias("with_header"))
+
+
+# ---------------------------------------------------------------- prompts
+
+@register("sample_logs_by_template", W(O.clusters_cte("cloud", ("app_id",)),
+                                       "c AS (SELECT app_id, cluster_id, fingerprint, '%' || coalesce(substr(regexp_replace("
+                                       "message_pattern, '<[A-Z]+>', '%', 'g'), 1, 50), '') || '%' AS pat FROM clusters)")
+          + "SELECT * FROM (SELECT e.app_id, c.fingerprint, e.id, row_number() OVER (PARTITION BY e.app_id, c.fingerprint "
+            "ORDER BY e.timestamp DESC, e.id DESC) AS sample_rank FROM logs e JOIN c ON e.app_id = c.app_id "
+            "WHERE e.level IN ('ERROR', 'FATAL') AND e.message ILIKE c.pat ESCAPE '!') WHERE sample_rank <= 3")
+def q_sample_logs(spark, sf_dir):
+    from errorlens.operators.insight import sample_logs_by_pattern
+    lg = logs(spark, sf_dir)
+    cl = C.cluster_errors(lg, mode="cloud").withColumn(
+        "message_pattern", F.regexp_replace("message_pattern", "<[A-Z]+>", "%"))
+    return sample_logs_by_pattern(cl, lg, 3).select("app_id", "fingerprint", "id", "sample_rank")
+
+
+@register("simple_prompts", W(O.clusters_cte("core"),
+                              "newest AS (SELECT fingerprint, arg_max_null({'st': stack_trace, 'msg': message}, row(timestamp, id)) AS r "
+                              "FROM (SELECT " + O.fingerprint('core') + " AS fingerprint, * FROM logs WHERE level IN ('ERROR', 'FATAL')) "
+                              "GROUP BY fingerprint)")
+          + "SELECT c.cluster_id, c.fingerprint, 'Error to analyse' || chr(10) || chr(10) || 'Exception: ' || "
+            "coalesce(c.exception_class, 'Unknown') || chr(10) || 'Message: ' || coalesce(CASE WHEN n.r IS NOT NULL THEN n.r.msg "
+            "ELSE c.message_pattern END, 'N/A') || chr(10) || chr(10) || '## Trace' || chr(10) || '```' || chr(10) || "
+            "CASE WHEN n.r.st IS NOT NULL AND length(n.r.st) > 0 THEN n.r.st ELSE 'No stack trace available' END || chr(10) || "
+            "'```' || chr(10) || chr(10) || 'Answer with EXPLANATION:, ROOT_CAUSE:, RECOMMENDATION: and PATCH: sections.' AS prompt "
+            "FROM clusters c LEFT JOIN newest n USING (fingerprint)")
+def q_simple_prompts(spark, sf_dir):
+    from errorlens.operators.insight import simple_prompts
+    lg = logs(spark, sf_dir)
+    fp = C.with_fingerprint(lg, "core")
+    newest = C.most_recent_entry(fp.select("fingerprint", "id", "timestamp", "message", "stack_trace"))
+    return simple_prompts(C.cluster_errors(lg, "core"), newest)
+
+
+@register("summary_prompt", W(O.clusters_cte("core"), f"s AS ({_SUMMARY_SQL})",
+                              "top AS (SELECT * FROM clusters ORDER BY occurrence_count DESC, last_seen DESC, fingerprint LIMIT 5)")
+          + "SELECT 'Summarise the health of this application.' || chr(10) || 'Total errors: ' || CAST(error_logs AS VARCHAR) || "
+            "chr(10) || 'Error types: ' || CAST(cluster_count AS VARCHAR) || chr(10) || 'Top errors:' || chr(10) || "
+            "coalesce((SELECT string_agg('- ' || coalesce(exception_class, 'Unknown') || ' (' || CAST(occurrence_count AS VARCHAR) "
+            "|| ' times): ' || coalesce(message_pattern, 'N/A'), chr(10) ORDER BY -occurrence_count, fingerprint) FROM top), '') "
+            "AS prompt FROM s")
+def q_summary_prompt(spark, sf_dir):
+    from errorlens.operators.insight import summary_prompt
+    lg = logs(spark, sf_dir)
+    cl = C.cluster_errors(lg, "core")
+    return summary_prompt(R.report_summary(lg, cl), C.rank_clusters(cl).limit(5))
+
+
+def _context(spark, sf_dir):
+    from errorlens.operators.context import code_context, format_context
+    lg = logs(spark, sf_dir)
+    cl = C.cluster_errors(lg, "core")
+    return cl, format_context(code_context(cl, FX.generated_sources(lg)))
+
+
+@register("code_context")
+def q_code_context(spark, sf_dir):
+    _, ctx = _context(spark, sf_dir)
+    return ctx.select("fingerprint", "file_path", "target_line", "class_name", "method_name", "method_start",
+                      "method_end", "start_line", "end_line", F.size("surrounding_lines").alias("n_lines"),
+                      "imports", "class_fields", "method_body", "formatted_context")
+
+
+@register("analysis_prompts")
+def q_analysis_prompts(spark, sf_dir):
+    from errorlens.operators.insight import analysis_prompts
+    lg = logs(spark, sf_dir)
+    cl, ctx = _context(spark, sf_dir)
+    fp = C.with_fingerprint(lg, "core")
+    newest = C.most_recent_entry(fp.select("fingerprint", "id", "timestamp", "message", "stack_trace"))
+    return analysis_prompts(cl, newest, ctx)
+
+
+@register("patch_prompts")
+def q_patch_prompts(spark, sf_dir):
+    from errorlens.operators.insight import patch_prompts
+    st = state(spark, sf_dir)
+    an = TN.latest_analysis(FX.analyses(spark, st))
+    lg = logs(spark, sf_dir)
+    _, ctx = _context(spark, sf_dir)
+    cl = C.cluster_errors(lg, "core").select("fingerprint", "primary_class")
+    ctx_by_class = ctx.join(cl, "fingerprint").select("primary_class", "file_path", "plain_context", "method_body")
+    keyed = st.select(F.col("id").alias("cluster_id"), "primary_class").join(ctx_by_class, "primary_class")
+    return patch_prompts(an, keyed.drop("primary_class"))
+
+
+@register("complete_with_stub")
+def q_complete(spark, sf_dir):
+    from errorlens.operators.insight import complete, simple_prompts
+    from errorlens.functions import responses as RS
+    lg = logs(spark, sf_dir)
+    fp = C.with_fingerprint(lg, "core")
+    newest = C.most_recent_entry(fp.select("fingerprint", "id", "timestamp", "message", "stack_trace"))
+    prompts = simple_prompts(C.cluster_errors(lg, "core"), newest)
+    answered = complete(prompts, _stub_model, partitions=4)
+    return answered.select("cluster_id", RS.parse_response("response").alias("p"),
+                           RS.confidence("response").alias("confidence")).select(
+        "cluster_id", "p.explanation", "p.root_cause", "confidence")
+
+
+def _stub_model(prompt: str) -> str:
+    """A stand-in model: echoes the exception line of the prompt."""
+    first = prompt.split("\n")[2] if prompt.count("\n") >= 2 else prompt
+    return f"EXPLANATION: {first}\nROOT_CAUSE: unknown\nRECOMMENDATION: add a check\nPATCH:\n```diff\nnone\n```"
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:

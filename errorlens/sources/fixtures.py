@@ -137,3 +137,71 @@ def cluster_state(spark: SparkSession, logs: DataFrame) -> DataFrame:
 
 def analyses(spark: SparkSession, state: DataFrame) -> DataFrame:
     return spark.sql(spark_sql(ANALYSES_SQL), state=state)
+
+
+# Model answers built from whole ``documents`` texts; the shape varies with
+# the document id: all sections with a fenced diff; a mixed-case marker and
+# no patch; a refusal in the patch block; no markers at all.
+RESPONSES_SQL = """
+SELECT doc_id AS id,
+  CASE doc_id % 4
+    WHEN 0 THEN 'EXPLANATION: ' || text || chr(10) || 'ROOT_CAUSE: ' || lang || ' text from ' || source
+         || chr(10) || 'RECOMMENDATION: Check the input' || chr(10) || 'PATCH:' || chr(10) || '```diff'
+         || chr(10) || '--- a/Doc' || CAST(doc_id AS VARCHAR) || '.java' || chr(10) || '+++ b/Doc'
+         || CAST(doc_id AS VARCHAR) || '.java' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-old' || chr(10)
+         || '+new' || chr(10) || '```'
+    WHEN 1 THEN 'EXPLANATION: ' || text || chr(10) || 'Root_Cause: ' || source
+    WHEN 2 THEN 'explanation: ' || text || chr(10) || 'PATCH: ```' || chr(10) || 'No code changes needed'
+         || chr(10) || '```'
+    ELSE text END AS raw_response
+FROM {documents}
+"""
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(spark_sql(RESPONSES_SQL), documents=table(spark, sf_dir, "documents"))
+
+
+def generated_sources(logs: DataFrame) -> DataFrame:
+    """Java source files derived from the locations in the log table: per
+    class, a file with a package line, an import, the class line, a field,
+    and for every logged method a method whose body spans the logged lines
+    (declared two lines above the first). Root 0 holds these files, root 1
+    an older copy of each, which the search must not pick."""
+    from pyspark.sql import functions as F
+    locs = (logs.filter(F.col("class_name").isNotNull() & F.col("line_number").isNotNull()
+                        & F.col("method_name").isNotNull())
+            .groupBy("class_name", "method_name")
+            .agg(F.min("line_number").alias("lo"), F.max("line_number").alias("hi"))
+            .withColumn("d", F.greatest(F.lit(5), F.col("lo") - 2)))
+    per_class = locs.groupBy("class_name").agg(F.max("hi").alias("hi_max"))
+    lines = per_class.select("class_name", F.explode(F.sequence(F.lit(1), F.col("hi_max") + 3)).alias("k"),
+                             (F.col("hi_max") + 3).alias("last"))
+    j = lines.join(locs, "class_name", "left")
+    role = (F.when(F.col("k") == F.col("d"), F.lit(3))
+            .when((F.col("k") > F.col("d")) & (F.col("k") <= F.col("hi") + 1), F.lit(2))
+            .when(F.col("k") == F.col("hi") + 2, F.lit(1)).otherwise(F.lit(0)))
+    j = j.withColumn("role", role)
+    best = j.groupBy("class_name", "k", "last").agg(F.max_by("method_name", "role").alias("m"),
+                                                    F.max("role").alias("role"))
+    simple = F.substring_index("class_name", ".", -1)
+    pkg = F.regexp_extract("class_name", r"^(.*)\.", 1)
+    text = (F.when(F.col("k") == 1, F.concat(F.lit("package "), pkg, F.lit(";")))
+            .when(F.col("k") == 2, F.lit("import java.util.List;"))
+            .when(F.col("k") == 3, F.concat(F.lit("public class "), simple, F.lit(" {")))
+            .when(F.col("k") == 4, F.lit("    private final List<String> items = null;"))
+            .when(F.col("k") == F.col("last"), F.lit("}"))
+            .when(F.col("role") == 3, F.concat(F.lit("    public int "), F.col("m"), F.lit("(String key) {")))
+            .when(F.col("role") == 2, F.concat(F.lit("        calls = calls + "), F.col("k").cast("string"),
+                                                 F.lit(";")))
+            .when(F.col("role") == 1, F.lit("    }"))
+            .otherwise(F.concat(F.lit("    // line "), F.col("k").cast("string"))))
+    files = best.groupBy("class_name").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
+    rel = F.concat(F.replace("class_name", F.lit("."), F.lit("/")), F.lit(".java"))
+    newer = files.select(F.lit(0).alias("root_rank"), rel.alias("rel_path"),
+                         F.concat(simple, F.lit(".java")).alias("file_name"),
+                         F.concat("content", F.lit("\n")).alias("content"))
+    older = newer.select(F.lit(1).alias("root_rank"), "rel_path", "file_name",
+                         F.concat(F.lit("// older copy\n"), F.col("content")).alias("content"))
+    return newer.unionByName(older)

@@ -268,3 +268,109 @@ def mdc_value(m: str, key: str) -> str:
     """Value of the last pair with ``key``."""
     hits = f"list_filter({mdc_pairs(m)}, lambda e: e.key = {q(key)})"
     return f"(CASE WHEN len({hits}) > 0 THEN {hits}[-1].value END)"
+
+
+# ---------------------------------------------------------------- traces
+
+def kept_kinds(trace: str) -> tuple[str, str]:
+    """(tail lines, kinds of the kept tail lines) expressions of a trace."""
+    ls = lines(trace)
+    tail = f"list_slice({ls}, 2, len({ls}))"
+    kinds = f"list_transform({tail}, lambda l: {kind('l')})"
+    stop = f"coalesce(list_position({kinds}, 'X') - 1, len({kinds}))"
+    return f"list_slice({tail}, 1, {stop})", f"list_slice({kinds}, 1, {stop})"
+
+
+def outer_frame_lines(trace: str) -> str:
+    tail, kk = kept_kinds(trace)
+    n = f"coalesce(list_position({kk}, 'C') - 1, len({kk}))"
+    return (f"list_transform(list_filter(list_slice({tail}, 1, {n}), lambda l, i: {kk}[i] = 'F'), "
+            f"lambda l: {jtrim('l')})")
+
+
+def frame_file(t: str) -> str:
+    loc = f"regexp_extract({t}, {q(FRAME)}, 3)"
+    return (f"(CASE WHEN {loc} IN ('Native Method', 'Unknown Source') THEN NULL "
+            f"WHEN regexp_full_match({loc}, {q(LOC)}) THEN regexp_extract({loc}, {q(LOC)}, 1) ELSE {loc} END)")
+
+
+# ---------------------------------------------------------------- responses
+
+MARKERS = ["EXPLANATION", "ROOT_CAUSE", "RECOMMENDATION", "PATCH"]
+
+
+def section_re(name: str, mode: str) -> str:
+    others = "|".join(f"{m}:" for m in MARKERS if m != name)
+    if mode == "core":
+        return rf"(?is){name}:\s*(.+?)(?:{others}|$)"
+    return rf"(?s){name}:[{JS_SPACE}]*(.+?)(?:{others}|$)"
+
+
+def patch_re(mode: str) -> str:
+    if mode == "core":
+        return r"(?is)PATCH:\s*```(?:diff)?\s*(.+?)```"
+    return rf"(?s)PATCH:[{JS_SPACE}]*```(?:diff)?[{JS_SPACE}]*(.+?)```"
+
+
+def section(t: str, name: str, mode: str) -> str:
+    pat = section_re(name, mode)
+    raw = f"(CASE WHEN regexp_matches({t}, {q(pat)}) THEN regexp_extract({t}, {q(pat)}, 1) END)"
+    if mode == "core":
+        return jtrim(raw)
+    return f"nullif({jstrim(raw)}, '')"
+
+
+def response_patch(t: str, mode: str) -> str:
+    pat = patch_re(mode)
+    raw = f"(CASE WHEN regexp_matches({t}, {q(pat)}) THEN regexp_extract({t}, {q(pat)}, 1) END)"
+    if mode == "core":
+        p = jtrim(raw)
+        return (f"(CASE WHEN strpos(lower({p}), 'no code changes needed') = 0 AND "
+                f"strpos(lower({p}), 'not applicable') = 0 THEN {p} END)")
+    return f"nullif({jstrim(raw)}, '')"
+
+
+def confidence(t: str, mode: str) -> str:
+    if mode == "core":
+        pts = [f"(strpos({t}, '{m}:') > 0)" for m in MARKERS] + [
+            f"(length({t}) > 500)", f"(length({t}) > 1000)", f"(strpos({t}, '```') > 0)"]
+        s = " + ".join(f"CAST({p} AS INTEGER)" for p in pts)
+        return (f"(CASE WHEN {t} IS NULL OR length({t}) = 0 THEN 'UNKNOWN' WHEN {s} >= 6 THEN 'HIGH' "
+                f"WHEN {s} >= 4 THEN 'MEDIUM' WHEN {s} >= 2 THEN 'LOW' ELSE 'UNKNOWN' END)")
+    pts = [f"regexp_matches({t}, {q(section_re(m, 'cloud'))})" for m in MARKERS[:3]]
+    pts += [f"regexp_matches({t}, {q(patch_re('cloud'))})", f"(length({t}) > 500)", f"(length({t}) > 1000)"]
+    s = " + ".join(f"CAST(coalesce({p}, false) AS INTEGER)" for p in pts)
+    return (f"(CASE WHEN {s} >= 5 THEN 'HIGH' WHEN {s} >= 3 THEN 'MEDIUM' WHEN {s} >= 1 THEN 'LOW' "
+            f"ELSE 'UNKNOWN' END)")
+
+
+def valid_diff(p: str) -> str:
+    return (f"coalesce(length({p}) >= 20 AND strpos({p}, '---') > 0 AND strpos({p}, '+++') > 0 AND "
+            f"strpos({p}, '@@') > 0 AND (strpos({p}, chr(10) || '+') > 0 OR strpos({p}, chr(10) || '-') > 0), false)")
+
+
+def format_patch(p: str) -> str:
+    lf = f"replace({p}, chr(13) || chr(10), chr(10))"
+    return f"(CASE WHEN {lf} LIKE '%' || chr(10) THEN {lf} ELSE {lf} || chr(10) END)"
+
+
+def extract_patch(t: str, mode: str) -> str:
+    if mode == "core":
+        pat = r"(?s)```(?:diff)?\s*(.+?)```"
+        b = jtrim(f"(CASE WHEN regexp_matches({t}, {q(pat)}) THEN regexp_extract({t}, {q(pat)}, 1) END)")
+        return (f"(CASE WHEN strpos(lower({b}), 'no code changes') = 0 AND strpos(lower({b}), 'not applicable') = 0 "
+                f"AND length({b}) > 10 THEN {b} END)")
+    bpat = f"```(?:diff)?[{JS_SPACE}]*([\\s\\S]*?)```"
+    dpat = r"((?:---[\s\S]*?\+\+\+[\s\S]*?@@[\s\S]+))"
+    block = jstrim(f"(CASE WHEN regexp_matches({t}, {q(bpat)}) THEN regexp_extract({t}, {q(bpat)}, 1) END)")
+    bare = jstrim(f"(CASE WHEN regexp_matches({t}, {q(dpat)}) THEN regexp_extract({t}, {q(dpat)}, 1) END)")
+    whole = f"(CASE WHEN strpos({t}, '---') > 0 AND strpos({t}, '+++') > 0 AND strpos({t}, '@@') > 0 THEN {jstrim(t)} END)"
+    pick = f"(CASE WHEN {valid_diff(block)} THEN {block} WHEN {valid_diff(bare)} THEN {bare} ELSE {whole} END)"
+    return f"(CASE WHEN {pick} IS NOT NULL THEN {format_patch(pick)} END)"
+
+
+def patch_target(p: str) -> str:
+    line = f"regexp_extract({p}, '(?m)^(\\+\\+\\+ .*)$', 1)"
+    path = f"substr({line}, strpos({line}, ' ') + 1)"
+    path = f"(CASE WHEN starts_with({path}, 'b/') THEN substr({path}, 3) ELSE {path} END)"
+    return f"(CASE WHEN length({line}) > 0 THEN {jtrim(path)} END)"
