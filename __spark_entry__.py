@@ -884,6 +884,139 @@ def _stub_model(prompt: str) -> str:
     return f"EXPLANATION: {first}\nROOT_CAUSE: unknown\nRECOMMENDATION: add a check\nPATCH:\n```diff\nnone\n```"
 
 
+# ---------------------------------------------------------------- sources, sinks, streams
+
+def _scratch(spark, sf_dir: str, name: str) -> str:
+    """A folder under the shared checkpoint folder, fresh per call."""
+    import uuid
+    from errorlens.session import scratch_path
+    tag = sf_dir.rstrip("/").split("/")[-1]
+    return scratch_path(spark, f"{name}-{tag}-{uuid.uuid4().hex[:10]}")
+
+
+def _stream_input(spark, sf_dir: str) -> str:
+    """The log table as canonical Parquet files, four days per file, written
+    in time order so a file stream meets the rows in event-time order."""
+    from errorlens.sources.logs import to_log_schema
+    path = _scratch(spark, sf_dir, "stream-in")
+    lg = to_log_schema(logs(spark, sf_dir)).withColumn("_slice", F.floor(
+        (F.unix_seconds("timestamp") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / (4 * 86400)))
+    slices = [r[0] for r in lg.select("_slice").distinct().orderBy("_slice").collect()]
+    for sl in slices:
+        lg.filter(F.col("_slice") == sl).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+_TS_OUT = "CAST(date_trunc('millisecond', timestamp) AS TIMESTAMP)"
+
+
+@register("write_read_logs", W() + "SELECT id, level, timestamp, CAST(strftime(timestamp, '%Y-%m-%d') AS DATE) AS log_date, "
+          + O.mdc_value("mdc_context", "traceId") + " AS trace_id FROM logs")
+def q_write_read_logs(spark, sf_dir):
+    from errorlens.sources.logs import read_logs, to_log_schema, write_logs
+    path = _scratch(spark, sf_dir, "log-table")
+    write_logs(to_log_schema(raw_logs(spark, sf_dir)).withColumn(
+        "trace_id", F.try_element_at(F.col("mdc_context"), F.lit("traceId"))), path)
+    back = read_logs(spark, path)
+    return back.select("id", "level", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "log_date",
+                       "trace_id")
+
+
+@register("store_rows_mapping", W() + f"SELECT id, level, {_TS_OUT} AS timestamp, "
+          + "coalesce(len(" + O.mdc_pairs("mdc_context") + ") > 0, false) AS has_context FROM logs")
+def q_store_rows(spark, sf_dir):
+    from errorlens.sources.logs import to_log_schema
+    raw = raw_logs(spark, sf_dir)
+    store = raw.select("id", F.unix_millis(F.col("timestamp").cast("timestamp")).alias("timestamp"),
+                       "level", "message", "mdc_context")
+    m = to_log_schema(store)
+    return m.select("id", "level", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                    F.coalesce(F.size("mdc_context") > 0, F.lit(False)).alias("has_context"))
+
+
+_FILE_ORACLE = (W() + f"SELECT {_TS_OUT} AS timestamp, thread_name, level, logger, message, "
+                "CASE WHEN length(regexp_replace(stack_trace, '\\n+$', '')) > 0 THEN regexp_replace(stack_trace, '\\n+$', '') "
+                "END AS stack_trace FROM logs")
+
+
+def _log_files(spark, sf_dir):
+    from errorlens.sources.logs import format_log_lines
+    path = _scratch(spark, sf_dir, "log-text")
+    format_log_lines(logs(spark, sf_dir)).repartition(4).write.text(path)
+    return path
+
+
+def _entries(df):
+    return df.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "thread_name", "level",
+                     "logger", "message", "stack_trace")
+
+
+@register("read_log_files", _FILE_ORACLE)
+def q_read_log_files(spark, sf_dir):
+    from errorlens.sources.logs import read_log_files
+    return _entries(read_log_files(spark, _log_files(spark, sf_dir), whole_files=True))
+
+
+@register("read_log_lines", _FILE_ORACLE)
+def q_read_log_lines(spark, sf_dir):
+    from errorlens.sources.logs import read_log_files
+    return _entries(read_log_files(spark, _log_files(spark, sf_dir), whole_files=False))
+
+
+@register("ingest_stream", W() + "SELECT id, level, " + O.mdc_value("mdc_context", "traceId")
+          + " AS trace_id FROM logs WHERE level IN ('WARN', 'ERROR', 'FATAL')")
+def q_ingest_stream(spark, sf_dir):
+    from errorlens.sources.logs import stream_logs
+    from errorlens.streaming.ingest import ingest_stream
+    src = _stream_input(spark, sf_dir)
+    out = _scratch(spark, sf_dir, "ingest-out")
+    q = ingest_stream(stream_logs(spark, src, max_files_per_trigger=2), out, out + "-ckpt",
+                      threshold="WARN", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("id", "level", "trace_id")
+
+
+@register("stream_clusters", W(O.clusters_cte("cloud", ("app_id",))) + f"SELECT app_id, {CLUSTER_COLS} FROM clusters")
+def q_stream_clusters(spark, sf_dir):
+    from errorlens.operators.state import read_snapshot
+    from errorlens.sources.logs import stream_logs
+    from errorlens.streaming.ingest import stream_clusters
+    src = _stream_input(spark, sf_dir)
+    out = _scratch(spark, sf_dir, "stream-clusters")
+    q = stream_clusters(stream_logs(spark, src, max_files_per_trigger=2), out, out + "-ckpt",
+                        mode="cloud", available_now=True)
+    q.awaitTermination()
+    snap = read_snapshot(spark, out)
+    return snap.select("app_id", *[F.col(c).cast("timestamp_ntz").alias(c) if c in ("first_seen", "last_seen")
+                                   else F.col(c) for c in CLUSTER_COLS.split(", ")])
+
+
+@register("stream_scan_windows", W("w AS (SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, app_id, "
+                                   + O.fingerprint("cloud") + " AS fingerprint, timestamp FROM logs "
+                                   "WHERE level IN ('ERROR', 'FATAL'))")
+          + "SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, app_id, fingerprint, count(*) AS occurrence_count "
+            "FROM w GROUP BY ALL HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM logs) - INTERVAL 1 HOUR")
+def q_stream_scan(spark, sf_dir):
+    from errorlens.sources.logs import stream_logs
+    from errorlens.streaming.ingest import stream_scan
+    src = _stream_input(spark, sf_dir)
+    out = _scratch(spark, sf_dir, "stream-scan")
+    q = (stream_scan(stream_logs(spark, src, max_files_per_trigger=1), "1 hour", "1 hour")
+         .writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "app_id", "fingerprint", "occurrence_count")
+
+
+@register("report_json")
+def q_report_json(spark, sf_dir):
+    from errorlens.plans.report import report_document
+    lg = logs(spark, sf_dir)
+    return report_document(lg, FL.asof_of(lg), "7d")
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:

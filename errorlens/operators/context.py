@@ -40,8 +40,8 @@ def read_sources(spark: SparkSession, roots: list[str], glob: str = "*.java") ->
     out = None
     for rank, root in enumerate(roots):
         base = root.rstrip("/")
-        df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", glob).text(base)
+        df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+              .text(base, wholetext=True)
               .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
         rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), r"^.*?" + _quote(base) + "/", "")
         df = df.select(F.lit(rank).alias("root_rank"), rel.alias("rel_path"),

@@ -130,7 +130,7 @@ def read_log_files(spark: SparkSession, path: str, whole_files: bool = True) ->
     Lines before the first header of a file are dropped.
     """
     if whole_files:
-        files = spark.read.option("wholetext", True).text(path).select(
+        files = spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_path").alias("file"), F.col("value"))
         recs = files.select("file", F.posexplode(F.split(
             F.regexp_replace("value", r"\r\n", "\n"), RECORD_SPLIT_RE, -1)).alias("pos", "record"))
@@ -139,7 +139,8 @@ def read_log_files(spark: SparkSession, path: str, whole_files: bool = True) ->
     from pyspark.sql import Window
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line_pos"),
+        # block start orders the splits of a file; the id orders lines in a split
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_pos"),
         F.regexp_replace("value", r"\r\z", "").alias("line"))
     head = F.col("line").rlike(r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} \[")
     w = Window.partitionBy("file").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
