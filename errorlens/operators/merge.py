@@ -99,72 +99,67 @@ def _nodes(clusters: DataFrame) -> DataFrame:
         normalize_message("message_pattern", "core").alias("template"), lkey.alias("lkey"))
 
 
-def _group_min(df: DataFrame, key, value: str, name: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.min(value).alias(name))
+def _neighbour_min(nodes: DataFrame, members: DataFrame, pairs: DataFrame, value, name: str) -> DataFrame:
+    """For every row of ``nodes``: the least ``value`` over the ``members``
+    related to it (same template group, similar template group, same
+    location group); null when none. ``value`` is a column of members."""
+    mkey = ["exception_class", "template"]
+    g = (members.groupBy(*mkey).agg(F.min(value).alias("_g"))
+         .withColumnRenamed("exception_class", "_x").withColumnRenamed("template", "_t"))
+    via = (pairs.join(g, pairs["exception_class"].eqNullSafe(g["_x"]) & (pairs["template_b"] == g["_t"]))
+           .groupBy(pairs["exception_class"], pairs["template"]).agg(F.min("_g").alias("_s"))
+           .withColumnRenamed("exception_class", "_x2").withColumnRenamed("template", "_t2"))
+    loc = members.filter(F.col("lkey").isNotNull()).groupBy("lkey").agg(F.min(value).alias("_l"))
+    out = (nodes.join(g, nodes["exception_class"].eqNullSafe(g["_x"]) & (nodes["template"] == g["_t"]), "left")
+           .drop("_x", "_t")
+           .join(via, F.col("exception_class").eqNullSafe(F.col("_x2")) & (F.col("template") == F.col("_t2")),
+                 "left").drop("_x2", "_t2")
+           .join(loc, "lkey", "left"))
+    return out.withColumn(name, F.least("_g", "_s", "_l")).drop("_g", "_s", "_l")
 
 
 def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
                   checkpoint: bool = True) -> DataFrame:
     """``fingerprint -> leader`` (a leader maps to itself) of the greedy
-    merge, computed in rounds (see module notes)."""
+    merge.
+
+    Rounds decide who leads: an undecided cluster with no undecided earlier
+    neighbour leads; undecided clusters next to a new leader are followers
+    (they can never lead). Followers do not block anyone. When no cluster is
+    undecided, every follower joins its earliest-ranked leader neighbour,
+    which is the leader that reaches it first in the sequential loop.
+    """
     nodes = _nodes(clusters)
     if checkpoint:
         nodes = nodes.checkpoint()
-    mkey = ["exception_class", "template"]
-    pairs = similar_template_pairs(nodes.select(*mkey), threshold).select(
+    pairs = similar_template_pairs(nodes.select("exception_class", "template"), threshold).select(
         "exception_class", F.col("template_a").alias("template"), F.col("template_b"))
     if checkpoint:
         pairs = pairs.checkpoint()
     undecided = nodes
-    decided = None
+    leaders = None
     while True:
-        # earliest undecided neighbour: own template group, similar groups, location group
-        g = undecided.groupBy(*[F.col(c) for c in mkey]).agg(F.min("rank").alias("g_min")) \
-            .withColumnRenamed("exception_class", "x").withColumnRenamed("template", "tb")
-        via_sim = pairs.join(g, pairs["exception_class"].eqNullSafe(g["x"])
-                             & (pairs["template_b"] == g["tb"])) \
-            .groupBy(pairs["exception_class"], pairs["template"]).agg(F.min("g_min").alias("s_min"))
-        gl = undecided.filter(F.col("lkey").isNotNull()).groupBy("lkey").agg(F.min("rank").alias("l_min"))
-        u = (undecided.join(g, undecided["exception_class"].eqNullSafe(g["x"])
-                            & (undecided["template"] == g["tb"]), "left").drop("x", "tb")
-             .join(via_sim.withColumnRenamed("exception_class", "x2").withColumnRenamed("template", "t2"),
-                   F.col("exception_class").eqNullSafe(F.col("x2")) & (F.col("template") == F.col("t2")),
-                   "left").drop("x2", "t2")
-             .join(gl, "lkey", "left"))
-        earlier = F.least(F.col("g_min"), F.col("s_min"), F.col("l_min")) < F.col("rank")
-        u = u.withColumn("ready", ~F.coalesce(earlier, F.lit(False)))
-        u = u.drop("g_min", "s_min", "l_min")
+        u = _neighbour_min(undecided, undecided, pairs, F.col("rank"), "_earliest")
+        u = u.withColumn("_lead", F.coalesce(F.col("_earliest") >= F.col("rank"), F.lit(True)))
         if checkpoint:
             u = u.checkpoint()
-        leaders = u.filter("ready").select(*nodes.columns)
-        rest = u.filter(~F.col("ready")).select(*nodes.columns)
-        # earliest new leader among the neighbours of every other undecided node
-        lead = F.struct(F.col("rank").alias("r"), F.col("fingerprint").alias("id"))
-        lg = leaders.groupBy(*mkey).agg(F.min(lead).alias("lg")) \
-            .withColumnRenamed("exception_class", "x").withColumnRenamed("template", "tb")
-        lsim = pairs.join(lg, pairs["exception_class"].eqNullSafe(lg["x"])
-                          & (pairs["template_b"] == lg["tb"])) \
-            .groupBy(pairs["exception_class"], pairs["template"]).agg(F.min("lg").alias("ls")) \
-            .withColumnRenamed("exception_class", "x2").withColumnRenamed("template", "t2")
-        ll = leaders.filter(F.col("lkey").isNotNull()).groupBy("lkey").agg(F.min(lead).alias("ll"))
-        r = (rest.join(lg, rest["exception_class"].eqNullSafe(lg["x"]) & (rest["template"] == lg["tb"]),
-                       "left").drop("x", "tb")
-             .join(lsim, F.col("exception_class").eqNullSafe(F.col("x2")) & (F.col("template") == F.col("t2")),
-                   "left").drop("x2", "t2")
-             .join(ll, "lkey", "left"))
-        best = F.least(F.col("lg"), F.col("ls"), F.col("ll"))
-        r = r.withColumn("_best", best)
-        absorbed = r.filter(F.col("_best").isNotNull()).select(
-            "fingerprint", F.col("_best.id").alias("leader"))
-        new_decided = leaders.select("fingerprint", F.col("fingerprint").alias("leader")).unionByName(absorbed)
-        undecided = r.filter(F.col("_best").isNull()).select(*nodes.columns)
+        new_leaders = u.filter("_lead").select(*nodes.columns)
+        rest = u.filter(~F.col("_lead")).select(*nodes.columns)
+        marked = _neighbour_min(rest, new_leaders, pairs, F.lit(1), "_near")
+        undecided = marked.filter(F.col("_near").isNull()).select(*nodes.columns)
         if checkpoint:
-            new_decided = new_decided.checkpoint()
+            new_leaders = new_leaders.checkpoint()
             undecided = undecided.checkpoint()
-        decided = new_decided if decided is None else decided.unionByName(new_decided)
+        leaders = new_leaders if leaders is None else leaders.unionByName(new_leaders)
         if undecided.isEmpty():
             break
-    return decided
+    if checkpoint:
+        leaders = leaders.checkpoint()
+    best = _neighbour_min(nodes, leaders, pairs,
+                          F.struct(F.col("rank").alias("r"), F.col("fingerprint").alias("id")), "_best")
+    is_leader = best.join(leaders.select("fingerprint", F.lit(True).alias("_is")), "fingerprint", "left")
+    return is_leader.select("fingerprint", F.when(F.col("_is"), F.col("fingerprint"))
+                            .otherwise(F.col("_best.id")).alias("leader"))
 
 
 def merge_similar(clusters: DataFrame, threshold: float = THRESHOLD,
