@@ -25,6 +25,7 @@ from errorlens.operators import clusters as C
 from errorlens.operators import filters as FL
 from errorlens.operators import report as R
 from errorlens.operators import tenants as TN
+from errorlens.operators.parallel import spread
 from errorlens.sources import fixtures as FX
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -54,7 +55,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state(spark, sf_dir):
-    return FX.cluster_state(spark, logs(spark, sf_dir))
+    """The stored cluster state; read by several joins, so written once."""
+    return FX.cluster_state(spark, logs(spark, sf_dir)).checkpoint()
 
 
 W = O.with_logs
@@ -143,13 +145,13 @@ def q_fingerprints_cloud(spark, sf_dir):
 
 @register("templates_core", f"SELECT doc_id, {O.normalize('text', 'core')} AS template FROM documents")
 def q_templates_core(spark, sf_dir):
-    docs = FX.table(spark, sf_dir, "documents")
+    docs = spread(FX.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", normalize_message("text", "core").alias("template"))
 
 
 @register("templates_cloud", f"SELECT doc_id, {O.normalize('text', 'cloud')} AS template FROM documents")
 def q_templates_cloud(spark, sf_dir):
-    docs = FX.table(spark, sf_dir, "documents")
+    docs = spread(FX.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", normalize_message("text", "cloud").alias("template"))
 
 
@@ -436,13 +438,8 @@ def q_apps_by_created(spark, sf_dir):
             "JOIN clusters c USING (fingerprint)) WHERE n <= 3 OR sample_index = 0 OR sample_index = n - 1 OR "
             "(sample_index % (n // 2) = 0 AND sample_index // (n // 2) BETWEEN 1 AND 1)")
 def q_sample_entries(spark, sf_dir):
-    lg = logs(spark, sf_dir)
-    fp = C.with_fingerprint(lg, "core")
-    cl = C.cluster_errors(lg, mode="core")
-    out = C.sample_entries(fp, cl, k=3)
-    return out.select("fingerprint", "id", "sample_index",
-                      F.col("sample_index").alias("_si")).drop("_si").join(
-        cl.select("fingerprint", F.col("occurrence_count").alias("n")), "fingerprint")
+    fp = C.with_fingerprint(logs(spark, sf_dir), "core")
+    return C.sample_entries(fp, k=3).select("fingerprint", "id", "sample_index", "n")
 
 
 @register("most_recent_entry", W(O.clusters_cte("core"))

@@ -19,8 +19,12 @@ JS_SPACE_CLASS = f"[{JS_SPACE_CHARS}]"
 JS_TRIM_RE = rf"\A{JS_SPACE_CLASS}+|{JS_SPACE_CLASS}+\z"
 
 
+# Every char Java's trim drops, for Spark's trim(str, chars) (no regex).
+JAVA_TRIM_CHARS = "".join(chr(i) for i in range(0x21))
+
+
 def java_trim(c) -> Column:
-    return F.regexp_replace(as_col(c), JAVA_TRIM_RE, "")
+    return F.trim(as_col(c), F.lit(JAVA_TRIM_CHARS))
 
 
 def js_trim(c) -> Column:

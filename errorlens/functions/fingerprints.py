@@ -77,14 +77,15 @@ def fingerprint(mode: str = "core", frames: int = 5, trace="stack_trace",
 def cluster_id(fp) -> Column:
     """``ERR-`` and 8 upper hex digits of the Java string hash of the
     fingerprint (UTF-16 code units, 32-bit wrap-around)."""
-    f = as_col(fp)
-    # UTF-16 code units as 4-hex-digit chunks, computed once per value
-    units = F.split(F.hex(F.encode(f, "UTF-16BE")), r"(?<=\G.{4})", -1)
-    h = F.aggregate(
-        F.filter(units, lambda u: F.length(u) == 4),
-        F.lit(0).cast("bigint"),
-        lambda acc, u: (acc * 31 + F.conv(u, 16, 10).cast("bigint")) % F.lit(4294967296))
-    return F.when(f.isNotNull(), F.format_string("ERR-%08X", h))
+    def on_fp(f):
+        # UTF-16 code units as 4-hex-digit chunks
+        units = F.split(F.hex(F.encode(f, "UTF-16BE")), r"(?<=\G.{4})", -1)
+        h = F.aggregate(
+            F.filter(units, lambda u: F.length(u) == 4),
+            F.lit(0).cast("bigint"),
+            lambda acc, u: (acc * 31 + F.conv(u, 16, 10).cast("bigint")) % F.lit(4294967296))
+        return F.when(f.isNotNull(), F.format_string("ERR-%08X", h))
+    return let(as_col(fp), on_fp)
 
 
 def java_hash_id(text: str) -> str:

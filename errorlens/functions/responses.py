@@ -36,10 +36,16 @@ def _extract(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
+def _extract_nonempty(text: Column, pattern: str) -> Column:
+    """Group 1 of a pattern whose group cannot be empty: one regex pass,
+    no match reads as null."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
 def section(text, name: str, mode: str = "core") -> Column:
     """One trimmed section of an answer (null when absent)."""
     t = as_col(text)
-    raw = _extract(t, _section_re(name, mode))
+    raw = _extract_nonempty(t, _section_re(name, mode))
     if mode == "core":
         return java_trim(raw)
     return let(js_trim(raw), lambda x: F.when(F.length(x) > 0, x))
@@ -57,7 +63,7 @@ def response_patch(text, mode: str = "core") -> Column:
     """The ``PATCH:`` fenced block of an answer. core drops a block that
     says no change is needed or not applicable; cloud keeps it."""
     t = as_col(text)
-    raw = _extract(t, _patch_re(mode))
+    raw = _extract_nonempty(t, _patch_re(mode))
     if mode == "core":
         return let(java_trim(raw), lambda p: F.when(~_contains_any_lower(p, REFUSALS_CORE), p))
     return let(js_trim(raw), lambda p: F.when(F.length(p) > 0, p))
@@ -132,11 +138,11 @@ def extract_patch(text, mode: str = "core") -> Column:
     """
     t = as_col(text)
     if mode == "core":
-        block = java_trim(_extract(t, CORE_BLOCK_RE))
+        block = java_trim(_extract_nonempty(t, CORE_BLOCK_RE))
         return let(block, lambda b: F.when(
             ~_contains_any_lower(b, REFUSALS_PATCH) & (F.length(b) > 10), b))
     block = js_trim(_extract(t, CLOUD_BLOCK_RE))
-    bare = js_trim(_extract(t, CLOUD_DIFF_RE))
+    bare = js_trim(_extract_nonempty(t, CLOUD_DIFF_RE))
     whole = F.when(F.contains(t, F.lit("---")) & F.contains(t, F.lit("+++")) & F.contains(t, F.lit("@@")),
                    js_trim(t))
     pick = (F.when(is_valid_diff(block), block)

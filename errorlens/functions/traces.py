@@ -18,6 +18,9 @@ from errorlens.functions._util import JS_SPACE_CHARS, as_col, java_trim, js_trim
 EXCEPTION_RE = r"\A([\w.$]+(?:Exception|Error|Throwable))(?::\s*(.*))?\z"
 EXCEPTION_NO_MESSAGE_RE = r"\A[\w.$]+(?:Exception|Error|Throwable)\z"
 FRAME_RE = r"\A\s*at\s+([\w.$]+)\.([\w$<>]+)\(([^)]+)\)\z"
+# The same test on the untrimmed line: the trimmed line starts with "at"
+# and ends with ")", so the trimmed chars are exactly the runs matched here.
+RAW_FRAME_RE = r"\A[\x00-\x20]*at\s+([\w.$]+)\.([\w$<>]+)\(([^)]+)\)[\x00-\x20]*\z"
 LOCATION_RE = r"\A(\w+\.java):(\d+)\z"
 CAUSE_RE = r"\ACaused by:\s*(.+)\z"
 MORE_RE = r"\A\s*\.\.\.\s*(\d+)\s+more\s*\z"
@@ -63,29 +66,31 @@ def parse_frame(line) -> Column:
     Location: ``Native Method`` (native, no file), ``Unknown Source`` (no
     file), ``Name.java:n``, else the whole text as file; line -1 if unknown.
     """
-    t = java_trim(as_col(line))
-    return _frame_struct(t, t.rlike(FRAME_RE))
+    l = as_col(line)
+    return _frame_struct(l, l.rlike(RAW_FRAME_RE))
 
 
-def _frame_struct(trimmed: Column, is_frame: Column) -> Column:
-    def build(t):
+def _frame_struct(raw: Column, is_frame: Column) -> Column:
+    """Frame fields of a raw frame line: one regex pass rewrites the line to
+    ``class \\x01 method \\x01 location``, then a split (at most 3 parts,
+    so a location holding the separator stays whole)."""
+    def build(parts):
         def with_loc(loc):
-            has_line = loc.rlike(LOCATION_RE)
+            file_part = F.regexp_extract(loc, LOCATION_RE, 1)
             special = loc.isin("Native Method", "Unknown Source")
+            has_line = (F.length(file_part) > 0) & ~special
             file_name = (F.when(special, F.lit(None).cast("string"))
-                         .when(has_line, F.regexp_extract(loc, LOCATION_RE, 1))
-                         .otherwise(loc))
-            line_no = F.when(has_line & ~special,
-                             F.regexp_extract(loc, LOCATION_RE, 2).try_cast("int"))
+                         .when(has_line, file_part).otherwise(loc))
+            line_no = F.when(has_line, F.regexp_extract(loc, LOCATION_RE, 2).try_cast("int"))
             return F.struct(
-                F.regexp_extract(t, FRAME_RE, 1).alias("class_name"),
-                F.regexp_extract(t, FRAME_RE, 2).alias("method_name"),
+                parts[0].alias("class_name"), parts[1].alias("method_name"),
                 file_name.alias("file_name"),
                 F.coalesce(line_no, F.lit(-1)).alias("line_number"),
                 (loc == "Native Method").alias("native"),
             )
-        return let(F.regexp_extract(t, FRAME_RE, 3), with_loc)
-    return F.when(is_frame, let(trimmed, build))
+        return let(parts[2], with_loc)
+    split = F.split(F.regexp_replace(raw, RAW_FRAME_RE, "$1\u0001$2\u0001$3"), "\u0001", 3)
+    return F.when(is_frame, let(split, build))
 
 
 # ---------------------------------------------------------------- header
@@ -116,16 +121,18 @@ def _exception_head(raw: Column) -> Column:
 
 def _lines(trace: Column) -> Column:
     """Lines as Java's split drops them: trailing empty lines removed."""
-    stripped = F.regexp_replace(trace, TRAILING_NEWLINES_RE, "")
-    return F.when(F.length(stripped) > 0, F.split(stripped, LINE_SPLIT_RE, -1))
+    return let(F.regexp_replace(trace, TRAILING_NEWLINES_RE, ""),
+               lambda s: F.when(F.length(s) > 0, F.split(s, LINE_SPLIT_RE, -1)))
 
 
 def _classified(lines: Column) -> Column:
-    """Lines after the first, as struct<line, kind>; kind C, M, F or X."""
+    """Lines after the first, as struct<line, kind>; kind C, M, F or X.
+    The three line shapes exclude each other, so frames (the common case)
+    are tested first."""
     def kind(l):
-        return (F.when(l.rlike(CAUSE_RE), F.lit("C"))
+        return (F.when(l.rlike(RAW_FRAME_RE), F.lit("F"))
+                .when(l.rlike(CAUSE_RE), F.lit("C"))
                 .when(l.rlike(MORE_RE), F.lit("M"))
-                .when(java_trim(l).rlike(FRAME_RE), F.lit("F"))
                 .otherwise(F.lit("X")))
 
     return F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
@@ -142,7 +149,7 @@ def _kept(items: Column) -> Column:
 
 def _frames_of(items: Column) -> Column:
     frames = F.filter(items, lambda x: x["kind"] == "F")
-    return F.transform(frames, lambda x: _frame_struct(java_trim(x["line"]), F.lit(True)))
+    return F.transform(frames, lambda x: _frame_struct(x["line"], F.lit(True)))
 
 
 def _outer_items(kept: Column) -> Column:

@@ -1,6 +1,6 @@
 """Error clustering (A2, A3), ranking (T3-T5) and samples.
 
-One shuffle: error rows are fingerprinted map-side, then a hash aggregate
+One shuffle: error rows are fingerprinted map-side, then an aggregate
 with partial (map-side) aggregation groups them. Every per-cluster pick
 ("the newest row that ...") is a ``max_by`` over the order key
 ``(timestamp, id)``, which is partial-aggregatable, so a hot fingerprint
@@ -20,6 +20,7 @@ from errorlens.functions.fingerprints import cluster_id, fingerprint
 from errorlens.functions.levels import has_stack_trace, is_error
 from errorlens.functions.templates import normalize_message
 from errorlens.functions.traces import class_of_head_line, exception_head_line
+from errorlens.operators.parallel import spread
 
 ORDER_KEY = ("timestamp", "id")
 
@@ -41,7 +42,7 @@ def with_fingerprint(logs: DataFrame, mode: str = "core", frames: int = 5,
                      errors_only: bool = True) -> DataFrame:
     """Error rows with their ``fingerprint`` column (F6 over a table)."""
     df = logs.filter(is_error("level")) if errors_only else logs
-    return df.withColumn("fingerprint", fingerprint(mode, frames))
+    return spread(df).withColumn("fingerprint", fingerprint(mode, frames))
 
 
 def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
@@ -58,7 +59,10 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
     """
     keys = _keys(mode, by)
     order = F.struct(*[F.col(c) for c in ORDER_KEY])
-    rows = with_fingerprint(logs, mode, frames).select(
+    narrow = logs.filter(is_error("level")).select(
+        *keys, "timestamp", "id", "message", "stack_trace",
+        "file_name", "line_number", "method_name", "class_name")
+    rows = with_fingerprint(narrow, mode, frames, errors_only=False).select(
         *keys, "fingerprint", "timestamp", "id", "message",
         exception_head_line("stack_trace", mode).alias("_head"),
         "file_name", "line_number", "method_name", "class_name")
@@ -98,10 +102,14 @@ def rank_clusters(clusters: DataFrame) -> DataFrame:
     return clusters.orderBy(F.desc("occurrence_count"), F.desc("last_seen"), F.asc("fingerprint"))
 
 
-def top_clusters(clusters: DataFrame, n: int = 10) -> DataFrame:
+def top_clusters(clusters: DataFrame, n: int = 10, materialize: bool = True) -> DataFrame:
     """T4: the first ``n`` ranked clusters, each with ``remaining``, the
     number of clusters not shown. Top-k (no global sort); the total is a
-    scalar subquery, not a join."""
+    scalar subquery, not a join. The cluster table is read twice (top-k and
+    count), so with ``materialize`` it is checkpointed once first and the
+    clustering of the log rows runs once."""
+    if materialize:
+        clusters = clusters.checkpoint()
     total = clusters.select(F.count(F.lit(1))).scalar()
     top = rank_clusters(clusters).limit(n)
     return top.withColumn("remaining", F.greatest(total - F.lit(n), F.lit(0)).cast("bigint"))
@@ -121,23 +129,44 @@ def most_recent_entry(fingerprinted: DataFrame, by: Sequence[str] = ()) -> DataF
     return fingerprinted.groupBy(*by, "fingerprint").agg(newest).select(*by, "fingerprint", "_row.*")
 
 
-def sample_entries(fingerprinted: DataFrame, clusters: DataFrame, k: int = 3,
-                   by: Sequence[str] = ()) -> DataFrame:
-    """Evenly spaced samples of each cluster, newest first.
-
-    All rows when the cluster has at most ``k``; else positions 0,
-    ``i * step`` for i in 1..k-2, and n-1, with ``step = n div (k-1)``,
-    positions counted newest first. Adds ``sample_index`` (0-based).
+def sample_positions(n: Column, k: int) -> Column:
+    """Sampled positions (0-based, newest first) of a cluster of ``n`` rows:
+    all when ``n <= k``, else 0, ``i * (n div (k-1))`` for i in 1..k-2,
+    and n-1."""
+    step = F.floor(n / (k - 1)).cast("bigint")
+    spaced = F.array(F.lit(0).cast("bigint"), *[(step * i).cast("bigint") for i in range(1, k - 1)],
+                     (n - 1).cast("bigint"))
+    return F.when(n <= k, F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint"))).otherwise(
+        F.array_distinct(spaced))
+
+
+def sample_entries(fingerprinted: DataFrame, k: int = 3, by: Sequence[str] = (),
+                   bucket_seconds: int = 1) -> DataFrame:
+    """Evenly spaced samples of each cluster (positions newest first,
+    see ``sample_positions``), with ``sample_index`` and the cluster size
+    ``n``.
+
+    Skew-safe: rows are counted per cluster and per time bucket (an
+    aggregate with map-side partial counts, so a cluster holding a third of
+    all rows is no problem); running counts over the buckets of a cluster
+    tell which buckets hold the sampled positions; only the rows of those
+    few buckets are ranked, each bucket in its own window partition.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
     keys = [*by, "fingerprint"]
-    counts = clusters.select(*keys, F.col("occurrence_count").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("timestamp"), F.desc("id"))
-    ranked = fingerprinted.withColumn("_pos", F.row_number().over(w) - 1)
-    joined = ranked.join(counts, keys)
-    n, pos = F.col("_n"), F.col("_pos")
-    step = F.floor(n / (k - 1)).cast("bigint")
-    keep = ((n <= k) | (pos == 0) | (pos == n - 1)
-            | ((pos % step == 0) & (F.floor(pos / step) >= 1) & (F.floor(pos / step) <= k - 2)))
-    return joined.filter(keep).drop("_n").withColumnRenamed("_pos", "sample_index")
+    b = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / (bucket_seconds * 1_000_000)).alias("_b")
+    rows = fingerprinted.withColumn("_b", b)
+    counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w_all = Window.partitionBy(*keys)
+    w_run = w_all.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    cum = counts.select(*keys, "_b", "_c", F.coalesce(F.sum("_c").over(w_run), F.lit(0)).alias("_before"),
+                        F.sum("_c").over(w_all).alias("n"))
+    hit = cum.withColumn("_targets", F.filter(
+        sample_positions(F.col("n"), k),
+        lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_c")))).filter(F.size("_targets") > 0)
+    picked = rows.join(hit.select(*keys, "_b", "_before", "n", "_targets"), [*keys, "_b"])
+    w_local = Window.partitionBy(*keys, "_b").orderBy(F.desc("timestamp"), F.desc("id"))
+    ranked = picked.withColumn("sample_index", F.col("_before") + F.row_number().over(w_local) - 1)
+    return (ranked.filter(F.array_contains("_targets", F.col("sample_index")))
+            .drop("_b", "_before", "_targets"))

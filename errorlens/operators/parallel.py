@@ -1,0 +1,24 @@
+"""Parallelism before CPU-heavy row work.
+
+Trace parsing and templates are per-row CPU work that runs in the scan's
+tasks. On a cluster a log table has many files and splits, so the scan has
+far more tasks than cores and nothing needs doing. A small input (one file,
+one row group) gives one task, though, and every core but one would idle;
+then the rows, already filtered and narrowed, are spread round-robin over
+the cluster's cores first. The check reads the planned partition count
+only, it runs no job.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """``df`` as is when it already has at least ``min_partitions``
+    partitions (default: the cluster's default parallelism), else
+    round-robin repartitioned to that many."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df if have >= want else df.repartition(want)

@@ -159,7 +159,8 @@ FROM {documents}
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(spark_sql(RESPONSES_SQL), documents=table(spark, sf_dir, "documents"))
+    from errorlens.operators.parallel import spread
+    return spread(spark.sql(spark_sql(RESPONSES_SQL), documents=table(spark, sf_dir, "documents")))
 
 
 def generated_sources(logs: DataFrame) -> DataFrame:
