@@ -826,8 +826,8 @@ def q_summary_prompt(spark, sf_dir):
 def _context(spark, sf_dir):
     from errorlens.operators.context import code_context, format_context
     lg = logs(spark, sf_dir)
-    cl = C.cluster_errors(lg, "core")
-    return cl, format_context(code_context(cl, FX.generated_sources(lg)))
+    cl = C.cluster_errors(lg, "core").checkpoint()
+    return cl, format_context(code_context(cl, FX.generated_sources(lg).checkpoint()))
 
 
 @register("code_context")

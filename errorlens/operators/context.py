@@ -129,6 +129,9 @@ def code_context(clusters: DataFrame, sources: DataFrame, n: int = CONTEXT_LINES
     and the file split run once and the lineage stays short.
     """
     keys = list(keys)
+    clusters = clusters.select(*keys, "primary_class", "primary_file", "primary_line")
+    if materialize:
+        clusters = clusters.checkpoint()
     found = (match_sources(clusters, sources, keys) if match == "class"
              else match_sources_by_name(clusters, sources, keys))
     target = clusters.select(*keys, F.col("primary_line").alias("L")).join(found, keys)

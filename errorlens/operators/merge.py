@@ -140,16 +140,14 @@ def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
     leaders = None
     while True:
         u = _neighbour_min(undecided, undecided, pairs, F.col("rank"), "_earliest")
-        u = u.withColumn("_lead", F.coalesce(F.col("_earliest") >= F.col("rank"), F.lit(True)))
+        u = u.withColumn("_lead", F.coalesce(F.col("_earliest") >= F.col("rank"), F.lit(True))).drop("_earliest")
         if checkpoint:
             u = u.checkpoint()
-        new_leaders = u.filter("_lead").select(*nodes.columns)
-        rest = u.filter(~F.col("_lead")).select(*nodes.columns)
-        marked = _neighbour_min(rest, new_leaders, pairs, F.lit(1), "_near")
-        undecided = marked.filter(F.col("_near").isNull()).select(*nodes.columns)
+        marked = _neighbour_min(u, u.filter("_lead"), pairs, F.lit(1), "_near")
         if checkpoint:
-            new_leaders = new_leaders.checkpoint()
-            undecided = undecided.checkpoint()
+            marked = marked.checkpoint()
+        new_leaders = marked.filter("_lead").select(*nodes.columns)
+        undecided = marked.filter(~F.col("_lead") & F.col("_near").isNull()).select(*nodes.columns)
         leaders = new_leaders if leaders is None else leaders.unionByName(new_leaders)
         if undecided.isEmpty():
             break
