@@ -27,6 +27,7 @@ from errorlens.operators import report as R
 from errorlens.operators import tenants as TN
 from errorlens.operators.parallel import spread
 from errorlens.sources import fixtures as FX
+from errorlens.session import checkpoint
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -56,7 +57,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state(spark, sf_dir):
     """The stored cluster state; read by several joins, so written once."""
-    return FX.cluster_state(spark, logs(spark, sf_dir)).checkpoint()
+    return checkpoint(FX.cluster_state(spark, logs(spark, sf_dir)))
 
 
 W = O.with_logs
@@ -782,7 +783,7 @@ def q_patch_names(spark, sf_dir):
                                        "message_pattern, '<[A-Z]+>', '%', 'g'), 1, 50), '') || '%' AS pat FROM clusters)")
           + "SELECT * FROM (SELECT e.app_id, c.fingerprint, e.id, row_number() OVER (PARTITION BY e.app_id, c.fingerprint "
             "ORDER BY e.timestamp DESC, e.id DESC) AS sample_rank FROM logs e JOIN c ON e.app_id = c.app_id "
-            "WHERE e.level IN ('ERROR', 'FATAL') AND e.message ILIKE c.pat ESCAPE '!') WHERE sample_rank <= 3")
+            "WHERE e.level IN ('ERROR', 'FATAL') AND e.message ILIKE c.pat) WHERE sample_rank <= 3")
 def q_sample_logs(spark, sf_dir):
     from errorlens.operators.insight import sample_logs_by_pattern
     lg = logs(spark, sf_dir)
@@ -826,8 +827,8 @@ def q_summary_prompt(spark, sf_dir):
 def _context(spark, sf_dir):
     from errorlens.operators.context import code_context, format_context
     lg = logs(spark, sf_dir)
-    cl = C.cluster_errors(lg, "core").checkpoint()
-    return cl, format_context(code_context(cl, FX.generated_sources(lg).checkpoint()))
+    cl = checkpoint(C.cluster_errors(lg, "core"))
+    return cl, format_context(code_context(cl, checkpoint(FX.generated_sources(lg))))
 
 
 @register("code_context")

@@ -21,6 +21,7 @@ from errorlens.functions.levels import has_stack_trace, is_error
 from errorlens.functions.templates import normalize_message
 from errorlens.functions.traces import class_of_head_line, exception_head_line
 from errorlens.operators.parallel import spread
+from errorlens.session import checkpoint
 
 ORDER_KEY = ("timestamp", "id")
 
@@ -109,7 +110,7 @@ def top_clusters(clusters: DataFrame, n: int = 10, materialize: bool = True) ->
     count), so with ``materialize`` it is checkpointed once first and the
     clustering of the log rows runs once."""
     if materialize:
-        clusters = clusters.checkpoint()
+        clusters = checkpoint(clusters)
     total = clusters.select(F.count(F.lit(1))).scalar()
     top = rank_clusters(clusters).limit(n)
     return top.withColumn("remaining", F.greatest(total - F.lit(n), F.lit(0)).cast("bigint"))

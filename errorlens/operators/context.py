@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from errorlens.functions._util import java_trim
+from errorlens.session import checkpoint
 
 # Line patterns of Java source.
 METHOD_RE = (r"^\s*(public|private|protected|static|final|abstract|synchronized|native|\s)*"
@@ -131,16 +132,16 @@ def code_context(clusters: DataFrame, sources: DataFrame, n: int = CONTEXT_LINES
     keys = list(keys)
     clusters = clusters.select(*keys, "primary_class", "primary_file", "primary_line")
     if materialize:
-        clusters = clusters.checkpoint()
+        clusters = checkpoint(clusters)
     found = (match_sources(clusters, sources, keys) if match == "class"
              else match_sources_by_name(clusters, sources, keys))
     target = clusters.select(*keys, F.col("primary_line").alias("L")).join(found, keys)
     if materialize:
-        target = target.checkpoint()
+        target = checkpoint(target)
     used = sources.join(target.select("root_rank", "rel_path").distinct(), ["root_rank", "rel_path"], "left_semi")
     lines = file_lines(used)
     if materialize:
-        lines = lines.checkpoint()
+        lines = checkpoint(lines)
     fk = ["root_rank", "rel_path"]
     size = lines.groupBy(*fk).agg(F.max("n").alias("size"))
     t = target.join(size, fk).filter((F.col("L") >= 1) & (F.col("L") <= F.col("size")))

@@ -25,21 +25,104 @@ def _or(c: Column, default: str) -> Column:
     return F.coalesce(c, F.lit(default))
 
 
-def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3) -> DataFrame:
+def like_chunks(pattern: str) -> list[str]:
+    """Literal pieces of a LIKE pattern whose only wildcards are ``%`` and
+    ``_``: every match contains each piece."""
+    out, cur = [], []
+    for ch in pattern:
+        if ch in "%_":
+            if cur:
+                out.append("".join(cur))
+                cur = []
+        else:
+            cur.append(ch)
+    if cur:
+        out.append("".join(cur))
+    return out
+
+
+def _candidates(pdf_rows: pd.DataFrame, pdf_pats: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose lower-cased message holds the longest literal piece of a
+    pattern (Aho-Corasick over the group's patterns); patterns without any
+    literal piece take every row. Exact prefilter: no true match is lost."""
+    cols = ["app_id", "id", "fingerprint"]
+    if pdf_rows.empty or pdf_pats.empty:
+        return pd.DataFrame({c: pd.Series(dtype="object" if c != "id" else "int64") for c in cols})
+    app = pdf_rows["app_id"].iloc[0]
+    by_piece: dict[str, list[str]] = {}
+    open_fps: list[str] = []
+    for fp, pat in zip(pdf_pats["fingerprint"], pdf_pats["_lower_prefix"]):
+        pieces = like_chunks(pat or "")
+        if pieces:
+            by_piece.setdefault(max(pieces, key=len), []).append(fp)
+        else:
+            open_fps.append(fp)
+    ids_out, fps_out = [], []
+    if by_piece:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for piece, fps in by_piece.items():
+            automaton.add_word(piece, fps)
+        automaton.make_automaton()
+        for rid, msg in zip(pdf_rows["id"], pdf_rows["_lower_message"]):
+            if msg is None:
+                continue
+            seen = set()
+            for _, fps in automaton.iter(msg):
+                for fp in fps:
+                    if fp not in seen:
+                        seen.add(fp)
+                        ids_out.append(rid)
+                        fps_out.append(fp)
+    for fp in open_fps:
+        ids_out.extend(pdf_rows["id"].tolist())
+        fps_out.extend([fp] * len(pdf_rows))
+    return pd.DataFrame({"app_id": [app] * len(ids_out), "id": pd.Series(ids_out, dtype="int64"),
+                         "fingerprint": fps_out})
+
+
+def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3,
+                           rows_per_task: int = 1_000_000, salt: int = 64) -> DataFrame:
     """For each cluster, the newest ``k`` error rows of its application
     whose message contains the first 50 chars of the cluster's pattern,
-    case ignored, ``%`` and ``_`` in the pattern acting as wildcards.
-
-    An equi-join on ``app_id`` plus a case-blind LIKE; ``!`` is the escape
-    character so a backslash in a pattern is plain text.
+    case ignored, ``%`` and ``_`` in the pattern acting as wildcards (every
+    other char is literal).
+
+    Never pairs every row with every cluster: each application's error rows
+    are split into parts of about ``rows_per_task`` rows, every part meets
+    its application's patterns in one cogrouped task that keeps only rows
+    holding a pattern's longest literal piece (Aho-Corasick), and only those
+    candidates get the exact case-blind LIKE. The newest ``k`` are taken per
+    cluster and salt first, then per cluster, so a pattern matching a third
+    of all rows is not ranked in one task.
     """
-    pat = F.concat(F.lit("%"), F.coalesce(F.substring("message_pattern", 1, 50), F.lit("")), F.lit("%"))
-    c = clusters.select("app_id", "cluster_id", "fingerprint", pat.alias("_like"))
-    e = logs.filter(is_error("level")).select("app_id", "id", "timestamp", "message", "stack_trace")
-    j = e.join(c, "app_id").filter(F.expr("message ILIKE _like ESCAPE '!'"))
-    w = Window.partitionBy("app_id", "fingerprint").orderBy(F.desc("timestamp"), F.desc("id"))
-    return (j.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= k)
-            .drop("_like"))
+    prefix = F.coalesce(F.substring("message_pattern", 1, 50), F.lit(""))
+    # fresh column ids on both sides: the clusters usually derive from the same log table
+    c = clusters.select(*[F.col(x).alias(x) for x in ("app_id", "cluster_id", "fingerprint")],
+                        prefix.alias("_prefix"))
+    e = logs.filter(is_error("level")).select(
+        *[F.col(x).alias(x) for x in ("app_id", "id", "timestamp", "message", "stack_trace")])
+    parts = e.groupBy(F.col("app_id").alias("_app")).agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_task)).cast("int").alias("_parts"))
+    rows = (e.join(parts, e["app_id"] == parts["_app"])
+            .select("app_id", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_part"), "id",
+                    F.lower("message").alias("_lower_message")))
+    pats = (c.join(parts, c["app_id"] == parts["_app"])
+            .select("app_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
+                    "fingerprint", F.lower("_prefix").alias("_lower_prefix")))
+    cand = rows.groupBy("app_id", "_part").cogroup(pats.groupBy("app_id", "_part")).applyInPandas(
+        _candidates, "app_id string, id long, fingerprint string")
+    like = F.concat(F.lit("%"), F.replace(F.col("_prefix"), F.lit("!"), F.lit("!!")), F.lit("%"))
+    cand = cand.select(F.col("app_id").alias("_ca"), F.col("id").alias("_cid"), F.col("fingerprint"))
+    hits = (e.join(cand, (e["app_id"] == cand["_ca"]) & (e["id"] == cand["_cid"])).drop("_ca", "_cid")
+            .join(c.withColumn("_like", like), ["app_id", "fingerprint"])
+            .filter(F.expr("message ILIKE _like ESCAPE '!'")))
+    order = [F.desc("timestamp"), F.desc("id")]
+    w1 = Window.partitionBy("app_id", "fingerprint", F.pmod(F.xxhash64("id"), F.lit(salt))).orderBy(*order)
+    w2 = Window.partitionBy("app_id", "fingerprint").orderBy(*order)
+    first = hits.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r")
+    return (first.withColumn("sample_rank", F.row_number().over(w2)).filter(F.col("sample_rank") <= k)
+            .drop("_like", "_prefix"))
 
 
 def analysis_prompts(clusters: DataFrame, newest: DataFrame, context: DataFrame | None = None,

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from errorlens.functions._util import as_col
 from errorlens.functions.templates import normalize_message
 from errorlens.operators.clusters import severity
+from errorlens.session import checkpoint
 
 THRESHOLD = 0.7
 
@@ -119,7 +120,7 @@ def _neighbour_min(nodes: DataFrame, members: DataFrame, pairs: DataFrame, value
 
 
 def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
-                  checkpoint: bool = True) -> DataFrame:
+                  materialize: bool = True) -> DataFrame:
     """``fingerprint -> leader`` (a leader maps to itself) of the greedy
     merge.
 
@@ -130,29 +131,29 @@ def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
     which is the leader that reaches it first in the sequential loop.
     """
     nodes = _nodes(clusters)
-    if checkpoint:
-        nodes = nodes.checkpoint()
+    if materialize:
+        nodes = checkpoint(nodes)
     pairs = similar_template_pairs(nodes.select("exception_class", "template"), threshold).select(
         "exception_class", F.col("template_a").alias("template"), F.col("template_b"))
-    if checkpoint:
-        pairs = pairs.checkpoint()
+    if materialize:
+        pairs = checkpoint(pairs)
     undecided = nodes
     leaders = None
     while True:
         u = _neighbour_min(undecided, undecided, pairs, F.col("rank"), "_earliest")
         u = u.withColumn("_lead", F.coalesce(F.col("_earliest") >= F.col("rank"), F.lit(True))).drop("_earliest")
-        if checkpoint:
-            u = u.checkpoint()
+        if materialize:
+            u = checkpoint(u)
         marked = _neighbour_min(u, u.filter("_lead"), pairs, F.lit(1), "_near")
-        if checkpoint:
-            marked = marked.checkpoint()
+        if materialize:
+            marked = checkpoint(marked)
         new_leaders = marked.filter("_lead").select(*nodes.columns)
         undecided = marked.filter(~F.col("_lead") & F.col("_near").isNull()).select(*nodes.columns)
         leaders = new_leaders if leaders is None else leaders.unionByName(new_leaders)
         if undecided.isEmpty():
             break
-    if checkpoint:
-        leaders = leaders.checkpoint()
+    if materialize:
+        leaders = checkpoint(leaders)
     best = _neighbour_min(nodes, leaders, pairs,
                           F.struct(F.col("rank").alias("r"), F.col("fingerprint").alias("id")), "_best")
     is_leader = best.join(leaders.select("fingerprint", F.lit(True).alias("_is")), "fingerprint", "left")
@@ -161,12 +162,12 @@ def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
 
 
 def merge_similar(clusters: DataFrame, threshold: float = THRESHOLD,
-                  checkpoint: bool = True) -> DataFrame:
+                  materialize: bool = True) -> DataFrame:
     """M1: clusters after the greedy merge. Counts add up, the seen range
     widens, pattern and class are the leader's; a leader without a location
     takes the location of its earliest-ranked absorbed cluster that has one;
     severity is redone."""
-    leaders = merge_leaders(clusters, threshold, checkpoint)
+    leaders = merge_leaders(clusters, threshold, materialize)
     c = clusters.join(leaders, "fingerprint")
     rank = F.struct((-F.col("occurrence_count")).alias("c"),
                     (-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("t"),

@@ -18,7 +18,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """``df`` as is when it already has at least ``min_partitions``
     partitions (default: the cluster's default parallelism), else
     round-robin repartitioned to that many."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_partitions or sc.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
+        return df
     return df if have >= want else df.repartition(want)

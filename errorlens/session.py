@@ -63,3 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def checkpoint(df):
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder (cuts
+    the lineage; survives lost executors). Sets the folder on a session
+    that has none, as a test session."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
