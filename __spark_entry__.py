@@ -831,7 +831,9 @@ def _context(spark, sf_dir):
     return cl, format_context(code_context(cl, checkpoint(FX.generated_sources(lg))))
 
 
-@register("code_context")
+@register("code_context", W(O.clusters_cte("core"),
+                            "gsrc AS (SELECT * FROM (" + FX.generated_sources_sql("duck", "logs") + "))")
+          + "SELECT * FROM (" + O.code_context_sql("clusters", "gsrc") + ")")
 def q_code_context(spark, sf_dir):
     _, ctx = _context(spark, sf_dir)
     return ctx.select("fingerprint", "file_path", "target_line", "class_name", "method_name", "method_start",
@@ -839,7 +841,50 @@ def q_code_context(spark, sf_dir):
                       "imports", "class_fields", "method_body", "formatted_context")
 
 
-@register("analysis_prompts")
+_GSRC = "gsrc AS (SELECT * FROM (" + FX.generated_sources_sql("duck", "logs") + "))"
+
+
+@register("match_sources", W(O.clusters_cte("core"), _GSRC)
+          + "SELECT c.fingerprint, min(s.root_rank) AS root_rank, s.rel_path FROM clusters c JOIN gsrc s ON s.rel_path = "
+            "replace(split_part(c.primary_class, '$', 1), '.', '/') || '.java' WHERE length(c.primary_class) > 0 "
+            "GROUP BY c.fingerprint, s.rel_path")
+def q_match_sources(spark, sf_dir):
+    from errorlens.operators.context import match_sources
+    lg = logs(spark, sf_dir)
+    return match_sources(C.cluster_errors(lg, "core"), FX.generated_sources(lg))
+
+
+@register("match_sources_by_name", W(O.clusters_cte("core"), _GSRC)
+          + "SELECT c.fingerprint, min({'r': s.root_rank, 'p': s.rel_path}).r AS root_rank, "
+            "min({'r': s.root_rank, 'p': s.rel_path}).p AS rel_path FROM clusters c JOIN gsrc s "
+            "ON s.file_name = c.primary_file WHERE length(c.primary_file) > 0 GROUP BY c.fingerprint")
+def q_match_sources_by_name(spark, sf_dir):
+    from errorlens.operators.context import match_sources_by_name
+    lg = logs(spark, sf_dir)
+    return match_sources_by_name(C.cluster_errors(lg, "core"), FX.generated_sources(lg))
+
+
+_PROMPT_SQL = (
+    "SELECT c.cluster_id, c.fingerprint, 'Error to analyse' || chr(10) || chr(10) || 'Exception: ' || "
+    "coalesce(c.exception_class, 'Unknown') || chr(10) || 'Pattern: ' || coalesce(c.message_pattern, 'N/A') || chr(10) || "
+    "'Count: ' || CAST(c.occurrence_count AS VARCHAR) || chr(10) || 'Where: ' || "
+    + O.location_key("c.primary_class", "c.primary_method", "c.primary_line")
+    + " || chr(10) || chr(10) || '## Trace' || chr(10) || '```' || chr(10) || CASE WHEN n._trace IS NOT NULL AND "
+    "length(n._trace) > 0 THEN n._trace ELSE 'No stack trace available' END || chr(10) || '```' || chr(10) || chr(10) || "
+    "'## Code' || chr(10) || 'File: ' || coalesce(CASE WHEN x.plain_context IS NOT NULL THEN x.file_path ELSE c.primary_file END, "
+    "'Unknown') || ' line ' || CAST(CASE WHEN x.plain_context IS NOT NULL THEN x.target_line ELSE coalesce(c.primary_line, 0) "
+    "END AS VARCHAR) || chr(10) || '```java' || chr(10) || CASE WHEN x.plain_context IS NOT NULL THEN x.plain_context ELSE "
+    "'Source code not available' END || chr(10) || '```' || chr(10) || CASE WHEN x.method_body IS NOT NULL THEN chr(10) || "
+    "'## Method' || chr(10) || '```java' || chr(10) || x.method_body || chr(10) || '```' || chr(10) ELSE '' END || chr(10) || "
+    "'Answer with EXPLANATION:, ROOT_CAUSE:, RECOMMENDATION: and PATCH: sections.' AS prompt "
+    "FROM clusters c LEFT JOIN newest n ON n.fingerprint = c.fingerprint LEFT JOIN ctx x ON x.fingerprint = c.fingerprint")
+
+
+@register("analysis_prompts", W(O.clusters_cte("core"), _GSRC,
+                                "newest AS (SELECT r.fingerprint, arg_max_null(l.stack_trace, row(r.timestamp, r.id)) AS _trace "
+                                "FROM clusters_rows r JOIN logs l ON l.id = r.id GROUP BY r.fingerprint)",
+                                "ctx AS (SELECT * FROM (" + O.code_context_sql("clusters", "gsrc", plain=True) + "))")
+          + _PROMPT_SQL)
 def q_analysis_prompts(spark, sf_dir):
     from errorlens.operators.insight import analysis_prompts
     lg = logs(spark, sf_dir)
@@ -849,7 +894,16 @@ def q_analysis_prompts(spark, sf_dir):
     return analysis_prompts(cl, newest, ctx)
 
 
-@register("patch_prompts")
+@register("patch_prompts", W(O.clusters_cte("core"), _GSRC, *O.state_ctes(),
+                             "ctx AS (SELECT * FROM (" + O.code_context_sql("clusters", "gsrc", plain=True) + "))",
+                             "an AS (SELECT cluster_id, arg_max_null(a, row(created_at, id)) AS r FROM analyses a GROUP BY cluster_id)",
+                             "keyed AS (SELECT s.id AS cluster_id, x.file_path, x.plain_context, x.method_body FROM state s "
+                             "JOIN clusters c ON c.primary_class = s.primary_class JOIN ctx x ON x.fingerprint = c.fingerprint)")
+          + "SELECT an.cluster_id, concat_ws(chr(10), 'Write a unified diff that fixes this error.', "
+            "'Explanation: ' || an.r.explanation, 'Root cause: ' || an.r.root_cause, 'File: ' || k.file_path, "
+            "'```java' || chr(10) || coalesce(k.method_body, k.plain_context) || chr(10) || '```', "
+            "'PATCH:' || chr(10) || '```diff' || chr(10) || '[diff]' || chr(10) || '```') AS prompt "
+            "FROM an JOIN keyed k ON k.cluster_id = an.cluster_id")
 def q_patch_prompts(spark, sf_dir):
     from errorlens.operators.insight import patch_prompts
     st = state(spark, sf_dir)

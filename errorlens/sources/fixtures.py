@@ -163,46 +163,67 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.sql(spark_sql(RESPONSES_SQL), documents=table(spark, sf_dir, "documents")))
 
 
+# Java source files derived from the locations in the log table: per class,
+# a package line, an import, the class line, a field, and for every logged
+# method a method whose body spans the logged lines (declared two lines
+# above the first). Root 0 holds these files, root 1 an older copy of each,
+# which the search must not pick. {SEQ} and {AGG} are the engine's forms of
+# "one row per line number" and "lines joined in order".
+GENERATED_SOURCES_SQL = """
+WITH locs AS (
+  SELECT class_name, method_name, min(line_number) AS lo, max(line_number) AS hi,
+         greatest(5, min(line_number) - 2) AS d
+  FROM {logs}
+  WHERE class_name IS NOT NULL AND line_number IS NOT NULL AND method_name IS NOT NULL
+  GROUP BY class_name, method_name),
+per_class AS (SELECT class_name, max(hi) + 3 AS last FROM locs GROUP BY class_name),
+numbered AS (SELECT class_name, last, {SEQ} AS k FROM per_class),
+roles AS (
+  SELECT n.class_name, n.k, n.last, m.method_name,
+         CASE WHEN n.k = m.d THEN 3 WHEN n.k > m.d AND n.k <= m.hi + 1 THEN 2
+              WHEN n.k = m.hi + 2 THEN 1 ELSE 0 END AS role
+  FROM numbered n JOIN locs m ON n.class_name = m.class_name),
+best AS (
+  SELECT class_name, k, last, max(role) AS role,
+         max_by(method_name, struct(role, method_name)) AS m
+  FROM roles GROUP BY class_name, k, last),
+texts AS (
+  SELECT class_name, k,
+    CASE WHEN k = 1 THEN 'package ' || regexp_extract(class_name, '^(.*)[.]', 1) || ';'
+         WHEN k = 2 THEN 'import java.util.List;'
+         WHEN k = 3 THEN 'public class ' || regexp_extract(class_name, '([^.]*)$', 1) || ' {'
+         WHEN k = 4 THEN '    private final List<String> items = null;'
+         WHEN k = last THEN '}'
+         WHEN role = 3 THEN '    public int ' || m || '(String key) {'
+         WHEN role = 2 THEN '        calls = calls + ' || CAST(k AS VARCHAR) || ';'
+         WHEN role = 1 THEN '    }'
+         ELSE '    // line ' || CAST(k AS VARCHAR) END AS t
+  FROM best),
+files AS (SELECT class_name, {AGG} AS content FROM texts GROUP BY class_name),
+newer AS (
+  SELECT 0 AS root_rank, replace(class_name, '.', '/') || '.java' AS rel_path,
+         regexp_extract(class_name, '([^.]*)$', 1) || '.java' AS file_name, content || chr(10) AS content
+  FROM files)
+SELECT * FROM newer
+UNION ALL
+SELECT 1, rel_path, file_name, '// older copy' || chr(10) || content FROM newer
+"""
+
+
+def generated_sources_sql(engine: str, logs: str = "{logs}") -> str:
+    if engine == "spark":
+        seq = "explode(sequence(1, last))"
+        agg = "array_join(transform(array_sort(collect_list(struct(k, t))), x -> x.t), chr(10))"
+        out = GENERATED_SOURCES_SQL.replace("{SEQ}", seq).replace("{AGG}", agg).replace("AS VARCHAR", "AS STRING")
+    else:
+        seq = "unnest(generate_series(1, last))"
+        agg = "string_agg(t, chr(10) ORDER BY k)"
+        out = (GENERATED_SOURCES_SQL.replace("{SEQ}", seq).replace("{AGG}", agg)
+               .replace("max_by(method_name, struct(role, method_name))", "arg_max(method_name, row(role, method_name))"))
+    return out.replace("{logs}", logs)
+
+
 def generated_sources(logs: DataFrame) -> DataFrame:
-    """Java source files derived from the locations in the log table: per
-    class, a file with a package line, an import, the class line, a field,
-    and for every logged method a method whose body spans the logged lines
-    (declared two lines above the first). Root 0 holds these files, root 1
-    an older copy of each, which the search must not pick."""
-    from pyspark.sql import functions as F
-    locs = (logs.filter(F.col("class_name").isNotNull() & F.col("line_number").isNotNull()
-                        & F.col("method_name").isNotNull())
-            .groupBy("class_name", "method_name")
-            .agg(F.min("line_number").alias("lo"), F.max("line_number").alias("hi"))
-            .withColumn("d", F.greatest(F.lit(5), F.col("lo") - 2)))
-    per_class = locs.groupBy("class_name").agg(F.max("hi").alias("hi_max"))
-    lines = per_class.select("class_name", F.explode(F.sequence(F.lit(1), F.col("hi_max") + 3)).alias("k"),
-                             (F.col("hi_max") + 3).alias("last"))
-    j = lines.join(locs, "class_name", "left")
-    role = (F.when(F.col("k") == F.col("d"), F.lit(3))
-            .when((F.col("k") > F.col("d")) & (F.col("k") <= F.col("hi") + 1), F.lit(2))
-            .when(F.col("k") == F.col("hi") + 2, F.lit(1)).otherwise(F.lit(0)))
-    j = j.withColumn("role", role)
-    best = j.groupBy("class_name", "k", "last").agg(F.max_by("method_name", "role").alias("m"),
-                                                    F.max("role").alias("role"))
-    simple = F.substring_index("class_name", ".", -1)
-    pkg = F.regexp_extract("class_name", r"^(.*)\.", 1)
-    text = (F.when(F.col("k") == 1, F.concat(F.lit("package "), pkg, F.lit(";")))
-            .when(F.col("k") == 2, F.lit("import java.util.List;"))
-            .when(F.col("k") == 3, F.concat(F.lit("public class "), simple, F.lit(" {")))
-            .when(F.col("k") == 4, F.lit("    private final List<String> items = null;"))
-            .when(F.col("k") == F.col("last"), F.lit("}"))
-            .when(F.col("role") == 3, F.concat(F.lit("    public int "), F.col("m"), F.lit("(String key) {")))
-            .when(F.col("role") == 2, F.concat(F.lit("        calls = calls + "), F.col("k").cast("string"),
-                                                 F.lit(";")))
-            .when(F.col("role") == 1, F.lit("    }"))
-            .otherwise(F.concat(F.lit("    // line "), F.col("k").cast("string"))))
-    files = best.groupBy("class_name").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
-    rel = F.concat(F.replace("class_name", F.lit("."), F.lit("/")), F.lit(".java"))
-    newer = files.select(F.lit(0).alias("root_rank"), rel.alias("rel_path"),
-                         F.concat(simple, F.lit(".java")).alias("file_name"),
-                         F.concat("content", F.lit("\n")).alias("content"))
-    older = newer.select(F.lit(1).alias("root_rank"), "rel_path", "file_name",
-                         F.concat(F.lit("// older copy\n"), F.col("content")).alias("content"))
-    return newer.unionByName(older)
+    """Java source files derived from the log table (see the SQL above)."""
+    text = generated_sources_sql("spark").replace("{", "{{").replace("}", "}}").replace("{{logs}}", "{logs}")
+    return logs.sparkSession.sql(text, logs=logs)

@@ -374,3 +374,89 @@ def patch_target(p: str) -> str:
     path = f"substr({line}, strpos({line}, ' ') + 1)"
     path = f"(CASE WHEN starts_with({path}, 'b/') THEN substr({path}, 3) ELSE {path} END)"
     return f"(CASE WHEN length({line}) > 0 THEN {jtrim(path)} END)"
+
+
+# ---------------------------------------------------------------- code context
+
+METHOD_RE = (r"^\s*(public|private|protected|static|final|abstract|synchronized|native|\s)*"
+             r"\s*(<[^>]+>\s*)?\s*(\w+(?:<[^>]+>)?(?:\[\])?)\s+(\w+)\s*\(")
+CLASS_RE = r"^\s*(public|private|protected|static|final|abstract|\s)*\s*(class|interface|enum|record)\s+(\w+)"
+IMPORT_RE = r"\s*import\s+(static\s+)?([\w.]+(?:\.\*)?);\s*"
+FIELD_RE = (r"^\s*(public|private|protected|static|final|volatile|transient|\s)*"
+            r"\s*(\w+(?:<[^>]+>)?(?:\[\])?)\s+(\w+)\s*[;=]")
+
+
+def code_context_sql(clusters: str, sources: str, n: int = 10, plain: bool = False) -> str:
+    """One row per cluster with its code context, as a full statement
+    (``plain`` adds the surrounding lines joined by newlines)."""
+    fl = "l.root_rank = t.root_rank AND l.rel_path = t.rel_path"
+    return f"""WITH
+cl AS (SELECT fingerprint, primary_class, primary_line AS L FROM {clusters}
+       WHERE primary_class IS NOT NULL AND length(primary_class) > 0),
+found AS (SELECT c.fingerprint, c.L, min(s.root_rank) AS root_rank, s.rel_path FROM cl c JOIN {sources} s
+          ON s.rel_path = replace(split_part(c.primary_class, '$', 1), '.', '/') || '.java'
+          GROUP BY c.fingerprint, c.L, s.rel_path),
+used AS (SELECT s.* FROM {sources} s JOIN (SELECT DISTINCT root_rank, rel_path FROM found) f
+         ON s.root_rank = f.root_rank AND s.rel_path = f.rel_path),
+raw_lines AS (SELECT root_rank, rel_path, unnest(ls) AS text, generate_subscripts(ls, 1) AS n FROM (
+  SELECT root_rank, rel_path, CASE WHEN length(content) > 0 THEN string_split_regex(
+    regexp_replace(content, '(\\r\\n|\\r|\\n)$', ''), '\\r\\n|\\r|\\n') ELSE []::VARCHAR[] END AS ls FROM used)),
+lines AS (SELECT *, sum(closes - opens) OVER w AS p, sum(opens) OVER w AS o FROM (
+  SELECT root_rank, rel_path, n, text,
+         length(text) - length(replace(text, '{{', '')) AS opens,
+         length(text) - length(replace(text, '}}', '')) AS closes,
+         regexp_matches(text, {q(CLASS_RE)}) AS is_class,
+         CASE WHEN regexp_matches(text, {q(CLASS_RE)}) THEN regexp_extract(text, {q(CLASS_RE)}, 3) END AS class_name,
+         regexp_matches(text, {q(METHOD_RE)}) AS is_method,
+         regexp_full_match(text, {q(IMPORT_RE)}) AS is_import,
+         regexp_matches(text, {q(FIELD_RE)}) AS is_field FROM raw_lines)
+  WINDOW w AS (PARTITION BY root_rank, rel_path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sizes AS (SELECT root_rank, rel_path, max(n) AS size FROM lines GROUP BY ALL),
+t AS (SELECT f.fingerprint, f.L, f.root_rank, f.rel_path, z.size, l.p AS pL FROM found f
+      JOIN sizes z ON z.root_rank = f.root_rank AND z.rel_path = f.rel_path
+      JOIN lines l ON l.root_rank = f.root_rank AND l.rel_path = f.rel_path AND l.n = f.L
+      WHERE f.L >= 1 AND f.L <= z.size),
+cls AS (SELECT t.fingerprint, arg_max(l.class_name, l.n) AS enclosing_class FROM t JOIN lines l ON {fl}
+        WHERE l.is_class AND l.n <= t.L GROUP BY t.fingerprint),
+ms AS (SELECT t.fingerprint, arg_max({{'s': l.n, 'pb': l.p - l.closes + l.opens, 'ob': l.o - l.opens,
+              'text': l.text}}, l.n) AS m FROM t JOIN lines l ON {fl}
+       WHERE l.is_method AND l.n <= t.L AND l.p - l.closes + l.opens >= t.pL GROUP BY t.fingerprint),
+me AS (SELECT ms.fingerprint, min(l.n) AS e FROM ms JOIN t ON t.fingerprint = ms.fingerprint JOIN lines l ON {fl}
+       WHERE l.p = ms.m.pb AND l.n >= ms.m.s AND l.o > ms.m.ob GROUP BY ms.fingerprint),
+method AS (SELECT ms.fingerprint, regexp_extract(ms.m.text, {q(METHOD_RE)}, 4) AS method_name,
+                  ms.m.s AS method_start, coalesce(me.e, t.size) AS method_end
+           FROM ms JOIN t ON t.fingerprint = ms.fingerprint LEFT JOIN me ON me.fingerprint = ms.fingerprint),
+body AS (SELECT m.fingerprint, string_agg(l.text || chr(10), '' ORDER BY l.n) AS method_body
+         FROM method m JOIN t ON t.fingerprint = m.fingerprint JOIN lines l ON {fl}
+         WHERE l.n BETWEEN m.method_start AND m.method_end GROUP BY m.fingerprint),
+around AS (SELECT fingerprint, greatest(1, L - {n}) AS start_line, least(size, L + {n}) AS end_line FROM t),
+ctx AS (SELECT a.fingerprint, count(*) AS n_lines, string_agg(CASE WHEN l.n = t.L THEN ' >>> ' ELSE '     ' END
+          || printf('%4d | ', l.n) || l.text || chr(10), '' ORDER BY l.n) AS formatted_context,
+          string_agg(l.text, chr(10) ORDER BY l.n) AS plain_context
+        FROM around a JOIN t ON t.fingerprint = a.fingerprint JOIN lines l ON {fl}
+        WHERE l.n BETWEEN a.start_line AND a.end_line GROUP BY a.fingerprint),
+first_class AS (SELECT root_rank, rel_path, min(n) AS fc FROM lines WHERE is_class GROUP BY ALL),
+imports AS (SELECT l.root_rank, l.rel_path, list({jtrim('l.text')} ORDER BY l.n) AS imports FROM lines l
+            LEFT JOIN first_class f ON f.root_rank = l.root_rank AND f.rel_path = l.rel_path
+            WHERE l.is_import AND (f.fc IS NULL OR l.n <= f.fc) GROUP BY ALL),
+wanted AS (SELECT DISTINCT t.root_rank, t.rel_path, c.enclosing_class AS class_name FROM t
+           JOIN cls c ON c.fingerprint = t.fingerprint),
+fstart AS (SELECT l.root_rank, l.rel_path, l.class_name, arg_min({{'f': l.n, 'pf': l.p - l.closes + l.opens}}, l.n) AS x
+           FROM lines l JOIN wanted w ON w.root_rank = l.root_rank AND w.rel_path = l.rel_path
+           AND w.class_name = l.class_name WHERE l.is_class GROUP BY ALL),
+fstop AS (SELECT fs.root_rank, fs.rel_path, fs.class_name, min(l.n) AS z FROM fstart fs JOIN lines l
+          ON l.root_rank = fs.root_rank AND l.rel_path = fs.rel_path
+          WHERE l.p = fs.x.pf AND l.n >= fs.x.f GROUP BY ALL),
+fields AS (SELECT fs.root_rank, fs.rel_path, fs.class_name, list({jtrim('l.text')} ORDER BY l.n) AS class_fields
+           FROM fstart fs LEFT JOIN fstop z ON z.root_rank = fs.root_rank AND z.rel_path = fs.rel_path
+           AND z.class_name = fs.class_name JOIN lines l ON l.root_rank = fs.root_rank AND l.rel_path = fs.rel_path
+           WHERE l.is_field AND l.n >= fs.x.f AND (z.z IS NULL OR l.n <= z.z) AND fs.x.pf - l.p = 1 GROUP BY ALL)
+SELECT t.fingerprint, t.rel_path AS file_path, t.L AS target_line, c.enclosing_class AS class_name,
+       m.method_name, m.method_start, m.method_end, a.start_line, a.end_line, x.n_lines,
+       coalesce(i.imports, []::VARCHAR[]) AS imports, coalesce(fd.class_fields, []::VARCHAR[]) AS class_fields,
+       b.method_body, x.formatted_context{", x.plain_context" if plain else ""}
+FROM t LEFT JOIN cls c ON c.fingerprint = t.fingerprint LEFT JOIN method m ON m.fingerprint = t.fingerprint
+LEFT JOIN body b ON b.fingerprint = t.fingerprint JOIN around a ON a.fingerprint = t.fingerprint
+JOIN ctx x ON x.fingerprint = t.fingerprint
+LEFT JOIN imports i ON i.root_rank = t.root_rank AND i.rel_path = t.rel_path
+LEFT JOIN fields fd ON fd.root_rank = t.root_rank AND fd.rel_path = t.rel_path AND fd.class_name = c.enclosing_class"""
