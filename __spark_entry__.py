@@ -525,7 +525,8 @@ def q_source_info(spark, sf_dir):
     return fr.select("id", TR.has_source_info(F.col("fr")[0]).alias("has_source"))
 
 
-@register("format_traces")
+@register("format_traces", W() + "SELECT id, " + O.format_trace_sql("stack_trace")
+          + " AS text FROM logs WHERE " + O.has_trace())
 def q_format_traces(spark, sf_dir):
     lg = logs(spark, sf_dir).filter(LV.has_stack_trace("stack_trace"))
     return lg.select("id", TR.format_trace(TR.parse_trace("stack_trace")).alias("text"))
@@ -916,7 +917,9 @@ def q_patch_prompts(spark, sf_dir):
     return patch_prompts(an, keyed.drop("primary_class"))
 
 
-@register("complete_with_stub")
+@register("complete_with_stub", W(O.clusters_cte("core"))
+          + "SELECT cluster_id, 'Exception: ' || coalesce(exception_class, 'Unknown') AS explanation, "
+            "'unknown' AS root_cause, 'MEDIUM' AS confidence FROM clusters")
 def q_complete(spark, sf_dir):
     from errorlens.operators.insight import complete, simple_prompts
     from errorlens.functions import responses as RS

@@ -460,3 +460,36 @@ LEFT JOIN body b ON b.fingerprint = t.fingerprint JOIN around a ON a.fingerprint
 JOIN ctx x ON x.fingerprint = t.fingerprint
 LEFT JOIN imports i ON i.root_rank = t.root_rank AND i.rel_path = t.rel_path
 LEFT JOIN fields fd ON fd.root_rank = t.root_rank AND fd.rel_path = t.rel_path AND fd.class_name = c.enclosing_class"""
+
+
+# ---------------------------------------------------------------- F14
+
+def _fmt_frame_line(t: str) -> str:
+    loc = f"regexp_extract({t}, {q(FRAME)}, 3)"
+    f, ln = frame_file(t), frame_line(t)
+    return (f"regexp_extract({t}, {q(FRAME)}, 1) || '.' || regexp_extract({t}, {q(FRAME)}, 2) || "
+            f"(CASE WHEN {loc} = 'Native Method' THEN '(Native Method)' "
+            f"WHEN {f} IS NOT NULL AND {ln} >= 0 THEN '(' || {f} || ':' || CAST({ln} AS VARCHAR) || ')' "
+            f"WHEN {f} IS NOT NULL THEN '(' || {f} || ')' ELSE '(Unknown Source)' END)")
+
+
+def _fmt_frames(lines_expr: str) -> str:
+    return (f"array_to_string(list_transform({lines_expr}, lambda fl: chr(9) || 'at ' || "
+            f"{_fmt_frame_line(jtrim('fl'))} || chr(10)), '')")
+
+
+def _fmt_head(raw: str) -> str:
+    return f"{head_class(raw)} || coalesce(': ' || {head_message(raw)}, '') || chr(10)"
+
+
+def format_trace_sql(trace: str) -> str:
+    """F14 of a parsed trace (NULL when it does not parse)."""
+    ls = lines(trace)
+    kt, kk = kept_kinds(trace)
+    cpos = f"list_filter(generate_series(1, len({kk})), lambda ci: {kk}[ci] = 'C')"
+    cause = (f"list_transform({cpos}, lambda cp, cj: 'Caused by: ' || "
+             + _fmt_head(f"regexp_extract({kt}[cp], {q(CAUSE)}, 1)") + " || "
+             + _fmt_frames(f"list_transform(list_filter(generate_series(cp + 1, coalesce({cpos}[cj + 1] - 1, "
+                           f"len({kk}))), lambda fi: {kk}[fi] = 'F'), lambda fi: {kt}[fi])") + ")")
+    outer = _fmt_head(jtrim(f"{ls}[1]")) + " || " + _fmt_frames(outer_frame_lines(trace))
+    return f"(CASE WHEN {ls} IS NOT NULL THEN {outer} || array_to_string({cause}, '') END)"
