@@ -50,17 +50,19 @@ def to_log_schema(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_logs(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+def read_logs(spark: SparkSession, path: str | None, fmt: str = "parquet", schema=None,
+              **options) -> DataFrame:
     """Scan a stored log table into the canonical columns.
 
-    ``fmt`` is any Spark source (``parquet``, ``json``, ``orc``, ``csv``...);
-    a schema is passed so nothing is inferred. The canonical Parquet layout
+    ``fmt`` is any Spark source (``parquet``, ``json``, ``orc``, ``csv``,
+    ``jdbc`` with its ``url``/``dbtable``/``partitionColumn`` options...); a
+    schema is passed so nothing is inferred. The canonical Parquet layout
     needs no mapping and keeps filter pushdown and partition pruning.
     """
-    reader = spark.read.format(fmt)
+    reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.load(path)
+    df = reader.load(path) if path is not None else reader.load()
     if fmt == "parquet" and schema is None and set(LOG_SCHEMA.fieldNames()) <= set(df.columns):
         return df
     return to_log_schema(df)
@@ -85,6 +87,36 @@ def write_logs(df: DataFrame, path: str, now: Column | None = None, mode: str =
         .write.mode(mode).partitionBy("log_date").parquet(path))
 
 
+def delete_older_than_on_disk(spark: SparkSession, path: str, cutoff: str) -> int:
+    """U3 on the day-partitioned table: rows with ``timestamp < cutoff`` go.
+
+    Whole ``log_date`` folders before the cutoff day are removed; the
+    cutoff day itself is rewritten without the older rows (into a new
+    folder that then replaces the old one). Returns how many rows were
+    dropped. Only folder names are listed on the driver.
+    """
+    from pyspark.sql.functions import col, lit
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    day = cutoff[:10]
+    table = spark.read.parquet(path)
+    bound = lit(cutoff).cast(table.schema["timestamp"].dataType)
+    dropped = table.filter(col("timestamp") < bound).count()
+    for st in fs.listStatus(base):
+        name = st.getPath().getName()
+        if name.startswith("log_date=") and name[len("log_date="):] < day:
+            fs.delete(st.getPath(), True)
+    edge = jvm.org.apache.hadoop.fs.Path(base, f"log_date={day}")
+    if fs.exists(edge):
+        fresh = f"{path.rstrip('/')}/_rewrite_log_date={day}"
+        (spark.read.parquet(edge.toString()).filter(col("timestamp") >= bound)
+         .write.mode("overwrite").parquet(fresh))
+        fs.delete(edge, True)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), edge)
+    return dropped
+
+
 # ---------------------------------------------------------------- S3: text log files
 
 # The line layout ``yyyy-MM-dd HH:mm:ss.SSS [thread] LEVEL logger - message``.

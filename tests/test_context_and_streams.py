@@ -77,3 +77,18 @@ def test_stream_equals_batch(spark):
         .withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
     cols = sorted(batch.columns)
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+
+
+def test_write_read_and_retention_on_disk(spark):
+    import tempfile
+    from errorlens.sources.logs import delete_older_than_on_disk, read_logs, to_log_schema, write_logs
+    from fixtures_ref import frame
+    path = tempfile.mkdtemp(prefix="errorlens-logs-") + "/t"
+    write_logs(to_log_schema(frame(spark)), path)
+    back = read_logs(spark, path)
+    assert back.count() == 17
+    cutoff = "2024-03-01 11:55:00"
+    dropped = delete_older_than_on_disk(spark, path, cutoff)
+    left = read_logs(spark, path)
+    assert dropped + left.count() == 17
+    assert left.filter(F.col("timestamp") < F.lit(cutoff).cast("timestamp")).count() == 0
