@@ -1020,7 +1020,7 @@ def q_read_log_files(spark, sf_dir):
 @register("read_log_lines", _FILE_ORACLE)
 def q_read_log_lines(spark, sf_dir):
     from errorlens.sources.logs import read_log_files
-    return _entries(read_log_files(spark, _log_files(spark, sf_dir), whole_files=False))
+    return _entries(read_log_files(spark, _log_files(spark, sf_dir)))
 
 
 @register("ingest_stream", W() + "SELECT id, level, " + O.mdc_value("mdc_context", "traceId")

@@ -48,16 +48,32 @@ def errors(df: DataFrame) -> DataFrame:
     return df.filter(is_error("level"))
 
 
+def _day_bounds(df: DataFrame, start: Column | None, end: Column | None) -> Column:
+    """The same bounds on ``log_date``, so a day-partitioned table prunes
+    whole folders (Spark does not derive partition filters from the
+    timestamp). The timestamp test stays; this one only skips folders."""
+    cond = F.lit(True)
+    if "log_date" not in df.columns:
+        return cond
+    day = F.col("log_date")
+    if start is not None:
+        cond = cond & (day >= F.to_date(start))
+    if end is not None:
+        cond = cond & (day <= F.to_date(end))
+    return cond
+
+
 def in_range(df: DataFrame, start, end, ordered: bool = False) -> DataFrame:
     """``start <= timestamp <= end``; newest first when ``ordered``."""
-    out = df.filter((F.col(TS) >= ts_value(df, start)) & (F.col(TS) <= ts_value(df, end)))
+    lo, hi = ts_value(df, start), ts_value(df, end)
+    out = df.filter(_day_bounds(df, lo, hi) & (F.col(TS) >= lo) & (F.col(TS) <= hi))
     return newest_first(out) if ordered else out
 
 
 def since(df: DataFrame, asof, hours: float = 24) -> DataFrame:
     """P5 (cloud): ``timestamp >= asof - hours``, no upper end."""
     lower = ts_value(df, asof) - F.make_dt_interval(secs=F.lit(float(hours) * 3600.0))
-    return df.filter(F.col(TS) >= lower)
+    return df.filter(_day_bounds(df, lower, None) & (F.col(TS) >= lower))
 
 
 def in_last(df: DataFrame, asof, lookback: str | None, default: timedelta = timedelta(hours=24),

@@ -151,15 +151,51 @@ def _records_to_entries(records: DataFrame) -> DataFrame:
         "file", "pos")
 
 
-def read_log_files(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+HEAD_START_RE = r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} \["
+
+
+def _tag_split_lines(batches):
+    """Per partition, in read order: number the lines of each input split
+    (``seq``) and the header lines in it (``rec``; -1 before the first
+    header of the split). Counters carry over Arrow batches."""
+    import numpy as np
+    import pandas as pd
+    prev_key, seq0, rec0 = None, 0, -1
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        key = pdf["file"].astype(str) + "\x00" + pdf["block"].astype(str)
+        new = key.ne(key.shift()).to_numpy()
+        new[0] = key.iloc[0] != prev_key
+        split = np.cumsum(new)
+        head = pdf["is_head"].to_numpy().astype(np.int64)
+        seq = pd.Series(np.ones(len(pdf), dtype=np.int64)).groupby(split).cumsum().to_numpy() - 1
+        rec = pd.Series(head).groupby(split).cumsum().to_numpy() - 1
+        if not new[0]:  # the first split continues from the previous batch
+            first = split == split[0]
+            seq[first] += seq0
+            rec[first] += rec0 + 1
+        last = split == split[-1]
+        prev_key, seq0, rec0 = key.iloc[-1], int(seq[last][-1]) + 1, int(rec[last][-1])
+        yield pd.DataFrame({"file": pdf["file"], "block": pdf["block"], "seq": seq, "rec": rec,
+                            "line": pdf["line"]})
+
+
+def read_log_files(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """S3: text log files to entries ``(timestamp, thread_name, level,
-    logger, message, stack_trace, file, pos)``.
-
-    ``whole_files``: each file is one row, cut into records before every
-    line that starts with a timestamp and a ``[``. Otherwise lines are read
-    one by one and each line is assigned to the newest header line above it
-    by a running count over the file (for files too large for one string).
-    Lines before the first header of a file are dropped.
+    logger, message, stack_trace, file, pos)``; a record is a header line
+    (timestamp and ``[``) and the lines up to the next header.
+
+    Default, for files of any size: files are read as lines in their
+    ordinary splits. Each split numbers its lines and headers in read order
+    (Arrow batches); lines before a split's first header continue the last
+    record of the nearest earlier split of the file, found in a table of
+    one row per split; records are then assembled by a group-by on the
+    record key, so no task holds more than a split or a record. Lines
+    before the first header of a file are dropped.
+
+    ``whole_files``: each file is one row cut into records by a look-ahead
+    split; simpler, for files well below the 2 GB string limit.
     """
     if whole_files:
         files = spark.read.text(path, wholetext=True).select(
@@ -170,16 +206,23 @@ def read_log_files(spark: SparkSession, path: str, whole_files: bool = True) ->
         return _records_to_entries(recs)
     from pyspark.sql import Window
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        # block start orders the splits of a file; the id orders lines in a split
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_pos"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.regexp_replace("value", r"\r\z", "").alias("line"))
-    head = F.col("line").rlike(r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} \[")
-    w = Window.partitionBy("file").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("pos", F.sum(head.cast("int")).over(w)).filter(F.col("pos") > 0)
-    recs = tagged.groupBy("file", "pos").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_pos", "line"))),
+    lines = lines.withColumn("is_head", F.col("line").rlike(HEAD_START_RE))
+    tagged = lines.mapInPandas(_tag_split_lines,
+                               "file string, block long, seq long, rec long, line string")
+    splits = tagged.groupBy("file", "block").agg(F.max("rec").alias("last_rec"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = splits.select("file", "block", F.last(F.when(F.col("last_rec") >= 0, F.struct(
+        F.col("block").alias("b"), F.col("last_rec").alias("r"))), ignorenulls=True).over(w).alias("carry"))
+    keyed = tagged.join(carry, ["file", "block"]).select(
+        "file", "block", "seq", "line",
+        F.when(F.col("rec") >= 0, F.col("block")).otherwise(F.col("carry.b")).alias("kb"),
+        F.when(F.col("rec") >= 0, F.col("rec")).otherwise(F.col("carry.r")).alias("kr"))
+    recs = (keyed.filter(F.col("kr").isNotNull()).groupBy("file", "kb", "kr").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "line"))),
                                  lambda x: x["line"]), "\n").alias("record"))
+            .select("file", F.struct("kb", "kr").alias("pos"), "record"))
     recs = recs.withColumn("record", F.regexp_replace("record", r"\n+\z", ""))
     return _records_to_entries(recs)
 
