@@ -8,13 +8,18 @@ registration pairs the Spark query with its DuckDB oracle, when one exists.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import oracle_queries as O
+# importable from any working directory: the package sits next to this file
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import oracle_queries as O  # noqa: E402
 from errorlens.functions import levels as LV
 from errorlens.functions import mdc as MDC
 from errorlens.functions import text as TX
