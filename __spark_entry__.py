@@ -1082,6 +1082,67 @@ def q_report_json(spark, sf_dir):
     return report_document(lg, FL.asof_of(lg), "7d")
 
 
+# ---------------------------------------------------------------- lifecycles
+
+@register("scan_lifecycle", W(f"period AS (SELECT * FROM logs WHERE level IN ('ERROR', 'FATAL') AND timestamp >= {ASOF} "
+                              f"- INTERVAL 7 DAY AND timestamp <= {ASOF})", O.clusters_cte("core", src="period"))
+          + f"SELECT {CLUSTER_COLS}, GREATEST((SELECT count(*) FROM clusters) - 5, 0) AS remaining FROM clusters "
+            "ORDER BY occurrence_count DESC, last_seen DESC, fingerprint LIMIT 5")
+def q_scan_lifecycle(spark, sf_dir):
+    from errorlens.plans.scan import scan
+    lg = logs(spark, sf_dir)
+    return scan(lg, FL.asof_of(lg), "7d", top=5)["top"]
+
+
+@register("cloud_scan_lifecycle", W(*O.state_ctes(),
+                                    f"rows AS (SELECT * FROM logs WHERE app_id = 'app-1' AND level IN ('ERROR', 'FATAL') "
+                                    f"AND timestamp >= {ASOF} - INTERVAL 72 HOUR)",
+                                    O.clusters_cte("cloud", ("app_id",), src="rows", name="scan"),
+                                    "st AS (SELECT * FROM state WHERE app_id = 'app-1')")
+          + "SELECT CASE WHEN s.fingerprint IS NOT NULL THEN s.id ELSE n.app_id || ':' || n.cluster_id END AS id, "
+            "coalesce(s.fingerprint, n.fingerprint) AS fingerprint, "
+            "CASE WHEN n.fingerprint IS NOT NULL THEN n.occurrence_count ELSE s.occurrence_count END AS occurrence_count, "
+            "CASE WHEN s.fingerprint IS NOT NULL THEN s.status ELSE 'OPEN' END AS status "
+            "FROM st s FULL OUTER JOIN scan n ON s.app_id = n.app_id AND s.fingerprint = n.fingerprint")
+def q_cloud_scan_lifecycle(spark, sf_dir):
+    from errorlens.plans.scan import cloud_scan
+    lg = logs(spark, sf_dir)
+    out = cloud_scan(lg, state(spark, sf_dir), "app-1", FL.asof_of(lg), hours=72)
+    return out["state"].select("id", "fingerprint", "occurrence_count", "status")
+
+
+@register("cloud_scan_event", W(f"rows AS (SELECT * FROM logs WHERE app_id = 'app-1' AND level IN ('ERROR', 'FATAL') "
+                                f"AND timestamp >= {ASOF} - INTERVAL 72 HOUR)",
+                                O.clusters_cte("cloud", ("app_id",), src="rows", name="scan"))
+          + "SELECT 'scan' AS scan_id, 'app-1' AS app_id, 'COMPLETED' AS status, count(*) AS logs_scanned, "
+            "count(*) AS errors_found, (SELECT count(*) FROM scan) AS clusters_created FROM rows")
+def q_cloud_scan_event(spark, sf_dir):
+    from errorlens.plans.scan import cloud_scan
+    lg = logs(spark, sf_dir)
+    ev = cloud_scan(lg, state(spark, sf_dir), "app-1", FL.asof_of(lg), hours=72)["event"]
+    return ev.select("scan_id", "app_id", "status", "logs_scanned", "errors_found", "clusters_created")
+
+
+@register("report_lifecycle", W(f"period AS (SELECT * FROM logs WHERE timestamp >= {ASOF} - INTERVAL 7 DAY "
+                                f"AND timestamp <= {ASOF})", O.clusters_cte("core", src="period"))
+          + "SELECT level, count(*) AS count, count(*) / sum(count(*)) OVER () * 100 AS percent, "
+          + O.level_rank("level") + " AS level_rank FROM period GROUP BY level")
+def q_report_lifecycle(spark, sf_dir):
+    from errorlens.plans.report import report_tables
+    lg = logs(spark, sf_dir)
+    return report_tables(lg, FL.asof_of(lg), "7d")["levels"]
+
+
+@register("analyze_lifecycle", W(O.clusters_cte("core"))
+          + "SELECT cluster_id, 'Exception: ' || coalesce(exception_class, 'Unknown') AS explanation, "
+            "'MEDIUM' AS confidence FROM clusters")
+def q_analyze_lifecycle(spark, sf_dir):
+    from errorlens.plans.analyze import analyze
+    lg = logs(spark, sf_dir)
+    out = analyze(lg, C.cluster_errors(lg, "core"), _stub_model, asof=None, partitions=4)
+    return out.select("cluster_id", "explanation", "confidence")
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:
