@@ -3,8 +3,11 @@
 Files are matched to clusters by equi-joins on a path key. Only matched
 files are cut into lines (``posexplode``); per-file running sums of brace
 balance (window per file, ordered by line) turn the reference's backward
-and forward brace scans into comparisons of prefix sums, so every field of
-a context is a join on ``(file, value)`` plus a filter and an aggregate:
+and forward brace scans into comparisons of prefix sums. The lines of each
+file are then gathered into one array (a file is one row of the source
+table already), joined to the clusters that point into it, and every field
+of a context is an array expression over it, so the whole job is two
+shuffles:
 
 * method start: the last method-looking line ``i <= L`` with
   ``P(i-1) >= P(L)``, where ``P`` is the running ``} - {`` count;
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from errorlens.functions._util import java_trim
+from errorlens.functions._util import java_trim, let
 from errorlens.session import checkpoint
 
 # Line patterns of Java source.
@@ -136,71 +139,72 @@ def code_context(clusters: DataFrame, sources: DataFrame, n: int = CONTEXT_LINES
     found = (match_sources(clusters, sources, keys) if match == "class"
              else match_sources_by_name(clusters, sources, keys))
     target = clusters.select(*keys, F.col("primary_line").alias("L")).join(found, keys)
-    if materialize:
-        target = checkpoint(target)
-    used = sources.join(target.select("root_rank", "rel_path").distinct(), ["root_rank", "rel_path"], "left_semi")
-    lines = file_lines(used)
-    if materialize:
-        lines = checkpoint(lines)
     fk = ["root_rank", "rel_path"]
-    size = lines.groupBy(*fk).agg(F.max("n").alias("size"))
-    t = target.join(size, fk).filter((F.col("L") >= 1) & (F.col("L") <= F.col("size")))
-    at_l = lines.select(*fk, F.col("n").alias("L"), F.col("p").alias("pL"))
-    t = t.join(at_l, fk + ["L"])
-    ck = keys + fk
-
+    used = sources.join(found.select(*fk).distinct(), fk, "left_semi")
+    lines = file_lines(used)
+    # one row per file: its lines in order, so line k is element k
+    files = lines.groupBy(*fk).agg(F.array_sort(F.collect_list(F.struct(
+        "n", "text", "p", "o", "opens", "closes", "is_class", "class_name", "is_method",
+        "is_import", "is_field"))).alias("fl"))
+    t = target.join(files, fk).withColumn("size", F.size("fl"))
+    t = t.filter((F.col("L") >= 1) & (F.col("L") <= F.col("size")))
+    fl, L, size = F.col("fl"), F.col("L"), F.col("size")
+
+    def before(x):  # running sum just before line x
+        return x["p"] - x["closes"] + x["opens"]
+
+    p_l = F.element_at(fl, L)["p"]
+    upto_l = F.slice(fl, 1, L)
     # C4: last class line at or above L
-    cls = (t.select(*ck, "L").join(lines.filter("is_class").select(*fk, "n", "class_name"), fk)
-           .filter(F.col("n") <= F.col("L")).groupBy(*ck)
-           .agg(F.max_by("class_name", "n").alias("enclosing_class")))
-    # Method start (last method line i <= L with P(i-1) >= P(L))
-    mstart = (t.select(*ck, "L", "pL").join(
-        lines.filter("is_method").select(*fk, "n", "text", (F.col("p") - F.col("closes") + F.col("opens"))
-                                         .alias("p_before"), (F.col("o") - F.col("opens")).alias("o_before")), fk)
-        .filter((F.col("n") <= F.col("L")) & (F.col("p_before") >= F.col("pL")))
-        .groupBy(*ck).agg(F.max_by(F.struct(F.col("n").alias("s"), "p_before", "o_before", "text"), "n")
-                          .alias("_m")))
-    mstart = mstart.select(*ck, "_m.s", "_m.p_before", "_m.o_before",
-                           F.regexp_extract("_m.text", METHOD_RE, 4).alias("method_name"))
-    # method end: first j >= s with o(j) > o(s-1) and p(j) == p(s-1)
-    mend = (mstart.join(lines.select(*fk, F.col("n").alias("j"), F.col("p").alias("p_before"), "o"),
-                        fk + ["p_before"])
-            .filter((F.col("j") >= F.col("s")) & (F.col("o") > F.col("o_before")))
-            .groupBy(*ck).agg(F.min("j").alias("e")))
-    method = mstart.join(mend, ck, "left").join(size, fk).select(
-        *ck, "method_name", F.col("s").alias("method_start"),
-        F.coalesce("e", "size").alias("method_end"))
-    # Method body, newline after each line
-    body = (method.join(lines.select(*fk, "n", "text"), fk)
-            .filter((F.col("n") >= F.col("method_start")) & (F.col("n") <= F.col("method_end")))
-            .groupBy(*ck).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))),
-                                                       lambda x: F.concat(x["text"], F.lit("\n"))), "")
-                              .alias("method_body")))
+    enclosing = F.try_element_at(F.filter(upto_l, lambda x: x["is_class"]), F.lit(-1))["class_name"]
+    # Last method line i <= L with P(i-1) >= P(L); end at the first line j >= i that
+    # saw a "{" since i with P(j) == P(i-1), else the last line
+    start = F.try_element_at(F.filter(upto_l, lambda x: x["is_method"] & (before(x) >= p_l)), F.lit(-1))
+
+    def method_fields(m):
+        s_ = m["n"]
+        pb, ob = before(m), m["o"] - m["opens"]
+        after = F.slice(fl, s_, (size - s_ + 1).cast("int"))
+        end = F.coalesce(F.try_element_at(F.filter(after, lambda x: (x["p"] == pb) & (x["o"] > ob)),
+                                          F.lit(1))["n"], size)
+        body = F.array_join(F.transform(F.slice(fl, s_, (end - s_ + 1).cast("int")),
+                                        lambda x: F.concat(x["text"], F.lit("\n"))), "")
+        return F.when(m.isNotNull(), F.struct(
+            F.regexp_extract(m["text"], METHOD_RE, 4).alias("method_name"), s_.alias("method_start"),
+            end.alias("method_end"), body.alias("method_body")))
+
+    method = let(start, method_fields)
     # Surrounding lines
-    t = t.withColumn("start_line", F.greatest(F.lit(1), F.col("L") - n)).withColumn(
-        "end_line", F.least(F.col("size"), F.col("L") + n))
-    around = (t.select(*ck, "start_line", "end_line").join(lines.select(*fk, "n", "text"), fk)
-              .filter((F.col("n") >= F.col("start_line")) & (F.col("n") <= F.col("end_line")))
-              .groupBy(*ck).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))),
-                                            lambda x: x["text"]).alias("surrounding_lines")))
-    # Imports up to and including the first class line, trimmed
-    first_class = lines.filter("is_class").groupBy(*fk).agg(F.min("n").alias("fc"))
-    imports = (lines.filter("is_import").select(*fk, "n", "text").join(first_class, fk, "left")
-               .filter(F.col("fc").isNull() | (F.col("n") <= F.col("fc")))
-               .groupBy(*fk).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))),
-                                             lambda x: java_trim(x["text"])).alias("imports")))
-    # Fields of the enclosing class
-    fields = class_fields(lines, cls.select(*fk, F.col("enclosing_class").alias("class_name")).distinct())
-    fields = fields.withColumnRenamed("class_name", "enclosing_class")
+    lo, hi = F.greatest(F.lit(1), L - n), F.least(size, L + n)
+    around = F.transform(F.slice(fl, lo, (hi - lo + 1).cast("int")), lambda x: x["text"])
+    # Imports up to and including the first class line
+    fc = F.array_position(F.transform(fl, lambda x: x["is_class"]), True)
+    upto_c = F.slice(fl, 1, F.when(fc == 0, size).otherwise(fc).cast("int"))
+    imports = F.transform(F.filter(upto_c, lambda x: x["is_import"]), lambda x: java_trim(x["text"]))
+
+    # Fields at depth 1 from the first line declaring the class until depth 0
+    def fields_of(cname):
+        f_idx = F.array_position(F.transform(fl, lambda x: x["is_class"] & (x["class_name"] == cname)), True).cast("int")
+
+        def from_first(first):
+            pf = before(first)
+            tail = F.slice(fl, first["n"], (size - first["n"] + 1).cast("int"))
+            stop = F.coalesce(F.try_element_at(F.filter(tail, lambda x: x["p"] == pf), F.lit(1))["n"], size)
+            span = F.slice(fl, first["n"], (stop - first["n"] + 1).cast("int"))
+            return F.transform(F.filter(span, lambda x: x["is_field"] & ((pf - x["p"]) == 1)),
+                               lambda x: java_trim(x["text"]))
+        return F.when(cname.isNotNull() & (f_idx > 0), let(F.element_at(fl, f_idx), from_first))
+
     empty = F.array().cast("array<string>")
-    out = (t.select(*ck, "L", "start_line", "end_line")
-           .join(cls, ck, "left").join(method, ck, "left").join(body, ck, "left")
-           .join(around, ck, "left").join(imports, fk, "left")
-           .join(fields, fk + ["enclosing_class"], "left"))
+    out = t.select(*keys, *fk, "L", "size", enclosing.alias("enclosing_class"), method.alias("_m"),
+                   lo.alias("start_line"), hi.alias("end_line"), around.alias("surrounding_lines"),
+                   imports.alias("imports"), "fl")
+    out = out.withColumn("class_fields", fields_of(F.col("enclosing_class")))
     return out.select(
         *keys, "root_rank", F.col("rel_path").alias("file_path"), F.col("L").alias("target_line"),
-        F.col("enclosing_class").alias("class_name"), "method_name", "start_line", "end_line",
-        "surrounding_lines", "method_start", "method_end", "method_body",
+        F.col("enclosing_class").alias("class_name"), F.col("_m.method_name").alias("method_name"),
+        "start_line", "end_line", "surrounding_lines", F.col("_m.method_start").alias("method_start"),
+        F.col("_m.method_end").alias("method_end"), F.col("_m.method_body").alias("method_body"),
         F.coalesce("imports", empty).alias("imports"),
         F.coalesce("class_fields", empty).alias("class_fields"))
 
@@ -215,25 +219,3 @@ def format_context(context: DataFrame) -> DataFrame:
         return F.concat(mark, F.format_string("%4d | ", n), x, F.lit("\n"))
     return (context.withColumn("formatted_context", F.array_join(F.transform("surrounding_lines", fmt), ""))
             .withColumn("plain_context", F.array_join("surrounding_lines", "\n")))
-
-
-def class_fields(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per ``(file, class_name)``, trimmed field lines at brace depth 1
-    from the first line declaring the class until the depth returns to 0
-    (nothing when that line has no ``{``)."""
-    fk = ["root_rank", "rel_path"]
-    first = (lines.filter("is_class").join(classes, fk + ["class_name"], "left_semi")
-             .groupBy(*fk, "class_name").agg(F.min_by(F.struct(
-                 F.col("n").alias("f"), (F.col("p") - F.col("closes") + F.col("opens")).alias("pf")), "n")
-                 .alias("_f"))
-             .select(*fk, "class_name", "_f.f", "_f.pf"))
-    # depth(i) = P(f-1) - P(i); stop at the first i >= f with depth 0
-    stop = (first.join(lines.select(*fk, "n", F.col("p").alias("pf")), fk + ["pf"])
-            .filter(F.col("n") >= F.col("f")).groupBy(*fk, "class_name").agg(F.min("n").alias("z")))
-    span = first.join(stop, fk + ["class_name"], "left")
-    cand = (span.join(lines.filter("is_field").select(*fk, "n", "text", "p"), fk)
-            .filter((F.col("n") >= F.col("f")) & (F.col("z").isNull() | (F.col("n") <= F.col("z")))
-                    & ((F.col("pf") - F.col("p")) == 1)))
-    return cand.groupBy(*fk, "class_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: java_trim(x["text"]))
-        .alias("class_fields"))
