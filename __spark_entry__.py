@@ -1048,7 +1048,7 @@ def q_stream_clusters(spark, sf_dir):
     from errorlens.streaming.ingest import stream_clusters
     src = _stream_input(spark, sf_dir)
     out = _scratch(spark, sf_dir, "stream-clusters")
-    q = stream_clusters(stream_logs(spark, src, max_files_per_trigger=2), out, out + "-ckpt",
+    q = stream_clusters(stream_logs(spark, src, max_files_per_trigger=4), out, out + "-ckpt",
                         mode="cloud", available_now=True)
     q.awaitTermination()
     snap = read_snapshot(spark, out)

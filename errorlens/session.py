@@ -53,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach "
+                             "(a machine-local folder does not survive lost executors)")
         path = tempfile.mkdtemp(prefix="errorlens-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
