@@ -27,8 +27,16 @@ def java_trim(c) -> Column:
     return F.trim(as_col(c), F.lit(JAVA_TRIM_CHARS))
 
 
+JS_EXTRA_SPACE_CLASS = (r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
+                        r"\x{3000}\x{FEFF}]")
+
+
 def js_trim(c) -> Column:
-    return F.regexp_replace(as_col(c), JS_TRIM_RE, "")
+    """ECMAScript trim. Text without the non-ASCII white space takes Spark's
+    char trim (no regex); only text holding such chars takes the regex."""
+    x = as_col(c)
+    return F.when(x.rlike(JS_EXTRA_SPACE_CLASS), F.regexp_replace(x, JS_TRIM_RE, "")).otherwise(
+        F.trim(x, F.lit("\t\n\x0b\x0c\r ")))
 
 
 def let(value: Column, body) -> Column:

