@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from errorlens.functions._util import as_col, let
 from errorlens.functions.levels import has_stack_trace
 from errorlens.functions.templates import normalize_message
-from errorlens.functions.traces import (_exception_head, _kept, _classified, _frames_of,
+from errorlens.functions.traces import (_exception_class_only, _kept, _classified, _frames_of,
                                         _lines, _outer_items, cloud_frames,
                                         top_user_frames)
 from errorlens.functions._util import java_trim
@@ -34,7 +34,7 @@ def trace_key(trace, frames: int = 5) -> Column:
     """core: exception class then ``|class.method:line`` for the first user
     frames of the outermost exception. Null when the trace does not parse."""
     def on_lines(ls):
-        cls = _exception_head(java_trim(F.element_at(ls, 1)))["cls"]
+        cls = _exception_class_only(java_trim(F.element_at(ls, 1)))
         outer = _frames_of(_outer_items(_kept(_classified(ls))))
         keys = F.transform(top_user_frames(outer, frames),
                            lambda f: F.concat(F.lit("|"), frame_key(f)))

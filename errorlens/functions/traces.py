@@ -70,26 +70,32 @@ def parse_frame(line) -> Column:
     return _frame_struct(l, l.rlike(RAW_FRAME_RE))
 
 
+# One pass over a raw frame line gives class, method and either the
+# ``Name.java:n`` location split in two or any other location whole.
+_RAW_FRAME_PARTS_RE = (r"\A[\x00-\x20]*at\s+([\w.$]+)\.([\w$<>]+)\("
+                       r"(?:(\w+\.java):(\d+)|([^)]+))\)[\x00-\x20]*\z")
+
+
 def _frame_struct(raw: Column, is_frame: Column) -> Column:
     """Frame fields of a raw frame line: one regex pass rewrites the line to
-    ``class \\x01 method \\x01 location``, then a split (at most 3 parts,
-    so a location holding the separator stays whole)."""
+    ``class \\x01 method \\x01 file \\x01 line \\x01 other location``
+    (empty parts where a group did not take part), then one split (at most
+    5 parts, so a location holding the separator stays whole)."""
     def build(parts):
-        def with_loc(loc):
-            file_part = F.regexp_extract(loc, LOCATION_RE, 1)
-            special = loc.isin("Native Method", "Unknown Source")
-            has_line = (F.length(file_part) > 0) & ~special
-            file_name = (F.when(special, F.lit(None).cast("string"))
-                         .when(has_line, file_part).otherwise(loc))
-            line_no = F.when(has_line, F.regexp_extract(loc, LOCATION_RE, 2).try_cast("int"))
-            return F.struct(
-                parts[0].alias("class_name"), parts[1].alias("method_name"),
-                file_name.alias("file_name"),
-                F.coalesce(line_no, F.lit(-1)).alias("line_number"),
-                (loc == "Native Method").alias("native"),
-            )
-        return let(parts[2], with_loc)
-    split = F.split(F.regexp_replace(raw, RAW_FRAME_RE, "$1\u0001$2\u0001$3"), "\u0001", 3)
+        file_part, other = parts[2], parts[4]
+        has_line = F.length(file_part) > 0
+        file_name = (F.when(has_line, file_part)
+                     .when(other.isin("Native Method", "Unknown Source"), F.lit(None).cast("string"))
+                     .otherwise(other))
+        line_no = F.when(has_line, parts[3].try_cast("int"))
+        return F.struct(
+            parts[0].alias("class_name"), parts[1].alias("method_name"),
+            file_name.alias("file_name"),
+            F.coalesce(line_no, F.lit(-1)).alias("line_number"),
+            (~has_line & (other == "Native Method")).alias("native"),
+        )
+    split = F.split(F.regexp_replace(raw, _RAW_FRAME_PARTS_RE, "$1\u0001$2\u0001$3\u0001$4\u0001$5"),
+                    "\u0001", 5)
     return F.when(is_frame, let(split, build))
 
 
@@ -117,12 +123,35 @@ def _exception_head(raw: Column) -> Column:
     return let(raw, on_raw)
 
 
+def _exception_class_only(raw: Column) -> Column:
+    """The class part of :func:`_exception_head` in one regex pass: the full
+    pattern rewritten to its class differs from the text exactly when it
+    matched with a message part; when it matched without one the text is
+    the class and has no colon, so the colon rule gives the same answer."""
+    def on_raw(r):
+        def on_trimmed(t):
+            rewritten = F.regexp_replace(t, EXCEPTION_RE, "$1")
+            return (F.when(rewritten != t, rewritten)
+                    .when(F.instr(r, ":") > 1, java_trim(F.substring_index(r, ":", 1)))
+                    .otherwise(t))
+        return let(java_trim(r), on_trimmed)
+    return let(raw, on_raw)
+
+
 # ---------------------------------------------------------------- parse
 
 def _lines(trace: Column) -> Column:
-    """Lines as Java's split drops them: trailing empty lines removed."""
-    return let(F.regexp_replace(trace, TRAILING_NEWLINES_RE, ""),
-               lambda s: F.when(F.length(s) > 0, F.split(s, LINE_SPLIT_RE, -1)))
+    """Lines as Java's split drops them: trailing empty lines removed. Text
+    without a carriage return takes the plain path (char trim, one-char
+    split, no regex)."""
+    def lf_only(t):
+        return let(F.rtrim(t, F.lit("\n")), lambda s: F.when(F.length(s) > 0, F.split(s, "\n", -1)))
+
+    def with_cr(t):
+        return let(F.regexp_replace(t, TRAILING_NEWLINES_RE, ""),
+                   lambda s: F.when(F.length(s) > 0, F.split(s, LINE_SPLIT_RE, -1)))
+
+    return let(trace, lambda t: F.when(F.contains(t, F.lit("\r")), with_cr(t)).otherwise(lf_only(t)))
 
 
 def _classified(lines: Column) -> Column:
@@ -260,7 +289,7 @@ def class_of_head_line(head, mode: str = "core") -> Column:
     """F4 on the output of :func:`exception_head_line`."""
     h = as_col(head)
     if mode == "core":
-        return F.when(h.isNotNull(), _exception_head(java_trim(h))["cls"])
+        return F.when(h.isNotNull(), _exception_class_only(java_trim(h)))
     return F.when(h.isNotNull(),
                   F.when(h.rlike(CLOUD_EXCEPTION_RE), F.regexp_extract(h, CLOUD_EXCEPTION_RE, 1))
                   .otherwise(js_trim(F.substring_index(h, ":", 1))))
