@@ -39,13 +39,16 @@ def report_summary(logs: DataFrame, clusters: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "HIGH").alias("high"))).scalar()
     total = F.count(F.lit(1))
     errs = F.count_if(is_error("level"))
-    return logs.agg(total.alias("total_logs"), errs.alias("error_logs")).select(
+    # the subquery is bound to one column first: reading its three fields
+    # straight from the expression would plan (and run) it three times
+    base = logs.agg(total.alias("total_logs"), errs.alias("error_logs")).withColumn("_s", stats)
+    return base.select(
         "total_logs", "error_logs",
         F.when(F.col("total_logs") == 0, F.lit(0.0))
         .otherwise(F.col("error_logs") / F.col("total_logs") * 100).alias("error_rate"),
-        stats["n"].alias("cluster_count"),
-        stats["critical"].alias("critical_count"),
-        stats["high"].alias("high_count"))
+        F.col("_s.n").alias("cluster_count"),
+        F.col("_s.critical").alias("critical_count"),
+        F.col("_s.high").alias("high_count"))
 
 
 def health_status(summary: DataFrame) -> DataFrame:
