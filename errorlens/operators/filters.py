@@ -30,8 +30,16 @@ def ts_value(df: DataFrame, value, col: str = TS) -> Column:
 
 
 def asof_of(df: DataFrame, col: str = TS) -> Column:
-    """The newest timestamp of a table, as a scalar subquery."""
-    return df.select(F.max(col)).scalar()
+    """The newest timestamp of a table as a literal typed like the column.
+
+    One small aggregate job; the value comes back as text formatted in the
+    session time zone and is cast back the same way. A literal (unlike a
+    scalar subquery, which the plan would evaluate once per use) lets time
+    filters prune ``log_date`` folders when the query is planned and push
+    down to the scan.
+    """
+    value = df.agg(F.max(col).cast("string")).first()[0]
+    return F.lit(value).cast(df.schema[col].dataType)
 
 
 def newest_first(df: DataFrame) -> DataFrame:
