@@ -142,12 +142,13 @@ def sample_positions(n: Column, k: int) -> Column:
 
 
 def sample_entries(fingerprinted: DataFrame, k: int = 3, by: Sequence[str] = (),
-                   bucket_seconds: int = 1) -> DataFrame:
+                   bucket_seconds: int = 1, materialize: bool = True) -> DataFrame:
     """Evenly spaced samples of each cluster (positions newest first,
     see ``sample_positions``), with ``sample_index`` and the cluster size
     ``n``.
 
-    Skew-safe: rows are counted per cluster and per time bucket (an
+    ``id`` is the row key of the table. Skew-safe: rows are counted per
+    cluster and per time bucket (an
     aggregate with map-side partial counts, so a cluster holding a third of
     all rows is no problem); running counts over the buckets of a cluster
     tell which buckets hold the sampled positions; only the rows of those
@@ -157,7 +158,12 @@ def sample_entries(fingerprinted: DataFrame, k: int = 3, by: Sequence[str] = (),
         raise ValueError("k must be at least 2")
     keys = [*by, "fingerprint"]
     b = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / (bucket_seconds * 1_000_000)).alias("_b")
-    rows = fingerprinted.withColumn("_b", b)
+    # the rows are read twice (counts, then the sampled buckets): keep only
+    # the narrow key columns, written once, so fingerprints are computed once
+    narrow = fingerprinted.select(*keys, "timestamp", "id")
+    if materialize:
+        narrow = checkpoint(narrow)
+    rows = narrow.withColumn("_b", b)
     counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w_all = Window.partitionBy(*keys)
     w_run = w_all.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
@@ -169,5 +175,11 @@ def sample_entries(fingerprinted: DataFrame, k: int = 3, by: Sequence[str] = (),
     picked = rows.join(hit.select(*keys, "_b", "_before", "n", "_targets"), [*keys, "_b"])
     w_local = Window.partitionBy(*keys, "_b").orderBy(F.desc("timestamp"), F.desc("id"))
     ranked = picked.withColumn("sample_index", F.col("_before") + F.row_number().over(w_local) - 1)
-    return (ranked.filter(F.array_contains("_targets", F.col("sample_index")))
-            .drop("_b", "_before", "_targets"))
+    sampled = (ranked.filter(F.array_contains("_targets", F.col("sample_index")))
+               .select(*keys, "id", "sample_index", "n"))
+    # the other columns of the sampled rows, by their id (the table's key);
+    # dropping the fingerprint lets the scan skip the trace parsing
+    rest = [c for c in fingerprinted.columns if c not in (*keys, "id")]
+    if not rest:
+        return sampled
+    return sampled.join(fingerprinted.select("id", *rest), "id")
