@@ -148,11 +148,11 @@ def sample_entries(fingerprinted: DataFrame, k: int = 3, by: Sequence[str] = (),
     ``n``.
 
     ``id`` is the row key of the table. Skew-safe: rows are counted per
-    cluster and per time bucket (an
-    aggregate with map-side partial counts, so a cluster holding a third of
-    all rows is no problem); running counts over the buckets of a cluster
-    tell which buckets hold the sampled positions; only the rows of those
-    few buckets are ranked, each bucket in its own window partition.
+    cluster and per time bucket (an aggregate with map-side partial counts,
+    so a cluster holding a third of all rows is no problem); running counts
+    over the buckets of a cluster tell which buckets hold the sampled
+    positions; only the rows of those few buckets are ranked, each bucket in
+    its own window partition.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
