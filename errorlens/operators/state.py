@@ -175,9 +175,11 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
 
 
 def write_snapshot(df: DataFrame, base: str) -> str:
-    """Write ``df`` as the next version; readers switch when it is complete."""
+    """Write ``df`` as the next version; readers switch when it is complete
+    (``_SUCCESS`` written). A version left incomplete by a failed job is
+    never read and is simply written again."""
     spark = df.sparkSession
     v = (latest_version(spark, base) or 0) + 1
     path = f"{base.rstrip('/')}/v={v:06d}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path

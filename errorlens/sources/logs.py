@@ -91,8 +91,9 @@ def delete_older_than_on_disk(spark: SparkSession, path: str, cutoff: str) -> in
     """U3 on the day-partitioned table: rows with ``timestamp < cutoff`` go.
 
     Whole ``log_date`` folders before the cutoff day are removed; the
-    cutoff day itself is rewritten without the older rows (into a new
-    folder that then replaces the old one). Returns how many rows were
+    cutoff day itself is rewritten without the older rows into a staging
+    folder that then takes the old folder's place by two renames; a run that
+    stopped half way is finished by the next one. Returns how many rows were
     dropped. Only folder names are listed on the driver.
     """
     from pyspark.sql.functions import col, lit
@@ -107,13 +108,21 @@ def delete_older_than_on_disk(spark: SparkSession, path: str, cutoff: str) -> in
         name = st.getPath().getName()
         if name.startswith("log_date=") and name[len("log_date="):] < day:
             fs.delete(st.getPath(), True)
-    edge = jvm.org.apache.hadoop.fs.Path(base, f"log_date={day}")
+    Path = jvm.org.apache.hadoop.fs.Path
+    edge = Path(base, f"log_date={day}")
+    fresh, old = Path(base, f"_rewrite_log_date={day}"), Path(base, f"_old_log_date={day}")
+    # finish a swap a failed run left half done: data is in exactly one place
+    if not fs.exists(edge):
+        if fs.exists(fresh):
+            fs.rename(fresh, edge)
+        elif fs.exists(old):
+            fs.rename(old, edge)
     if fs.exists(edge):
-        fresh = f"{path.rstrip('/')}/_rewrite_log_date={day}"
         (spark.read.parquet(edge.toString()).filter(col("timestamp") >= bound)
-         .write.mode("overwrite").parquet(fresh))
-        fs.delete(edge, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), edge)
+         .write.mode("overwrite").parquet(fresh.toString()))
+        fs.rename(edge, old)      # folder renames: the day is always in edge, old or fresh
+        fs.rename(fresh, edge)
+        fs.delete(old, True)
     return dropped
 
 
