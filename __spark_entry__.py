@@ -999,6 +999,18 @@ def q_store_rows(spark, sf_dir):
                     F.coalesce(F.size("mdc_context") > 0, F.lit(False)).alias("has_context"))
 
 
+@register("json_rows_mapping", W() + "SELECT id, level, timestamp, " + O.mdc_value("mdc_context", "traceId")
+          + " AS trace_id FROM logs")
+def q_json_rows(spark, sf_dir):
+    from errorlens.sources.logs import from_json_rows, to_log_schema
+    canonical = to_log_schema(raw_logs(spark, sf_dir))
+    as_json = canonical.select(F.to_json(F.struct(*[F.col(c) for c in canonical.columns]),
+                                         {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+    back = from_json_rows(as_json)
+    return back.select("id", "level", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                       F.try_element_at("mdc_context", F.lit("traceId")).alias("trace_id"))
+
+
 _FILE_ORACLE = (W() + f"SELECT {_TS_OUT} AS timestamp, thread_name, level, logger, message, "
                 "CASE WHEN length(regexp_replace(stack_trace, '\\n+$', '')) > 0 THEN regexp_replace(stack_trace, '\\n+$', '') "
                 "END AS stack_trace FROM logs")

@@ -50,6 +50,22 @@ def to_log_schema(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+# The JSON row form of the hosted store and of its ingest API: times as ISO
+# text, the context as a JSON object.
+JSON_ROW_SCHEMA = ("id bigint, app_id string, timestamp string, level string, logger string, "
+                   "message string, stack_trace string, file_name string, line_number int, "
+                   "method_name string, class_name string, trace_id string, thread_name string, "
+                   "mdc_context map<string,string>, created_at string")
+
+
+def from_json_rows(df: DataFrame, col: str = "value") -> DataFrame:
+    """JSON log rows held in a text or binary column (a JSON file
+    read as text, a Kafka topic's ``value``) to the canonical columns."""
+    text = F.col(col).cast("string")
+    parsed = df.select(F.from_json(text, JSON_ROW_SCHEMA).alias("_r")).select("_r.*")
+    return to_log_schema(parsed)
+
+
 def read_logs(spark: SparkSession, path: str | None, fmt: str = "parquet", schema=None,
               **options) -> DataFrame:
     """Scan a stored log table into the canonical columns.

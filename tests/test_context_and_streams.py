@@ -111,3 +111,14 @@ def test_text_logs_split_across_tasks(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     whole = sorted(map(tuple, read_log_files(spark, path, whole_files=True).select(cols).collect()), key=repr)
     assert len(got) == 1000 and got == whole
+
+
+def test_json_rows_mapping(spark):
+    from errorlens.sources.logs import from_json_rows
+    rows = [('{"id": 1, "app_id": "a", "timestamp": "2024-01-02T03:04:05.678Z", "level": "warning", '
+             '"message": "m", "mdc_context": {"traceId": "t1"}}',),
+            ('{"id": 2, "app_id": "a", "timestamp": "2024-01-02T03:04:06Z", "level": null}',)]
+    df = from_json_rows(spark.createDataFrame(rows, "value string"))
+    got = df.select("id", "level", "mdc_context", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("t")).collect()
+    assert [(r.id, r.level) for r in got] == [(1, "WARN"), (2, "INFO")]
+    assert got[0].mdc_context == {"traceId": "t1"} and got[0].t == "2024-01-02 03:04:05.678"
