@@ -1087,6 +1087,27 @@ def q_stream_scan(spark, sf_dir):
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "app_id", "fingerprint", "occurrence_count")
 
 
+@register("report_document_fields", W(f"period AS (SELECT * FROM logs WHERE timestamp >= {ASOF} - INTERVAL 7 DAY "
+                                      f"AND timestamp <= {ASOF})", O.clusters_cte("core", src="period"))
+          + "SELECT (SELECT count(*) FROM period) AS total_logs, "
+            "(SELECT count(*) FROM period WHERE level IN ('ERROR', 'FATAL')) AS error_logs, "
+            "(SELECT count(*) FROM clusters) AS unique_clusters, "
+            "(SELECT count(DISTINCT level) FROM period) AS n_levels, "
+            "(SELECT list(cluster_id ORDER BY occurrence_count DESC, last_seen DESC, fingerprint) FROM "
+            "(SELECT * FROM clusters ORDER BY occurrence_count DESC, last_seen DESC, fingerprint LIMIT 10)) AS top_ids")
+def q_report_document_fields(spark, sf_dir):
+    from errorlens.plans.report import report_document
+    lg = logs(spark, sf_dir)
+    doc = report_document(lg, FL.asof_of(lg), "7d")
+    schema = ("summary struct<totalLogs:bigint,errorLogs:bigint,uniqueClusters:bigint>, "
+              "levelDistribution map<string,bigint>, clusters array<struct<id:string>>")
+    p = doc.select(F.from_json("json", schema).alias("d"))
+    return p.select(F.col("d.summary.totalLogs").alias("total_logs"), F.col("d.summary.errorLogs").alias("error_logs"),
+                    F.col("d.summary.uniqueClusters").alias("unique_clusters"),
+                    F.size("d.levelDistribution").alias("n_levels"),
+                    F.transform("d.clusters", lambda c: c["id"]).alias("top_ids"))
+
+
 @register("report_json")
 def q_report_json(spark, sf_dir):
     from errorlens.plans.report import report_document
