@@ -59,23 +59,46 @@ def _band(length: Column, threshold: float) -> Column:
                    F.lit(math.log(1.0 / threshold))).cast("int")
 
 
-def similar_template_pairs(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_template_pairs(keys: DataFrame, threshold: float = THRESHOLD,
+                           block_rows: int = 2000) -> DataFrame:
     """J8 (template rule) over distinct ``(exception_class, template)`` keys:
     pairs of different templates of the same exception class (null equal
-    to null) with similarity at least ``threshold``. Both directions."""
-    k = keys.select("exception_class", "template").distinct().withColumn(
-        "len", F.length("template")).withColumn("band", _band(F.col("len"), threshold))
-    a = k.select(*[F.col(c).alias(f"a_{c}") for c in k.columns])
-    b = k.select(*[F.col(c).alias(f"b_{c}") for c in k.columns])
-    # each unordered pair once: same band in text order, or the next band up
-    cond = (a["a_exception_class"].eqNullSafe(b["b_exception_class"])
+    to null) with similarity at least ``threshold``. Both directions.
+
+    Candidates meet by an equi-join on (class, length band), a band with the
+    next one up. A block holding more than ``block_rows`` templates is split
+    into salted parts on one side while the other side is copied to every
+    part, so a crowded exception class is compared by many tasks, not one;
+    every candidate pair is still compared exactly once.
+    """
+    k = (keys.select("exception_class", "template").distinct()
+         .withColumn("len", F.length("template"))
+         .withColumn("band", _band(F.col("len"), threshold))
+         .withColumn("cnull", F.col("exception_class").isNull())
+         .withColumn("ckey", F.coalesce("exception_class", F.lit(""))))
+    parts = (k.groupBy("cnull", "ckey", "band")
+             .agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("parts")))
+    a = (k.join(parts, ["cnull", "ckey", "band"])
+         .select(*[F.col(c).alias(f"a_{c}") for c in ("exception_class", "template", "len", "band", "cnull",
+                                                         "ckey")],
+                 F.pmod(F.xxhash64("template"), F.col("parts")).cast("int").alias("a_part")))
+    # every b row goes to the parts of the a blocks it can meet: same band and the band below
+    b_same = k.join(parts, ["cnull", "ckey", "band"]).select(
+        "*", F.col("band").alias("meet_band"))
+    b_below = k.join(parts.withColumnRenamed("band", "meet_band").withColumn("band", F.col("meet_band") + 1),
+                     ["cnull", "ckey", "band"])
+    b = (b_same.unionByName(b_below)
+         .select(*[F.col(c).alias(f"b_{c}") for c in ("exception_class", "template", "len", "band", "cnull",
+                                                         "ckey", "meet_band")],
+                 F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b_part")))
+    cond = ((a["a_cnull"] == b["b_cnull"]) & (a["a_ckey"] == b["b_ckey"])
+            & (a["a_band"] == b["b_meet_band"]) & (a["a_part"] == b["b_part"])
             & (((b["b_band"] == a["a_band"]) & (a["a_template"] < b["b_template"]))
                | (b["b_band"] == a["a_band"] + 1)))
     j = a.join(b, cond)
     m = F.greatest("a_len", "b_len")
     limit = (F.floor(m.cast("double") * (1.0 - threshold)) + 1).cast("int")
-    j = j.filter((F.col("a_template") != F.col("b_template"))
-                 & (F.abs(F.col("a_len") - F.col("b_len")) <= limit))
+    j = j.filter(F.abs(F.col("a_len") - F.col("b_len")) <= limit)
     # the SQL form takes a per-row threshold and returns -1 past it
     j = j.withColumn("_limit", limit).withColumn(
         "_d", F.expr("levenshtein(a_template, b_template, _limit)")).filter(F.col("_d") >= 0)

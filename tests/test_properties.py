@@ -85,3 +85,19 @@ def test_merge_rounds_equal_greedy_loop(spark):
         df = df.withColumn("last_seen", F.timestamp_seconds("last_seen_s"))
         got = {r.fingerprint: r.leader for r in merge_leaders(df).collect()}
         assert got == want, trial
+
+
+def test_template_pairs_salted_blocks_equal_brute_force(spark):
+    from errorlens.operators.merge import similar_template_pairs
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "x"]
+    keys = {(rnd.choice(["E1", None]), " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))))
+            for _ in range(60)}
+    keys = sorted(keys, key=repr)
+    df = spark.createDataFrame(keys, "exception_class string, template string")
+    want = {(c1, t1, t2) for c1, t1 in keys for c2, t2 in keys
+            if c1 == c2 and t1 != t2 and pyref.similarity(t1, t2) >= 0.7}
+    for block in (2, 1000):
+        got = {(r.exception_class, r.template_a, r.template_b)
+               for r in similar_template_pairs(df, block_rows=block).collect()}
+        assert got == want, block
