@@ -811,9 +811,8 @@ def q_sample_logs(spark, sf_dir):
 def q_simple_prompts(spark, sf_dir):
     from errorlens.operators.insight import simple_prompts
     lg = logs(spark, sf_dir)
-    fp = C.with_fingerprint(lg, "core")
-    newest = C.most_recent_entry(fp.select("fingerprint", "id", "timestamp", "message", "stack_trace"))
-    return simple_prompts(C.cluster_errors(lg, "core"), newest)
+    cl = checkpoint(C.cluster_errors(lg, "core", with_newest_id=True))
+    return simple_prompts(cl, C.newest_entries(lg, cl))
 
 
 @register("summary_prompt", W(O.clusters_cte("core"), f"s AS ({_SUMMARY_SQL})",
@@ -833,7 +832,7 @@ def q_summary_prompt(spark, sf_dir):
 def _context(spark, sf_dir):
     from errorlens.operators.context import code_context, format_context
     lg = logs(spark, sf_dir)
-    cl = checkpoint(C.cluster_errors(lg, "core"))
+    cl = checkpoint(C.cluster_errors(lg, "core", with_newest_id=True))
     return cl, format_context(code_context(cl, checkpoint(FX.generated_sources(lg))))
 
 
@@ -895,9 +894,7 @@ def q_analysis_prompts(spark, sf_dir):
     from errorlens.operators.insight import analysis_prompts
     lg = logs(spark, sf_dir)
     cl, ctx = _context(spark, sf_dir)
-    fp = C.with_fingerprint(lg, "core")
-    newest = C.most_recent_entry(fp.select("fingerprint", "id", "timestamp", "message", "stack_trace"))
-    return analysis_prompts(cl, newest, ctx)
+    return analysis_prompts(cl.drop("newest_id"), C.newest_entries(lg, cl), ctx)
 
 
 @register("patch_prompts", W(O.clusters_cte("core"), _GSRC, *O.state_ctes(),
@@ -929,9 +926,8 @@ def q_complete(spark, sf_dir):
     from errorlens.operators.insight import complete, simple_prompts
     from errorlens.functions import responses as RS
     lg = logs(spark, sf_dir)
-    fp = C.with_fingerprint(lg, "core")
-    newest = C.most_recent_entry(fp.select("fingerprint", "id", "timestamp", "message", "stack_trace"))
-    prompts = simple_prompts(C.cluster_errors(lg, "core"), newest)
+    cl = checkpoint(C.cluster_errors(lg, "core", with_newest_id=True))
+    prompts = simple_prompts(cl, C.newest_entries(lg, cl))
     answered = complete(prompts, _stub_model, partitions=4)
     return answered.select("cluster_id", RS.parse_response("response").alias("p"),
                            RS.confidence("response").alias("confidence")).select(

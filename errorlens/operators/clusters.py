@@ -47,7 +47,7 @@ def with_fingerprint(logs: DataFrame, mode: str = "core", frames: int = 5,
 
 
 def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
-                   by: Sequence[str] | None = None) -> DataFrame:
+                   by: Sequence[str] | None = None, with_newest_id: bool = False) -> DataFrame:
     """A2: one row per fingerprint of the ERROR/FATAL rows of ``logs``.
 
     ``logs`` has canonical levels (see ``normalize_level``). ``by`` adds
@@ -56,7 +56,8 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
 
     Attributes follow the mode. core: pattern from the newest row, class
     from the newest row with a trace, location from the newest row with a
-    file name. cloud: all from the newest row.
+    file name. cloud: all from the newest row. ``with_newest_id`` adds the
+    id of the newest row (see ``newest_entries``).
     """
     keys = _keys(mode, by)
     order = F.struct(*[F.col(c) for c in ORDER_KEY])
@@ -81,6 +82,7 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
         F.max_by("message", order).alias("_message"),
         head.alias("_head"),
         where.alias("_loc"),
+        *([F.max_by("id", order).alias("newest_id")] if with_newest_id else []),
     )
     return agg.select(
         *keys,
@@ -94,9 +96,18 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
         F.col("_loc.class_name").alias("primary_class"),
         "first_seen", "last_seen", "occurrence_count",
         severity("occurrence_count").alias("severity"),
+        *(["newest_id"] if with_newest_id else []),
     )
 
 
+def newest_entries(logs: DataFrame, clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """W2 from a cluster table made ``with_newest_id``: the newest row of
+    each cluster, read from the log table by id (a join with one row per
+    cluster, so traces are neither parsed again nor shuffled)."""
+    ids = clusters.select(*by, "fingerprint", F.col("newest_id").alias("id"))
+    return ids.join(logs, [*by, "id"] if by else ["id"])
+
+
 def rank_clusters(clusters: DataFrame) -> DataFrame:
     """Most frequent first; ties by newest last sighting, then
     fingerprint, so the order does not depend on partitioning."""
@@ -123,11 +134,16 @@ def capped_scan(logs: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def most_recent_entry(fingerprinted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The newest row of each cluster (an aggregate, no window)."""
-    cols = [c for c in fingerprinted.columns if c not in (*by, "fingerprint")]
+    """The newest row of each cluster. The newest id per cluster is an
+    aggregate over narrow columns; the rest of the row is joined back by id
+    (the table's key) from the same rows without their fingerprint, so the
+    trace parsing behind the fingerprint runs once."""
     order = F.struct(*[F.col(c) for c in ORDER_KEY])
-    newest = F.max_by(F.struct(*cols), order).alias("_row")
-    return fingerprinted.groupBy(*by, "fingerprint").agg(newest).select(*by, "fingerprint", "_row.*")
+    ids = fingerprinted.groupBy(*by, "fingerprint").agg(F.max_by("id", order).alias("id"))
+    rest = [c for c in fingerprinted.columns if c not in (*by, "fingerprint", "id")]
+    if not rest:
+        return ids.join(fingerprinted.select(*by, "fingerprint", "id"), [*by, "fingerprint", "id"])
+    return ids.join(fingerprinted.select("id", *rest), "id")
 
 
 def sample_positions(n: Column, k: int) -> Column:

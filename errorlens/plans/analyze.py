@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorlens.functions.responses import confidence, parse_response
-from errorlens.operators.clusters import most_recent_entry, with_fingerprint
+from errorlens.operators.clusters import most_recent_entry, newest_entries, with_fingerprint
 from errorlens.operators.insight import analysis_prompts, complete
 
 
@@ -20,8 +20,13 @@ def analyze(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | N
             context: DataFrame | None = None, mode: str = "core", asof=None,
             partitions: int | None = None) -> DataFrame:
     """One analysis row per cluster: sections, patch, confidence, answer."""
-    fp = with_fingerprint(logs, mode).select("fingerprint", "id", "timestamp", "stack_trace", "message")
-    prompts = analysis_prompts(clusters, most_recent_entry(fp), context)
+    if "newest_id" in clusters.columns:
+        newest = newest_entries(logs, clusters)
+        clusters = clusters.drop("newest_id")
+    else:
+        fp = with_fingerprint(logs, mode).select("fingerprint", "id", "timestamp", "stack_trace", "message")
+        newest = most_recent_entry(fp)
+    prompts = analysis_prompts(clusters, newest, context)
     answered = complete(prompts, model, partitions)
     parsed = answered.select("cluster_id", "fingerprint", "response",
                              parse_response("response", mode).alias("p"),
