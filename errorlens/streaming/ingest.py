@@ -95,17 +95,43 @@ def stream_clusters(stream: DataFrame, state_path: str, checkpoint: str, mode: s
     return w.start()
 
 
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def _seconds(duration: str) -> int:
+    import re
+    m = re.fullmatch(r"\s*(\d+)\s*(second|minute|hour|day|week)s?\s*", duration.lower())
+    if not m:
+        raise ValueError(f"window length not understood: {duration!r}")
+    return int(m.group(1)) * _UNIT_SECONDS[m.group(2)]
+
+
+def _wall_clock_start(spark, window: str) -> str:
+    """Window start offset that lines windows up with the wall clock of the
+    session time zone (event times stored without a zone are wall-clock
+    times; windows count from the epoch in UTC)."""
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+    tz = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    offset = int(datetime(2024, 1, 1, tzinfo=tz).utcoffset().total_seconds())
+    return f"{(-offset) % _seconds(window)} seconds"
+
+
 def stream_scan(stream: DataFrame, window: str = "1 hour", watermark: str = "1 hour",
                 mode: str = "cloud") -> DataFrame:
     """Clusters per event-time window and app. Rows later than the
     watermark are dropped; a window is emitted once the watermark passes
     its end (append mode). The event time is cast to ``timestamp``, which a
-    watermark requires."""
+    watermark requires. Windows start on the wall clock of the session time
+    zone (an hour window runs from :00 to :00 local time, also where the
+    zone is not a whole number of hours from UTC)."""
+    start = _wall_clock_start(stream.sparkSession, window)
     rows = (stream.filter(is_error("level"))
             .withColumn("event_time", F.col("timestamp").cast("timestamp"))
             .withWatermark("event_time", watermark)
             .withColumn("fingerprint", fingerprint(mode)))
-    return rows.groupBy(F.window("event_time", window).alias("w"), "app_id", "fingerprint").agg(
+    w = F.window("event_time", window, startTime=start)
+    return rows.groupBy(w.alias("w"), "app_id", "fingerprint").agg(
         F.count(F.lit(1)).alias("occurrence_count"),
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
