@@ -76,14 +76,20 @@ def fingerprint(mode: str = "core", frames: int = 5, trace="stack_trace",
 
 def cluster_id(fp) -> Column:
     """``ERR-`` and 8 upper hex digits of the Java string hash of the
-    fingerprint (UTF-16 code units, 32-bit wrap-around)."""
+    fingerprint (UTF-16 code units, 32-bit wrap-around). Text inside the
+    Basic Multilingual Plane hashes its chars directly; text with chars
+    beyond it goes through its UTF-16 encoding."""
+    def step(acc, unit):
+        return (acc * 31 + unit) % F.lit(4294967296)
+
     def on_fp(f):
+        chars = F.aggregate(F.transform(F.split(f, ""), lambda c: F.ascii(c).cast("bigint")),
+                            F.lit(0).cast("bigint"), step)
         # UTF-16 code units as 4-hex-digit chunks
         units = F.split(F.hex(F.encode(f, "UTF-16BE")), r"(?<=\G.{4})", -1)
-        h = F.aggregate(
-            F.filter(units, lambda u: F.length(u) == 4),
-            F.lit(0).cast("bigint"),
-            lambda acc, u: (acc * 31 + F.conv(u, 16, 10).cast("bigint")) % F.lit(4294967296))
+        coded = F.aggregate(F.filter(units, lambda u: F.length(u) == 4), F.lit(0).cast("bigint"),
+                            lambda acc, u: step(acc, F.conv(u, 16, 10).cast("bigint")))
+        h = F.when(f.rlike(r"[\x{10000}-\x{10FFFF}]"), coded).otherwise(chars)
         return F.when(f.isNotNull(), F.format_string("ERR-%08X", h))
     return let(as_col(fp), on_fp)
 
