@@ -175,8 +175,7 @@ def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
         leaders = new_leaders if leaders is None else leaders.unionByName(new_leaders)
         if undecided.isEmpty():
             break
-    if materialize:
-        leaders = checkpoint(leaders)
+    # leaders: a union of filters over checkpointed rounds, already a short lineage
     best = _neighbour_min(nodes, leaders, pairs,
                           F.struct(F.col("rank").alias("r"), F.col("fingerprint").alias("id")), "_best")
     is_leader = best.join(leaders.select("fingerprint", F.lit(True).alias("_is")), "fingerprint", "left")
