@@ -42,3 +42,28 @@ def cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, hours: floa
         "logs_scanned": F.col("logs_scanned"), "errors_found": F.col("errors_found"),
         "clusters_created": F.col("clusters_created")}))
     return {"clusters": clusters, "state": next_state, "event": event}
+
+
+def run_cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, state_path: str,
+                   hours: float = 24, cap: int | None = None, scan_id: str = "scan") -> dict:
+    """Lifecycle B as one job: the scan's rows are counted by an
+    ``Observation`` while they are clustered (no second pass for the run
+    record), the clusters are checkpointed once, the next state is written
+    as a new snapshot version, and the closing event is returned as a
+    one-row DataFrame with ``state_path``."""
+    from errorlens.operators.report import observe_scan
+    from errorlens.operators.state import write_snapshot
+    from errorlens.session import checkpoint
+    rows = errors(since(for_app(logs, app_id), asof, hours))
+    if cap is not None:
+        rows = capped_scan(rows, cap)
+    observed, obs = observe_scan(rows, f"scan-{scan_id}")
+    clusters = checkpoint(cluster_errors(observed, mode="cloud"))
+    scanned = obs.get.get("logs_scanned", 0)
+    path = write_snapshot(upsert_clusters(for_app(state, app_id), clusters, asof), state_path)
+    n_clusters = clusters.count()
+    at = ts_value(logs, asof)
+    event = logs.sparkSession.range(1).select(*scan_event(F.lit(scan_id), F.lit(app_id), "COMPLETED", at, {
+        "logs_scanned": F.lit(scanned), "errors_found": F.lit(scanned),
+        "clusters_created": F.lit(n_clusters)}))
+    return {"state_path": path, "event": event}

@@ -122,3 +122,23 @@ def test_json_rows_mapping(spark):
     got = df.select("id", "level", "mdc_context", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("t")).collect()
     assert [(r.id, r.level) for r in got] == [(1, "WARN"), (2, "INFO")]
     assert got[0].mdc_context == {"traceId": "t1"} and got[0].t == "2024-01-02 03:04:05.678"
+
+
+def test_run_cloud_scan_observes_counts(spark):
+    import tempfile
+    import __spark_entry__ as E
+    from errorlens.operators import filters as FL
+    from errorlens.operators.state import read_snapshot
+    from errorlens.plans.scan import cloud_scan, run_cloud_scan
+    d = "/root/testdata/sf0.001"
+    lg = E.logs(spark, d)
+    st = E.state(spark, d)
+    asof = FL.asof_of(lg)
+    base = tempfile.mkdtemp(prefix="errorlens-state-")
+    out = run_cloud_scan(lg, st, "app-1", asof, base, hours=240)
+    ev = out["event"].first()
+    ref = cloud_scan(lg, st, "app-1", asof, hours=240)
+    want = ref["event"].first()
+    assert (ev.logs_scanned, ev.errors_found, ev.clusters_created) == (
+        want.logs_scanned, want.errors_found, want.clusters_created)
+    assert read_snapshot(spark, base).count() == ref["state"].count()
