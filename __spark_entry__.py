@@ -1179,9 +1179,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_top_clusters(spark, SMOKE_DIR)
 
 
+# The corpus operators are a subpackage that can be absent.
+try:
+    import corpus_pipeline
+    from errorlens.llm import queries as corpus_queries
+except ImportError:
+    corpus_pipeline = corpus_queries = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    if corpus_queries is None:
+        return dict(_QUERIES)
+    return {**_QUERIES, **corpus_queries.queries(), "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    if corpus_queries is None:
+        return dict(_ORACLES)
+    sql = {**_ORACLES, **corpus_queries.oracle_sql()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
