@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, mixing, secrets, sharding, simhash
+from . import classifier, decontaminate, fingerprints, mixing, secret_scan, sharding, simhash
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -29,14 +33,14 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(table(spark, sf_dir, "documents"))[0]
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))[0]
 
 
 def op10_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-_QUERIES = [op1_minimax_shards, op2_simhash_components, op5_quartile_digests, op6_source_mix, op8_secret_ledger,
+_QUERIES = [op1_minimax_shards, op2_simhash_components, op4_byte_convnet, op5_quartile_digests, op6_source_mix, op8_secret_ledger,
             op10_benchmark_phrases]
 
 

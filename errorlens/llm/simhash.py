@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_arrow
+from .common import checkpoint, map_arrow, row_hash
 
 FAN = 16
 #: A group of more fingerprints is split by further bands.
@@ -54,11 +54,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint's bits as a long) of every row."""
+    """doc_id, ``key`` (a hash of the text) and ``fp`` (the fingerprint's
+    bits as a long) of every row."""
     def run(b: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64)
-        return {"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+        return {"doc_id": b.column("doc_id"), "key": b.column("key"), "fp": pa.array(fps.view(np.int64))}
+    return map_arrow(docs.select("doc_id", "text", text_key().alias("key")), run, "doc_id long, key long, fp long")
+
+
+def text_key() -> Column:
+    return row_hash(F.coalesce(F.col("text"), F.lit("")))
 
 
 # ------------------------------------------------------- the index in a task
@@ -241,6 +246,17 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(docs: DataFrame, words: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, fp) of every row, and (fp, least, root) of every
+    fingerprint: its smallest (id, key) and the root of its component."""
+    rows = checkpoint(fingerprints(docs, words))
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min(at).alias("least")))
+    roots = components(links(nodes.select("fp"), distance))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows, checkpoint(rooted)
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of
     ``docs``: the smallest doc_id that a chain of fingerprints, each within
@@ -252,27 +268,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     are ignored; an empty table gives an empty result. Equal fingerprints
     are one node with their smallest doc_id, so a group of copies of any
     size costs one row."""
-    rows = checkpoint(fingerprints(docs, words))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("_least")))
-    roots = components(links(nodes.select("fp"), distance))
-    rooted = checkpoint(nodes.join(roots, nodes["fp"] == roots["node"], "left")
-                        .select("fp", "_least", F.coalesce("root", "fp").alias("_root")))
-    least = checkpoint(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")))
-    named = checkpoint(rooted.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id"))
+    rows, rooted = _rooted(docs, words, distance)
+    least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("_first")))
+    named = checkpoint(rooted.select(F.col("fp").alias("_fp"), "root").join(least, "root")
+                       .select("_fp", F.col("_first.doc_id").alias("component_id")))
     return rows.join(named, rows["fp"] == named["_fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the
-    smallest doc_id of each, and one of several rows with that id. A
-    component without ids keeps one row."""
-    found = checkpoint(near_duplicates(docs, words, distance))
-    keep = checkpoint(found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp"))
-                      .agg(F.count(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 1)).alias("_n")))
-    ids = keep.select(F.col("component_id").alias("_keep"))
-    kept = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    # ids repeat only in tables with repeated rows; then one of them stays
-    if keep.where("_n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """The rows of ``docs`` that stand for their component: of each the one
+    with the smallest doc_id (rows without an id last, ties by text hash).
+    Of rows equal in id and text one stays."""
+    rows, rooted = _rooted(docs, words, distance)
+    keep = rooted.groupBy("root").agg(F.min("least").alias("_first")).select(
+        F.col("_first.doc_id").alias("_id"), F.col("_first.key").alias("_key"))
+    keep = checkpoint(keep)
+    chosen = (F.col("_h") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = docs.withColumn("_h", text_key()).join(keep, chosen, "left_semi")
+    # rows repeat only in tables that hold whole copies of rows
+    if rows.count() != rows.select("doc_id", "key").distinct().count():
+        kept = kept.dropDuplicates(["doc_id", "_h"])
+    return kept.drop("_h")
