@@ -106,7 +106,9 @@ def license_matches(docs: DataFrame, marks: DataFrame) -> DataFrame:
                        F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
     # the shingles of all lengths in one array; those of a length start at its base
     arrays = [shingles(F.col("w"), n) for n in lengths]
-    rows = held.select("doc_id", "key", F.size("w").alias("_n"), F.concat(*arrays).alias("h"))
+    # one row from one row: the optimizer can't copy the expression into the
+    # filter and the uses below
+    rows = held.select("doc_id", "key", F.size("w").alias("_n"), F.explode_outer(F.array(F.concat(*arrays))).alias("h"))
     known = [r[0] for r in wanted.select("h").distinct().limit(LITERALS + 1).collect()]
     if len(known) <= LITERALS:
         rows = rows.where(F.arrays_overlap("h", F.array(*[F.lit(x) for x in known])))
@@ -124,8 +126,8 @@ def license_matches(docs: DataFrame, marks: DataFrame) -> DataFrame:
     cut = F.expr("slice(h, base + window * class + 1, least(if(class = 1, 1, 2 * class), count - window * class))")
     at = ["doc_id", "key", "length", "class", "window"]
     wins = (found.select("*", F.explode(steps).alias("window")).select(*at, cut.alias("hashes")).dropDuplicates(at))
-    bands = wins.select(*at, "hashes", F.posexplode(signature(F.col("hashes"))).alias("band", "value"))
-    marked = checkpoint(pieces.select("license", "length", "class", F.posexplode(signature(F.col("piece"))).alias("band", "value"))
+    bands = wins.select(*at, "hashes", F.posexplode_outer(signature(F.col("hashes"))).alias("band", "value"))
+    marked = checkpoint(pieces.select("license", "length", "class", F.posexplode_outer(signature(F.col("piece"))).alias("band", "value"))
                         .distinct())
     candidates = bands.join(F.broadcast(marked), ["length", "class", "band", "value"]).select(*at, "license", "hashes").dropDuplicates([*at, "license"])
 
