@@ -29,8 +29,8 @@ def words(text: Column) -> Column:
     """The words of a text (A-Z lower-cased) in order, then the empty term
     `END`. Null text has no words."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    # a leading separator would give an empty first word
-    return F.split(F.concat(F.regexp_replace(low, "^" + SEPARATOR, ""), F.lit(" ")), SEPARATOR)
+    # between a word and a separator: nothing but the end gives an empty term
+    return F.slice(F.split(F.concat(F.lit("a "), low, F.lit(" ")), SEPARATOR), 2, 1 << 30)
 
 
 def windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
@@ -97,7 +97,7 @@ def phrase_matches(index: DataFrame, wins: DataFrame, reach: int = 12) -> DataFr
     window's other terms, the rarest first: a term must stand at its offset
     from the anchor, or the candidate ends there."""
     # F.forall stops at the first term that misses
-    every = F.expr(f"forall(ranked, r -> around[{reach} + r - offset] <=> words[r])")
+    every = F.expr(f"forall(ranked, r -> get(around, {reach} + r - offset) <=> words[r])")
     return (index.where(F.col("term") != END).join(_bounded(wins, F.size("words") * 24 + 64), "term").where(every)
             .select("doc_id", "key", "item_id", (F.col("pos") - F.col("offset")).alias("start"),
                     F.size("words").alias("length")))
