@@ -146,7 +146,7 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def split_bits(bits: list[int], parts: int) -> list[int]:
     """Masks of ``parts`` bands that cover the given bit places."""
-    return [sum(1 << b for b in band) for band in np.array_split(np.array(bits), parts) if len(band)]
+    return [sum(1 << int(b) for b in band) for band in np.array_split(np.array(bits), parts) if len(band)]
 
 
 def signed(x: int) -> int:
