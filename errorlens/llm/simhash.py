@@ -3,8 +3,8 @@
 Fingerprints that differ in at most ``distance`` bits agree on at least one
 of ``distance + 1`` bit bands, so the groups of fingerprints that share a
 band's masked pattern are the top nodes of the index. A group that is too
-large for a task is split again: its fingerprints, which now differ in the
-other bits only, share one of ``distance + 1`` bands of those. Inside a
+large for a task is split again: two of its fingerprints in reach agree on
+one of ``distance + 1`` bands of the bits that vary in the group. Inside a
 group the fingerprints stand in the order of their Gray rank; runs of 16
 are factored into a node that holds the bits they share, runs of 16 nodes
 again. Pairs of nodes whose shared patterns already differ in more than
@@ -195,32 +195,43 @@ def _group_links(rows: DataFrame, distance: int) -> DataFrame:
     return spread.sortWithinPartitions("mask", "pattern").select("mask", "pattern", "fp").mapInArrow(run, "a long, b long")
 
 
+def _bands_of(large: DataFrame, parts: int) -> DataFrame:
+    """``large`` (mask, pattern, varying) with ``masks``: the bits that all
+    fingerprints of the group share, joined with each of ``parts`` bands of
+    the bits that vary in it."""
+    def run(b: pa.RecordBatch) -> dict:
+        masks = []
+        for v in b.column("varying").to_pylist():
+            bits = [k for k in range(64) if v >> k & 1]
+            masks.append([signed((~v | m) % (1 << 64)) for m in split_bits(bits, parts)])
+        return {"mask": b.column("mask"), "pattern": b.column("pattern"), "masks": pa.array(masks, pa.list_(pa.int64()))}
+    return map_arrow(large.select("mask", "pattern", "varying"), run, "mask long, pattern long, masks array<bigint>")
+
+
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp)
     within ``distance`` bits, directly or in steps inside a group. No two
-    linked fingerprints are lost; not every pair is listed."""
+    linked fingerprints are lost; not every pair is listed.
+
+    A group of over `GROUP_ROWS` fingerprints is split by bands of the bits
+    that vary in it, which also splits a dense cluster whose fingerprints
+    share most bits; each split takes a band from the varying bits, so a
+    few rounds end it."""
     parts = distance + 1
-    masks, level = split_bits(list(range(64)), parts), _banded(distinct, split_bits(list(range(64)), parts))
+    level = _banded(distinct, split_bits(list(range(64)), parts))
     out = None
-    while masks:
-        sizes = checkpoint(level.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-        large = sizes.where(F.col("_n") > GROUP_ROWS).drop("_n")
-        small = sizes.where(F.col("_n") <= GROUP_ROWS).drop("_n")
+    while True:
+        sizes = checkpoint(level.groupBy("mask", "pattern").agg(
+            F.count(F.lit(1)).alias("_n"), F.bit_and("fp").bitwiseXOR(F.bit_or("fp")).alias("varying")).where("_n > 1"))
+        large = sizes.where(F.col("_n") > GROUP_ROWS)
+        small = sizes.where(F.col("_n") <= GROUP_ROWS).select("mask", "pattern")
         found = _group_links(level.join(small, ["mask", "pattern"]), distance)
         out = found if out is None else out.unionByName(found)
-        hot = [r[0] for r in large.select("mask").distinct().collect()]  # a bounded number of masks
-        if not hot:
-            break
-        rows = checkpoint(level.join(large, ["mask", "pattern"]).select("mask", "fp"))
-        below = {m: [m % (1 << 64) | s for s in split_bits([b for b in range(64) if not m >> b & 1], parts)] for m in hot}
-        # groups of a mask whose bits are used up hold one fingerprint and can't be large
-        per = None
-        for m, subs in below.items():
-            own = _banded(rows.where(F.col("mask") == F.lit(m)).select("fp"), subs)
-            per = own if per is None else per.unionByName(own)
-        level = checkpoint(per.distinct())
-        masks = hot
-    return out
+        if not large.limit(1).count():
+            return out
+        split = checkpoint(_bands_of(large, parts))
+        rows = level.join(split, ["mask", "pattern"]).select("fp", F.explode_outer("masks").alias("mask"))
+        level = checkpoint(rows.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask"))).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
