@@ -30,7 +30,6 @@ from errorlens.operators import clusters as C
 from errorlens.operators import filters as FL
 from errorlens.operators import report as R
 from errorlens.operators import tenants as TN
-from errorlens.operators.parallel import spread
 from errorlens.sources import fixtures as FX
 from errorlens.session import checkpoint
 
@@ -151,13 +150,13 @@ def q_fingerprints_cloud(spark, sf_dir):
 
 @register("templates_core", f"SELECT doc_id, {O.normalize('text', 'core')} AS template FROM documents")
 def q_templates_core(spark, sf_dir):
-    docs = spread(FX.table(spark, sf_dir, "documents"))
+    docs = FX.table(spark, sf_dir, "documents")
     return docs.select("doc_id", normalize_message("text", "core").alias("template"))
 
 
 @register("templates_cloud", f"SELECT doc_id, {O.normalize('text', 'cloud')} AS template FROM documents")
 def q_templates_cloud(spark, sf_dir):
-    docs = spread(FX.table(spark, sf_dir, "documents"))
+    docs = FX.table(spark, sf_dir, "documents")
     return docs.select("doc_id", normalize_message("text", "cloud").alias("template"))
 
 
@@ -615,10 +614,39 @@ def q_similar_templates(spark, sf_dir):
                                             normalize_message("message_pattern").alias("template")))
 
 
-@register("merge_similar")
+# The greedy pass by its definition: clusters of an app in rank order, each
+# leads unless an earlier leader is related to it; it joins the first such.
+_MERGE_SQL = (
+    "n AS (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY occurrence_count DESC, last_seen DESC, fingerprint) "
+    "AS INTEGER) AS i, " + O.normalize("message_pattern") + " AS template FROM clusters)",
+    "rel AS (SELECT b.app_id, b.i, list(a.i ORDER BY a.i) AS earlier FROM n a JOIN n b ON a.app_id = b.app_id AND a.i < b.i "
+    "WHERE (a.exception_class IS NOT DISTINCT FROM b.exception_class AND (a.template = b.template OR 1.0::DOUBLE - "
+    "levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template), 1)::DOUBLE >= 0.7)) "
+    "OR (a.primary_class IS NOT NULL AND a.primary_class = b.primary_class AND a.primary_method IS NOT DISTINCT FROM "
+    "b.primary_method AND a.primary_line IS NOT DISTINCT FROM b.primary_line) GROUP BY b.app_id, b.i)",
+    "m AS (SELECT n.app_id, n.i, coalesce(rel.earlier, []) AS earlier FROM n LEFT JOIN rel ON rel.app_id = n.app_id AND rel.i = n.i)",
+    "pass(app_id, i, leaders) AS (SELECT app_id, 1, [1] FROM m WHERE i = 1 UNION ALL SELECT m.app_id, m.i, "
+    "CASE WHEN list_has_any(pass.leaders, m.earlier) THEN pass.leaders ELSE list_append(pass.leaders, m.i) END "
+    "FROM pass JOIN m ON m.app_id = pass.app_id AND m.i = pass.i + 1)",
+    "led AS (SELECT n.*, CASE WHEN list_contains(pass.leaders, n.i) THEN n.i ELSE list_min(list_intersect(pass.leaders, m.earlier)) "
+    "END AS lead FROM n JOIN m ON m.app_id = n.app_id AND m.i = n.i JOIN pass ON pass.app_id = n.app_id AND pass.i = n.i)",
+    "own AS (SELECT app_id, lead, sum(occurrence_count)::BIGINT AS occurrence_count, min(first_seen) AS first_seen, "
+    "max(last_seen) AS last_seen, count(*) AS merged_clusters, min(CASE WHEN i <> lead AND primary_file IS NOT NULL THEN i END) "
+    "AS taken FROM led GROUP BY app_id, lead)",
+)
+
+
+@register("merge_similar", W(O.clusters_cte("cloud", ("app_id",)), *_MERGE_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+          + "SELECT o.app_id, l.cluster_id, l.fingerprint, l.exception_class, l.message_pattern, "
+          + ", ".join(f"CASE WHEN l.primary_file IS NULL AND t.i IS NOT NULL THEN t.{c} ELSE l.{c} END AS {c}" for c in
+                      ("primary_file", "primary_line", "primary_method", "primary_class"))
+          + ", o.first_seen, o.last_seen, o.occurrence_count, CASE WHEN o.occurrence_count >= 100 THEN 'CRITICAL' "
+            "WHEN o.occurrence_count >= 50 THEN 'HIGH' WHEN o.occurrence_count >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity, "
+            "o.merged_clusters FROM own o JOIN n l ON l.app_id = o.app_id AND l.i = o.lead "
+            "LEFT JOIN n t ON t.app_id = o.app_id AND t.i = o.taken")
 def q_merge_similar(spark, sf_dir):
     from errorlens.operators.merge import merge_similar
-    return merge_similar(C.cluster_errors(logs(spark, sf_dir), mode="cloud").drop("app_id"))
+    return merge_similar(C.cluster_errors(logs(spark, sf_dir), mode="cloud"), by=["app_id"])
 
 
 # ---------------------------------------------------------------- cluster state
@@ -703,8 +731,7 @@ _PATCHES_SQL = ("patches AS (SELECT id AS cluster_id, '--- a/' || coalesce(prima
 
 
 @register("attach_patch", W(*O.state_ctes(), O.apps_cte(), _PATCHES_SQL,
-                            "mine AS (SELECT * FROM analyses WHERE cluster_id IN (SELECT id FROM state WHERE app_id IN "
-                            "(SELECT app_id FROM apps WHERE user_id = 'user-1')))",
+                            "mine AS (SELECT * FROM analyses)",
                             "newest AS (SELECT cluster_id, arg_max(id, row(created_at, id)) AS nid FROM mine GROUP BY cluster_id)")
           + "SELECT m.id, m.cluster_id, CASE WHEN p.patch IS NOT NULL THEN p.patch ELSE m.patch END AS patch, "
             "CASE WHEN p.patch IS NOT NULL THEN p.patch_file_name ELSE m.patch_file_name END AS patch_file_name, m.confidence "
@@ -714,8 +741,7 @@ _PATCHES_SQL = ("patches AS (SELECT id AS cluster_id, '--- a/' || coalesce(prima
 def q_attach_patch(spark, sf_dir):
     from errorlens.operators.state import attach_patch
     st = state(spark, sf_dir)
-    apps = FX.applications(spark)
-    mine = TN.scope_analyses_to_user(FX.analyses(spark, st), st, apps, "user-1")
+    mine = FX.analyses(spark, st)
     patches = spark.sql(FX.spark_sql(_PATCHES_SQL.split(" AS (", 1)[1][:-1].replace("FROM state", "FROM {state}")),
                         state=st)
     return attach_patch(mine, patches).select("id", "cluster_id", "patch", "patch_file_name", "confidence")
@@ -898,25 +924,22 @@ def q_analysis_prompts(spark, sf_dir):
 
 
 @register("patch_prompts", W(O.clusters_cte("core"), _GSRC, *O.state_ctes(),
-                             "ctx AS (SELECT * FROM (" + O.code_context_sql("clusters", "gsrc", plain=True) + "))",
-                             "an AS (SELECT cluster_id, arg_max_null(a, row(created_at, id)) AS r FROM analyses a GROUP BY cluster_id)",
-                             "keyed AS (SELECT s.id AS cluster_id, x.file_path, x.plain_context, x.method_body FROM state s "
-                             "JOIN clusters c ON c.primary_class = s.primary_class JOIN ctx x ON x.fingerprint = c.fingerprint)")
+                             "places AS (SELECT id AS fingerprint, primary_class, primary_line FROM state)",
+                             "ctx AS (SELECT * FROM (" + O.code_context_sql("places", "gsrc", plain=True) + "))",
+                             "an AS (SELECT cluster_id, arg_max_null(a, row(created_at, id)) AS r FROM analyses a GROUP BY cluster_id)")
           + "SELECT an.cluster_id, concat_ws(chr(10), 'Write a unified diff that fixes this error.', "
             "'Explanation: ' || an.r.explanation, 'Root cause: ' || an.r.root_cause, 'File: ' || k.file_path, "
             "'```java' || chr(10) || coalesce(k.method_body, k.plain_context) || chr(10) || '```', "
             "'PATCH:' || chr(10) || '```diff' || chr(10) || '[diff]' || chr(10) || '```') AS prompt "
-            "FROM an JOIN keyed k ON k.cluster_id = an.cluster_id")
+            "FROM an LEFT JOIN ctx k ON k.fingerprint = an.cluster_id")
 def q_patch_prompts(spark, sf_dir):
     from errorlens.operators.insight import patch_prompts
     st = state(spark, sf_dir)
     an = TN.latest_analysis(FX.analyses(spark, st))
-    lg = logs(spark, sf_dir)
-    _, ctx = _context(spark, sf_dir)
-    cl = C.cluster_errors(lg, "core").select("fingerprint", "primary_class")
-    ctx_by_class = ctx.join(cl, "fingerprint").select("primary_class", "file_path", "plain_context", "method_body")
-    keyed = st.select(F.col("id").alias("cluster_id"), "primary_class").join(ctx_by_class, "primary_class")
-    return patch_prompts(an, keyed.drop("primary_class"))
+    from errorlens.operators.context import code_context, format_context
+    places = st.select(F.col("id").alias("fingerprint"), "primary_class", "primary_line", "primary_file")
+    ctx = format_context(code_context(places, checkpoint(FX.generated_sources(logs(spark, sf_dir)))))
+    return patch_prompts(an, ctx.withColumnRenamed("fingerprint", "cluster_id"))
 
 
 @register("complete_with_stub", W(O.clusters_cte("core"))
@@ -956,7 +979,9 @@ def _stream_input(spark, sf_dir: str, ordered: bool = False) -> str:
     stream meets the rows in event-time order (no late rows for R3)."""
     from errorlens.sources.logs import to_log_schema
     path = _scratch(spark, sf_dir, "stream-in")
-    lg = to_log_schema(logs(spark, sf_dir))
+    # levels as they come, not normalised
+    lg = to_log_schema(raw_logs(spark, sf_dir).withColumn("_raw", F.col("level")), keep=["_raw"])
+    lg = lg.withColumn("level", F.col("_raw")).drop("_raw")
     if not ordered:
         lg.repartition(8).write.parquet(path)
         return path
@@ -1140,6 +1165,24 @@ def q_cloud_scan_lifecycle(spark, sf_dir):
     return out["state"].select("id", "fingerprint", "occurrence_count", "status")
 
 
+def _snapshot_sql():
+    one = _ORACLES["cloud_scan_lifecycle"]
+    head, tail = one.rsplit("SELECT CASE WHEN s.fingerprint", 1)
+    return (head + "SELECT 'app-1' AS app_id, CASE WHEN s.fingerprint" + tail
+            + " UNION ALL SELECT app_id, id, fingerprint, occurrence_count, status FROM state WHERE app_id <> 'app-1'")
+
+
+@register("cloud_scan_snapshot", _snapshot_sql())
+def q_cloud_scan_snapshot(spark, sf_dir):
+    """The state that readers find after one app was scanned."""
+    from errorlens.operators.state import read_snapshot
+    from errorlens.plans.scan import run_cloud_scan
+    lg = logs(spark, sf_dir)
+    out = _scratch(spark, sf_dir, "cloud-state")
+    run_cloud_scan(lg, state(spark, sf_dir), "app-1", FL.asof_of(lg), out, hours=72)
+    return read_snapshot(spark, out).select("app_id", "id", "fingerprint", "occurrence_count", "status")
+
+
 @register("cloud_scan_event", W(f"rows AS (SELECT * FROM logs WHERE app_id = 'app-1' AND level IN ('ERROR', 'FATAL') "
                                 f"AND timestamp >= {ASOF} - INTERVAL 72 HOUR)",
                                 O.clusters_cte("cloud", ("app_id",), src="rows", name="scan"))

@@ -177,10 +177,11 @@ def simple_prompts(clusters: DataFrame, newest: DataFrame, by: tuple[str, ...] =
 
 
 def patch_prompts(analyses: DataFrame, context: DataFrame) -> DataFrame:
-    """L3: patch prompt from an analysis and the code; sections whose value
-    is missing are left out (``concat_ws`` skips nulls)."""
+    """L3: patch prompt from an analysis and the code (one ``context`` row
+    per cluster at most); sections whose value is missing are left out
+    (``concat_ws`` skips nulls), so a cluster without code keeps its prompt."""
     df = analyses.join(context.select("cluster_id", "file_path", "plain_context", "method_body"),
-                       "cluster_id")
+                       "cluster_id", "left")
     code = F.coalesce("method_body", "plain_context")
     prompt = F.concat_ws(
         "\n",

@@ -112,14 +112,20 @@ def similar_template_pairs(keys: DataFrame, threshold: float = THRESHOLD,
     return pairs.unionByName(swapped)
 
 
-def _nodes(clusters: DataFrame) -> DataFrame:
+def _scoped(by, col: str) -> Column:
+    """``col`` together with the ``by`` columns, as one text key."""
+    return F.to_json(F.struct(*by, col)) if by else F.col(col)
+
+
+def _nodes(clusters: DataFrame, by=()) -> DataFrame:
     rank = F.struct((-F.col("occurrence_count")).alias("c"),
                     (-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("t"),
                     F.col("fingerprint").alias("f"))
     lkey = F.when(F.col("primary_class").isNotNull(), F.struct(
-        "primary_class", "primary_method", "primary_line"))
+        *by, "primary_class", "primary_method", "primary_line"))
     return clusters.select(
-        "fingerprint", rank.alias("rank"), "exception_class",
+        _scoped(by, "fingerprint").alias("fingerprint"), rank.alias("rank"),
+        _scoped(by, "exception_class").alias("exception_class"),
         normalize_message("message_pattern", "core").alias("template"), lkey.alias("lkey"))
 
 
@@ -143,9 +149,11 @@ def _neighbour_min(nodes: DataFrame, members: DataFrame, pairs: DataFrame, value
 
 
 def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
-                  materialize: bool = True) -> DataFrame:
+                  materialize: bool = True, by=()) -> DataFrame:
     """``fingerprint -> leader`` (a leader maps to itself) of the greedy
-    merge.
+    merge. With ``by`` columns (``app_id``) clusters merge within equal
+    values only, and both columns hold the key of the columns and the
+    fingerprint.
 
     Rounds decide who leads: an undecided cluster with no undecided earlier
     neighbour leads; undecided clusters next to a new leader are followers
@@ -153,7 +161,7 @@ def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
     undecided, every follower joins its earliest-ranked leader neighbour,
     which is the leader that reaches it first in the sequential loop.
     """
-    nodes = _nodes(clusters)
+    nodes = _nodes(clusters, by)
     if materialize:
         nodes = checkpoint(nodes)
     pairs = similar_template_pairs(nodes.select("exception_class", "template"), threshold).select(
@@ -184,23 +192,33 @@ def merge_leaders(clusters: DataFrame, threshold: float = THRESHOLD,
 
 
 def merge_similar(clusters: DataFrame, threshold: float = THRESHOLD,
-                  materialize: bool = True) -> DataFrame:
+                  materialize: bool = True, by=()) -> DataFrame:
     """M1: clusters after the greedy merge. Counts add up, the seen range
     widens, pattern and class are the leader's; a leader without a location
     takes the location of its earliest-ranked absorbed cluster that has one;
-    severity is redone."""
-    leaders = merge_leaders(clusters, threshold, materialize)
-    c = clusters.join(leaders, "fingerprint")
+    severity is redone.
+
+    ``by`` names the columns that, with the fingerprint, are the key of
+    ``clusters``; merges stay within equal values. A key that stands twice
+    is an error: its counts would be added up more than once."""
+    by = list(by)
+    if materialize:
+        clusters = checkpoint(clusters)
+    twice = clusters.groupBy(*by, "fingerprint").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"clusters are not unique by {[*by, 'fingerprint']}: {twice[0].asDict()}")
+    leaders = merge_leaders(clusters, threshold, materialize, by).withColumnRenamed("fingerprint", "_id")
+    c = clusters.withColumn("_id", _scoped(by, "fingerprint")).join(leaders, "_id")
     rank = F.struct((-F.col("occurrence_count")).alias("c"),
                     (-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("t"),
                     F.col("fingerprint").alias("f"))
-    is_leader = F.col("fingerprint") == F.col("leader")
+    is_leader = F.col("_id") == F.col("leader")
     loc = F.struct("primary_file", "primary_line", "primary_method", "primary_class")
     agg = c.groupBy("leader").agg(
         F.sum("occurrence_count").alias("occurrence_count"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        F.max_by(F.struct("cluster_id", "exception_class", "message_pattern"),
+        F.max_by(F.struct(*by, "cluster_id", "fingerprint", "exception_class", "message_pattern"),
                  F.when(is_leader, F.lit(1))).alias("_lead"),
         F.max_by(loc, F.when(is_leader, F.lit(1))).alias("_own_loc"),
         F.min_by(loc, F.when(~is_leader & F.col("primary_file").isNotNull(), rank)).alias("_taken"),
@@ -208,7 +226,8 @@ def merge_similar(clusters: DataFrame, threshold: float = THRESHOLD,
     use = F.when(F.col("_own_loc.primary_file").isNotNull(), F.col("_own_loc")).otherwise(
         F.coalesce(F.col("_taken"), F.col("_own_loc")))
     return agg.select(
-        F.col("_lead.cluster_id").alias("cluster_id"), F.col("leader").alias("fingerprint"),
+        *[F.col(f"_lead.{b}").alias(b) for b in by],
+        F.col("_lead.cluster_id").alias("cluster_id"), F.col("_lead.fingerprint").alias("fingerprint"),
         F.col("_lead.exception_class").alias("exception_class"),
         F.col("_lead.message_pattern").alias("message_pattern"),
         use["primary_file"].alias("primary_file"), use["primary_line"].alias("primary_line"),

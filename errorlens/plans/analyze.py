@@ -19,22 +19,27 @@ from errorlens.operators.insight import analysis_prompts, complete
 def analyze(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | None],
             context: DataFrame | None = None, mode: str = "core", asof=None,
             partitions: int | None = None) -> DataFrame:
-    """One analysis row per cluster: sections, patch, confidence, answer."""
+    """One analysis row per answered cluster: sections, patch, confidence,
+    answer. Clusters with an ``app_id`` are joined to entries of their own
+    application only, and its column is kept. A failed call gives no row,
+    so it never hides an earlier analysis."""
+    by = ["app_id"] if "app_id" in clusters.columns else []
     if "newest_id" in clusters.columns:
-        newest = newest_entries(logs, clusters)
+        newest = newest_entries(logs, clusters, by)
         clusters = clusters.drop("newest_id")
     else:
-        fp = with_fingerprint(logs, mode).select("fingerprint", "id", "timestamp", "stack_trace", "message")
-        newest = most_recent_entry(fp)
-    prompts = analysis_prompts(clusters, newest, context)
-    answered = complete(prompts, model, partitions)
-    parsed = answered.select("cluster_id", "fingerprint", "response",
+        fp = with_fingerprint(logs, mode).select(*by, "fingerprint", "id", "timestamp", "stack_trace", "message")
+        newest = most_recent_entry(fp, by)
+    prompts = analysis_prompts(clusters, newest, context, by=by)
+    answered = complete(prompts, model, partitions).where(F.col("response").isNotNull())
+    parsed = answered.select(*by, "cluster_id", "fingerprint", "response",
                              parse_response("response", mode).alias("p"),
                              confidence("response", mode).alias("confidence"))
     created = F.lit(asof) if asof is not None else F.current_timestamp()
+    key = [F.concat(F.coalesce(F.col("app_id"), F.lit("")), F.lit(":"))] if by else []
     return parsed.select(
-        F.concat("cluster_id", F.lit("#"), F.sha2("response", 256).substr(1, 12)).alias("id"),
-        "cluster_id", F.col("p.explanation").alias("explanation"), F.col("p.root_cause").alias("root_cause"),
+        F.concat(*key, "cluster_id", F.lit("#"), F.sha2("response", 256).substr(1, 12)).alias("id"),
+        *by, "cluster_id", "fingerprint", F.col("p.explanation").alias("explanation"), F.col("p.root_cause").alias("root_cause"),
         F.col("p.recommendation").alias("recommendation"), F.col("p.patch").alias("patch"),
         F.lit(None).cast("string").alias("patch_file_name"), "confidence",
         F.col("response").alias("raw_response"), created.alias("created_at"))

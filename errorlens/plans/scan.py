@@ -48,8 +48,8 @@ def run_cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, state_p
                    hours: float = 24, cap: int | None = None, scan_id: str = "scan") -> dict:
     """Lifecycle B as one job: the scan's rows are counted by an
     ``Observation`` while they are clustered (no second pass for the run
-    record), the clusters are checkpointed once, the next state is written
-    as a new snapshot version, and the closing event is returned as a
+    record), the clusters are checkpointed once, the next state (this app's clusters
+    and the other apps' as they were) is written as a new snapshot version, and the closing event is returned as a
     one-row DataFrame with ``state_path``."""
     from errorlens.operators.report import observe_scan
     from errorlens.operators.state import write_snapshot
@@ -60,7 +60,9 @@ def run_cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, state_p
     observed, obs = observe_scan(rows, f"scan-{scan_id}")
     clusters = checkpoint(cluster_errors(observed, mode="cloud"))
     scanned = obs.get.get("logs_scanned", 0)
-    path = write_snapshot(upsert_clusters(for_app(state, app_id), clusters, asof), state_path)
+    mine = upsert_clusters(for_app(state, app_id), clusters, asof)
+    others = state.where(~F.col("app_id").eqNullSafe(F.lit(app_id)))
+    path = write_snapshot(mine.unionByName(others.select(*mine.columns)), state_path)
     n_clusters = clusters.count()
     at = ts_value(logs, asof)
     event = logs.sparkSession.range(1).select(*scan_event(F.lit(scan_id), F.lit(app_id), "COMPLETED", at, {

@@ -21,7 +21,7 @@ STORE_TEXT_SCHEMA = ("id bigint, timestamp bigint, level string, logger string,
                      "created_at bigint")
 
 
-def to_log_schema(df: DataFrame) -> DataFrame:
+def to_log_schema(df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """S1 mapping: any store row form to the canonical columns.
 
     Epoch-millisecond times become timestamps, ISO text times are parsed,
@@ -40,14 +40,14 @@ def to_log_schema(df: DataFrame) -> DataFrame:
             if src in ("bigint", "int"):
                 c = F.timestamp_millis(c)
             elif src == "string":
-                c = F.to_timestamp(c)
+                c = F.try_to_timestamp(c)
             c = c.cast("timestamp")
         elif name == "level":
             c = normalize_level(c)
         elif name == "mdc_context" and src == "string":
             c = F.when(F.trim(c).startswith("{"), F.from_json(c, "map<string,string>")).otherwise(parse_mdc(c))
         out.append(c.cast(dtype).alias(name))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 # The JSON row form of the hosted store and of its ingest API: times as ISO
@@ -72,16 +72,15 @@ def read_logs(spark: SparkSession, path: str | None, fmt: str = "parquet", schem
 
     ``fmt`` is any Spark source (``parquet``, ``json``, ``orc``, ``csv``,
     ``jdbc`` with its ``url``/``dbtable``/``partitionColumn`` options...); a
-    schema is passed so nothing is inferred. The canonical Parquet layout
-    needs no mapping and keeps filter pushdown and partition pruning.
+    schema is passed so nothing is inferred. Every table is mapped, so that
+    raw levels and text times never reach an operator; the day folder
+    (``log_date``) is kept for partition pruning.
     """
     reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path) if path is not None else reader.load()
-    if fmt == "parquet" and schema is None and set(LOG_SCHEMA.fieldNames()) <= set(df.columns):
-        return df
-    return to_log_schema(df)
+    return to_log_schema(df, keep=[c for c in df.columns if c == "log_date"])
 
 
 def with_ingest_defaults(df: DataFrame, now: Column | None = None) -> DataFrame:
@@ -167,7 +166,7 @@ def _records_to_entries(records: DataFrame) -> DataFrame:
     parsed = records.select(
         "file", "pos", first.alias("_h"), rest.alias("_t")).filter(F.col("_h").rlike(HEADER_RE))
     return parsed.select(
-        F.to_timestamp(F.regexp_extract("_h", HEADER_RE, 1), "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"),
+        F.try_to_timestamp(F.regexp_extract("_h", HEADER_RE, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("timestamp"),
         F.regexp_extract("_h", HEADER_RE, 2).alias("thread_name"),
         normalize_level(F.regexp_extract("_h", HEADER_RE, 3)).alias("level"),
         F.regexp_extract("_h", HEADER_RE, 4).alias("logger"),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorlens.functions.fingerprints import cluster_id, fingerprint
-from errorlens.functions.levels import at_least, is_error
+from errorlens.functions.levels import at_least, is_error, normalize_level
 from errorlens.functions.templates import normalize_message
 from errorlens.functions.traces import class_of_head_line, exception_head_line
 from errorlens.operators.clusters import severity
@@ -29,9 +29,9 @@ from errorlens.sources.logs import with_ingest_defaults
 
 def ingest_stream(stream: DataFrame, sink_path: str, checkpoint: str, threshold: str = "WARN",
                   trigger: str | None = "5 seconds", available_now: bool = False):
-    """Keep rows at or above ``threshold``, fill ``trace_id`` from the
+    """Keep rows whose level, normalised, is at or above ``threshold``, fill ``trace_id`` from the
     context, apply store defaults and append to the day-partitioned table."""
-    rows = stream.filter(at_least("level", threshold))
+    rows = stream.filter(at_least(normalize_level("level"), threshold))
     if "mdc_context" in rows.columns:
         rows = enrich_trace_id(rows)
     rows = with_ingest_defaults(rows)
@@ -43,7 +43,7 @@ def ingest_stream(stream: DataFrame, sink_path: str, checkpoint: str, threshold:
 
 def _running_clusters(stream: DataFrame, mode: str) -> DataFrame:
     order = F.struct("timestamp", "id")
-    rows = stream.filter(is_error("level")).select(
+    rows = stream.filter(is_error(normalize_level("level"))).select(
         "app_id", fingerprint(mode).alias("fingerprint"), "timestamp", "id", "message",
         exception_head_line("stack_trace", mode).alias("_head"),
         F.struct("file_name", "line_number", "method_name", "class_name").alias("_loc"))
@@ -126,7 +126,7 @@ def stream_scan(stream: DataFrame, window: str = "1 hour", watermark: str = "1 h
     zone (an hour window runs from :00 to :00 local time, also where the
     zone is not a whole number of hours from UTC)."""
     start = _wall_clock_start(stream.sparkSession, window)
-    rows = (stream.filter(is_error("level"))
+    rows = (stream.filter(is_error(normalize_level("level")))
             .withColumn("event_time", F.col("timestamp").cast("timestamp"))
             .withWatermark("event_time", watermark)
             .withColumn("fingerprint", fingerprint(mode)))

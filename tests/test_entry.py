@@ -20,7 +20,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle_but_the_iterative_ones():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= {"merge_similar", "report_json"}
+    assert missing - {q for q in E.queries() if q == "pipeline" or q.startswith("op")} <= {"report_json"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
