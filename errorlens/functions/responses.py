@@ -122,6 +122,7 @@ def _format_patch(p: Column) -> Column:
     return let(lf, lambda x: F.when(x.endswith("\n"), x).otherwise(F.concat(x, F.lit("\n"))))
 
 
+# Forms of a diff in an answer.
 CLOUD_BLOCK_RE = r"```(?:diff)?" + JS_SPACE_CLASS + r"*([\s\S]*?)```"
 CLOUD_DIFF_RE = r"((?:---[\s\S]*?\+\+\+[\s\S]*?@@[\s\S]+))"
 CORE_BLOCK_RE = r"(?s)```(?:diff)?\s*(.+?)```"

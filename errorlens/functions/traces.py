@@ -17,11 +17,9 @@ from errorlens.functions._util import JS_SPACE_CHARS, as_col, java_trim, js_trim
 # Line grammar of a Java stack trace.
 EXCEPTION_RE = r"\A([\w.$]+(?:Exception|Error|Throwable))(?::\s*(.*))?\z"
 EXCEPTION_NO_MESSAGE_RE = r"\A[\w.$]+(?:Exception|Error|Throwable)\z"
-FRAME_RE = r"\A\s*at\s+([\w.$]+)\.([\w$<>]+)\(([^)]+)\)\z"
-# The same test on the untrimmed line: the trimmed line starts with "at"
-# and ends with ")", so the trimmed chars are exactly the runs matched here.
+# A frame, on the untrimmed line: trimmed it starts with "at" and ends with
+# ")", so the trimmed chars are exactly the runs matched here.
 RAW_FRAME_RE = r"\A[\x00-\x20]*at\s+([\w.$]+)\.([\w$<>]+)\(([^)]+)\)[\x00-\x20]*\z"
-LOCATION_RE = r"\A(\w+\.java):(\d+)\z"
 CAUSE_RE = r"\ACaused by:\s*(.+)\z"
 MORE_RE = r"\A\s*\.\.\.\s*(\d+)\s+more\s*\z"
 LINE_SPLIT_RE = r"\r?\n"

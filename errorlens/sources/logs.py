@@ -98,7 +98,8 @@ def write_logs(df: DataFrame, path: str, now: Column | None = None, mode: str =
     """Append a batch to the canonical table, one folder per day, rows
     sorted by app and time inside each file (small row groups to skip)."""
     out = with_ingest_defaults(df, now)
-    (out.repartition("log_date").sortWithinPartitions("log_date", "app_id", "timestamp")
+    # a day larger than a partition should be is split, others are put together
+    (out.hint("rebalance", F.col("log_date")).sortWithinPartitions("log_date", "app_id", "timestamp")
         .write.mode(mode).partitionBy("log_date").parquet(path))
 
 

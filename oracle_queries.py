@@ -10,6 +10,7 @@ from __future__ import annotations
 from errorlens.sources.fixtures import log_view_sql
 
 LEVELS = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
+# Class-name prefixes of framework code.
 CORE_PREFIXES = ["java.", "javax.", "sun.", "com.sun.", "jdk.", "org.springframework.",
                  "org.apache.", "org.hibernate.", "org.slf4j.", "ch.qos.logback.",
                  "com.zaxxer.hikari.", "io.netty.", "reactor.", "com.fasterxml.jackson."]
@@ -41,6 +42,7 @@ def level_rank(e: str) -> str:
     return f"(CASE {whens} END)"
 
 
+# Its patterns and tokens are fixed values.
 def normalize(e: str, mode: str = "core") -> str:
     uuid = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
     rules = [
@@ -61,6 +63,7 @@ def normalize(e: str, mode: str = "core") -> str:
     return f"coalesce({out}, '')"
 
 
+# Line grammar of a Java stack trace.
 EXC = r"([\w.$]+(?:Exception|Error|Throwable))(?::\s*(.*))?"
 EXC_BARE = r"[\w.$]+(?:Exception|Error|Throwable)"
 FRAME = r"\s*at\s+([\w.$]+)\.([\w$<>]+)\(([^)]+)\)"
@@ -296,6 +299,7 @@ def frame_file(t: str) -> str:
 
 # ---------------------------------------------------------------- responses
 
+# Section markers of an answer.
 MARKERS = ["EXPLANATION", "ROOT_CAUSE", "RECOMMENDATION", "PATCH"]
 
 
