@@ -819,8 +819,29 @@ def q_patch_names(spark, sf_dir):
 def q_sample_logs(spark, sf_dir):
     from errorlens.operators.insight import sample_logs_by_pattern
     lg = logs(spark, sf_dir)
-    cl = C.cluster_errors(lg, mode="cloud").withColumn(
-        "message_pattern", F.regexp_replace("message_pattern", "<[A-Z]+>", "%"))
+    cl = C.cluster_errors(lg, mode="cloud")
+    return sample_logs_by_pattern(cl, lg, 3, prefix=50, tokens_as_wildcards=True).select(
+        "app_id", "fingerprint", "id", "sample_rank")
+
+
+@register("sample_logs_by_pattern", W(O.clusters_cte("cloud", ("app_id",)),
+                                      "c AS (SELECT app_id, fingerprint, message_pattern AS pat FROM clusters UNION ALL "
+                                      "SELECT app_id, 'none', '' FROM apps_seen UNION ALL SELECT app_id, 'short', 'O_' FROM apps_seen "
+                                      "UNION ALL SELECT app_id, 'absent', 'zzz absent zzz' FROM apps_seen)").replace(
+                                          "c AS (", "apps_seen AS (SELECT DISTINCT app_id FROM clusters), c AS (", 1)
+          + "SELECT * FROM (SELECT e.app_id, c.fingerprint, e.id, row_number() OVER (PARTITION BY e.app_id, c.fingerprint "
+            "ORDER BY e.timestamp DESC, e.id DESC) AS sample_rank FROM logs e JOIN c ON e.app_id = c.app_id "
+            "WHERE e.level IN ('ERROR', 'FATAL') AND e.message ILIKE '%' || c.pat || '%') WHERE sample_rank <= 3")
+def q_sample_logs_literal(spark, sf_dir):
+    """Patterns as stored, and for each application an empty one, a short
+    one with a wildcard and one that no row holds."""
+    from errorlens.operators.insight import sample_logs_by_pattern
+    lg = logs(spark, sf_dir)
+    cl = checkpoint(C.cluster_errors(lg, mode="cloud").select("app_id", "cluster_id", "fingerprint", "message_pattern"))
+    apps = cl.select("app_id").distinct()
+    for name, pattern in (("none", ""), ("short", "O_"), ("absent", "zzz absent zzz")):
+        cl = cl.unionByName(apps.select("app_id", F.lit(name).alias("cluster_id"), F.lit(name).alias("fingerprint"),
+                                        F.lit(pattern).alias("message_pattern")))
     return sample_logs_by_pattern(cl, lg, 3).select("app_id", "fingerprint", "id", "sample_rank")
 
 

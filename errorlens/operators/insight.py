@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from errorlens.functions.fingerprints import location_key
 from errorlens.functions.levels import has_stack_trace, is_error
+from errorlens.session import checkpoint
 
 NO_TRACE = "No stack trace available"
 NO_CODE = "Source code not available"
@@ -25,104 +26,106 @@ def _or(c: Column, default: str) -> Column:
     return F.coalesce(c, F.lit(default))
 
 
-def like_chunks(pattern: str) -> list[str]:
-    """Literal pieces of a LIKE pattern whose only wildcards are ``%`` and
-    ``_``: every match contains each piece."""
-    out, cur = [], []
-    for ch in pattern:
-        if ch in "%_":
-            if cur:
-                out.append("".join(cur))
-                cur = []
-        else:
-            cur.append(ch)
-    if cur:
-        out.append("".join(cur))
-    return out
-
-
-def _candidates(pdf_rows: pd.DataFrame, pdf_pats: pd.DataFrame) -> pd.DataFrame:
-    """Rows whose lower-cased message holds the longest literal piece of a
-    pattern (Aho-Corasick over the group's patterns); patterns without any
-    literal piece take every row. Exact prefilter: no true match is lost."""
-    cols = ["app_id", "id", "fingerprint"]
-    if pdf_rows.empty or pdf_pats.empty:
-        return pd.DataFrame({c: pd.Series(dtype="object" if c != "id" else "int64") for c in cols})
-    app = pdf_rows["app_id"].iloc[0]
-    by_piece: dict[str, list[str]] = {}
-    open_fps: list[str] = []
-    for fp, pat in zip(pdf_pats["fingerprint"], pdf_pats["_lower_prefix"]):
-        pieces = like_chunks(pat or "")
-        if pieces:
-            by_piece.setdefault(max(pieces, key=len), []).append(fp)
-        else:
-            open_fps.append(fp)
-    ids_out, fps_out = [], []
-    if by_piece:
-        import ahocorasick
-        automaton = ahocorasick.Automaton()
-        for piece, fps in by_piece.items():
-            automaton.add_word(piece, fps)
-        automaton.make_automaton()
-        for rid, msg in zip(pdf_rows["id"], pdf_rows["_lower_message"]):
-            if msg is None:
-                continue
-            seen = set()
-            for _, fps in automaton.iter(msg):
-                for fp in fps:
-                    if fp not in seen:
-                        seen.add(fp)
-                        ids_out.append(rid)
-                        fps_out.append(fp)
-    for fp in open_fps:
-        ids_out.extend(pdf_rows["id"].tolist())
-        fps_out.extend([fp] * len(pdf_rows))
-    return pd.DataFrame({"app_id": [app] * len(ids_out), "id": pd.Series(ids_out, dtype="int64"),
-                         "fingerprint": fps_out})
-
-
-def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3,
-                           rows_per_task: int = 1_000_000, salt: int = 64) -> DataFrame:
+GRAM = 3
+BROADCAST_BYTES = 64 << 20
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text."""
+    return F.array_distinct(F.when(F.length(text) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>")))
+
+
+def _anchors(patterns: DataFrame, rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """For each pattern with a literal piece: the run of its longest piece
+    (of three characters, or the whole piece) that fewest rows of its
+    application hold."""
+    each = None
+    for n in lengths:
+        own = patterns.filter(F.col("_n") == n).select("app_id", "fingerprint", F.explode(_grams(F.col("_piece"), n)).alias("gram"))
+        each = own if each is None else each.unionByName(own)
+    each = checkpoint(each)
+    held = rows.select("app_id", F.explode(F.concat(*[_grams(F.col("_low"), n) for n in lengths])).alias("gram"))
+    counts = (held.join(_bounded(each.select("app_id", "gram").distinct()), ["app_id", "gram"])
+              .groupBy("app_id", "gram").agg(F.count(F.lit(1)).alias("_rows")))
+    rarest = F.min(F.struct(F.coalesce("_rows", F.lit(0)).alias("rows"), "gram"))
+    return (each.join(counts, ["app_id", "gram"], "left").groupBy("app_id", "fingerprint").agg(rarest.alias("_a"))
+            .select("app_id", "fingerprint", F.col("_a.gram").alias("gram")))
+
+
+def _bounded(small: DataFrame) -> DataFrame:
+    """``small`` (narrow rows by cluster, checkpointed or cheap) marked for
+    broadcast if its counted rows fit; beyond that Spark joins by shuffle."""
+    return F.broadcast(small) if small.count() * 128 <= BROADCAST_BYTES else small
+
+
+def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3, prefix: int | None = None,
+                           tokens_as_wildcards: bool = False, salt: int = 64) -> DataFrame:
     """For each cluster, the newest ``k`` error rows of its application
-    whose message contains the first 50 chars of the cluster's pattern,
-    case ignored, ``%`` and ``_`` in the pattern acting as wildcards (every
-    other char is literal).
-
-    Never pairs every row with every cluster: each application's error rows
-    are split into parts of about ``rows_per_task`` rows, every part meets
-    its application's patterns in one cogrouped task that keeps only rows
-    holding a pattern's longest literal piece (Aho-Corasick), and only those
-    candidates get the exact case-blind LIKE. The newest ``k`` are taken per
-    cluster and salt first, then per cluster, so a pattern matching a third
-    of all rows is not ranked in one task.
-    """
-    prefix = F.coalesce(F.substring("message_pattern", 1, 50), F.lit(""))
+    whose message contains the cluster's pattern, case ignored, ``%`` and
+    ``_`` in the pattern acting as wildcards (every other char is literal).
+
+    ``prefix=50`` uses the first 50 chars of the pattern only, as the hosted
+    form does; ``tokens_as_wildcards`` lets the tokens of a template
+    (``<ID>``) match any text. A null or empty pattern matches every row.
+
+    Rows and patterns meet on (application, gram): the rarest run of three
+    characters of a pattern's longest literal piece, which every match
+    holds; then LIKE decides. Where the patterns fit a checked broadcast the
+    log isn't shuffled. Patterns without a literal piece take the newest
+    rows of their application. The newest ``k`` are taken per cluster and
+    salt first, then per cluster, so a pattern matching a third of all rows
+    is not ranked in one task."""
+    pattern = F.coalesce("message_pattern", F.lit(""))
+    if tokens_as_wildcards:
+        pattern = F.regexp_replace(pattern, "<[A-Z]+>", "%")
+    if prefix is not None:
+        pattern = F.substring(pattern, 1, prefix)
     # fresh column ids on both sides: the clusters usually derive from the same log table
-    c = clusters.select(*[F.col(x).alias(x) for x in ("app_id", "cluster_id", "fingerprint")],
-                        prefix.alias("_prefix"))
-    e = logs.filter(is_error("level")).select(
-        *[F.col(x).alias(x) for x in ("app_id", "id", "timestamp", "message", "stack_trace")])
-    parts = e.groupBy(F.col("app_id").alias("_app")).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_task)).cast("int").alias("_parts"))
-    rows = (e.join(parts, e["app_id"] == parts["_app"])
-            .select("app_id", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_part"), "id",
-                    F.lower("message").alias("_lower_message")))
-    pats = (c.join(parts, c["app_id"] == parts["_app"])
-            .select("app_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
-                    "fingerprint", F.lower("_prefix").alias("_lower_prefix")))
-    cand = rows.groupBy("app_id", "_part").cogroup(pats.groupBy("app_id", "_part")).applyInPandas(
-        _candidates, "app_id string, id long, fingerprint string")
-    like = F.concat(F.lit("%"), F.replace(F.col("_prefix"), F.lit("!"), F.lit("!!")), F.lit("%"))
-    cand = cand.select(F.col("app_id").alias("_ca"), F.col("id").alias("_cid"), F.col("fingerprint"))
-    hits = (e.join(cand, (e["app_id"] == cand["_ca"]) & (e["id"] == cand["_cid"])).drop("_ca", "_cid")
-            .join(c.withColumn("_like", like), ["app_id", "fingerprint"])
-            .filter(F.expr("message ILIKE _like ESCAPE '!'")))
+    c = checkpoint(clusters.select(*[F.col(x).alias(x) for x in ("app_id", "cluster_id", "fingerprint")],
+                                   pattern.alias("_pattern")))
+    longest = F.array_max(F.transform(F.split(F.lower("_pattern"), "[%_]"),
+                                      lambda x: F.struct(F.length(x).alias("n"), x.alias("piece"))))
+    c = c.select("*", longest.alias("_longest"),
+                 F.concat(F.lit("%"), F.replace(F.col("_pattern"), F.lit("!"), F.lit("!!")), F.lit("%")).alias("_like"))
+    c = checkpoint(c.select("app_id", "cluster_id", "fingerprint", "_like", F.col("_longest.piece").alias("_piece"),
+                            F.least(F.col("_longest.n"), F.lit(GRAM)).alias("_n")))
+    e = logs.filter(is_error("level") & F.col("message").isNotNull()).select(
+        *[F.col(x).alias(x) for x in ("app_id", "id", "timestamp", "message", "stack_trace")],
+        F.lower("message").alias("_low"))
+    names = ["app_id", "fingerprint", "cluster_id", "id", "timestamp", "message", "stack_trace"]
+    lengths = sorted(r[0] for r in c.select("_n").distinct().collect() if r[0])
+    hits = None
+    if lengths:
+        anchors = checkpoint(_anchors(c, e, lengths))
+        told = checkpoint(c.join(anchors, ["app_id", "fingerprint"]).select("app_id", "fingerprint", "cluster_id", "_like", "gram"))
+        held = e.select("*", F.explode(F.concat(*[_grams(F.col("_low"), n) for n in lengths])).alias("gram"))
+        hits = (held.join(_bounded(told), ["app_id", "gram"])
+                .filter(F.expr("message ILIKE _like ESCAPE '!'")).select(*names))
+    # without a literal piece: the newest rows of the application
+    free = c.filter(F.col("_n") == 0).select("app_id", "fingerprint", "cluster_id", "_like")
+    if free.limit(1).count():
+        some = e.join(free.select("app_id").distinct(), "app_id", "left_semi")
+        # a pattern of m "_" asks for a message of m chars: kept to those, per m
+        wanted = free.withColumn("_m", F.length(F.regexp_replace("_like", "%", "")))
+        sizes = wanted.select("app_id", "_m").distinct()
+        fits = some.join(sizes, "app_id").filter(F.length("message") >= F.col("_m"))
+        newest = [F.desc("timestamp"), F.desc("id")]
+        part = Window.partitionBy("app_id", "_m", F.pmod(F.xxhash64("id"), F.lit(salt))).orderBy(*newest)
+        whole = Window.partitionBy("app_id", "_m").orderBy(*newest)
+        few = fits.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= k)
+        few = few.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= k)
+        taken = few.join(wanted, ["app_id", "_m"]).select(*names)
+        hits = taken if hits is None else hits.unionByName(taken)
+    if hits is None:  # no clusters
+        hits = e.limit(0).select("*", F.lit("").alias("fingerprint"), F.lit("").alias("cluster_id")).select(*names)
     order = [F.desc("timestamp"), F.desc("id")]
     w1 = Window.partitionBy("app_id", "fingerprint", F.pmod(F.xxhash64("id"), F.lit(salt))).orderBy(*order)
     w2 = Window.partitionBy("app_id", "fingerprint").orderBy(*order)
     first = hits.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r")
     return (first.withColumn("sample_rank", F.row_number().over(w2)).filter(F.col("sample_rank") <= k)
-            .drop("_like", "_prefix"))
+            .drop("_r"))
 
 
 def analysis_prompts(clusters: DataFrame, newest: DataFrame, context: DataFrame | None = None,
