@@ -99,12 +99,24 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
     )
 
 
+#: Ids up to which a fetch of rows broadcasts them.
+FETCH_IDS = 1_000_000
+
+
+def fetch_rows(ids: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of a large table for a few ids. The ids are written once and
+    counted: up to `FETCH_IDS` they are broadcast, so the table is read in
+    place and never shuffled; more of them are joined by shuffle."""
+    ids = checkpoint(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= FETCH_IDS else ids, list(on))
+
+
 def newest_entries(logs: DataFrame, clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """W2 from a cluster table made ``with_newest_id``: the newest row of
     each cluster, read from the log table by id (a join with one row per
     cluster, so traces are neither parsed again nor shuffled)."""
     ids = clusters.select(*by, "fingerprint", F.col("newest_id").alias("id"))
-    return ids.join(logs, [*by, "id"] if by else ["id"])
+    return fetch_rows(ids, logs.filter(is_error("level")).drop("fingerprint"), [*by, "id"])
 
 
 def rank_clusters(clusters: DataFrame) -> DataFrame:
@@ -142,7 +154,7 @@ def most_recent_entry(fingerprinted: DataFrame, by: Sequence[str] = ()) -> DataF
     rest = [c for c in fingerprinted.columns if c not in (*by, "fingerprint", "id")]
     if not rest:
         return ids.join(fingerprinted.select(*by, "fingerprint", "id"), [*by, "fingerprint", "id"])
-    return ids.join(fingerprinted.select("id", *rest), "id")
+    return fetch_rows(ids, fingerprinted.select("id", *rest), ["id"])
 
 
 def sample_positions(n: Column, k: int) -> Column:
@@ -197,4 +209,4 @@ def sample_entries(fingerprinted: DataFrame, k: int = 3, by: Sequence[str] = (),
     rest = [c for c in fingerprinted.columns if c not in (*keys, "id")]
     if not rest:
         return sampled
-    return sampled.join(fingerprinted.select("id", *rest), "id")
+    return fetch_rows(sampled, fingerprinted.select("id", *rest), ["id"])

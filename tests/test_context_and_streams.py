@@ -190,3 +190,19 @@ def test_a_large_day_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     files = [f for f in os.listdir(f"{tmp_path}/t/log_date=2024-01-02") if f.startswith("part-")]
     assert len(files) > 3 and spark.read.parquet(f"{tmp_path}/t").count() == 200_000
+
+
+def test_newest_entries_do_not_shuffle_the_log(spark):
+    import __spark_entry__ as E
+    from errorlens.operators.clusters import cluster_errors, newest_entries
+    lg = E.logs(spark, "/root/testdata/sf0.001")
+    clusters = cluster_errors(lg, mode="cloud", with_newest_id=True)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = newest_entries(lg, clusters, ["app_id"])
+        assert rows.count() == clusters.count()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
