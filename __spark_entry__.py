@@ -568,6 +568,24 @@ def q_enrich_location(spark, sf_dir):
     return FL.enrich_location(lg).select("id", "class_name", "line_number")
 
 
+def _user_frame(field: str) -> str:
+    named = O.outer_frame_lines("stack_trace")
+    own = ("list_filter(" + named + ", lambda t: NOT " + O.framework(f"regexp_extract(t, {O.q(O.FRAME)}, 1)",
+                                                                     FL.CAPTURE_FRAMEWORK_PREFIXES) + ")[1]")
+    return O.frame_line(own) if field == "line" else f"regexp_extract({own}, {O.q(O.FRAME)}, 1)"
+
+
+@register("enrich_location_first_user", W()
+          + "SELECT id, CASE WHEN " + O.has_trace() + " THEN " + _user_frame("class") + " END AS class_name, CASE WHEN "
+          + O.has_trace() + " AND " + _user_frame("class") + " IS NOT NULL THEN " + _user_frame("line") + " END AS line_number FROM logs")
+def q_enrich_location_first_user(spark, sf_dir):
+    lg = logs(spark, sf_dir)
+    for c in ("class_name", "method_name", "file_name", "line_number"):
+        lg = lg.withColumn(c, F.lit(None).cast(lg.schema[c].dataType))
+    return FL.enrich_location(lg, "first_user").select("id", "class_name", "line_number")
+
+
+
 # ---------------------------------------------------------------- context maps
 
 def _mdc_text_sql(m: str) -> str:
@@ -963,6 +981,66 @@ def q_patch_prompts(spark, sf_dir):
     return patch_prompts(an, ctx.withColumnRenamed("fingerprint", "cluster_id"))
 
 
+_WHERE_SQL = ("coalesce(c.primary_class, '') || CASE WHEN length(c.primary_method) > 0 THEN '.' || c.primary_method ELSE '' END "
+              "|| CASE WHEN c.primary_line <> 0 THEN ':' || CAST(c.primary_line AS VARCHAR) ELSE '' END")
+
+
+def _or_sql(c: str, default: str) -> str:
+    return f"CASE WHEN length({c}) > 0 THEN {c} ELSE {default} END"
+
+
+_CLOUD_SAMPLE = ("first_hit AS (SELECT app_id, fingerprint, arg_max({'m': message, 't': stack_trace}, row(timestamp, id)) AS r FROM "
+                 "(SELECT c.fingerprint, e.* FROM logs e JOIN clusters c ON e.app_id = c.app_id WHERE e.level IN ('ERROR', 'FATAL') "
+                 "AND e.message ILIKE '%' || substr(coalesce(c.message_pattern, ''), 1, 50) || '%') GROUP BY app_id, fingerprint)")
+
+
+@register("analysis_prompts_cloud", W(O.clusters_cte("cloud", ("app_id",)), _CLOUD_SAMPLE)
+          + "SELECT c.app_id, c.cluster_id, c.fingerprint, 'Error to analyse' || chr(10) || chr(10) || 'Exception: ' || "
+          + _or_sql("c.exception_class", "'Unknown'") + " || chr(10) || 'Pattern: ' || " + _or_sql("c.message_pattern", "'N/A'")
+          + " || chr(10) || 'Count: ' || CAST(c.occurrence_count AS VARCHAR) || chr(10) || 'Where: ' || " + _WHERE_SQL
+          + " || chr(10) || chr(10) || '## Message' || chr(10) || "
+          + _or_sql("s.r.m", "CASE WHEN length(c.message_pattern) > 0 THEN c.message_pattern ELSE 'N/A' END")
+          + " || chr(10) || chr(10) || '## Trace' || chr(10) || '```' || chr(10) || " + _or_sql("s.r.t", "'No stack trace available'")
+          + " || chr(10) || '```' || chr(10) || chr(10) || 'File: ' || " + _or_sql("c.primary_file", "'Unknown'")
+          + " || chr(10) || 'Line: ' || CASE WHEN c.primary_line <> 0 THEN CAST(c.primary_line AS VARCHAR) ELSE 'Unknown' END "
+            "|| chr(10) || chr(10) || 'Answer with EXPLANATION:, ROOT_CAUSE:, RECOMMENDATION: and PATCH: sections.' AS prompt "
+            "FROM clusters c LEFT JOIN first_hit s ON s.app_id = c.app_id AND s.fingerprint = c.fingerprint")
+def q_analysis_prompts_cloud(spark, sf_dir):
+    from errorlens.operators.insight import cloud_analysis_prompts, sample_logs_by_pattern
+    lg = logs(spark, sf_dir)
+    cl = checkpoint(C.cluster_errors(lg, mode="cloud"))
+    return cloud_analysis_prompts(cl, sample_logs_by_pattern(cl, lg, 3, prefix=50))
+
+
+@register("patch_prompts_cloud", W(*O.state_ctes(),
+                                   "an AS (SELECT cluster_id, arg_max_null(a, row(created_at, id)) AS r FROM analyses a GROUP BY cluster_id)",
+                                   "er AS (SELECT app_id, arg_max_null(stack_trace, row(timestamp, id)) AS t FROM logs "
+                                   "WHERE level IN ('ERROR', 'FATAL') GROUP BY app_id)")
+          + "SELECT c.id AS cluster_id, c.app_id, concat_ws(chr(10), 'Write a unified diff that fixes this error.', 'Exception: ' || "
+          + _or_sql("c.exception_class", "'Unknown'") + ", 'Where: ' || " + _WHERE_SQL + ", 'File: ' || "
+          + _or_sql("c.primary_file", "'Unknown.java'")
+          + ", CASE WHEN length(an.r.root_cause) > 0 THEN chr(10) || '## Root cause' || chr(10) || an.r.root_cause END, "
+            "CASE WHEN length(an.r.recommendation) > 0 THEN chr(10) || '## Recommendation' || chr(10) || an.r.recommendation END, "
+            "CASE WHEN length(er.t) > 0 THEN chr(10) || '## Trace' || chr(10) || '```' || chr(10) || er.t || chr(10) || '```' END, "
+            "chr(10) || 'Answer with the diff alone: a/ and b/ file headers, @@ markers and three lines of context.') AS prompt "
+            "FROM state c LEFT JOIN an ON an.cluster_id = c.id LEFT JOIN er ON er.app_id = c.app_id")
+def q_patch_prompts_cloud(spark, sf_dir):
+    from errorlens.operators.insight import cloud_patch_prompts
+    st = state(spark, sf_dir)
+    newest = TN.latest_error_per_app(logs(spark, sf_dir))
+    return cloud_patch_prompts(st, TN.latest_analysis(FX.analyses(spark, st)), newest)
+
+
+@register("analyze_cloud", W(O.clusters_cte("cloud", ("app_id",)))
+          + "SELECT app_id, fingerprint, 'Exception: ' || CASE WHEN length(exception_class) > 0 THEN exception_class ELSE 'Unknown' END "
+            "AS explanation, 'unknown' AS root_cause FROM clusters")
+def q_analyze_cloud(spark, sf_dir):
+    from errorlens.plans.analyze import analyze_cloud
+    lg = logs(spark, sf_dir)
+    cl = checkpoint(C.cluster_errors(lg, mode="cloud"))
+    return analyze_cloud(lg, cl, _stub_model, partitions=4).select("app_id", "fingerprint", "explanation", "root_cause")
+
+
 @register("complete_with_stub", W(O.clusters_cte("core"))
           + "SELECT cluster_id, 'Exception: ' || coalesce(exception_class, 'Unknown') AS explanation, "
             "'unknown' AS root_cause, 'MEDIUM' AS confidence FROM clusters")

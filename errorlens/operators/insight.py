@@ -165,6 +165,65 @@ def analysis_prompts(clusters: DataFrame, newest: DataFrame, context: DataFrame
     return df.select(*by, "cluster_id", "fingerprint", prompt.alias("prompt"))
 
 
+def _text_or(c: str, default: str) -> Column:
+    """``c``, or ``default`` where it is null or empty."""
+    return F.when(F.length(c) > 0, F.col(c)).otherwise(F.lit(default))
+
+
+def _where() -> Column:
+    method = F.when(F.length("primary_method") > 0, F.concat(F.lit("."), F.col("primary_method"))).otherwise(F.lit(""))
+    line = F.when(F.col("primary_line") != 0, F.concat(F.lit(":"), F.col("primary_line"))).otherwise(F.lit(""))
+    return F.concat(F.coalesce("primary_class", F.lit("")), method, line)
+
+
+def cloud_analysis_prompts(clusters: DataFrame, samples: DataFrame) -> DataFrame:
+    """L1, cloud form: one prompt per cluster (``app_id``, ``fingerprint``)
+    with the first of its pattern samples (J5: ``sample_rank`` 1, message
+    and trace). No sample: the pattern stands for the message. An empty
+    text or line 0 counts as missing."""
+    first = samples.filter(F.col("sample_rank") == 1).select(
+        "app_id", "fingerprint", F.col("message").alias("_message"), F.col("stack_trace").alias("_trace"))
+    df = clusters.join(first, ["app_id", "fingerprint"], "left")
+    line = F.when(F.col("primary_line") != 0, F.col("primary_line").cast("string")).otherwise(F.lit("Unknown"))
+    message = F.when(F.length("_message") > 0, F.col("_message")).otherwise(_text_or("message_pattern", "N/A"))
+    prompt = F.concat(
+        F.lit("Error to analyse\n\nException: "), _text_or("exception_class", "Unknown"),
+        F.lit("\nPattern: "), _text_or("message_pattern", "N/A"),
+        F.lit("\nCount: "), F.col("occurrence_count").cast("string"), F.lit("\nWhere: "), _where(),
+        F.lit("\n\n## Message\n"), message, F.lit("\n\n## Trace\n```\n"), _text_or("_trace", NO_TRACE),
+        F.lit("\n```\n\nFile: "), _text_or("primary_file", "Unknown"), F.lit("\nLine: "), line,
+        F.lit("\n\nAnswer with EXPLANATION:, ROOT_CAUSE:, RECOMMENDATION: and PATCH: sections."))
+    return df.select("app_id", "cluster_id", "fingerprint", prompt.alias("prompt"))
+
+
+def cloud_patch_prompts(clusters: DataFrame, analyses: DataFrame, newest_errors: DataFrame,
+                        sources: DataFrame | None = None) -> DataFrame:
+    """L3, cloud form: one prompt per cluster (``id``, ``app_id``) with its
+    newest analysis (``cluster_id``, one row each), the trace of its
+    application's newest error (J6) and, where given, its source text
+    (``cluster_id``, ``source``). Sections without a value are left out."""
+    a = analyses.select(F.col("cluster_id").alias("id"), "root_cause", "recommendation")
+    e = newest_errors.select("app_id", F.col("stack_trace").alias("_trace"))
+    df = clusters.join(a, "id", "left").join(e, "app_id", "left")
+    if sources is None:
+        df = df.withColumn("_source", F.lit(None).cast("string"))
+    else:
+        df = df.join(sources.select(F.col("cluster_id").alias("id"), F.col("source").alias("_source")), "id", "left")
+
+    def section(title: str, c: str, fence: str | None = None) -> Column:
+        body = F.col(c) if fence is None else F.concat(F.lit(f"```{fence}\n"), F.col(c), F.lit("\n```"))
+        return F.when(F.length(c) > 0, F.concat(F.lit(f"\n## {title}\n"), body))
+
+    prompt = F.concat_ws(
+        "\n", F.lit("Write a unified diff that fixes this error."),
+        F.concat(F.lit("Exception: "), _text_or("exception_class", "Unknown")),
+        F.concat(F.lit("Where: "), _where()), F.concat(F.lit("File: "), _text_or("primary_file", "Unknown.java")),
+        section("Root cause", "root_cause"), section("Recommendation", "recommendation"),
+        section("Trace", "_trace", ""), section("Source", "_source", "java"),
+        F.lit("\nAnswer with the diff alone: a/ and b/ file headers, @@ markers and three lines of context."))
+    return df.select(F.col("id").alias("cluster_id"), "app_id", prompt.alias("prompt"))
+
+
 def simple_prompts(clusters: DataFrame, newest: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """L2: prompt without code: class, the newest message, its trace."""
     keys = [*by, "fingerprint"]

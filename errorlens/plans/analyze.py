@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from errorlens.functions.responses import confidence, parse_response
 from errorlens.operators.clusters import most_recent_entry, newest_entries, with_fingerprint
-from errorlens.operators.insight import analysis_prompts, complete
+from errorlens.operators.insight import analysis_prompts, cloud_analysis_prompts, complete, sample_logs_by_pattern
 
 
 def analyze(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | None],
@@ -32,6 +32,20 @@ def analyze(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | N
         newest = most_recent_entry(fp, by)
     prompts = analysis_prompts(clusters, newest, context, by=by)
     answered = complete(prompts, model, partitions).where(F.col("response").isNotNull())
+    return _analyses(answered, mode, asof, by)
+
+
+def analyze_cloud(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | None], asof=None,
+                  partitions: int | None = None, samples: int = 3) -> DataFrame:
+    """Lifecycle E as the hosted form runs it: pattern samples (J5, first 50
+    chars of the pattern) feed the prompt of each cluster (``app_id``,
+    ``fingerprint``); answers are parsed by the cloud rules."""
+    found = sample_logs_by_pattern(clusters, logs, samples, prefix=50)
+    answered = complete(cloud_analysis_prompts(clusters, found), model, partitions).where(F.col("response").isNotNull())
+    return _analyses(answered, "cloud", asof, ["app_id"])
+
+
+def _analyses(answered: DataFrame, mode: str, asof, by: list[str]) -> DataFrame:
     parsed = answered.select(*by, "cluster_id", "fingerprint", "response",
                              parse_response("response", mode).alias("p"),
                              confidence("response", mode).alias("confidence"))

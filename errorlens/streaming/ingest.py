@@ -22,7 +22,7 @@ from errorlens.functions.levels import at_least, is_error, normalize_level
 from errorlens.functions.templates import normalize_message
 from errorlens.functions.traces import class_of_head_line, exception_head_line
 from errorlens.operators.clusters import severity
-from errorlens.operators.filters import enrich_trace_id
+from errorlens.operators.filters import enrich_location, enrich_trace_id
 from errorlens.operators.state import latest_version, read_snapshot
 from errorlens.sources.logs import with_ingest_defaults
 
@@ -30,10 +30,11 @@ from errorlens.sources.logs import with_ingest_defaults
 def ingest_stream(stream: DataFrame, sink_path: str, checkpoint: str, threshold: str = "WARN",
                   trigger: str | None = "5 seconds", available_now: bool = False):
     """Keep rows whose level, normalised, is at or above ``threshold``, fill ``trace_id`` from the
-    context, apply store defaults and append to the day-partitioned table."""
+    context and a missing location from the trace, apply store defaults and append to the day-partitioned table."""
     rows = stream.filter(at_least(normalize_level("level"), threshold))
     if "mdc_context" in rows.columns:
         rows = enrich_trace_id(rows)
+    rows = enrich_location(rows, "first_user")
     rows = with_ingest_defaults(rows)
     w = (rows.writeStream.format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint).partitionBy("log_date").outputMode("append"))
