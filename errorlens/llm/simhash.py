@@ -25,7 +25,7 @@ from .common import checkpoint, map_arrow, row_hash
 
 FAN = 16
 #: A group of more fingerprints is split by further bands.
-GROUP_ROWS = 512
+GROUP_ROWS = 4096
 
 
 # ------------------------------------------------------------ fingerprints
@@ -77,9 +77,15 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 def linked_pairs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of one group within ``distance``. Rows must be
-    sorted by group and Gray rank. Works over all groups at once, from the
-    top nodes of the hierarchy down."""
+    """Places of all pairs of one group within ``distance``."""
+    chunks = list(linked_chunks(group, fps, distance))
+    return tuple(np.concatenate([c[i] for c in chunks]) if chunks else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def linked_chunks(group: np.ndarray, fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of one group within ``distance``, some at a time.
+    Rows must be sorted by group and Gray rank. Works over all groups at
+    once, from the top nodes of the hierarchy down."""
     levels = [(group, fps, fps)]  # (group, AND, OR) of the nodes of a level
     bounds = []                   # first child of each node
     while True:
@@ -106,8 +112,8 @@ def linked_pairs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.
     for level in range(len(levels) - 1, 0, -1):
         below, first = levels[level - 1], bounds[level - 1]
         out_a, out_b = [], []
-        for at in range(0, len(a), 1 << 14):  # a bounded frontier
-            pa_, pb_ = a[at:at + (1 << 14)], b[at:at + (1 << 14)]
+        for at in range(0, len(a), 1 << 12):  # a bounded frontier
+            pa_, pb_ = a[at:at + (1 << 12)], b[at:at + (1 << 12)]
             na, nb = first[pa_ + 1] - first[pa_], first[pb_ + 1] - first[pb_]
             each = na * nb
             pair = np.repeat(np.arange(len(pa_)), each)
@@ -119,26 +125,27 @@ def linked_pairs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.
             _, and_, or_ = below
             shared = ~((and_[ca] ^ or_[ca]) | (and_[cb] ^ or_[cb]))  # bits all of both nodes agree on
             near = np.bitwise_count((and_[ca] ^ and_[cb]) & shared) <= distance
+            if level == 1:
+                yield ca[near], cb[near]
+                continue
             out_a.append(ca[near])
             out_b.append(cb[near])
         a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return a, b
 
 
-def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def stars(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest place each of ``n`` places is connected with."""
     root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            break
+    for a, b in chunks:
+        while True:
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (root[root] != root).any():
+                root = root[root]
     return root
 
 
@@ -170,10 +177,14 @@ def _group_links(rows: DataFrame, distance: int) -> DataFrame:
             group = np.concatenate([[0], np.cumsum(change)])
             order = np.lexsort((gray_rank(fps), group))
             group, fps = group[order], np.ascontiguousarray(fps[order])
-            root = stars(len(fps), *linked_pairs(group, fps, distance))
-            own = np.flatnonzero(root != np.arange(len(fps)))
+            root = stars(len(fps), linked_chunks(group, fps, distance))
+            # the centre of a star is its smallest fingerprint, the same in every band
             out = fps.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out[own]), pa.array(out[root[own]])], names=["a", "b"])
+            least = out.copy()
+            np.minimum.at(least, root, out)
+            least = least[root]
+            own = np.flatnonzero(least != out)
+            return pa.RecordBatch.from_arrays([pa.array(out[own]), pa.array(least[own])], names=["a", "b"])
 
         for batch in batches:
             part = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("mask", "pattern", "fp")], axis=1)
@@ -239,7 +250,11 @@ def components(edges: DataFrame) -> DataFrame:
     the smallest node it is connected with. Large-star and small-star rounds
     (each node links its larger, then its smaller neighbours to the smallest)
     until nothing changes; edges stay distributed, the driver sees a count."""
+    def seen(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = seen(now)
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
@@ -250,10 +265,9 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")),
                                            F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
                  .select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct())
-        after = checkpoint(small)
-        changed = after.join(now, ["a", "b"], "left_anti").limit(1).count() or after.count() != now.count()
-        now = after
-        if not changed:
+        now, before = checkpoint(small), state
+        state = seen(now)
+        if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
