@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from conftest import ODD
+from corpus_rows import ODD
 from errorlens.llm import classifier as C
 from errorlens.llm.fingerprints import encode_texts
 

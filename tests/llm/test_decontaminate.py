@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from conftest import ODD, SMALL, documents
+from corpus_rows import ODD, SMALL, documents
 from errorlens.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import ODD, documents
+from corpus_rows import ODD, documents
 from errorlens.llm import fingerprints as P
 
 

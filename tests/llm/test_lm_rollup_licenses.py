@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from conftest import ODD, SMALL, documents
+from corpus_rows import ODD, SMALL, documents
 from errorlens.llm import licenses as L
 from errorlens.llm import lm_scores as M
 from errorlens.llm import token_rollup as R

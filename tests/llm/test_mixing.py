@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from conftest import ODD, documents
+from corpus_rows import ODD, documents
 from errorlens.llm import mixing as M
 
 

@@ -1,5 +1,5 @@
 import corpus_pipeline as P
-from conftest import SMALL
+from corpus_rows import SMALL
 
 
 def test_stages_in_order(spark):

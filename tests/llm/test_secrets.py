@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import ODD
+from corpus_rows import ODD
 from errorlens.llm import secret_scan as S
 from hypothesis import given, settings
 from hypothesis import strategies as st

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from conftest import ODD  # noqa: F401
+from corpus_rows import ODD  # noqa: F401
 from errorlens.llm import sharding as S
 
 

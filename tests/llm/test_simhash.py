@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import xxhash
-from conftest import ODD, documents
+from corpus_rows import ODD, documents
 from errorlens.llm import simhash as S
 
 
