@@ -59,8 +59,34 @@ def _band(length: Column, threshold: float) -> Column:
                    F.lit(math.log(1.0 / threshold))).cast("int")
 
 
+#: Longs of a template's character-pair bitmap.
+BITMAP = 8
+
+
+def _pair_bits(text: Column) -> list[Column]:
+    """The pairs of neighbouring characters of ``text``, hashed into a bitmap
+    of ``BITMAP`` longs."""
+    at = F.when(F.length(text) >= 2, F.transform(
+        F.sequence(F.lit(1), F.length(text) - 1),
+        lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(2))), F.lit(64 * BITMAP)).cast("int"))).otherwise(
+        F.array().cast("array<int>"))
+    one = F.lit(1).cast("bigint")
+
+    def word(k: int) -> Column:
+        mine = F.filter(at, lambda b: F.floor(b / 64) == k)
+        return F.aggregate(mine, F.lit(0).cast("bigint"),
+                           lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(b, F.lit(64)))))
+    return [word(k).alias(f"bits{k}") for k in range(BITMAP)]
+
+
+def _bits_apart(x: str, y: str) -> Column:
+    """Bits of ``x`` that ``y`` has not."""
+    each = [F.bit_count(F.col(f"{x}_bits{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_bits{k}")))) for k in range(BITMAP)]
+    return sum(each[1:], each[0])
+
+
 def similar_template_pairs(keys: DataFrame, threshold: float = THRESHOLD,
-                           block_rows: int = 2000) -> DataFrame:
+                           block_rows: int = 500) -> DataFrame:
     """J8 (template rule) over distinct ``(exception_class, template)`` keys:
     pairs of different templates of the same exception class (null equal
     to null) with similarity at least ``threshold``. Both directions.
@@ -70,17 +96,26 @@ def similar_template_pairs(keys: DataFrame, threshold: float = THRESHOLD,
     into salted parts on one side while the other side is copied to every
     part, so a crowded exception class is compared by many tasks, not one;
     every candidate pair is still compared exactly once.
+
+    Before ``levenshtein`` a bound that loses no pair: one edit takes at
+    most two of a text's character pairs away, so texts within ``d`` edits
+    have at most ``2 * d`` pairs (bits of their bitmaps) that the other has
+    not. Counting bits costs a few machine words a pair, and most unrelated
+    templates end there.
     """
     k = (keys.select("exception_class", "template").distinct()
+         .select("*", *_pair_bits(F.col("template")))
          .withColumn("len", F.length("template"))
          .withColumn("band", _band(F.col("len"), threshold))
          .withColumn("cnull", F.col("exception_class").isNull())
          .withColumn("ckey", F.coalesce("exception_class", F.lit(""))))
+    k = checkpoint(k)  # read five times below
     parts = (k.groupBy("cnull", "ckey", "band")
              .agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("parts")))
+    bits = [f"bits{i}" for i in range(BITMAP)]
     a = (k.join(parts, ["cnull", "ckey", "band"])
          .select(*[F.col(c).alias(f"a_{c}") for c in ("exception_class", "template", "len", "band", "cnull",
-                                                         "ckey")],
+                                                         "ckey", *bits)],
                  F.pmod(F.xxhash64("template"), F.col("parts")).cast("int").alias("a_part")))
     # every b row goes to the parts of the a blocks it can meet: same band and the band below
     b_same = k.join(parts, ["cnull", "ckey", "band"]).select(
@@ -89,7 +124,7 @@ def similar_template_pairs(keys: DataFrame, threshold: float = THRESHOLD,
                      ["cnull", "ckey", "band"])
     b = (b_same.unionByName(b_below)
          .select(*[F.col(c).alias(f"b_{c}") for c in ("exception_class", "template", "len", "band", "cnull",
-                                                         "ckey", "meet_band")],
+                                                         "ckey", "meet_band", *bits)],
                  F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b_part")))
     cond = ((a["a_cnull"] == b["b_cnull"]) & (a["a_ckey"] == b["b_ckey"])
             & (a["a_band"] == b["b_meet_band"]) & (a["a_part"] == b["b_part"])
@@ -98,18 +133,17 @@ def similar_template_pairs(keys: DataFrame, threshold: float = THRESHOLD,
     j = a.join(b, cond)
     m = F.greatest("a_len", "b_len")
     limit = (F.floor(m.cast("double") * (1.0 - threshold)) + 1).cast("int")
-    j = j.filter(F.abs(F.col("a_len") - F.col("b_len")) <= limit)
-    # the SQL form takes a per-row threshold and returns -1 past it
-    j = j.withColumn("_limit", limit).withColumn(
-        "_d", F.expr("levenshtein(a_template, b_template, _limit)")).filter(F.col("_d") >= 0)
-    sim = F.lit(1.0) - F.col("_d").cast("double") / m.cast("double")
-    pairs = j.filter(sim >= threshold).select(
-        F.col("a_exception_class").alias("exception_class"),
-        F.col("a_template").alias("template_a"), F.col("b_template").alias("template_b"),
-        sim.alias("similarity"))
-    swapped = pairs.select("exception_class", F.col("template_b").alias("template_a"),
-                           F.col("template_a").alias("template_b"), "similarity")
-    return pairs.unionByName(swapped)
+    possible = ((F.abs(F.col("a_len") - F.col("b_len")) <= limit)
+                & (_bits_apart("a", "b") <= 2 * limit) & (_bits_apart("b", "a") <= 2 * limit))
+    # one expression, so the optimizer can't put the distance before its
+    # bound; past its limit (-1 edits) a pair counts as m edits apart
+    edits = F.when(possible, F.pmod(F.call_function("levenshtein", F.col("a_template"), F.col("b_template"), limit), m + 1))
+    sim = F.lit(1.0) - edits.cast("double") / m.cast("double")
+    both = F.array(F.struct(F.col("a_template").alias("x"), F.col("b_template").alias("y")),
+                   F.struct(F.col("b_template").alias("x"), F.col("a_template").alias("y")))
+    return (j.withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
+            .select(F.col("a_exception_class").alias("exception_class"), F.explode(both).alias("_p"), "similarity")
+            .select("exception_class", F.col("_p.x").alias("template_a"), F.col("_p.y").alias("template_b"), "similarity"))
 
 
 def _scoped(by, col: str) -> Column:
