@@ -1175,7 +1175,7 @@ def q_ingest_stream(spark, sf_dir):
 
 @register("stream_clusters", W(O.clusters_cte("cloud", ("app_id",))) + f"SELECT app_id, {CLUSTER_COLS} FROM clusters")
 def q_stream_clusters(spark, sf_dir):
-    from errorlens.operators.state import read_snapshot
+    from errorlens.operators.state import read_changes
     from errorlens.sources.logs import stream_logs
     from errorlens.streaming.ingest import stream_clusters
     src = _stream_input(spark, sf_dir)
@@ -1183,7 +1183,7 @@ def q_stream_clusters(spark, sf_dir):
     q = stream_clusters(stream_logs(spark, src, max_files_per_trigger=4), out, out + "-ckpt",
                         mode="cloud", available_now=True)
     q.awaitTermination()
-    snap = read_snapshot(spark, out)
+    snap = read_changes(spark, out)
     return snap.select("app_id", *[F.col(c).cast("timestamp_ntz").alias(c) if c in ("first_seen", "last_seen")
                                    else F.col(c) for c in CLUSTER_COLS.split(", ")])
 
@@ -1294,6 +1294,18 @@ def q_cloud_scan_event(spark, sf_dir):
     return ev.select("scan_id", "app_id", "status", "logs_scanned", "errors_found", "clusters_created")
 
 
+@register("cloud_scan_events", _ORACLES["cloud_scan_event"]
+          + " UNION ALL SELECT 'scan', 'app-1', 'RUNNING', NULL, NULL, NULL")
+def q_cloud_scan_events(spark, sf_dir):
+    """The event table after a scan: its RUNNING and its closing event."""
+    from errorlens.plans.scan import run_cloud_scan
+    lg = logs(spark, sf_dir)
+    out = _scratch(spark, sf_dir, "cloud-events")
+    run_cloud_scan(lg, state(spark, sf_dir), "app-1", FL.asof_of(lg), out + "/state", hours=72, events_path=out + "/events")
+    return spark.read.parquet(out + "/events").select(
+        "scan_id", "app_id", "status", "logs_scanned", "errors_found", "clusters_created")
+
+
 @register("report_lifecycle", W(f"period AS (SELECT * FROM logs WHERE timestamp >= {ASOF} - INTERVAL 7 DAY "
                                 f"AND timestamp <= {ASOF})", O.clusters_cte("core", src="period"))
           + "SELECT level, count(*) AS count, count(*) / sum(count(*)) OVER () * 100 AS percent, "

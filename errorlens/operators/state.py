@@ -118,6 +118,11 @@ def scan_event(scan_id: Column, app_id: Column, status: str, at: Column,
             (config if config is not None else F.lit(None)).cast("string").alias("scan_config")]
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    """Add scan events to the event table at ``path``."""
+    events.select(*SCAN_EVENT_COLUMNS).coalesce(1).write.mode("append").parquet(path)
+
+
 # ---------------------------------------------------------------- U5
 
 def attach_patch(analyses: DataFrame, patches: DataFrame) -> DataFrame:
@@ -156,17 +161,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Newest complete version folder ``base/v=NNNNNN`` (has ``_SUCCESS``)."""
+def _versions(spark: SparkSession, base: str, kind: str = "v") -> list[int]:
+    """Numbers of the complete folders ``base/<kind>=NNNNNN``, ascending."""
     fs, p, jvm = _fs(spark, base)
     if not fs.exists(p):
-        return None
-    versions = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(int(name[2:]))
-    return max(versions) if versions else None
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(int(n[len(kind) + 1:]) for n in names if n.startswith(f"{kind}=")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(p, f"{n}/_SUCCESS")))
+
+
+def _folder(base: str, kind: str, version: int) -> str:
+    return f"{base.rstrip('/')}/{kind}={version:06d}"
+
+
+def latest_version(spark: SparkSession, base: str) -> int | None:
+    """Newest complete version folder ``base/v=NNNNNN`` (has ``_SUCCESS``)."""
+    versions = _versions(spark, base)
+    return versions[-1] if versions else None
 
 
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
@@ -183,3 +195,51 @@ def write_snapshot(df: DataFrame, base: str) -> str:
     path = f"{base.rstrip('/')}/v={v:06d}"
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+# ---------------------------------------------------------------- changes
+
+def write_changes(changed: DataFrame, base: str, version: int, key: list[str] | None = None,
+                  fold_every: int = 20, keep: int = 2) -> bool:
+    """Write the changed rows of a keyed table as ``base/d=NNNNNN``; False
+    when that version is there already (a replayed batch).
+
+    Every ``fold_every`` versions the changes are folded into a whole
+    snapshot; the last ``keep`` snapshots stay with the changes after the
+    older of them, all before that is deleted. So the folders to list and
+    read are bounded, and a reader has a whole fold cycle to finish."""
+    spark = changed.sparkSession
+    folded = _versions(spark, base)
+    newest = max([*folded[-1:], *_versions(spark, base, "d")[-1:]], default=0)
+    if newest < version:
+        changed.write.mode("overwrite").parquet(_folder(base, "d", version))
+    if version % fold_every == 0 and version not in folded:  # also after a stop between change and fold
+        read_changes(spark, base, key).write.mode("overwrite").parquet(_folder(base, "v", version))
+        folded = _versions(spark, base)
+        fs, _, jvm = _fs(spark, base)
+        first = folded[-keep:][0]
+        for kind, limit in (("v", first), ("d", first + 1)):
+            for old in _versions(spark, base, kind):
+                if old < limit:
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(_folder(base, kind, old)), True)
+    return newest < version
+
+
+def read_changes(spark: SparkSession, base: str, key: list[str] | None = None) -> DataFrame | None:
+    """The table that `write_changes` keeps: of every ``key`` the row of the
+    newest version, over the newest snapshot and the changes after it."""
+    key = KEY if key is None else key
+    whole = latest_version(spark, base)
+    parts = [] if whole is None else [(whole, _folder(base, "v", whole))]
+    parts += [(d, _folder(base, "d", d)) for d in _versions(spark, base, "d") if d > (whole or 0)]
+    if not parts:
+        return None
+    rows = None
+    for version, path in parts:
+        one = spark.read.parquet(path).withColumn("_version", F.lit(version))
+        rows = one if rows is None else rows.unionByName(one)
+    names = [c for c in rows.columns if c != "_version"]
+    if len(parts) == 1:
+        return rows.select(*names)
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*names), "_version").alias("_r"))
+    return newest.select("_r.*")

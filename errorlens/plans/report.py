@@ -20,13 +20,15 @@ from errorlens.operators.clusters import cluster_errors, rank_clusters
 from errorlens.operators.filters import in_last, ts_value
 from errorlens.operators.report import health_status, level_distribution, report_summary, summary_flags
 from errorlens.operators.tenants import attach_analysis
+from errorlens.session import checkpoint
 
 
 def report_tables(logs: DataFrame, asof, lookback: str = "24h", mode: str = "core",
                   analyses: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The report of the period ``lookback`` ending at ``asof``."""
+    """The report of the period ``lookback`` ending at ``asof``. The cluster
+    table is made once and read by every table that needs it."""
     period = in_last(logs, asof, lookback, timedelta(hours=24))
-    clusters = cluster_errors(period, mode=mode)
+    clusters = checkpoint(cluster_errors(period, mode=mode))
     summary = summary_flags(health_status(report_summary(period, clusters)))
     tables = {"summary": summary, "levels": level_distribution(period), "clusters": rank_clusters(clusters)}
     if analyses is not None:
@@ -48,7 +50,7 @@ def report_document(logs: DataFrame, asof, lookback: str = "24h", mode: str = "c
     clusters)."""
     end = ts_value(logs, asof)
     period = in_last(logs, asof, lookback, timedelta(hours=24))
-    clusters = cluster_errors(period, mode=mode)
+    clusters = checkpoint(cluster_errors(period, mode=mode))
     summary = report_summary(period, clusters)
     levels = level_distribution(period).select(F.map_from_entries(F.collect_list(F.struct(
         "level", "count"))).alias("m")).select("m").scalar()

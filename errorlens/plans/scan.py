@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from errorlens.operators.clusters import capped_scan, cluster_errors, top_clusters
 from errorlens.operators.filters import errors, for_app, in_last, since, ts_value
-from errorlens.operators.report import scan_metrics
-from errorlens.operators.state import scan_event, upsert_clusters
+from errorlens.operators.report import observe_scan, scan_metrics
+from errorlens.operators.state import append_events, scan_event, upsert_clusters, write_snapshot
+from errorlens.session import checkpoint
 
 
 def scan(logs: DataFrame, asof, lookback: str = "1h", top: int = 5, mode: str = "core") -> dict[str, DataFrame]:
     """Lifecycle A: clusters of the errors in the lookback (default 1 h)."""
     period = errors(in_last(logs, asof, lookback, timedelta(hours=1)))
-    clusters = cluster_errors(period, mode=mode)
+    clusters = checkpoint(cluster_errors(period, mode=mode))
     return {"clusters": clusters, "top": top_clusters(clusters, top)}
 
 
@@ -33,7 +34,7 @@ def cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, hours: floa
     rows = errors(since(for_app(logs, app_id), asof, hours))
     if cap is not None:
         rows = capped_scan(rows, cap)
-    clusters = cluster_errors(rows, mode="cloud")
+    clusters = checkpoint(cluster_errors(rows, mode="cloud"))
     app_state = for_app(state, app_id)
     next_state = upsert_clusters(app_state, clusters, asof)
     metrics = scan_metrics(rows, clusters, mode="cloud")
@@ -45,27 +46,43 @@ def cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, hours: floa
 
 
 def run_cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, state_path: str,
-                   hours: float = 24, cap: int | None = None, scan_id: str = "scan") -> dict:
+                   hours: float = 24, cap: int | None = None, scan_id: str = "scan",
+                   events_path: str | None = None) -> dict:
     """Lifecycle B as one job: the scan's rows are counted by an
     ``Observation`` while they are clustered (no second pass for the run
-    record), the clusters are checkpointed once, the next state (this app's clusters
-    and the other apps' as they were) is written as a new snapshot version, and the closing event is returned as a
-    one-row DataFrame with ``state_path``."""
-    from errorlens.operators.report import observe_scan
-    from errorlens.operators.state import write_snapshot
-    from errorlens.session import checkpoint
-    rows = errors(since(for_app(logs, app_id), asof, hours))
-    if cap is not None:
-        rows = capped_scan(rows, cap)
-    observed, obs = observe_scan(rows, f"scan-{scan_id}")
-    clusters = checkpoint(cluster_errors(observed, mode="cloud"))
-    scanned = obs.get.get("logs_scanned", 0)
-    mine = upsert_clusters(for_app(state, app_id), clusters, asof)
-    others = state.where(~F.col("app_id").eqNullSafe(F.lit(app_id)))
-    path = write_snapshot(mine.unionByName(others.select(*mine.columns)), state_path)
-    n_clusters = clusters.count()
-    at = ts_value(logs, asof)
-    event = logs.sparkSession.range(1).select(*scan_event(F.lit(scan_id), F.lit(app_id), "COMPLETED", at, {
-        "logs_scanned": F.lit(scanned), "errors_found": F.lit(scanned),
-        "clusters_created": F.lit(n_clusters)}))
-    return {"state_path": path, "event": event}
+    record), the clusters are checkpointed once, the next state (this app's
+    clusters and the other apps' as they were) is written as a new snapshot
+    version, and the closing event is returned as a one-row DataFrame with
+    ``state_path``.
+
+    With ``events_path`` a RUNNING event is added to that table before the
+    scan, and a COMPLETED or FAILED event (with the error's text; the error
+    is raised again) after it."""
+    spark, at = logs.sparkSession, ts_value(logs, asof)
+
+    def event(status: str, metrics: dict | None = None, error: str | None = None) -> DataFrame:
+        row = spark.range(1).select(*scan_event(F.lit(scan_id), F.lit(app_id), status, at, metrics, F.lit(error)))
+        if events_path is not None:
+            append_events(row, events_path)
+        return row
+
+    if events_path is not None:
+        event("RUNNING")
+    try:
+        rows = errors(since(for_app(logs, app_id), asof, hours))
+        if cap is not None:
+            rows = capped_scan(rows, cap)
+        observed, obs = observe_scan(rows, f"scan-{scan_id}")
+        clusters = checkpoint(cluster_errors(observed, mode="cloud"))
+        scanned = obs.get.get("logs_scanned", 0)
+        mine = upsert_clusters(for_app(state, app_id), clusters, asof)
+        others = state.where(~F.col("app_id").eqNullSafe(F.lit(app_id)))
+        path = write_snapshot(mine.unionByName(others.select(*mine.columns)), state_path)
+        n_clusters = clusters.count()
+    except Exception as e:
+        if events_path is not None:
+            event("FAILED", error=str(e))
+        raise
+    done = event("COMPLETED", {"logs_scanned": F.lit(scanned), "errors_found": F.lit(scanned),
+                               "clusters_created": F.lit(n_clusters)})
+    return {"state_path": path, "event": done}

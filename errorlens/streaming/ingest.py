@@ -5,8 +5,9 @@ Kafka source, the level threshold and enrichment as column expressions,
 micro-batches every few seconds into the day-partitioned table, exactly
 once by checkpoint (back-pressure instead of dropped rows).
 
-R2 keeps running cluster totals in the state store and publishes the full
-cluster table after every micro-batch as a new snapshot version; a batch
+R2 keeps running cluster totals in the state store and publishes the
+clusters that a micro-batch changed under its number; every few batches the
+changes are folded into a snapshot and old versions deleted. A batch
 replayed after a failure finds its version already written and skips it.
 
 R3 clusters per event-time window; the watermark drops rows later than it.
@@ -23,7 +24,7 @@ from errorlens.functions.templates import normalize_message
 from errorlens.functions.traces import class_of_head_line, exception_head_line
 from errorlens.operators.clusters import severity
 from errorlens.operators.filters import enrich_location, enrich_trace_id
-from errorlens.operators.state import latest_version, read_snapshot
+from errorlens.operators.state import write_changes
 from errorlens.sources.logs import with_ingest_defaults
 
 
@@ -71,24 +72,16 @@ def finish_clusters(agg: DataFrame, mode: str) -> DataFrame:
 
 
 def stream_clusters(stream: DataFrame, state_path: str, checkpoint: str, mode: str = "cloud",
-                    trigger: str | None = "5 seconds", available_now: bool = False):
+                    trigger: str | None = "5 seconds", available_now: bool = False, fold_every: int = 20):
     """R2: running count, first/last seen and newest attributes per
-    ``(app_id, fingerprint)``; after each micro-batch the changed clusters
-    replace their rows in the published cluster table (full running totals,
-    never deltas, so the table equals a batch scan of everything seen)."""
+    ``(app_id, fingerprint)``; each micro-batch writes the changed clusters
+    (full running totals, never deltas), and `read_changes` gives the table,
+    which equals a batch scan of everything seen. A batch costs its changed
+    clusters; the whole table is rewritten every ``fold_every`` batches."""
     agg = _running_clusters(stream, mode)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1
-        if (latest_version(spark, state_path) or 0) >= version:
-            return  # replayed batch: already published
-        changed = finish_clusters(batch, mode)
-        prev = read_snapshot(spark, state_path)
-        if prev is not None:
-            keep = prev.join(changed.select("app_id", "fingerprint"), ["app_id", "fingerprint"], "left_anti")
-            changed = keep.unionByName(changed)
-        changed.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/v={version:06d}")
+        write_changes(finish_clusters(batch, mode), state_path, batch_id + 1, fold_every=fold_every)
 
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(publish))

@@ -206,3 +206,38 @@ def test_newest_entries_do_not_shuffle_the_log(spark):
         assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_changes_fold_and_old_versions_go(spark, tmp_path):
+    import os
+    from errorlens.operators.state import read_changes, write_changes
+    base, want = f"{tmp_path}/t", {}
+    for version in range(1, 22):
+        rows = [("a", f"f{version % 4}", version), ("b", f"g{version}", version)]
+        want |= {(app, f): n for app, f, n in rows}
+        df = spark.createDataFrame(rows, "app_id string, fingerprint string, n int").coalesce(1)
+        assert write_changes(df, base, version, fold_every=5)
+        assert not write_changes(df.withColumn("n", F.lit(-1)), base, version, fold_every=5)  # a replay
+        assert len(os.listdir(base)) <= 2 + 10
+    got = {(r.app_id, r.fingerprint): r.n for r in read_changes(spark, base).collect()}
+    assert got == want
+    assert read_changes(spark, f"{tmp_path}/none") is None
+
+
+def test_scan_events_of_a_failed_scan(spark, tmp_path):
+    import pytest
+    import __spark_entry__ as E
+    from errorlens.operators import filters as FL
+    from errorlens.operators.state import scan_history
+    from errorlens.plans.scan import run_cloud_scan
+    lg = E.logs(spark, "/root/testdata/sf0.001")
+    st, asof = E.state(spark, "/root/testdata/sf0.001"), FL.asof_of(lg)
+    bad = lg.withColumn("message", F.raise_error(F.lit("broken input")).cast("string"))
+    with pytest.raises(Exception, match="broken input"):
+        run_cloud_scan(bad, st, "app-1", asof, f"{tmp_path}/s", hours=240, scan_id="x", events_path=f"{tmp_path}/e")
+    run_cloud_scan(lg, st, "app-1", asof, f"{tmp_path}/s", hours=240, scan_id="y", events_path=f"{tmp_path}/e")
+    events = spark.read.parquet(f"{tmp_path}/e")
+    assert sorted((r.scan_id, r.status) for r in events.collect()) == [
+        ("x", "FAILED"), ("x", "RUNNING"), ("y", "COMPLETED"), ("y", "RUNNING")]
+    by_id = {r.scan_id: r for r in scan_history(events).collect()}
+    assert "broken input" in by_id["x"].error_message and by_id["y"].status == "COMPLETED"
