@@ -44,7 +44,7 @@ def windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
             .select("item_id", F.expr(f"slice(_w, at + 1, {n})").alias("words")).distinct())
 
 
-def _bounded(df: DataFrame, size: Column) -> DataFrame:
+def bounded(df: DataFrame, size: Column) -> DataFrame:
     """``df`` marked for broadcast if its measured bytes are within
     `BROADCAST_BYTES`; beyond, Spark joins it by shuffle."""
     total = df.agg(F.sum(size)).first()[0] or 0
@@ -54,7 +54,7 @@ def _bounded(df: DataFrame, size: Column) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in all ``docs`` of each of ``terms``."""
     tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("term"))
-    small = _bounded(terms, F.octet_length("term") + 32)
+    small = bounded(terms, F.octet_length("term") + 32)
     found = tokens.join(small, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, terms: DataFrame, reach: int = 12) -> DataFrame
     held = docs.select("doc_id", row_hash(F.coalesce(F.col("text"), F.lit(""))).alias("key"),
                        words(F.col("text")).alias("w"))
     posted = held.select("doc_id", "key", "w", F.posexplode_outer("w").alias("pos", "term"))
-    met = posted.join(_bounded(all_terms, F.octet_length("term") + 32), "term")
+    met = posted.join(bounded(all_terms, F.octet_length("term") + 32), "term")
     around = F.expr(
         f"CASE WHEN term = '' THEN NULL ELSE concat(array_repeat(cast(null as string), greatest({reach} - pos, 0)), "
         f"slice(w, greatest(pos - {reach}, 0) + 1, least(pos, {reach}) + 1 + {reach})) END")
@@ -98,7 +98,7 @@ def phrase_matches(index: DataFrame, wins: DataFrame, reach: int = 12) -> DataFr
     from the anchor, or the candidate ends there."""
     # F.forall stops at the first term that misses
     every = F.expr(f"forall(ranked, r -> get(around, {reach} + r - offset) <=> words[r])")
-    return (index.where(F.col("term") != END).join(_bounded(wins, F.size("words") * 24 + 64), "term").where(every)
+    return (index.where(F.col("term") != END).join(bounded(wins, F.size("words") * 24 + 64), "term").where(every)
             .select("doc_id", "key", "item_id", (F.col("pos") - F.col("offset")).alias("start"),
                     F.size("words").alias("length")))
 
@@ -107,7 +107,7 @@ def proximity_matches(index: DataFrame, wins: DataFrame, terms: int = 4, reach:
     """(doc_id, key, item_id, pos) where the ``terms`` rarest terms of a
     window stand within ``reach`` words of its anchor, in any order."""
     near = F.expr(f"forall(slice(ranked, 1, {terms}), r -> array_contains(around, words[r]))")
-    return (index.where(F.col("term") != END).join(_bounded(wins, F.size("words") * 24 + 64), "term").where(near)
+    return (index.where(F.col("term") != END).join(bounded(wins, F.size("words") * 24 + 64), "term").where(near)
             .select("doc_id", "key", "item_id", "pos").distinct())
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import checkpoint, row_hash
-from .decontaminate import words
+from .decontaminate import bounded, words
 
 #: Words of a shingle; a template of fewer words is one shingle.
 SHINGLE = 5
@@ -93,8 +93,8 @@ def license_matches(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts and templates match nothing. A row equal
     to another in id and text gives no rows of its own; null ids are kept.
-    Other columns are ignored. Templates are a bounded table: what is made
-    of them is held by every task."""
+    Other columns are ignored. What is made of the templates is broadcast
+    within a measured size; beyond it Spark joins by shuffle."""
     pieces = checkpoint(_pieces(marks))
     lengths = sorted(r[0] for r in pieces.select("length").distinct().collect())
     if not lengths:
@@ -117,7 +117,7 @@ def license_matches(docs: DataFrame, marks: DataFrame) -> DataFrame:
         bases[n] = base
         base = base + F.greatest(F.col("_n") - n, F.lit(0))
     found = rows.select("doc_id", "key", "_n", "h", F.posexplode_outer("h").alias("at", "x")).join(
-        F.broadcast(wanted), F.col("x") == wanted["h"]).select("doc_id", "key", "_n", rows["h"], "at", "length", "class")
+        bounded(wanted, F.lit(32)), F.col("x") == wanted["h"]).select("doc_id", "key", "_n", rows["h"], "at", "length", "class")
     start = F.coalesce(*[F.when(F.col("length") == n, b) for n, b in bases.items()])
     found = found.withColumn("base", start).withColumn("count", F.greatest(F.col("_n") - F.col("length"), F.lit(0)))
     # the windows over a place: its own class step and the one before
@@ -129,10 +129,10 @@ def license_matches(docs: DataFrame, marks: DataFrame) -> DataFrame:
     bands = wins.select(*at, "hashes", F.posexplode_outer(signature(F.col("hashes"))).alias("band", "value"))
     marked = checkpoint(pieces.select("license", "length", "class", F.posexplode_outer(signature(F.col("piece"))).alias("band", "value"))
                         .distinct())
-    candidates = bands.join(F.broadcast(marked), ["length", "class", "band", "value"]).select(*at, "license", "hashes").dropDuplicates([*at, "license"])
+    candidates = bands.join(bounded(marked, F.length("license") + 32), ["length", "class", "band", "value"]).select(*at, "license", "hashes").dropDuplicates([*at, "license"])
 
     whole = checkpoint(pieces.select("license", "length", "whole").distinct())
-    met = candidates.join(F.broadcast(whole), ["license", "length"]).select(
+    met = candidates.join(bounded(whole, F.length("license") + F.size("whole") * 8 + 32), ["license", "length"]).select(
         "doc_id", "key", "license", "length", "class", "whole", (F.col("window") * F.col("class")).alias("_from"), "hashes",
         F.array_intersect("hashes", "whole").alias("common")).where("size(common) > 0")
     # where the template would start, by the window's first shingle of it
