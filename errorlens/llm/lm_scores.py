@@ -4,12 +4,20 @@ A target model (chosen documents) and a background model (all documents)
 share one vocabulary, one smoothing and one table of bigrams. The score of a
 document is the mean over its tokens of the loss under the target model less
 the loss under the background model: the lower, the more like the target.
+
+`cross_entropy_difference` counts every word and bigram and cuts nothing: the
+counts stay in tables that grow with the corpus, and each slice of texts is
+sent the counts of its own words and bigrams. `fit` and `scored` are the small
+form, with models cut to a bounded size, for callers that want to score other
+texts with models they hold in memory.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_arrow
+from .common import checkpoint, map_arrow, shuffle_partitions
 
-#: Of all tokens, a word of the vocabulary has a share of 2**-VOCABULARY_BITS
+#: For `fit` only. Of all tokens, a word of the vocabulary has a share of 2**-VOCABULARY_BITS
 #: at least, a bigram of the table 2**-TABLE_BITS. So neither can have more
 #: than 2**bits rows at any input size, which bounds what the scoring tasks
 #: are sent; the counts themselves are taken over every word and bigram.
@@ -30,6 +38,8 @@ BIGRAM, ADDED = 0.7, 0.5
 BROADCAST_BYTES = 64 << 20
 #: Tokens whose bigrams are counted at once.
 TOKENS_AT_ONCE = 1 << 22
+#: Counts that one task adds up, and groups of them that it takes in turn.
+COUNTS_AT_ONCE, BUCKETS = 1 << 20, 4
 
 _FOLD = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -222,6 +232,202 @@ def with_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
 
 
+def to_blob(a: np.ndarray) -> bytes:
+    """The array's bytes, compressed, after their number. All first bytes of
+    the values stand before all second ones, which compress better so."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def from_blob(blob: bytes, kind: type) -> np.ndarray:
+    size, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit hash that stands for a pair of word hashes."""
+    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class Slice:
+    """Some texts as numbers of the slice's own words; the number after the
+    last word is the start of a text. What is counted in a slice, in this
+    order: each word (of the start: the texts with words), each word as the
+    first of a pair, each pair."""
+
+    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, counts: np.ndarray, chosen: np.ndarray):
+        self.words, self.counts, self.chosen = words, counts, chosen
+        self.known = len(vocabulary)
+        self.ids = np.append(vocabulary, np.int64(-1))
+        self.before = np.empty(len(words), np.int64)
+        self.before[1:] = words[:-1]
+        self.before[(np.cumsum(counts) - counts)[counts > 0]] = self.known
+        self.pairs, self.at = np.unique(self.before * len(self.ids) + words, return_inverse=True)
+
+    def keys(self) -> np.ndarray:
+        """0 and -1, which are no words, tell a word's two counts from pairs.
+        Only the keys of words' own counts are odd."""
+        n = len(self.ids)
+        out = np.concatenate([pair_hash(self.ids, np.zeros(n, np.int64)), pair_hash(self.ids, np.full(n, -1)),
+                              pair_hash(self.ids[self.pairs // n], self.ids[self.pairs % n])]) & ~np.uint64(1)
+        out[:self.known] |= np.uint64(1)
+        return out
+
+    def occurrences(self) -> dict[str, np.ndarray]:
+        """By model, how often each key is there in the slice."""
+        n, of = len(self.ids), {"background": np.ones(len(self.counts)), "target": self.chosen.astype(np.float64)}
+        out = {}
+        for m, texts in of.items():
+            weight = np.repeat(texts, self.counts)
+            word = np.bincount(self.words, weight, minlength=n)
+            word[self.known] = texts[self.counts > 0].sum()
+            out[m] = np.concatenate([word, np.bincount(self.before, weight, minlength=n),
+                                     np.bincount(self.at, weight, minlength=len(self.pairs))]).astype(np.int64)
+        return out
+
+    def mean_loss(self, sums: np.ndarray, total: int, size: int) -> np.ndarray:
+        """Mean loss (nats a token) of each text under the model whose counts
+        of the keys are ``sums``; ``size``: words with the unknown and the start."""
+        n = len(self.ids)
+        word, head, pair = sums[:n], sums[n:2 * n], sums[2 * n:]
+        history = np.maximum(word, head)
+        first, second = self.pairs // n, self.pairs % n
+        share = lambda x, of: np.divide(x, of, out=np.zeros(len(x)), where=of > 0)
+        # the weight that a word's pairs leave to the unigrams
+        backoff = 1 - BIGRAM * share(head, history)
+        p = BIGRAM * share(pair, history[first]) + backoff[first] * (word[second] + ADDED) / (total + ADDED * size)
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        return np.bincount(text, -np.log(p)[self.at], minlength=len(self.counts)) / np.maximum(self.counts, 1)
+
+
+def sliced(docs: DataFrame) -> DataFrame:
+    """slice, size (number of keys), tokens, target (tokens of the documents
+    with ``is_target``), parts (the arrays of a slice) of all rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = b.column("text").to_pylist()
+            chosen = np.array(b.column("is_target").to_pylist(), dtype=bool)
+            ids = b.column("doc_id").fill_null(0).to_numpy()
+            no_id = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            rough = np.array([len(t or "") // 4 for t in texts], dtype=np.int64)
+            for part in slices(rough):
+                lists = [tokens(t) for t in texts[part]]
+                counts = np.fromiter(map(len, lists), np.int64, len(lists))
+                known: dict[bytes, int] = {}
+                flat = np.fromiter((known.setdefault(w, len(known)) for x in lists for w in x), np.int64, int(counts.sum()))
+                del lists
+                vocabulary, number = np.unique(np.fromiter(map(word_hash, known), np.int64, len(known)), return_inverse=True)
+                s = Slice(vocabulary, number[flat], counts, chosen[part])
+                parts = [vocabulary, s.words.astype(np.int32), counts, s.chosen, ids[part], no_id[part]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([2 * len(s.ids) + len(s.pairs)], pa.int64()),
+                     pa.array([len(flat)], pa.int64()), pa.array([int(counts[s.chosen].sum())], pa.int64()),
+                     pa.array([[to_blob(x) for x in parts]], pa.list_(pa.binary()))],
+                    names=["slice", "size", "tokens", "target", "parts"])
+    return docs.select("doc_id", "text", "is_target").mapInArrow(
+        run, "slice long, size long, tokens long, target long, parts array<binary>")
+
+
+def from_parts(parts: list[bytes]) -> tuple[Slice, np.ndarray, np.ndarray]:
+    """The slice, its documents' ids and which of them are null."""
+    vocabulary, words, counts, chosen, ids, no_id = map(
+        from_blob, parts, (np.int64, np.int32, np.int64, np.bool_, np.int64, np.bool_))
+    return Slice(vocabulary, words.astype(np.int64), counts, chosen), ids, no_id
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of all batches, each taken out of Arrow by itself."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in b.columns)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each key, a range of keys, and the order of the keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return bucket, np.argsort(keys, kind="stable")
+
+
+def summed(slices_of: DataFrame, buckets: int) -> DataFrame:
+    """slice, bucket, known, parts: for each slice the whole corpus' counts of
+    its keys in a bucket; ``known`` adds up to the number of distinct words.
+
+    A key is a single entry of a slice, however many documents have it, so
+    no key has more entries than there are slices."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts in rows_of(batches):
+            s = from_parts(parts)[0]
+            keys, counts = s.keys(), s.occurrences()
+            bucket, order = bucket_of(keys, buckets)
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            whole = [keys[order], counts["target"][order], counts["background"][order]]
+            for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+                a = int(ends[k - 1]) if k else 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.array([k], pa.int64()),
+                     pa.array([[to_blob(x[a:ends[k]]) for x in whole]], pa.list_(pa.binary()))],
+                    names=["slice", "bucket", "parts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, run in groupby(rows_of(batches), lambda r: r[1]):
+            got = [(number, from_blob(parts[0], np.uint64), from_blob(parts[1], np.int64), from_blob(parts[2], np.int64))
+                   for number, _, parts in run]
+            keys, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+            known = int((keys & np.uint64(1)).sum())
+            sums = [np.bincount(at, np.concatenate([g[c] for g in got]), minlength=len(keys)).astype(np.int64) for c in (2, 3)]
+            a = 0
+            for number, own, _, _ in got:
+                place = at[a:a + len(own)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.array([k], pa.int64()), pa.array([0 if a else known], pa.int64()),
+                     pa.array([[to_blob(x[place]) for x in sums]], pa.list_(pa.binary()))],
+                    names=["slice", "bucket", "known", "parts"])
+                a += len(own)
+
+    sent = slices_of.select("slice", "parts").mapInArrow(send, "slice long, bucket long, parts array<binary>")
+    return (sent.repartition(max(1, buckets // BUCKETS), "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(add, "slice long, bucket long, known long, parts array<binary>"))
+
+
+def scored_whole(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every row of
+    ``docs`` (doc_id, text, is_target), by models of all its words and bigrams.
+    The driver gets four sums."""
+    parts = shuffle_partitions(docs.sparkSession)
+    slices_of = checkpoint(sliced(docs))
+    count, size, whole, chosen = slices_of.agg(F.count(F.lit(1)), F.sum("size"), F.sum("tokens"), F.sum("target")).first()
+    buckets = BUCKETS * max(parts, -(-(size or 0) // COUNTS_AT_ONCE))
+    sums = checkpoint(summed(slices_of, buckets))
+    words = (sums.agg(F.sum("known")).first()[0] or 0) + 2
+    totals = {"target": chosen or 0, "background": whole or 0}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(rows_of(batches), lambda r: r[0]):
+            s, ids, no_id = from_parts(next(rows)[2])
+            order = bucket_of(s.keys(), buckets)[1]
+            got = [[from_blob(x, np.int64) for x in r[2]] for r in rows]
+            mean = {}
+            for c, m in enumerate(("target", "background")):
+                counts = np.empty(len(order), np.int64)
+                counts[order] = np.concatenate([g[c] for g in got])
+                mean[m] = s.mean_loss(counts, totals[m], words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=no_id), pa.array(s.counts), pa.array(mean["target"]), pa.array(mean["background"]),
+                 pa.array(mean["target"] - mean["background"])],
+                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    both = slices_of.select("slice", F.lit(-1).cast("long").alias("bucket"), "parts").unionByName(
+        sums.select("slice", "bucket", "parts"))
+    return both.repartition(max(parts, count), "slice").sortWithinPartitions("slice", "bucket").mapInArrow(
+        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and
     score, their difference, of every row of ``docs``; the target model is
@@ -232,5 +438,4 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     count as often as they are there and get equal scores; a null id is no
     target; other columns are ignored; an empty table gives an empty
     result."""
-    marked = with_target(docs, target_ids)
-    return scored(marked, fit(marked))
+    return scored_whole(with_target(docs, target_ids))

@@ -65,6 +65,17 @@ def test_the_tables_are_bounded_by_their_share(spark, monkeypatch):
     assert M.scored(marked, models).count() == 40
 
 
+def test_rare_words_and_pairs_count(spark):
+    """A word seen once or twice among over 2**20 tokens, and a pair seen once."""
+    rows = [(i, " ".join(f"w{i * 39_000 + k} common" if k % 30 == 0 else f"w{i * 39_000 + k}" for k in range(40_000)), "en", "s")
+            for i in range(30)]
+    got = M.cross_entropy_difference(documents(spark, rows), spark.createDataFrame([(3,), (4,)], "doc_id long")).collect()
+    want = {w[0]: w for w in brute_lm(rows, {3, 4})}
+    assert len(got) == len(want) == 30
+    for r in got:
+        assert r[1] == want[r[0]][1] and all(abs(x - y) < 1e-5 for x, y in zip(r[2:], want[r[0]][2:])), (r, want[r[0]])
+
+
 # -------------------------------------------------------------------- rollups
 
 WORDS = {"words-1": R.word_counter()}
