@@ -15,7 +15,7 @@ from .common import ensure_checkpoint_dir, table
 
 
 def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_map(table(spark, sf_dir, "documents"), 40)
+    return sharding.text_shard_map(table(spark, sf_dir, "documents"), 40)
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

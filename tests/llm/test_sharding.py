@@ -68,3 +68,35 @@ def test_written_shards(spark, small, tmp_path):
     assert back.count() == small.count()
     want = {r["doc_id"]: (r["shard"], r["slot"]) for r in placed.collect()}
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in back.collect()} == want
+
+
+def test_equal_texts_share_a_shard(spark):
+    from corpus_rows import documents
+    r = random.Random(3)
+    rows = [(i, f"text {r.randrange(120)} " * r.choice([1, 2, 30]), "en", "s") for i in range(600)] + [
+        (None, "text 5 ", "en", "s"), (9, None, "en", "s"), (700, "", "en", "s")]
+    groups = {}
+    for i, t, *_ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        groups.setdefault(t or "", []).append(i)
+    sizes = [(len(t) + 16) * len(x) for t, x in groups.items()]
+    for n in (1, 7, 40):
+        got = S.text_shard_map(documents(spark, rows), n).collect()
+        assert len(got) == len(rows)
+        text, shards = {(i, zlib.crc32((t or "").encode())): t or "" for i, t, *_ in rows}, {}
+        for x in got:
+            shards.setdefault(text[x["doc_id"], x["text_crc32"]], set()).add(x["shard"])
+        assert all(len(x) == 1 for x in shards.values())
+        places = sorted((x["shard"], x["slot"]) for x in got)
+        assert all(k == 0 if a != b else k == j + 1 for (a, j), (b, k) in zip([(-1, 0), *places], places))
+        full = [sum(x["size"] for x in got if x["shard"] == k) for k in range(n)]
+        assert max(full) == S.minimax_cuts(sizes, n)[0]
+
+
+def test_the_capacity_is_minimal_however_coarse_the_steps(spark):
+    from pyspark.sql import functions as F
+    r = random.Random(11)
+    for n, top in ((3, 30), (8, 3000), (5, 90)):
+        sizes = [r.choice([r.randrange(top), 7 * top if r.random() < 0.01 else 1]) for _ in range(900)]
+        docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size long")
+        out = S.minimax_shards(docs, n, [F.col("doc_id")], "size", resolution=2)
+        assert max(x[0] for x in out.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()) == S.minimax_cuts(sizes, n)[0]
