@@ -209,26 +209,47 @@ def _tag_split_lines(batches):
 def read_log_files(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """S3: text log files to entries ``(timestamp, thread_name, level,
     logger, message, stack_trace, file, pos)``; a record is a header line
-    (timestamp and ``[``) and the lines up to the next header.
+    (timestamp and ``[``) and the lines up to the next header. What is no
+    entry is in `read_log_rejects`.
 
     Default, for files of any size: files are read as lines in their
     ordinary splits. Each split numbers its lines and headers in read order
     (Arrow batches); lines before a split's first header continue the last
     record of the nearest earlier split of the file, found in a table of
     one row per split; records are then assembled by a group-by on the
-    record key, so no task holds more than a split or a record. Lines
-    before the first header of a file are dropped.
+    record key, so no task holds more than a split or a record.
 
     ``whole_files``: each file is one row cut into records by a look-ahead
     split; simpler, for files well below the 2 GB string limit.
     """
+    return _records_to_entries(_records(spark, path, whole_files)[0])
+
+
+def read_log_rejects(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """S3: what `read_log_files` takes for no entry, as ``(file, pos, text,
+    reason)``. ``header``: a record, with all its lines, whose first line
+    begins as a header but does not fit the layout; ``pos`` is the record's.
+    ``leading``: a line before the first header of its file, a row each;
+    ``pos`` is the split and the number of the line in it (whole files: 0)."""
+    records, leading = _records(spark, path, whole_files)
+    unfit = records.filter(~F.substring_index("record", "\n", 1).rlike(HEADER_RE))
+    return (unfit.select("file", "pos", F.col("record").alias("text"), F.lit("header").alias("reason"))
+            .unionByName(leading.withColumn("reason", F.lit("leading"))))
+
+
+def _records(spark: SparkSession, path: str, whole_files: bool) -> tuple[DataFrame, DataFrame]:
+    """(file, pos, record) of all records and (file, pos, text) of the lines
+    before the first header of their file."""
     if whole_files:
         files = spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_path").alias("file"), F.col("value"))
         recs = files.select("file", F.posexplode(F.split(
             F.regexp_replace("value", r"\r\n", "\n"), RECORD_SPLIT_RE, -1)).alias("pos", "record"))
-        recs = recs.withColumn("record", F.regexp_replace("record", r"\n+\z", ""))
-        return _records_to_entries(recs)
+        headed = F.col("record").rlike(HEAD_START_RE)
+        lead = recs.filter(~headed & (F.length("record") > 0)).select(
+            "file", "pos", F.explode(F.split(F.regexp_replace("record", r"\n\z", ""), "\n", -1)).alias("text"))
+        recs = recs.filter(headed).withColumn("record", F.regexp_replace("record", r"\n+\z", ""))
+        return recs, lead
     from pyspark.sql import Window
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -248,8 +269,9 @@ def read_log_files(spark: SparkSession, path: str, whole_files: bool = False) ->
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "line"))),
                                  lambda x: x["line"]), "\n").alias("record"))
             .select("file", F.struct("kb", "kr").alias("pos"), "record"))
-    recs = recs.withColumn("record", F.regexp_replace("record", r"\n+\z", ""))
-    return _records_to_entries(recs)
+    lead = keyed.filter(F.col("kr").isNull()).select(
+        "file", F.struct(F.col("block").alias("kb"), F.col("seq").alias("kr")).alias("pos"), F.col("line").alias("text"))
+    return recs.withColumn("record", F.regexp_replace("record", r"\n+\z", "")), lead
 
 
 # ---------------------------------------------------------------- S4

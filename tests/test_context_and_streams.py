@@ -241,3 +241,24 @@ def test_scan_events_of_a_failed_scan(spark, tmp_path):
         ("x", "FAILED"), ("x", "RUNNING"), ("y", "COMPLETED"), ("y", "RUNNING")]
     by_id = {r.scan_id: r for r in scan_history(events).collect()}
     assert "broken input" in by_id["x"].error_message and by_id["y"].status == "COMPLETED"
+
+
+def test_rejected_log_lines_are_kept(spark, tmp_path):
+    from errorlens.sources.logs import read_log_files, read_log_rejects
+    head = "2024-01-01 00:00:0%d.000 [main] "
+    lines = ["left over from the day before", "\tat x.Y.z(Y.java:1)",
+             head % 1 + "ERROR a.B - fits", "\tat a.B.c(B.java:2)",
+             head % 2 + "ERROR my logger - a space in the name", "java.lang.E: x", "\tat a.B.c(B.java:3)",
+             head % 3 + "INFO  a.B no dash", head % 4 + "INFO  a.B - fits too"]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.log").write_text("no header\nat all\n")
+    for whole in (False, True):
+        taken = read_log_files(spark, str(tmp_path), whole_files=whole).collect()
+        rejected = read_log_rejects(spark, str(tmp_path), whole_files=whole).collect()
+        got = [x for r in rejected for x in r["text"].split("\n")]
+        for r in taken:
+            stamp = r["timestamp"].strftime("%Y-%m-%d %H:%M:%S.000")
+            got.append(f"{stamp} [{r['thread_name']}] {r['level']:5} {r['logger']} - {r['message']}")
+            got += (r["stack_trace"] or "").split("\n") if r["stack_trace"] else []
+        assert sorted(got) == sorted([*lines, "no header", "at all"])
+        assert sorted(r["reason"] for r in rejected) == ["header"] * 2 + ["leading"] * 4
