@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (chat_format, classifier, decontaminate, fingerprints, licenses, lm_scores, mixing, secret_scan, sharding,
-               simhash, token_rollup)
+               simhash, token_alignment, token_rollup)
 from .common import ensure_checkpoint_dir, table
 
 
@@ -62,9 +62,13 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = [op1_minimax_shards, op2_simhash_components, op3_cross_entropy, op4_byte_convnet, op5_quartile_digests,
             op6_source_mix, op7_token_rollup, op8_secret_ledger, op9_license_bands, op10_benchmark_phrases,
-            op12_chat_format]
+            op12_chat_format, op13_token_alignment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
