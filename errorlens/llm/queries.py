@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat_format, classifier, decontaminate, fingerprints, licenses, lm_scores, mixing, secret_scan, sharding,
-               simhash, token_alignment, token_rollup)
+from . import (chat_format, classifier, collocations, decontaminate, fingerprints, licenses, lm_scores, mixing, secret_scan,
+               sharding, simhash, token_alignment, token_rollup)
 from .common import ensure_checkpoint_dir, table
 
 
@@ -57,6 +57,10 @@ def op10_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.digests(chat_format.format_conversations(rows))
@@ -68,7 +72,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [op1_minimax_shards, op2_simhash_components, op3_cross_entropy, op4_byte_convnet, op5_quartile_digests,
             op6_source_mix, op7_token_rollup, op8_secret_ledger, op9_license_bands, op10_benchmark_phrases,
-            op12_chat_format, op13_token_alignment]
+            op11_collocations, op12_chat_format, op13_token_alignment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -76,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_chat_format": chat_format.DIGEST_SQL}
+    return {"op11_collocations": collocations.SQL, "op12_chat_format": chat_format.DIGEST_SQL}
