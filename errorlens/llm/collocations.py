@@ -25,7 +25,9 @@ from .common import checkpoint, shuffle_partitions, utf8
 #: Words of a phrase at most.
 LONGEST = 5
 #: Text bytes of a slice, about, and of all that a task holds of languages whose slices aren't full.
-SLICE_BYTES, HELD_BYTES = 8_000_000, 64_000_000
+SLICE_BYTES, HELD_BYTES = 16_000_000, 64_000_000
+#: Bits of a slice's number in its task, and of a count next to it.
+SLICE_BITS, COUNT_BITS = 20, 23
 #: Paths of one transducer, about.
 PATHS = 200_000
 
@@ -143,30 +145,37 @@ def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     edges = ends[:-1][ends[:-1] < len(raw)]
     starts[edges] = inside[edges]
     at = np.flatnonzero(starts)
-    offsets = np.append(np.cumsum(inside)[at] - 1, int(inside.sum())).astype(np.int64)
+    narrow = np.int32 if len(raw) < 1 << 31 else np.int64
+    offsets = np.append(np.cumsum(inside, dtype=narrow)[at] - 1, int(inside.sum())).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets),
                                                                           pa.py_buffer(_LOWER[raw[inside]])]).dictionary_encode()
-    piece = np.cumsum(kind == 2)[at] + np.searchsorted(ends, at, side="right")
+    piece = np.cumsum(kind == 2, dtype=narrow)[at] + np.searchsorted(ends, at, side="right")
     ids = np.asarray(words.indices).astype(np.int32) + 1
     return words.dictionary, np.insert(ids, np.flatnonzero(np.diff(piece)) + 1, 0)
 
 
-def _zip(x: np.ndarray) -> bytes:
-    return len(x.tobytes()).to_bytes(8, "little") + pa.Codec("zstd").compress(x.tobytes(), asbytes=True)
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
-def _unzip(x: bytes) -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.Codec("zstd").decompress(x[8:], n, asbytes=True) if n else b"", np.int32)
+def _unzip(packed: bytes) -> bytes:
+    n = int.from_bytes(packed[:8], "little")
+    return pa.Codec("zstd").decompress(packed[8:], n, asbytes=True) if n else b""
+
+
+def _unpacked(row: pa.RecordBatch, i: int = 0) -> tuple[pa.Array, np.ndarray]:
+    words = _unzip(row.column("words")[i].as_py())
+    return (pa.array(words.split(b" ") if words else [], pa.binary()),
+            np.frombuffer(_unzip(row.column("ids")[i].as_py()), np.int32))
 
 
 def slices(docs: DataFrame) -> DataFrame:
     """Whole texts as rows of some megabytes of one language: slice, lang
-    (null: ``und``), words (distinct), ids (packed, see `coded_words`)."""
+    (null: ``und``), words (distinct) and ids (see `coded_words`), packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         sizes: dict[str, int] = {}
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << SLICE_BITS
 
         def row(lang: str) -> pa.RecordBatch:
             nonlocal number
@@ -174,8 +183,8 @@ def slices(docs: DataFrame) -> DataFrame:
             sizes.pop(lang)
             number += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([lang]), pa.array([words.to_pylist()], pa.list_(pa.binary())),
-                 pa.array([_zip(ids)], pa.binary())], names=["slice", "lang", "words", "ids"])
+                [pa.array([number], pa.int64()), pa.array([lang]), pa.array([_zip(b" ".join(words.to_pylist()))], pa.binary()),
+                 pa.array([_zip(ids.tobytes())], pa.binary())], names=["slice", "lang", "words", "ids"])
 
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
@@ -198,7 +207,7 @@ def slices(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "slice long, lang string, words array<binary>, ids binary")
+    return rows.mapInArrow(run, "slice long, lang string, words binary, ids binary")
 
 
 def word_counts(parts: DataFrame) -> DataFrame:
@@ -206,7 +215,7 @@ def word_counts(parts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                words, ids = batch.column("words")[i].values, _unzip(batch.column("ids")[i].as_py())
+                words, ids = _unpacked(batch, i)
                 k = len(words)
                 if k:
                     yield pa.RecordBatch.from_arrays(
@@ -222,8 +231,7 @@ def _with(parts: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
         row = left.combine_chunks().to_batches()[0] if left.num_rows else None
         if row is None:
             raise ValueError("answers to no slice")
-        return fn(row.column("slice")[0].as_py(), row.column("lang")[0].as_py(), row.column("words")[0].values,
-                  _unzip(row.column("ids")[0].as_py()), right)
+        return fn(row.column("slice")[0].as_py(), row.column("lang")[0].as_py(), *_unpacked(row), right)
     n = shuffle_partitions(parts.sparkSession)
     return (parts.repartition(n, "slice").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema))
 
@@ -236,16 +244,21 @@ def _pair_hashes(words: pa.Array, first: np.ndarray, second: np.ndarray, lang: s
 
 
 def pair_counts(parts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(slice, pair, n): hashes of two neighbouring words that are both
-    frequent. Two pairs of one hash only make the count too large."""
+    """(pair, at): hashes of two neighbouring words that are both frequent, and
+    the slice with the count in it, in one number. Two pairs of one hash only
+    make the count too large."""
     def run(number, lang, words, ids, right):
         common = np.zeros(len(words) + 1, bool)
         common[np.asarray(right["id"])] = True
         both = common[ids[:-1]] & common[ids[1:]] if len(ids) else np.zeros(0, bool)
         code, n = np.unique(ids[:-1][both].astype(np.int64) << 32 | ids[1:][both], return_counts=True)
         pair = _pair_hashes(words, code >> 32, code & 0xFFFFFFFF, lang)
-        return pa.table({"slice": pa.array(np.full(len(n), number, np.int64)), "pair": pa.array(pair), "n": pa.array(n.astype(np.int64))})
-    return _with(parts, frequent, run, "slice long, pair long, n long")
+        most = (1 << COUNT_BITS) - 1
+        rows = n // most + (n % most > 0)  # a count too large for its bits is several rows
+        pair, n = np.repeat(pair, rows), np.where(np.arange(int(rows.sum())) < np.repeat(np.cumsum(rows) - 1, rows), most,
+                                                  np.repeat(n - (rows - 1) * most, rows))
+        return pa.table({"pair": pa.array(pair), "at": pa.array(n.astype(np.int64) | number << COUNT_BITS)})
+    return _with(parts, frequent, run, "pair long, at long")
 
 
 def longest_grams(parts: DataFrame, linked: DataFrame) -> DataFrame:
@@ -367,14 +380,18 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000, covered: i
     Repeated rows count each. An empty table, or one without phrases, gives
     no rows. Columns besides lang and text are ignored."""
     parts = checkpoint(slices(docs))
+    n = shuffle_partitions(docs.sparkSession)
     words = word_counts(parts)
-    common = checkpoint(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-
-    frequent = words.join(common, ["lang", "word"]).select("slice", "id")
-    pairs = pair_counts(parts, frequent).repartition(shuffle_partitions(docs.sparkSession), "pair")
-    enough = pairs.groupBy("pair").agg(F.sum("n").alias("_f")).where(F.col("_f") >= least).select("pair")
-    linked = checkpoint(pairs.select("slice", "pair").join(enough, "pair"))
+    totals = checkpoint(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    by_word = words.repartition(n, "lang", "word")
+    sums = by_word.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    frequent = checkpoint(by_word.join(sums, ["lang", "word"]).select("slice", "id", "lang", "word", "f"))
+    common = frequent.select("lang", "word", "f").distinct()
+
+    pairs = pair_counts(parts, frequent.select("slice", "id")).repartition(n, "pair")
+    count = F.expr(f"at & {(1 << COUNT_BITS) - 1}")
+    enough = pairs.groupBy("pair").agg(F.sum(count).alias("_f")).where(F.col("_f") >= least).select("pair")
+    linked = checkpoint(pairs.join(enough, "pair").select(F.shiftright("at", COUNT_BITS).alias("slice"), "pair"))
     phrases = checkpoint(counted(checkpoint(longest_grams(parts, linked)), least))
 
     cuts = checkpoint(_cuts(phrases))
