@@ -380,18 +380,15 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000, covered: i
     Repeated rows count each. An empty table, or one without phrases, gives
     no rows. Columns besides lang and text are ignored."""
     parts = checkpoint(slices(docs))
-    n = shuffle_partitions(docs.sparkSession)
     words = word_counts(parts)
     totals = checkpoint(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    by_word = words.repartition(n, "lang", "word")
-    sums = by_word.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    frequent = checkpoint(by_word.join(sums, ["lang", "word"]).select("slice", "id", "lang", "word", "f"))
+    total = lambda c, *key: F.sum(c).over(Window.partitionBy(*key))
+    frequent = checkpoint(words.withColumn("f", total("n", "lang", "word")).where(F.col("f") >= least).drop("n"))
     common = frequent.select("lang", "word", "f").distinct()
 
-    pairs = pair_counts(parts, frequent.select("slice", "id")).repartition(n, "pair")
     count = F.expr(f"at & {(1 << COUNT_BITS) - 1}")
-    enough = pairs.groupBy("pair").agg(F.sum(count).alias("_f")).where(F.col("_f") >= least).select("pair")
-    linked = checkpoint(pairs.join(enough, "pair").select(F.shiftright("at", COUNT_BITS).alias("slice"), "pair"))
+    pairs = pair_counts(parts, frequent.select("slice", "id")).withColumn("_f", total(count, "pair"))
+    linked = checkpoint(pairs.where(F.col("_f") >= least).select(F.shiftright("at", COUNT_BITS).alias("slice"), "pair"))
     phrases = checkpoint(counted(checkpoint(longest_grams(parts, linked)), least))
 
     cuts = checkpoint(_cuts(phrases))
@@ -401,7 +398,9 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000, covered: i
     left = known.select("lang", F.col("gram").alias("first"), F.col("f").alias("l"))
     right = known.select("lang", F.col("gram").alias("rest"), F.col("f").alias("r"))
     wide = lambda c: F.col(c).cast("decimal(38,0)")
-    scored = (cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals, "lang")
+    scored = (cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
+              .withColumn("_salt", F.pmod(F.xxhash64("gram"), F.lit(64)))
+              .join(totals.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))), ["lang", "_salt"])
               .withColumn("_top", F.lit(1000).cast("decimal(38,0)") * wide("f") * wide("n"))
               .withColumn("_low", wide("l") * wide("r"))
               .withColumn("score", F.expr("_top div _low")))
