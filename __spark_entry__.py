@@ -1074,8 +1074,8 @@ def _scratch(spark, sf_dir: str, name: str) -> str:
 
 def _stream_input(spark, sf_dir: str, ordered: bool = False) -> str:
     """The log table as canonical Parquet files for a file stream. With
-    ``ordered``, four days per file, written one after the other, so the
-    stream meets the rows in event-time order (no late rows for R3)."""
+    ``ordered``, ranges of some four days per file, so the stream meets the
+    rows in event-time order (no late rows for R3)."""
     from errorlens.sources.logs import to_log_schema
     path = _scratch(spark, sf_dir, "stream-in")
     # levels as they come, not normalised
@@ -1084,14 +1084,25 @@ def _stream_input(spark, sf_dir: str, ordered: bool = False) -> str:
     if not ordered:
         lg.repartition(8).write.parquet(path)
         return path
-    lg = lg.withColumn("_slice", F.floor(
-        (F.unix_seconds("timestamp") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / (4 * 86400)))
-    slices = [r[0] for r in lg.select("_slice").distinct().orderBy("_slice").collect()]
-    for sl in slices:
-        lg.filter(F.col("_slice") == sl).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    # one write, ranges of time in the order of the file names; each next range is a later file of the stream
+    days = 4
+    parts = lg.select(F.ceil((F.max(F.unix_seconds("timestamp")) - F.min(F.unix_seconds("timestamp"))) / (days * 86400)) + 1).first()[0]
+    lg.repartitionByRange(int(parts or 1), "timestamp", "id").sortWithinPartitions("timestamp", "id").write.parquet(path)
+    _touch_in_order(spark, path)
     return path
 
 
+def _touch_in_order(spark, path: str) -> None:
+    """File times in the order of the names: a file stream reads by time."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((st.getPath() for st in fs.listStatus(where) if st.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    now = max(fs.getFileStatus(p).getModificationTime() for p in files)
+    for k, p in enumerate(files):
+        fs.setTimes(p, now - 2000 * (len(files) - k), -1)
+
+
 _TS_OUT = "CAST(date_trunc('millisecond', timestamp) AS TIMESTAMP)"
 
 
@@ -1136,10 +1147,10 @@ _FILE_ORACLE = (W() + f"SELECT {_TS_OUT} AS timestamp, thread_name, level, logge
                 "END AS stack_trace FROM logs")
 
 
-def _log_files(spark, sf_dir):
+def _log_files(spark, sf_dir, rows_a_file: int = 20_000):
     from errorlens.sources.logs import format_log_lines
     path = _scratch(spark, sf_dir, "log-text")
-    format_log_lines(logs(spark, sf_dir)).repartition(4).write.text(path)
+    format_log_lines(logs(spark, sf_dir)).write.option("maxRecordsPerFile", rows_a_file).text(path)
     return path
 
 
@@ -1151,13 +1162,104 @@ def _entries(df):
 @register("read_log_files", _FILE_ORACLE)
 def q_read_log_files(spark, sf_dir):
     from errorlens.sources.logs import read_log_files
-    return _entries(read_log_files(spark, _log_files(spark, sf_dir), whole_files=True))
+    return _entries(read_log_files(spark, _log_files(spark, sf_dir)))
 
 
 @register("read_log_lines", _FILE_ORACLE)
 def q_read_log_lines(spark, sf_dir):
+    """Splits of 256 KB, so that many records cross one."""
     from errorlens.sources.logs import read_log_files
-    return _entries(read_log_files(spark, _log_files(spark, sf_dir)))
+    return _entries(read_log_files(spark, _log_files(spark, sf_dir), split_bytes=256 * 1024))
+
+
+# Text logs as they come: some loggers with a space, some impossible dates, two lines before the first header.
+_DIRTY = ("CASE WHEN id % 50 = 7 THEN 'header' WHEN id % 50 = 8 THEN 'date' END")
+
+
+@register("scan_log_files", W("traces AS (SELECT *, " + _DIRTY + " AS reason, regexp_replace(stack_trace, '\\n+$', '') AS trace FROM logs)",
+                              "lines AS (SELECT *, CASE WHEN reason = 'date' THEN '2024-13-41 00:00:00.000' "
+                              "ELSE strftime(date_trunc('millisecond', timestamp), '%Y-%m-%d %H:%M:%S.%g') END || ' [' || coalesce(thread_name, '') || '] ' "
+                              "|| rpad(level, 5, ' ') || ' ' || CASE WHEN reason = 'header' THEN 'my logger' ELSE coalesce(logger, '-') END || ' - ' "
+                              "|| coalesce(message, '') || CASE WHEN length(trace) > 0 THEN chr(10) || trace ELSE '' END AS text FROM traces)")
+          + "SELECT 'entry' AS kind, NULL AS reason, " + _TS_OUT + " AS timestamp, thread_name, level, logger, message, "
+            "CASE WHEN length(trace) > 0 THEN trace END AS stack_trace, NULL AS text FROM lines WHERE reason IS NULL "
+            "UNION ALL SELECT 'reject', reason, NULL, NULL, NULL, NULL, NULL, NULL, text FROM lines WHERE reason IS NOT NULL "
+            "UNION ALL SELECT 'reject', 'leading', NULL, NULL, NULL, NULL, NULL, NULL, unnest(['left over', '\tat a.B.c(B.java:1)'])")
+def q_scan_log_files(spark, sf_dir):
+    from errorlens.sources.logs import format_log_lines, scan_log_files
+    path = _scratch(spark, sf_dir, "log-dirty")
+    lg = logs(spark, sf_dir).withColumn("_reason", F.expr(_DIRTY))
+    lg = lg.withColumn("logger", F.when(F.col("_reason") == "header", F.lit("my logger")).otherwise(F.col("logger")))
+    text = format_log_lines(lg, keep=["_reason"]).withColumn(
+        "value", F.when(F.col("_reason") == "date", F.concat(F.lit("2024-13-41 00:00:00.000"), F.substr("value", F.lit(24)))).otherwise(F.col("value")))
+    text.select("value").write.option("maxRecordsPerFile", 5000).text(path)
+    spark.range(1).select(F.lit("left over\n\tat a.B.c(B.java:1)").alias("value")).write.text(path + "/more")
+    out = scan_log_files(spark, path, split_bytes=256 * 1024)
+    return out.select("kind", "reason", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "thread_name", "level",
+                      "logger", "message", "stack_trace", "text")
+
+
+@register("stream_log_files", _FILE_ORACLE)
+def q_stream_log_files(spark, sf_dir):
+    """A folder of files for each application, cut inside records; the last
+    record of each is closed by its timer."""
+    from errorlens.sources.logs import format_log_lines
+    from errorlens.streaming.log_text import run_until_closed, start_log_stream, stream_log_files
+    src, out = _scratch(spark, sf_dir, "log-folders"), _scratch(spark, sf_dir, "log-entries")
+    text = format_log_lines(logs(spark, sf_dir), keep=["app_id", "id"])
+    lines = text.select("app_id", "id", F.posexplode(F.split("value", "\n", -1)).alias("pos", "value"))
+    (lines.repartition("app_id").sortWithinPartitions("app_id", "id", "pos").select("app_id", "value")
+     .write.partitionBy("app_id").option("maxRecordsPerFile", 997).text(src))
+    query = start_log_stream(stream_log_files(spark, src, timeout=3), out, out + "-ckpt", "1 second")
+    run_until_closed(query)
+    return _entries(spark.read.parquet(out).where("kind = 'entry'"))
+
+
+# ---------------------------------------------------------------- newest rows of the stored table
+
+def _log_table(spark, sf_dir):
+    from errorlens.sources.logs import to_log_schema, write_logs
+    path = _scratch(spark, sf_dir, "log-days")
+    write_logs(to_log_schema(raw_logs(spark, sf_dir)), path)
+    return path
+
+
+def _ntz():
+    return F.col("timestamp").cast("timestamp_ntz").alias("timestamp")
+
+
+@register("recent_stored_50", _ORACLES["recent_50"])
+def q_recent_stored(spark, sf_dir):
+    from errorlens.operators.newest import recent_stored
+    return recent_stored(spark, _log_table(spark, sf_dir), 50).select("id", _ntz(), "level")
+
+
+@register("by_level_stored_50", _ORACLES["by_level_warn_50"])
+def q_by_level_stored(spark, sf_dir):
+    from errorlens.operators.newest import by_level_stored
+    return by_level_stored(spark, _log_table(spark, sf_dir), "warn", 50).select("id", _ntz())
+
+
+@register("capped_scan_stored", _ORACLES["capped_scan_clusters"])
+def q_capped_scan_stored(spark, sf_dir):
+    from errorlens.operators.newest import capped_scan_stored
+    rows = capped_scan_stored(spark, _log_table(spark, sf_dir), 1000).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return C.cluster_errors(rows, mode="cloud")
+
+
+@register("latest_error_per_app_stored", _ORACLES["latest_error_per_app"])
+def q_latest_error_stored(spark, sf_dir):
+    from errorlens.operators.newest import latest_error_per_app_stored
+    apps = logs(spark, sf_dir).select("app_id").distinct()
+    return latest_error_per_app_stored(spark, _log_table(spark, sf_dir), apps).select("app_id", "id", _ntz(), "message")
+
+
+@register("delete_older_on_disk", W() + "SELECT id FROM logs WHERE timestamp >= TIMESTAMP '2024-01-10 00:30:00'")
+def q_delete_on_disk(spark, sf_dir):
+    from errorlens.sources.logs import delete_older_than_on_disk, read_logs
+    path = _log_table(spark, sf_dir)
+    delete_older_than_on_disk(spark, path, "2024-01-10 00:30:00")
+    return read_logs(spark, path).select("id")
 
 
 @register("ingest_stream", W() + "SELECT id, level, " + O.mdc_value("mdc_context", "traceId")
@@ -1188,11 +1290,10 @@ def q_stream_clusters(spark, sf_dir):
                                    else F.col(c) for c in CLUSTER_COLS.split(", ")])
 
 
-@register("stream_scan_windows", W("w AS (SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, app_id, "
-                                   + O.fingerprint("cloud") + " AS fingerprint, timestamp FROM logs "
-                                   "WHERE level IN ('ERROR', 'FATAL'))")
-          + "SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, app_id, fingerprint, count(*) AS occurrence_count "
-            "FROM w GROUP BY ALL HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM logs) - INTERVAL 1 HOUR")
+@register("stream_scan_windows", W("windowed AS (SELECT *, time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start FROM logs)",
+                                   O.clusters_cte("cloud", ("window_start", "app_id"), src="windowed"))
+          + f"SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, app_id, {CLUSTER_COLS} FROM clusters "
+            "WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM logs) - INTERVAL 1 HOUR")
 def q_stream_scan(spark, sf_dir):
     from errorlens.sources.logs import stream_logs
     from errorlens.streaming.ingest import stream_scan
@@ -1203,8 +1304,8 @@ def q_stream_scan(spark, sf_dir):
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "app_id", "fingerprint", "occurrence_count")
+        *[F.col(c).cast("timestamp_ntz").alias(c) if c in ("window_start", "window_end", "first_seen", "last_seen") else F.col(c)
+          for c in ["window_start", "window_end", "app_id", *CLUSTER_COLS.split(", ")]])
 
 
 @register("report_document_fields", W(f"period AS (SELECT * FROM logs WHERE timestamp >= {ASOF} - INTERVAL 7 DAY "

@@ -103,6 +103,15 @@ def write_logs(df: DataFrame, path: str, now: Column | None = None, mode: str =
         .write.mode(mode).partitionBy("log_date").parquet(path))
 
 
+def day_folders(spark: SparkSession, path: str) -> list[str]:
+    """The days of a table that `write_logs` wrote, newest first; only folder
+    names are listed."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(base)] if fs.exists(base) else []
+    return sorted((x[len("log_date="):] for x in names if x.startswith("log_date=") and x[9:10].isdigit()), reverse=True)
+
+
 def delete_older_than_on_disk(spark: SparkSession, path: str, cutoff: str) -> int:
     """U3 on the day-partitioned table: rows with ``timestamp < cutoff`` go.
 
@@ -119,7 +128,8 @@ def delete_older_than_on_disk(spark: SparkSession, path: str, cutoff: str) -> in
     day = cutoff[:10]
     table = spark.read.parquet(path)
     bound = lit(cutoff).cast(table.schema["timestamp"].dataType)
-    dropped = table.filter(col("timestamp") < bound).count()
+    # days after the cutoff's have no such rows
+    dropped = table.filter((col("log_date") <= lit(day).cast("date")) & (col("timestamp") < bound)).count()
     for st in fs.listStatus(base):
         name = st.getPath().getName()
         if name.startswith("log_date=") and name[len("log_date="):] < day:
@@ -149,11 +159,12 @@ HEADER_RE = r"\A(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) \[([^\]]*)\] (\S+)
 RECORD_SPLIT_RE = r"\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} \[)"
 
 
-def format_log_lines(logs: DataFrame) -> DataFrame:
+def format_log_lines(logs: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Canonical rows to text records in the layout above (trace lines
-    follow the message line); one ``value`` per record for ``write.text``."""
+    follow the message line); one ``value`` per record for ``write.text``,
+    after the columns ``keep``."""
     trace = F.regexp_replace("stack_trace", r"\n+\z", "")
-    return logs.select(F.concat(
+    return logs.select(*keep, F.concat(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" ["),
         F.coalesce("thread_name", F.lit("")), F.lit("] "), F.rpad("level", 5, " "), F.lit(" "),
         F.coalesce("logger", F.lit("-")), F.lit(" - "), F.coalesce("message", F.lit("")),
@@ -161,19 +172,58 @@ def format_log_lines(logs: DataFrame) -> DataFrame:
     ).alias("value"))
 
 
+def _parsed(records: DataFrame, text: str) -> DataFrame:
+    """``records`` with the header fields of ``text``, and ``reason``: null for
+    an entry, ``header`` if the first line does not fit the layout, ``date``
+    if its time is no time."""
+    first = F.substring_index(F.col(text), "\n", 1)
+    rest = F.when(F.instr(text, "\n") > 0, F.substr(F.col(text), F.instr(text, "\n") + 1))
+    out = records.withColumn("_h", first).withColumn("_t", rest).withColumn("_fits", F.col("_h").rlike(HEADER_RE))
+    field = lambda k: F.when(F.col("_fits"), F.regexp_extract("_h", HEADER_RE, k))
+    out = out.withColumns({
+        "timestamp": F.try_to_timestamp(field(1), F.lit("yyyy-MM-dd HH:mm:ss.SSS")), "thread_name": field(2),
+        "level": F.when(F.col("_fits"), normalize_level(field(3))), "logger": field(4), "message": field(5),
+        "stack_trace": F.when(F.col("_fits") & (F.length("_t") > 0), F.col("_t"))})
+    reason = F.when(~F.col("_fits"), F.lit("header")).when(F.col("timestamp").isNull(), F.lit("date"))
+    return out.withColumn("reason", reason).drop("_h", "_t", "_fits")
+
+
+ENTRY = ["timestamp", "thread_name", "level", "logger", "message", "stack_trace"]
+
+
+def scan_log_files(spark: SparkSession, path: str, split_bytes: int | None = None,
+                   fragment_bytes: int | None = None) -> DataFrame:
+    """S3: everything in text logs from one pass over their bytes, without a
+    shuffle: a row for each piece, ``(kind, reason, timestamp, thread_name,
+    level, logger, message, stack_trace, text, file, pos, part)``.
+
+    ``entry``: a record whose header fits, in the entry columns. ``reject``:
+    a record whose header does not fit or has an impossible date (``reason``
+    ``header`` or ``date``; ``text`` is the record), or a line before the
+    first header of its file (``leading``, a row each). ``fragment``: lines
+    of a record longer than ``fragment_bytes``, by ``part`` from 1 (``text``);
+    its entry or reject has the first part. ``pos`` is the byte where the
+    record's header begins. Files are read by ranges of ``split_bytes``."""
+    from errorlens.sources import log_text as LT
+    pieces = LT.log_pieces(spark, path, split_bytes or LT.SPLIT_BYTES, fragment_bytes or LT.FRAGMENT_BYTES)
+    if pieces is None:
+        raise ValueError(f"tasks can't open {path}; read_log_files(..., how='lines') reads it through Spark")
+    rows = pieces.withColumn("text", F.col("text").cast("string"))
+    # a leading piece is a row a line, any other piece one row
+    lines = F.when(F.col("headed"), F.array("text")).otherwise(F.split("text", "\n", -1))
+    rows = rows.withColumn("text", F.explode(lines))
+    rows = _parsed(rows, "text")
+    kind = (F.when(~F.col("headed"), F.lit("reject")).when(F.col("part") > 0, F.lit("fragment"))
+            .when(F.col("reason").isNotNull(), F.lit("reject")).otherwise(F.lit("entry")))
+    rows = rows.withColumn("kind", kind)
+    reason = F.when(~F.col("headed"), F.lit("leading")).when(F.col("kind") == "reject", F.col("reason"))
+    of_entry = [F.when(F.col("kind") == "entry", F.col(c)).alias(c) for c in ENTRY]
+    text = F.when(F.col("kind") != "entry", F.col("text")).alias("text")
+    return rows.select("kind", reason.alias("reason"), *of_entry, text, "file", "pos", "part")
+
+
 def _records_to_entries(records: DataFrame) -> DataFrame:
-    first = F.substring_index(F.col("record"), "\n", 1)
-    rest = F.when(F.instr("record", "\n") > 0, F.substr(F.col("record"), F.instr("record", "\n") + 1))
-    parsed = records.select(
-        "file", "pos", first.alias("_h"), rest.alias("_t")).filter(F.col("_h").rlike(HEADER_RE))
-    return parsed.select(
-        F.try_to_timestamp(F.regexp_extract("_h", HEADER_RE, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("timestamp"),
-        F.regexp_extract("_h", HEADER_RE, 2).alias("thread_name"),
-        normalize_level(F.regexp_extract("_h", HEADER_RE, 3)).alias("level"),
-        F.regexp_extract("_h", HEADER_RE, 4).alias("logger"),
-        F.regexp_extract("_h", HEADER_RE, 5).alias("message"),
-        F.when(F.length("_t") > 0, F.col("_t")).alias("stack_trace"),
-        "file", "pos")
+    return _parsed(records, "record").where(F.col("reason").isNull()).select(*ENTRY, "file", "pos")
 
 
 HEAD_START_RE = r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} \["
@@ -206,34 +256,55 @@ def _tag_split_lines(batches):
                             "line": pdf["line"]})
 
 
-def read_log_files(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+def _how(spark: SparkSession, path: str, whole_files: bool, how: str | None) -> str:
+    if how or whole_files:
+        return how or "whole"
+    from errorlens.sources.log_text import OPENED, listed_files
+    opened = all(f.split(":", 1)[0] in OPENED for f, _ in listed_files(spark, path))
+    return "ranges" if opened else "lines"
+
+
+def read_log_files(spark: SparkSession, path: str, whole_files: bool = False, how: str | None = None,
+                   split_bytes: int | None = None) -> DataFrame:
     """S3: text log files to entries ``(timestamp, thread_name, level,
     logger, message, stack_trace, file, pos)``; a record is a header line
     (timestamp and ``[``) and the lines up to the next header. What is no
     entry is in `read_log_rejects`.
 
-    Default, for files of any size: files are read as lines in their
-    ordinary splits. Each split numbers its lines and headers in read order
-    (Arrow batches); lines before a split's first header continue the last
-    record of the nearest earlier split of the file, found in a table of
-    one row per split; records are then assembled by a group-by on the
-    record key, so no task holds more than a split or a record.
+    ``how``, by default ``ranges`` where tasks can open the store, else
+    ``lines``:
+
+    ``ranges``: byte ranges (`scan_log_files`): one pass, no shuffle, any
+    size of file and record.
+
+    ``lines``: through Spark's text reader, for stores that only it reads.
+    Each split numbers its lines and headers in read order (Arrow batches);
+    lines before a split's first header continue the last record of the
+    nearest earlier split of the file, found in a table of one row per split;
+    records are assembled by a group-by on the record key.
 
-    ``whole_files``: each file is one row cut into records by a look-ahead
-    split; simpler, for files well below the 2 GB string limit.
+    ``whole`` (``whole_files``): each file is one row cut into records by a
+    look-ahead split; simpler, for files well below the 2 GB string limit.
     """
-    return _records_to_entries(_records(spark, path, whole_files)[0])
+    how = _how(spark, path, whole_files, how)
+    if how == "ranges":
+        return scan_log_files(spark, path, split_bytes).where("kind = 'entry'").select(*ENTRY, "file", "pos")
+    return _records_to_entries(_records(spark, path, how == "whole")[0])
 
 
-def read_log_rejects(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+def read_log_rejects(spark: SparkSession, path: str, whole_files: bool = False, how: str | None = None,
+                     split_bytes: int | None = None) -> DataFrame:
     """S3: what `read_log_files` takes for no entry, as ``(file, pos, text,
     reason)``. ``header``: a record, with all its lines, whose first line
-    begins as a header but does not fit the layout; ``pos`` is the record's.
-    ``leading``: a line before the first header of its file, a row each;
-    ``pos`` is the split and the number of the line in it (whole files: 0)."""
-    records, leading = _records(spark, path, whole_files)
-    unfit = records.filter(~F.substring_index("record", "\n", 1).rlike(HEADER_RE))
-    return (unfit.select("file", "pos", F.col("record").alias("text"), F.lit("header").alias("reason"))
+    begins as a header but does not fit the layout; ``date``: its time is no
+    time; ``pos`` is the record's. ``leading``: a line before the first header
+    of its file, a row each."""
+    how = _how(spark, path, whole_files, how)
+    if how == "ranges":
+        return scan_log_files(spark, path, split_bytes).where("kind = 'reject'").select("file", "pos", "text", "reason")
+    records, leading = _records(spark, path, how == "whole")
+    unfit = _parsed(records, "record").where(F.col("reason").isNotNull())
+    return (unfit.select("file", "pos", F.col("record").alias("text"), "reason")
             .unionByName(leading.withColumn("reason", F.lit("leading"))))
 
 

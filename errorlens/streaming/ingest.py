@@ -15,7 +15,7 @@ R3 clusters per event-time window; the watermark drops rows later than it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from errorlens.functions.fingerprints import cluster_id, fingerprint
@@ -43,27 +43,33 @@ def ingest_stream(stream: DataFrame, sink_path: str, checkpoint: str, threshold:
     return w.start()
 
 
-def _running_clusters(stream: DataFrame, mode: str) -> DataFrame:
+def _cluster_totals(mode: str) -> list[Column]:
+    """The aggregates of a cluster over its error rows: count, seen range, and
+    message, head line of the trace and location of the newest row that has them."""
     order = F.struct("timestamp", "id")
-    rows = stream.filter(is_error(normalize_level("level"))).select(
-        "app_id", fingerprint(mode).alias("fingerprint"), "timestamp", "id", "message",
+    line, loc = F.col("_head"), F.col("_loc")
+    with_line = order if mode == "cloud" else F.when(line.isNotNull(), order)
+    with_loc = order if mode == "cloud" else F.when(F.col("_loc.file_name").isNotNull(), order)
+    return [F.count(F.lit(1)).alias("occurrence_count"), F.min("timestamp").alias("first_seen"),
+            F.max("timestamp").alias("last_seen"), F.max_by("message", order).alias("_message"),
+            F.max_by(line, with_line).alias("_head"), F.max_by(loc, with_loc).alias("_loc")]
+
+
+def _cluster_rows(stream: DataFrame, mode: str, *more: str) -> DataFrame:
+    return stream.filter(is_error(normalize_level("level"))).select(
+        *more, "app_id", fingerprint(mode).alias("fingerprint"), "timestamp", "id", "message",
         exception_head_line("stack_trace", mode).alias("_head"),
         F.struct("file_name", "line_number", "method_name", "class_name").alias("_loc"))
-    if mode == "core":
-        head = F.max_by("_head", F.when(F.col("_head").isNotNull(), order))
-        loc = F.max_by("_loc", F.when(F.col("_loc.file_name").isNotNull(), order))
-    else:
-        head, loc = F.max_by("_head", order), F.max_by("_loc", order)
-    return rows.groupBy("app_id", "fingerprint").agg(
-        F.count(F.lit(1)).alias("occurrence_count"), F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"), F.max_by("message", order).alias("_message"),
-        head.alias("_head"), loc.alias("_loc"))
-
-
-def finish_clusters(agg: DataFrame, mode: str) -> DataFrame:
-    """Cluster columns from the running aggregate."""
+
+
+def _running_clusters(stream: DataFrame, mode: str) -> DataFrame:
+    return _cluster_rows(stream, mode).groupBy("app_id", "fingerprint").agg(*_cluster_totals(mode))
+
+
+def finish_clusters(agg: DataFrame, mode: str, *more: str) -> DataFrame:
+    """Cluster columns from the running aggregate, after the columns ``more``."""
     return agg.select(
-        "app_id", cluster_id("fingerprint").alias("cluster_id"), "fingerprint",
+        *more, "app_id", cluster_id("fingerprint").alias("cluster_id"), "fingerprint",
         class_of_head_line("_head", mode).alias("exception_class"),
         normalize_message("_message", mode).alias("message_pattern"),
         F.col("_loc.file_name").alias("primary_file"), F.col("_loc.line_number").alias("primary_line"),
@@ -113,20 +119,17 @@ def _wall_clock_start(spark, window: str) -> str:
 
 def stream_scan(stream: DataFrame, window: str = "1 hour", watermark: str = "1 hour",
                 mode: str = "cloud") -> DataFrame:
-    """Clusters per event-time window and app. Rows later than the
-    watermark are dropped; a window is emitted once the watermark passes
-    its end (append mode). The event time is cast to ``timestamp``, which a
-    watermark requires. Windows start on the wall clock of the session time
-    zone (an hour window runs from :00 to :00 local time, also where the
-    zone is not a whole number of hours from UTC)."""
+    """Clusters per event-time window and app, with all columns of a
+    cluster (id, class, pattern, location, severity, as in a batch scan of
+    the window's rows). Rows later than the watermark are dropped; a window is
+    emitted once the watermark passes its end (append mode). The event time is
+    cast to ``timestamp``, which a watermark requires. Windows start on the
+    wall clock of the session time zone (an hour window runs from :00 to :00
+    local time, also where the zone is not a whole number of hours from UTC)."""
     start = _wall_clock_start(stream.sparkSession, window)
-    rows = (stream.filter(is_error(normalize_level("level")))
-            .withColumn("event_time", F.col("timestamp").cast("timestamp"))
-            .withWatermark("event_time", watermark)
-            .withColumn("fingerprint", fingerprint(mode)))
+    timed = (stream.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", watermark))
+    rows = _cluster_rows(timed, mode, "event_time")
     w = F.window("event_time", window, startTime=start)
-    return rows.groupBy(w.alias("w"), "app_id", "fingerprint").agg(
-        F.count(F.lit(1)).alias("occurrence_count"),
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        "app_id", "fingerprint", "occurrence_count", "first_seen", "last_seen")
+    agg = rows.groupBy(w.alias("w"), "app_id", "fingerprint").agg(*_cluster_totals(mode))
+    agg = agg.withColumn("window_start", F.col("w.start")).withColumn("window_end", F.col("w.end"))
+    return finish_clusters(agg, mode, "window_start", "window_end")

@@ -96,7 +96,7 @@ def test_text_logs_split_across_tasks(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:
-        lines = read_log_files(spark, path)
+        lines = read_log_files(spark, path, how="lines")
         assert spark.read.text(path).rdd.getNumPartitions() > 4  # files really are split
         cols = ["timestamp", "thread_name", "level", "logger", "message", "stack_trace"]
         got = sorted(map(tuple, lines.select(cols).collect()), key=repr)
@@ -249,16 +249,16 @@ def test_rejected_log_lines_are_kept(spark, tmp_path):
     lines = ["left over from the day before", "\tat x.Y.z(Y.java:1)",
              head % 1 + "ERROR a.B - fits", "\tat a.B.c(B.java:2)",
              head % 2 + "ERROR my logger - a space in the name", "java.lang.E: x", "\tat a.B.c(B.java:3)",
-             head % 3 + "INFO  a.B no dash", head % 4 + "INFO  a.B - fits too"]
+             head % 3 + "INFO  a.B no dash", "2024-13-41 00:00:00.000 [main] INFO  a.B - no such day", head % 4 + "INFO  a.B - fits too"]
     (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
     (tmp_path / "b.log").write_text("no header\nat all\n")
-    for whole in (False, True):
-        taken = read_log_files(spark, str(tmp_path), whole_files=whole).collect()
-        rejected = read_log_rejects(spark, str(tmp_path), whole_files=whole).collect()
+    for how in ("ranges", "lines", "whole"):
+        taken = read_log_files(spark, str(tmp_path), how=how).collect()
+        rejected = read_log_rejects(spark, str(tmp_path), how=how).collect()
         got = [x for r in rejected for x in r["text"].split("\n")]
         for r in taken:
             stamp = r["timestamp"].strftime("%Y-%m-%d %H:%M:%S.000")
             got.append(f"{stamp} [{r['thread_name']}] {r['level']:5} {r['logger']} - {r['message']}")
             got += (r["stack_trace"] or "").split("\n") if r["stack_trace"] else []
         assert sorted(got) == sorted([*lines, "no header", "at all"])
-        assert sorted(r["reason"] for r in rejected) == ["header"] * 2 + ["leading"] * 4
+        assert sorted(r["reason"] for r in rejected) == ["date"] + ["header"] * 2 + ["leading"] * 4
