@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, utf8
+from .common import free_names, row_hash, utf8
 
 CHUNK, STEP = 512, 448          # bytes of a chunk, and from one to the next
 WIDTH, STRIDE = 12, 4           # bytes a filter sees, and its step
@@ -201,17 +201,18 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_byte
 def scored(docs: DataFrame, net: Network, out: str = "score") -> DataFrame:
     """``docs`` with the score of each text, from its bytes alone. Null
     counts as empty; an empty text has a score like any other."""
-    schema = docs.drop(out).schema
-    names = schema.names
+    kept = docs.drop(out)
+    names, text = kept.columns, kept.columns.index("text")
+    plain = kept.toDF(*[f"c{i}" for i in range(len(names))])   # names of any kind, put back below
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c) for c in names], pa.array(scores(net, *utf8(b.column("text"))))], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(net, *utf8(b.column(text))))],
+                                                 names=[*b.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.drop(out).mapInArrow(run, f"{fields}, `{out}` double")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return plain.mapInArrow(run, f"{fields}, score double").toDF(*names, out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,6 +227,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier, fitted on the labelled rows
-    of ``training``, doesn't reject."""
+    of ``training``, doesn't reject, with their columns, whatever their names.
+
+    Null and empty texts are scored like any other; null ids are kept; rows of
+    equal text stay or go together; very long texts are scored whole. Without
+    labels all rows stay; an empty table gives an empty one."""
     net = fitted(training.select("doc_id", "text"), labels)
-    return scored(docs, net, "_score").where(F.col("_score") >= ACCEPT).drop("_score")
+    score, = free_names(docs, "score")
+    return scored(docs, net, score).where(F.col(score) >= ACCEPT).drop(score)

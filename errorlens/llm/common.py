@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from errorlens.session import checkpoint, ensure_checkpoint_dir
 
 __all__ = ["checkpoint", "ensure_checkpoint_dir", "table", "row_hash", "Ranked", "ranked", "map_arrow",
-           "utf8", "shuffle_partitions"]
+           "utf8", "shuffle_partitions", "free_names", "own"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,19 @@ def row_hash(*cols: str | Column) -> Column:
     return F.xxhash64(*cols)
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` has not, for helper columns beside its own."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while any(f"_{s}{tail}".lower() in taken for s in stems):
+        tail += "_"
+    return [f"_{s}{tail}" for s in stems]
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the ``n + 1`` offsets of its
     rows, without a copy of the bytes. Null counts as empty."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import checkpoint, row_hash
+from .common import checkpoint, free_names, row_hash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -158,9 +158,14 @@ def _left(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their columns."""
+    """The rows of ``docs`` that aren't contaminated, with their columns,
+    whatever their names.
+
+    Null, empty and wordless texts stay; null ids are kept; rows equal in id
+    and text stay or go together; very long texts are judged whole; an empty
+    table gives an empty one, an empty benchmark keeps all."""
+    h, key, doc = free_names(docs, "h", "key", "doc")
     bad = checkpoint(contamination(docs, benchmark).where("contaminated")
-                     .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
-    keyed = docs.withColumn("_h", row_hash(F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(bad, (F.col("_h") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")),
-                      "left_anti").drop("_h")
+                     .select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct())
+    keyed = docs.withColumn(h, row_hash(F.coalesce(F.col("text"), F.lit(""))))
+    return keyed.join(bad, (F.col(h) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti").drop(h)

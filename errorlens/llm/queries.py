@@ -42,7 +42,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
     tokenizers = {"bpe50k-1": token_rollup.bpe_counter(), "words-1": token_rollup.word_counter()}
-    return token_rollup.corpus_rollup(table(spark, sf_dir, "documents"), folder, tokenizers).totals()
+    return token_rollup.corpus_rollup(table(spark, sf_dir, "documents"), folder, tokenizers).totals_by_batch()
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

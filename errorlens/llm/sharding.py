@@ -14,10 +14,10 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ranked, checkpoint, ranked, shuffle_partitions
+from .common import Ranked, checkpoint, free_names, ranked, shuffle_partitions
 
 
 def greedy_cuts(ends: np.ndarray, capacity: int, n: int) -> list[int] | None:
@@ -218,6 +218,10 @@ def text_shard_map(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     to one shard whole (null is as empty). Groups go in the order of their
     smallest doc_id (null first), rows of a group in that of doc_id. A group
     larger than a share of the total makes its shard as large."""
+    return _shard_map(_placed_by_text(docs, n_shards))
+
+
+def _placed_by_text(docs: DataFrame, n_shards: int) -> DataFrame:
     rows = checkpoint(_narrow(docs))
     spark = docs.sparkSession
     groups = checkpoint(rows.groupBy("_text").agg(F.min(F.struct("doc_id"))["doc_id"].alias("_first"),
@@ -233,23 +237,26 @@ def text_shard_map(docs: DataFrame, n_shards: int = 40) -> DataFrame:
             .join(groups.where(F.col("_copies") <= share), F.col("_text") == F.col("_key"), "left")
             .withColumn("_first", F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("_first"))).select(*names))
     order = [F.col("_first").asc_nulls_first(), F.col("_text"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32")]
-    return _shard_map(minimax_shards(one.unionByName(rest), n_shards, order, "size", group=("_first", "_text")))
-
-
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the rows of ``docs`` into ``shard=N`` folders, in slot order
-    inside a file. ``placed`` is the result of `shard_map`; rows are matched
-    by doc_id and checksum, a repeated row is written once per place."""
-    keyed = docs.drop("shard", "slot").withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    one = placed.groupBy("doc_id", "text_crc32").agg(F.collect_list(F.struct("shard", "slot")).alias("_at"))
-    # row k of equal rows takes place k
-    out = (keyed.dropDuplicates(["doc_id", "_crc"]).alias("d")
-           .join(one.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d._crc = p.text_crc32"))
-           .select("d.*", F.explode("_at").alias("_at")).drop("_crc")
-           .select("*", "_at.shard", "_at.slot").drop("_at"))
-    (out.repartitionByRange(shuffle_partitions_of(out), "shard", "slot").sortWithinPartitions("shard", "slot")
+    return minimax_shards(one.unionByName(rest), n_shards, order, "size", group=("_first", "_text"))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
+    """Write the rows of ``docs`` into ``shard=N`` folders by `text_shard_map`,
+    in slot order inside a file, with their columns and ``slot`` (columns of
+    these two names are replaced).
+
+    Rows meet their places by doc_id and the SHA-256 of the text; of rows
+    equal in both, which are interchangeable, the k-th takes the k-th place, so
+    every row is written once. Null text is as empty, null ids are matched
+    like others; an empty table writes no shard."""
+    h, k, doc, text, number, to, slot = free_names(docs, "h", "k", "doc", "text", "number", "shard", "slot")
+    places = _placed_by_text(docs, n_shards).select(F.col("doc_id").alias(doc), F.col("_text").alias(text),
+                                                    F.col("shard").alias(to), F.col("slot").alias(slot))
+    places = places.withColumn(number, F.row_number().over(Window.partitionBy(doc, text).orderBy(to, slot)))
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    rows = docs.drop("shard", "slot").withColumn(h, sha)
+    rows = rows.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0))))
+    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(h) == F.col(text)) & (F.col(k) == F.col(number)))
+    out = met.withColumns({"shard": F.col(to), "slot": F.col(slot)}).drop(h, k, doc, text, number, to, slot)
+    (out.repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))
-
-
-def shuffle_partitions_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

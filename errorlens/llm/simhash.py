@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_arrow, row_hash
+from .common import checkpoint, free_names, map_arrow, row_hash
 
 FAN = 16
 #: A group of more fingerprints is split by further bands.
@@ -302,16 +302,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 
 
 def deduplicated(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: of each the one
-    with the smallest doc_id (rows without an id last, ties by text hash).
-    Of rows equal in id and text one stays."""
+    """The rows of ``docs`` that stand for their component, with their
+    columns, whatever their names: of each the one with the smallest doc_id
+    (rows without an id last, ties by text hash). Of rows equal in id and text
+    one stays. Null, empty and wordless texts are one component with all that
+    is near the fingerprint zero; very long texts are read whole; an empty
+    table gives an empty one."""
     rows, rooted = _rooted(docs, words, distance)
+    h, doc, key = free_names(docs, "h", "id", "key")
     keep = rooted.groupBy("root").agg(F.min("least").alias("_first")).select(
-        F.col("_first.doc_id").alias("_id"), F.col("_first.key").alias("_key"))
+        F.col("_first.doc_id").alias(doc), F.col("_first.key").alias(key))
     keep = checkpoint(keep)
-    chosen = (F.col("_h") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = docs.withColumn("_h", text_key()).join(keep, chosen, "left_semi")
+    chosen = (F.col(h) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
+    kept = docs.withColumn(h, text_key()).join(keep, chosen, "left_semi")
     # rows repeat only in tables that hold whole copies of rows
     if rows.count() != rows.select("doc_id", "key").distinct().count():
-        kept = kept.dropDuplicates(["doc_id", "_h"])
-    return kept.drop("_h")
+        kept = kept.dropDuplicates(["doc_id", h])
+    return kept.drop(h)

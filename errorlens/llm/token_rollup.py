@@ -118,17 +118,25 @@ class Rollup:
         summed(differences).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
-    def totals(self) -> DataFrame:
+    def totals(self, upto: int | None = None) -> DataFrame:
         """documents, tokens and chars by source, lang and tokenizer: the sum
-        of all committed batches. Keys whose documents are all gone are
+        of all committed batches, or of those up to one. Keys whose documents are all gone are
         left out; null sources and languages are keys like any other."""
-        ids = self.committed()
+        ids = [i for i in self.committed() if upto is None or i <= upto]
         if not ids:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, documents long, "
                                                   "tokens long, chars long")
         rows = self.spark.read.parquet(*[f"{self.path}/batch={i}" for i in ids])
         return summed(rows).where("documents <> 0 or tokens <> 0 or chars <> 0")
 
+    def totals_by_batch(self) -> DataFrame:
+        """``totals`` after each committed batch, with its id as ``batch``."""
+        each = [self.totals(i).withColumn("batch", F.lit(i).cast("long")) for i in self.committed()]
+        out = each[0] if each else self.totals().withColumn("batch", F.lit(0).cast("long"))
+        for more in each[1:]:
+            out = out.unionByName(more)
+        return out
+
     def fold(self, batch: int) -> None:
         """Put the sum of all batches into one new batch of the id ``batch``
         (larger than all others) in another folder, so that the number of

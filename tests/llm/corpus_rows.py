@@ -8,10 +8,10 @@ def documents(spark, rows):
     """Documents with a clashing extra column for every operator's own names."""
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(i, t, l, s, len(t or "")) for i, t, l, s in rows], DOCS)
-    for c in ("size", "shard", "slot", "fp", "key", "score", "term", "pos", "word", "_uid", "_pid", "_draw", "blob",
-              "fingerprint", "hash", "tokens", "tokenizer", "is_target", "weight", "h", "w"):
-        df = df.withColumn(c, F.lit("clash"))
-    return df
+    clash = ("size", "shard", "slot", "fp", "key", "score", "term", "pos", "word", "_uid", "_pid", "_draw", "blob",
+             "fingerprint", "hash", "tokens", "tokenizer", "is_target", "weight", "h", "w",
+             "_h", "_key", "_id", "_doc", "_score", "_n", "_rows", "_copy", "_text", "_k", "_shard", "a.b")
+    return df.select("*", *[F.lit(f"clash {c}").alias(c) for c in clash])
 
 
 #: Nulls in every column, empty and wordless texts, a long text, ties and repeated rows.

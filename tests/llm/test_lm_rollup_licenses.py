@@ -102,6 +102,13 @@ def test_life_of_a_corpus(spark, small, odd, empty, tmp_path):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in small.collect()]
     r = R.corpus_rollup(small, f"{tmp_path}/small", WORDS)
     assert totals(r) == brute_rollup(rows, count) and r.committed() == [1, 2, 3]
+    # after batch 1 the table itself
+    plain = {}
+    for x in small.collect():
+        at, t = plain.setdefault((x["source"], x["lang"], "words-1"), [0, 0, 0]), x["text"] or ""
+        at[0], at[1], at[2] = at[0] + 1, at[1] + count(t), at[2] + len(t)
+    first = r.totals_by_batch().where("batch = 1").collect()
+    assert {(x["source"], x["lang"], x["tokenizer"]): [x["documents"], x["tokens"], x["chars"]] for x in first} == plain
     assert totals(R.corpus_rollup(odd, f"{tmp_path}/odd", WORDS)) == brute_rollup(ODD, count)
     assert totals(R.corpus_rollup(empty, f"{tmp_path}/empty", WORDS)) == {}
 

@@ -60,4 +60,16 @@ def test_written_rows(spark, odd, empty):
     for r in out:
         got[r["doc_id"]] += 1
     assert got == {k: n for k, n in want.items() if n}
-    assert out[0]["size"] == "clash" and M.mixed_rows(empty, M.mix(empty)).collect() == []
+    assert out[0]["size"] == "clash size" and M.mixed_rows(empty, M.mix(empty)).collect() == []
+
+
+def test_more_sources_than_the_driver_should_see(spark):
+    from pyspark.sql import functions as F
+    n = 150_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("s%07d", "id").alias("source"),
+                                 F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    got = M.mix(docs)
+    want = M.share_out([i % 7 for i in range(n)], [(5, 2, 1)[i % 3] for i in range(n)], 1.5 * sum(i % 7 for i in range(n)), 2)
+    rows = sorted(got.select("doc_id", "target", "taken").collect())
+    assert len(rows) == n
+    assert all(abs(r["target"] - t) < 1e-6 and abs(r["taken"] - t) <= 0.5 + 1e-6 for r, t in zip(rows, want))

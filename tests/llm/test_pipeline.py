@@ -26,5 +26,8 @@ def test_stages_keep_other_columns_and_take_odd_rows(spark, odd, empty):
     for k, (_, stage) in enumerate(P.STAGES[:-1]):
         out = stage(spark, odd, SMALL)
         assert out.columns == odd.columns and out.count() > 0, k
+        clash = [c for c in odd.columns if odd.schema[c].nullable is False]
+        assert len(clash) > 30
+        assert all(tuple(r) == tuple(f"clash {c}" for c in clash) for r in out.select(*[f"`{c}`" for c in clash]).collect()), k
         assert stage(spark, empty, SMALL).collect() == []
     assert P.STAGES[-1][1](spark, empty, SMALL).collect() == []

@@ -62,8 +62,8 @@ def test_a_hot_key_is_split(spark):
 
 
 def test_written_shards(spark, small, tmp_path):
-    placed = S.shard_map(small, 5)
-    S.write_shards(small, placed, f"{tmp_path}/out")
+    placed = S.text_shard_map(small, 5)
+    S.write_shards(small, f"{tmp_path}/out", 5)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == small.count()
     want = {r["doc_id"]: (r["shard"], r["slot"]) for r in placed.collect()}
@@ -100,3 +100,18 @@ def test_the_capacity_is_minimal_however_coarse_the_steps(spark):
         docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size long")
         out = S.minimax_shards(docs, n, [F.col("doc_id")], "size", resolution=2)
         assert max(x[0] for x in out.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()) == S.minimax_cuts(sizes, n)[0]
+
+
+def test_every_row_is_written_once(spark, odd, empty, tmp_path):
+    """Also rows without an id whose texts have one CRC-32, and repeated ones."""
+    from corpus_rows import documents
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    rows = [(None, "plumless", "en", "a"), (None, "buckeroo", "en", "b"), (1, "plumless", "en", "c"), (1, "plumless", "de", "d")]
+    for k, docs in enumerate((documents(spark, rows), odd)):
+        S.write_shards(docs, f"{tmp_path}/{k}", 3)
+        back = spark.read.parquet(f"{tmp_path}/{k}")
+        kept = [c for c in docs.columns if c not in ("shard", "slot")]
+        quoted = [f"`{c}`" for c in kept]
+        assert sorted(map(repr, back.select(*quoted).collect())) == sorted(map(repr, docs.select(*quoted).collect()))
+        assert back.select("shard", "slot").distinct().count() == back.count()
+    S.write_shards(empty, f"{tmp_path}/none", 3)
