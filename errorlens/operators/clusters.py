@@ -20,6 +20,7 @@ from errorlens.functions.fingerprints import cluster_id, fingerprint
 from errorlens.functions.levels import is_error
 from errorlens.functions.templates import normalize_message
 from errorlens.functions.traces import class_of_head_line, exception_head_line
+from errorlens.operators.sizes import broadcast_if_small
 from errorlens.session import checkpoint
 
 ORDER_KEY = ("timestamp", "id")
@@ -99,16 +100,11 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
     )
 
 
-#: Ids up to which a fetch of rows broadcasts them.
-FETCH_IDS = 1_000_000
-
-
 def fetch_rows(ids: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
     """The rows of a large table for a few ids. The ids are written once and
-    counted: up to `FETCH_IDS` they are broadcast, so the table is read in
-    place and never shuffled; more of them are joined by shuffle."""
-    ids = checkpoint(ids)
-    return rows.join(F.broadcast(ids) if ids.count() <= FETCH_IDS else ids, list(on))
+    their bytes added up: where they fit a broadcast, the table is read in place
+    and never shuffled; more of them are joined by shuffle."""
+    return rows.join(broadcast_if_small(checkpoint(ids)), list(on))
 
 
 def newest_entries(logs: DataFrame, clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from errorlens.functions.fingerprints import location_key
 from errorlens.functions.levels import has_stack_trace, is_error
+from errorlens.operators.clusters import fetch_rows
+from errorlens.operators.sizes import broadcast_if_small, is_small
 from errorlens.session import checkpoint
 
 NO_TRACE = "No stack trace available"
@@ -27,9 +29,6 @@ def _or(c: Column, default: str) -> Column:
 
 
 GRAM = 3
-BROADCAST_BYTES = 64 << 20
-
-
 def _grams(text: Column, n: int) -> Column:
     """The distinct runs of ``n`` characters of a text."""
     return F.array_distinct(F.when(F.length(text) >= n, F.transform(
@@ -47,19 +46,13 @@ def _anchors(patterns: DataFrame, rows: DataFrame, lengths: list[int]) -> DataFr
         each = own if each is None else each.unionByName(own)
     each = checkpoint(each)
     held = rows.select("app_id", F.explode(F.concat(*[_grams(F.col("_low"), n) for n in lengths])).alias("gram"))
-    counts = (held.join(_bounded(each.select("app_id", "gram").distinct()), ["app_id", "gram"])
+    counts = (held.join(broadcast_if_small(each.select("app_id", "gram").distinct()), ["app_id", "gram"])
               .groupBy("app_id", "gram").agg(F.count(F.lit(1)).alias("_rows")))
     rarest = F.min(F.struct(F.coalesce("_rows", F.lit(0)).alias("rows"), "gram"))
     return (each.join(counts, ["app_id", "gram"], "left").groupBy("app_id", "fingerprint").agg(rarest.alias("_a"))
             .select("app_id", "fingerprint", F.col("_a.gram").alias("gram")))
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    """``small`` (narrow rows by cluster, checkpointed or cheap) marked for
-    broadcast if its counted rows fit; beyond that Spark joins by shuffle."""
-    return F.broadcast(small) if small.count() * 128 <= BROADCAST_BYTES else small
-
-
 def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3, prefix: int | None = None,
                            tokens_as_wildcards: bool = False, salt: int = 64) -> DataFrame:
     """For each cluster, the newest ``k`` error rows of its application
@@ -72,8 +65,9 @@ def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3, pre
 
     Rows and patterns meet on (application, gram): the rarest run of three
     characters of a pattern's longest literal piece, which every match
-    holds; then LIKE decides. Where the patterns fit a checked broadcast the
-    log isn't shuffled. Patterns without a literal piece take the newest
+    holds; then LIKE decides. Where the patterns' measured bytes fit a broadcast
+    the log isn't shuffled; else the pairs of id and gram are, and the messages
+    once. Traces are fetched for the rows taken only. ``id`` is the log's key. Patterns without a literal piece take the newest
     rows of their application. The newest ``k`` are taken per cluster and
     salt first, then per cluster, so a pattern matching a third of all rows
     is not ranked in one task."""
@@ -92,17 +86,20 @@ def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3, pre
     c = checkpoint(c.select("app_id", "cluster_id", "fingerprint", "_like", F.col("_longest.piece").alias("_piece"),
                             F.least(F.col("_longest.n"), F.lit(GRAM)).alias("_n")))
     e = logs.filter(is_error("level") & F.col("message").isNotNull()).select(
-        *[F.col(x).alias(x) for x in ("app_id", "id", "timestamp", "message", "stack_trace")],
-        F.lower("message").alias("_low"))
-    names = ["app_id", "fingerprint", "cluster_id", "id", "timestamp", "message", "stack_trace"]
+        *[F.col(x).alias(x) for x in ("app_id", "id", "timestamp", "message")], F.lower("message").alias("_low"))
+    names = ["app_id", "fingerprint", "cluster_id", "id", "timestamp"]
     lengths = sorted(r[0] for r in c.select("_n").distinct().collect() if r[0])
     hits = None
     if lengths:
         anchors = checkpoint(_anchors(c, e, lengths))
         told = checkpoint(c.join(anchors, ["app_id", "fingerprint"]).select("app_id", "fingerprint", "cluster_id", "_like", "gram"))
-        held = e.select("*", F.explode(F.concat(*[_grams(F.col("_low"), n) for n in lengths])).alias("gram"))
-        hits = (held.join(_bounded(told), ["app_id", "gram"])
-                .filter(F.expr("message ILIKE _like ESCAPE '!'")).select(*names))
+        grams = F.explode(F.concat(*[_grams(F.col("_low"), n) for n in lengths])).alias("gram")
+        if is_small(told):
+            met = e.select("*", grams).join(F.broadcast(told), ["app_id", "gram"])
+        else:
+            met = (e.select("app_id", "id", grams).join(told, ["app_id", "gram"])
+                   .join(e.drop("app_id", "_low"), "id"))
+        hits = met.filter(F.expr("message ILIKE _like ESCAPE '!'")).select(*names)
     # without a literal piece: the newest rows of the application
     free = c.filter(F.col("_n") == 0).select("app_id", "fingerprint", "cluster_id", "_like")
     if free.limit(1).count():
@@ -124,8 +121,9 @@ def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3, pre
     w1 = Window.partitionBy("app_id", "fingerprint", F.pmod(F.xxhash64("id"), F.lit(salt))).orderBy(*order)
     w2 = Window.partitionBy("app_id", "fingerprint").orderBy(*order)
     first = hits.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r")
-    return (first.withColumn("sample_rank", F.row_number().over(w2)).filter(F.col("sample_rank") <= k)
-            .drop("_r"))
+    taken = first.withColumn("sample_rank", F.row_number().over(w2)).filter(F.col("sample_rank") <= k).drop("_r")
+    texts = logs.filter(is_error("level")).select(*[F.col(x).alias(x) for x in ("id", "message", "stack_trace")])
+    return fetch_rows(taken, texts, ["id"]).select(*names, "message", "stack_trace", "sample_rank")
 
 
 def analysis_prompts(clusters: DataFrame, newest: DataFrame, context: DataFrame | None = None,

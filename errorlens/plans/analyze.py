@@ -36,11 +36,11 @@ def analyze(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | N
 
 
 def analyze_cloud(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | None], asof=None,
-                  partitions: int | None = None, samples: int = 3) -> DataFrame:
-    """Lifecycle E as the hosted form runs it: pattern samples (J5, first 50
-    chars of the pattern) feed the prompt of each cluster (``app_id``,
+                  partitions: int | None = None, samples: int = 3, prefix: int | None = 50) -> DataFrame:
+    """Lifecycle E as the hosted form runs it: pattern samples (J5, the first
+    ``prefix`` chars of the pattern, 50 there; None: all) feed the prompt of each cluster (``app_id``,
     ``fingerprint``); answers are parsed by the cloud rules."""
-    found = sample_logs_by_pattern(clusters, logs, samples, prefix=50)
+    found = sample_logs_by_pattern(clusters, logs, samples, prefix=prefix)
     answered = complete(cloud_analysis_prompts(clusters, found), model, partitions).where(F.col("response").isNotNull())
     return _analyses(answered, "cloud", asof, ["app_id"])
 
