@@ -245,18 +245,19 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
     in slot order inside a file, with their columns and ``slot`` (columns of
     these two names are replaced).
 
-    Rows meet their places by doc_id and the SHA-256 of the text; of rows
-    equal in both, which are interchangeable, the k-th takes the k-th place, so
-    every row is written once. Null text is as empty, null ids are matched
-    like others; an empty table writes no shard."""
-    h, k, doc, text, number, to, slot = free_names(docs, "h", "k", "doc", "text", "number", "shard", "slot")
-    places = _placed_by_text(docs, n_shards).select(F.col("doc_id").alias(doc), F.col("_text").alias(text),
-                                                    F.col("shard").alias(to), F.col("slot").alias(slot))
-    places = places.withColumn(number, F.row_number().over(Window.partitionBy(doc, text).orderBy(to, slot)))
+    Rows meet their places by doc_id and the SHA-256 of the text. Rows equal in
+    both are interchangeable and stand one after the other in one shard, so
+    their places are a first slot and the row's number among them, and every
+    row is written once. Null text is as empty, null ids are matched like
+    others; an empty table writes no shard."""
+    h, first, to, slot = free_names(docs, "h", "first", "shard", "slot")
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    rows = docs.drop("shard", "slot").withColumn(h, sha)
-    rows = rows.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0))))
-    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(h) == F.col(text)) & (F.col(k) == F.col(number)))
-    out = met.withColumns({"shard": F.col(to), "slot": F.col(slot)}).drop(h, k, doc, text, number, to, slot)
+    of_id = F.encode(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")), "UTF-8")
+    places = (_placed_by_text(docs, n_shards).groupBy(F.concat("_text", of_id).alias(first))
+              .agg(F.min("shard").alias(to), F.min("slot").alias(slot)))
+    met = docs.drop("shard", "slot").withColumn(h, F.concat(sha, of_id)).join(places, F.col(h) == F.col(first))
+    # dealt by the key already: the numbers cost no exchange
+    number = F.row_number().over(Window.partitionBy(h).orderBy(F.lit(0)))
+    out = met.withColumns({"shard": F.col(to), "slot": F.col(slot) + number - 1}).drop(h, first, to, slot)
     (out.repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))
