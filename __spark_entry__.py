@@ -12,6 +12,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import timedelta
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1434,11 +1435,16 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_top_clusters(spark, SMOKE_DIR)
 
 
-# The corpus operators are a subpackage that can be absent.
-try:
+# The corpus operators are a subpackage that can be absent; what they import can't.
+def _present(name: str) -> bool:
+    spec = find_spec(name)
+    return spec is not None and spec.origin is not None
+
+
+if _present("corpus_pipeline") and _present("errorlens.llm"):
     import corpus_pipeline
     from errorlens.llm import queries as corpus_queries
-except ImportError:
+else:
     corpus_pipeline = corpus_queries = None
 
 
