@@ -1263,6 +1263,62 @@ def q_delete_on_disk(spark, sf_dir):
     return read_logs(spark, path).select("id")
 
 
+# ---------------------------------------------------------------- daily partials of the stored table (A1, A2, A4, A5)
+
+def _partials(spark, sf_dir, mode, retain=None):
+    """The log table stored in two batches, the second (one application) late
+    on every day, its partials refreshed after each, and after a retention
+    run if one is asked for."""
+    from errorlens.operators.daily import read_partials, refresh_partials
+    from errorlens.sources.logs import delete_older_than_on_disk, to_log_schema, write_logs
+    path, base = _scratch(spark, sf_dir, "log-days"), _scratch(spark, sf_dir, "log-partials")
+    rows, late = to_log_schema(raw_logs(spark, sf_dir)), F.col("app_id").eqNullSafe("app-1")
+    for batch in (rows.where(~late), rows.where(late)):
+        write_logs(batch, path)
+        refresh_partials(spark, path, base, mode)
+    if retain is not None:
+        delete_older_than_on_disk(spark, path, retain)
+        refresh_partials(spark, path, base, mode)
+    return read_partials(spark, base, mode=mode)
+
+
+def _seen_ntz(df, *names):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names})
+
+
+@register("clusters_core_partials", _ORACLES["clusters_core"])
+def q_clusters_core_partials(spark, sf_dir):
+    from errorlens.operators.daily import merge_cluster_partials
+    return _seen_ntz(merge_cluster_partials(_partials(spark, sf_dir, "core")[1]), "first_seen", "last_seen")
+
+
+@register("clusters_cloud_partials", _ORACLES["clusters_cloud"])
+def q_clusters_cloud_partials(spark, sf_dir):
+    from errorlens.operators.daily import merge_cluster_partials
+    return _seen_ntz(merge_cluster_partials(_partials(spark, sf_dir, "cloud")[1], "cloud"), "first_seen", "last_seen")
+
+
+@register("count_by_level_partials", _ORACLES["count_by_level"])
+def q_count_by_level_partials(spark, sf_dir):
+    from errorlens.operators.daily import merge_level_partials
+    return merge_level_partials(_partials(spark, sf_dir, "core")[0])
+
+
+@register("app_stats_partials", _ORACLES["app_stats"])
+def q_app_stats_partials(spark, sf_dir):
+    from errorlens.operators.daily import app_stats_of_partials, merge_cluster_partials
+    levels, clusters = _partials(spark, sf_dir, "cloud")
+    return _seen_ntz(app_stats_of_partials(levels, merge_cluster_partials(clusters, "cloud"), FX.applications(spark)), "last_error")
+
+
+@register("report_summary_retained", W("kept AS (SELECT * FROM logs WHERE timestamp >= TIMESTAMP '2024-01-10 00:30:00')",
+                                       O.clusters_cte("core", src="kept")) + _SUMMARY_SQL.replace("FROM logs", "FROM kept"))
+def q_report_summary_retained(spark, sf_dir):
+    from errorlens.operators.daily import merge_cluster_partials, summary_of_partials
+    levels, clusters = _partials(spark, sf_dir, "core", retain="2024-01-10 00:30:00")
+    return summary_of_partials(levels, merge_cluster_partials(clusters))
+
+
 @register("ingest_stream", W() + "SELECT id, level, " + O.mdc_value("mdc_context", "traceId")
           + " AS trace_id FROM logs WHERE level IN ('WARN', 'ERROR', 'FATAL')")
 def q_ingest_stream(spark, sf_dir):

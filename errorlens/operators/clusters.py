@@ -61,13 +61,7 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
     """
     keys = _keys(mode, by)
     order = F.struct(*[F.col(c) for c in ORDER_KEY])
-    narrow = logs.filter(is_error("level")).select(
-        *keys, "timestamp", "id", "message", "stack_trace",
-        "file_name", "line_number", "method_name", "class_name")
-    rows = with_fingerprint(narrow, mode, frames, errors_only=False).select(
-        *keys, "fingerprint", "timestamp", "id", "message",
-        exception_head_line("stack_trace", mode).alias("_head"),
-        "file_name", "line_number", "method_name", "class_name")
+    rows = cluster_rows(logs, keys, mode, frames)
     loc = F.struct("file_name", "line_number", "method_name", "class_name")
     if mode == "core":
         head = F.max_by("_head", F.when(F.col("_head").isNotNull(), order))
@@ -84,6 +78,24 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
         where.alias("_loc"),
         *([F.max_by("id", order).alias("newest_id")] if with_newest_id else []),
     )
+    return clusters_of(agg, keys, mode, ["newest_id"] if with_newest_id else [])
+
+
+def cluster_rows(logs: DataFrame, keys: Sequence[str], mode: str = "core", frames: int = 5) -> DataFrame:
+    """The narrow error rows that a clustering aggregates: the keys, the
+    fingerprint, the order key, the message, the trace's first line (`_head`)
+    and the location."""
+    narrow = logs.filter(is_error("level")).select(
+        *keys, "timestamp", "id", "message", "stack_trace",
+        "file_name", "line_number", "method_name", "class_name")
+    return with_fingerprint(narrow, mode, frames, errors_only=False).select(
+        *keys, "fingerprint", "timestamp", "id", "message",
+        exception_head_line("stack_trace", mode).alias("_head"),
+        "file_name", "line_number", "method_name", "class_name")
+
+
+def clusters_of(agg: DataFrame, keys: Sequence[str], mode: str = "core", more: Sequence[str] = ()) -> DataFrame:
+    """Cluster rows from the aggregates of their error rows."""
     return agg.select(
         *keys,
         cluster_id("fingerprint").alias("cluster_id"),
@@ -96,7 +108,7 @@ def cluster_errors(logs: DataFrame, mode: str = "core", frames: int = 5,
         F.col("_loc.class_name").alias("primary_class"),
         "first_seen", "last_seen", "occurrence_count",
         severity("occurrence_count").alias("severity"),
-        *(["newest_id"] if with_newest_id else []),
+        *more,
     )
 
 
