@@ -1057,6 +1057,23 @@ def q_complete(spark, sf_dir):
         "cluster_id", "p.explanation", "p.root_cause", "confidence")
 
 
+@register("analyze_cloud_ledger", _ORACLES["analyze_cloud"])
+def q_analyze_cloud_ledger(spark, sf_dir):
+    """A first run whose model fails on every answer that names a null pointer,
+    a second one that asks for those only."""
+    from errorlens.plans.analyze import analyze_cloud
+    lg = logs(spark, sf_dir)
+    cl = checkpoint(C.cluster_errors(lg, mode="cloud"))
+    ledger = _scratch(spark, sf_dir, "answers")
+    analyze_cloud(lg, cl, _busy_model, ledger=ledger)
+    return analyze_cloud(lg, cl, _stub_model, ledger=ledger).select("app_id", "fingerprint", "explanation", "root_cause")
+
+
+def _busy_model(prompt: str) -> str | None:
+    """The stand-in model, without an answer to some prompts."""
+    return None if "NullPointer" in prompt else _stub_model(prompt)
+
+
 def _stub_model(prompt: str) -> str:
     """A stand-in model: echoes the exception line of the prompt."""
     first = prompt.split("\n")[2] if prompt.count("\n") >= 2 else prompt

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from errorlens.functions.responses import confidence, parse_response
 from errorlens.operators.clusters import most_recent_entry, newest_entries, with_fingerprint
 from errorlens.operators.insight import analysis_prompts, cloud_analysis_prompts, complete, sample_logs_by_pattern
+from errorlens.operators.ledger import complete_with_ledger
 
 
 def analyze(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | None],
             context: DataFrame | None = None, mode: str = "core", asof=None,
-            partitions: int | None = None) -> DataFrame:
+            partitions: int | None = None, ledger: str | None = None, model_name: str = "") -> DataFrame:
     """One analysis row per answered cluster: sections, patch, confidence,
-    answer. Clusters with an ``app_id`` are joined to entries of their own
+    answer. With ``ledger`` answers are kept there and a rerun calls the model
+    for the missing ones only (see `complete_with_ledger`). Clusters with an ``app_id`` are joined to entries of their own
     application only, and its column is kept. A failed call gives no row,
     so it never hides an earlier analysis."""
     by = ["app_id"] if "app_id" in clusters.columns else []
@@ -31,18 +33,25 @@ def analyze(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | N
         fp = with_fingerprint(logs, mode).select(*by, "fingerprint", "id", "timestamp", "stack_trace", "message")
         newest = most_recent_entry(fp, by)
     prompts = analysis_prompts(clusters, newest, context, by=by)
-    answered = complete(prompts, model, partitions).where(F.col("response").isNotNull())
-    return _analyses(answered, mode, asof, by)
+    return _analyses(_answered(prompts, model, partitions, ledger, model_name), mode, asof, by)
 
 
 def analyze_cloud(logs: DataFrame, clusters: DataFrame, model: Callable[[str], str | None], asof=None,
-                  partitions: int | None = None, samples: int = 3, prefix: int | None = 50) -> DataFrame:
+                  partitions: int | None = None, samples: int = 3, prefix: int | None = 50,
+                  ledger: str | None = None, model_name: str = "") -> DataFrame:
     """Lifecycle E as the hosted form runs it: pattern samples (J5, the first
     ``prefix`` chars of the pattern, 50 there; None: all) feed the prompt of each cluster (``app_id``,
     ``fingerprint``); answers are parsed by the cloud rules."""
     found = sample_logs_by_pattern(clusters, logs, samples, prefix=prefix)
-    answered = complete(cloud_analysis_prompts(clusters, found), model, partitions).where(F.col("response").isNotNull())
-    return _analyses(answered, "cloud", asof, ["app_id"])
+    prompts = cloud_analysis_prompts(clusters, found)
+    return _analyses(_answered(prompts, model, partitions, ledger, model_name), "cloud", asof, ["app_id"])
+
+
+def _answered(prompts: DataFrame, model: Callable[[str], str | None], partitions: int | None, ledger: str | None,
+              model_name: str) -> DataFrame:
+    rows = (complete(prompts, model, partitions) if ledger is None
+            else complete_with_ledger(prompts, model, ledger, model_name))
+    return rows.where(F.col("response").isNotNull())
 
 
 def _analyses(answered: DataFrame, mode: str, asof, by: list[str]) -> DataFrame:
