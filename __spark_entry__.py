@@ -1457,6 +1457,19 @@ def q_cloud_scan_snapshot(spark, sf_dir):
     return read_snapshot(spark, out).select("app_id", "id", "fingerprint", "occurrence_count", "status")
 
 
+@register("cloud_scan_app_state", _snapshot_sql())
+def q_cloud_scan_app_state(spark, sf_dir):
+    """The state that readers find after two scans of one app, of which the
+    second wrote that app's changed rows only."""
+    from errorlens.operators.state import read_app_states
+    from errorlens.plans.scan import run_cloud_scan
+    lg, before = logs(spark, sf_dir), state(spark, sf_dir)
+    out = _scratch(spark, sf_dir, "app-state")
+    for _ in range(2):
+        run_cloud_scan(lg, before, "app-1", FL.asof_of(lg), out, hours=72, per_app=True)
+    return read_app_states(spark, out, before).select("app_id", "id", "fingerprint", "occurrence_count", "status")
+
+
 @register("cloud_scan_event", W(f"rows AS (SELECT * FROM logs WHERE app_id = 'app-1' AND level IN ('ERROR', 'FATAL') "
                                 f"AND timestamp >= {ASOF} - INTERVAL 72 HOUR)",
                                 O.clusters_cte("cloud", ("app_id",), src="rows", name="scan"))

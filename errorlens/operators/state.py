@@ -243,3 +243,62 @@ def read_changes(spark: SparkSession, base: str, key: list[str] | None = None) -
         return rows.select(*names)
     newest = rows.groupBy(*key).agg(F.max_by(F.struct(*names), "_version").alias("_r"))
     return newest.select("_r.*")
+
+
+# ---------------------------------------------------------------- state by application
+
+def app_folder(base: str, app_id: str) -> str:
+    """The folder of one application's state: any id makes a safe name."""
+    return f"{base.rstrip('/')}/app=s{app_id.encode().hex()}"
+
+
+def write_app_changes(state: DataFrame, scan: DataFrame, app_id: str, base: str, asof) -> str:
+    """Upsert the clusters of one application's scan (U1) into its own folder
+    and return the folder.
+
+    The first time all rows that ``state`` has of the application are written;
+    later only the rows that the scan saw, over what the folder holds then
+    (``state`` isn't read any more). Other applications' rows are neither read nor
+    written, so scans of different applications can run at once; of one
+    application one at a time. An empty scan writes an empty change."""
+    spark, folder = scan.sparkSession, app_folder(base, app_id)
+    held = read_changes(spark, folder)
+    if held is None:
+        changed = upsert_clusters(state.where(F.col("app_id") == app_id), scan, asof)
+    else:
+        seen = held.join(scan.select(*KEY), KEY, "left_semi")
+        changed = upsert_clusters(seen, scan, asof)
+    newest = max([0, *_versions(spark, folder)[-1:], *_versions(spark, folder, "d")[-1:]])
+    write_changes(changed, folder, newest + 1)
+    return folder
+
+
+def read_app_states(spark: SparkSession, base: str, initial: DataFrame | None = None) -> DataFrame | None:
+    """The state of all applications that `write_app_changes` keeps under
+    ``base``, and the rows of ``initial`` of those that have no folder yet. None
+    if there is neither. Snapshots and changes are two reads whatever the number
+    of applications."""
+    fs, p, _ = _fs(spark, base)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    paths, apps = {"v": [], "d": []}, []
+    for name in sorted(n for n in names if n.startswith("app=s")):
+        folder = f"{base.rstrip('/')}/{name}"
+        whole = (_versions(spark, folder)[-1:] or [0])[0]
+        changes = [d for d in _versions(spark, folder, "d") if d > whole]
+        if whole or changes:
+            apps.append((bytes.fromhex(name[len("app=s"):]).decode(),))
+            paths["v"] += [_folder(folder, "v", whole)] if whole else []
+            paths["d"] += [_folder(folder, "d", d) for d in changes]
+    if not apps:
+        return initial
+    rows = None
+    for kind, found in paths.items():
+        if found:
+            one = spark.read.option("basePath", base).parquet(*found).withColumn("_version", F.col(kind).cast("long")).drop(kind, "app")
+            rows = one if rows is None else rows.unionByName(one)
+    names = [c for c in rows.columns if c != "_version"]
+    out = rows.groupBy(*KEY).agg(F.max_by(F.struct(*names), "_version").alias("_r")).select("_r.*")
+    if initial is None:
+        return out
+    rest = initial.join(spark.createDataFrame(apps, "app_id string"), "app_id", "left_anti")
+    return out.unionByName(rest.select(*names))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from errorlens.operators.clusters import capped_scan, cluster_errors, top_clusters
 from errorlens.operators.filters import errors, for_app, in_last, since, ts_value
 from errorlens.operators.report import observe_scan, scan_metrics
-from errorlens.operators.state import append_events, scan_event, upsert_clusters, write_snapshot
+from errorlens.operators.state import append_events, scan_event, upsert_clusters, write_app_changes, write_snapshot
 from errorlens.session import checkpoint
 
 
@@ -47,7 +47,7 @@ def cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, hours: floa
 
 def run_cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, state_path: str,
                    hours: float = 24, cap: int | None = None, scan_id: str = "scan",
-                   events_path: str | None = None) -> dict:
+                   events_path: str | None = None, per_app: bool = False) -> dict:
     """Lifecycle B as one job: the scan's rows are counted by an
     ``Observation`` while they are clustered (no second pass for the run
     record), the clusters are checkpointed once, the next state (this app's
@@ -55,6 +55,12 @@ def run_cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, state_p
     version, and the closing event is returned as a one-row DataFrame with
     ``state_path``.
 
+    With ``per_app`` only this app's changed rows are written, into its own folder
+    below ``state_path`` (`write_app_changes`; read all by `read_app_states`):
+    the cost is that of the app's scan, and scans of different apps can run at
+    once. Without it a scan rewrites the table of all apps, and of two
+    at once the later one wins.
+
     With ``events_path`` a RUNNING event is added to that table before the
     scan, and a COMPLETED or FAILED event (with the error's text; the error
     is raised again) after it."""
@@ -75,9 +81,12 @@ def run_cloud_scan(logs: DataFrame, state: DataFrame, app_id: str, asof, state_p
         observed, obs = observe_scan(rows, f"scan-{scan_id}")
         clusters = checkpoint(cluster_errors(observed, mode="cloud"))
         scanned = obs.get.get("logs_scanned", 0)
-        mine = upsert_clusters(for_app(state, app_id), clusters, asof)
-        others = state.where(~F.col("app_id").eqNullSafe(F.lit(app_id)))
-        path = write_snapshot(mine.unionByName(others.select(*mine.columns)), state_path)
+        if per_app:
+            path = write_app_changes(state, clusters, app_id, state_path, asof)
+        else:
+            mine = upsert_clusters(for_app(state, app_id), clusters, asof)
+            others = state.where(~F.col("app_id").eqNullSafe(F.lit(app_id)))
+            path = write_snapshot(mine.unionByName(others.select(*mine.columns)), state_path)
         n_clusters = clusters.count()
     except Exception as e:
         if events_path is not None:
