@@ -856,12 +856,31 @@ def q_sample_logs_literal(spark, sf_dir):
     one with a wildcard and one that no row holds."""
     from errorlens.operators.insight import sample_logs_by_pattern
     lg = logs(spark, sf_dir)
+    return sample_logs_by_pattern(_asked_patterns(lg), lg, 3).select("app_id", "fingerprint", "id", "sample_rank")
+
+
+def _asked_patterns(lg):
     cl = checkpoint(C.cluster_errors(lg, mode="cloud").select("app_id", "cluster_id", "fingerprint", "message_pattern"))
     apps = cl.select("app_id").distinct()
     for name, pattern in (("none", ""), ("short", "O_"), ("absent", "zzz absent zzz")):
         cl = cl.unionByName(apps.select("app_id", F.lit(name).alias("cluster_id"), F.lit(name).alias("fingerprint"),
                                         F.lit(pattern).alias("message_pattern")))
-    return sample_logs_by_pattern(cl, lg, 3).select("app_id", "fingerprint", "id", "sample_rank")
+    return cl
+
+
+@register("sample_logs_stored", _ORACLES["sample_logs_by_pattern"])
+def q_sample_logs_stored(spark, sf_dir):
+    """The same over the stored table, written in two batches (one application
+    late), its gram index refreshed after each."""
+    from errorlens.operators.gram_index import refresh_gram_index, sample_logs_stored
+    from errorlens.sources.logs import to_log_schema, write_logs
+    path, base = _scratch(spark, sf_dir, "log-days"), _scratch(spark, sf_dir, "log-grams")
+    rows, late = to_log_schema(raw_logs(spark, sf_dir)), F.col("app_id").eqNullSafe("app-1")
+    for batch in (rows.where(~late), rows.where(late)):
+        write_logs(batch, path)
+        refresh_gram_index(spark, path, base)
+    return sample_logs_stored(spark, _asked_patterns(logs(spark, sf_dir)), path, base, 3).select(
+        "app_id", "fingerprint", "id", "sample_rank")
 
 
 @register("simple_prompts", W(O.clusters_cte("core"),

@@ -29,6 +29,8 @@ def _or(c: Column, default: str) -> Column:
 
 
 GRAM = 3
+
+
 def _grams(text: Column, n: int) -> Column:
     """The distinct runs of ``n`` characters of a text."""
     return F.array_distinct(F.when(F.length(text) >= n, F.transform(
@@ -53,6 +55,15 @@ def _anchors(patterns: DataFrame, rows: DataFrame, lengths: list[int]) -> DataFr
             .select("app_id", "fingerprint", F.col("_a.gram").alias("gram")))
 
 
+def stored_pattern(prefix: int | None = None, tokens_as_wildcards: bool = False) -> Column:
+    """The LIKE pattern of a cluster's ``message_pattern``, without the
+    ``%`` around it."""
+    pattern = F.coalesce("message_pattern", F.lit(""))
+    if tokens_as_wildcards:
+        pattern = F.regexp_replace(pattern, "<[A-Z]+>", "%")
+    return pattern if prefix is None else F.substring(pattern, 1, prefix)
+
+
 def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3, prefix: int | None = None,
                            tokens_as_wildcards: bool = False, salt: int = 64) -> DataFrame:
     """For each cluster, the newest ``k`` error rows of its application
@@ -71,11 +82,7 @@ def sample_logs_by_pattern(clusters: DataFrame, logs: DataFrame, k: int = 3, pre
     rows of their application. The newest ``k`` are taken per cluster and
     salt first, then per cluster, so a pattern matching a third of all rows
     is not ranked in one task."""
-    pattern = F.coalesce("message_pattern", F.lit(""))
-    if tokens_as_wildcards:
-        pattern = F.regexp_replace(pattern, "<[A-Z]+>", "%")
-    if prefix is not None:
-        pattern = F.substring(pattern, 1, prefix)
+    pattern = stored_pattern(prefix, tokens_as_wildcards)
     # fresh column ids on both sides: the clusters usually derive from the same log table
     c = checkpoint(clusters.select(*[F.col(x).alias(x) for x in ("app_id", "cluster_id", "fingerprint")],
                                    pattern.alias("_pattern")))
