@@ -81,6 +81,18 @@ def accept_by_key(batch: DataFrame, apps: DataFrame) -> tuple[DataFrame, DataFra
             batch.join(keys, ["app_id", "api_key"], "left_anti"))
 
 
+def check_keys(batch: DataFrame, apps: DataFrame) -> DataFrame:
+    """J4 in one pass: ``batch`` with ``accepted`` and, for the others, the
+    ``reason``. An application may have several keys; a null id or key matches
+    nothing. Batch columns named ``accepted`` or ``reason`` are replaced."""
+    held = apps.filter(F.col("app_id").isNotNull()).groupBy(F.col("app_id").alias("_app")).agg(
+        F.collect_set("api_key").alias("_keys"))
+    j = batch.join(held, batch["app_id"] == held["_app"], "left")
+    ok = F.coalesce(F.array_contains("_keys", F.col("api_key")), F.lit(False))
+    why = F.when(F.col("_app").isNull(), "unknown application").when(~F.col("accepted"), "wrong key")
+    return j.withColumn("accepted", ok).withColumn("reason", why).drop("_app", "_keys")
+
+
 def attach_analysis(clusters: DataFrame, analyses: DataFrame, key: str = "id") -> DataFrame:
     """Each cluster with its newest analysis, if any (left join)."""
     newest = latest_analysis(analyses)

@@ -83,11 +83,11 @@ def read_logs(spark: SparkSession, path: str | None, fmt: str = "parquet", schem
     return to_log_schema(df, keep=[c for c in df.columns if c == "log_date"])
 
 
-def with_ingest_defaults(df: DataFrame, now: Column | None = None) -> DataFrame:
+def with_ingest_defaults(df: DataFrame, now: Column | None = None, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """S2 defaults: a null time becomes the ingest time, a null level INFO,
     ``created_at`` the ingest time; ``log_date`` is added for the layout."""
     at = now if now is not None else F.current_timestamp()
-    out = to_log_schema(df)
+    out = to_log_schema(df, keep)
     out = (out.withColumn("timestamp", F.coalesce("timestamp", at))
               .withColumn("level", F.coalesce("level", F.lit("INFO")))
               .withColumn("created_at", F.coalesce("created_at", at)))
