@@ -1368,6 +1368,25 @@ def q_ingest_stream(spark, sf_dir):
     return spark.read.parquet(out).select("id", "level", "trace_id")
 
 
+@register("ingest_keyed_stream", W(O.apps_cte(), f"batch AS ({_BATCH_SQL})")
+          + "SELECT id, app_id, level, accepted, CASE WHEN accepted THEN NULL WHEN known THEN 'wrong key' ELSE 'unknown application' END "
+            "AS reason FROM (SELECT b.id, b.app_id, l.level, EXISTS (SELECT 1 FROM apps a WHERE a.app_id = b.app_id AND "
+            "a.api_key = b.api_key) AS accepted, EXISTS (SELECT 1 FROM apps a WHERE a.app_id = b.app_id) AS known FROM batch b "
+            "JOIN logs l ON l.id = b.id WHERE l.level IN ('WARN', 'ERROR', 'FATAL'))")
+def q_ingest_keyed_stream(spark, sf_dir):
+    from errorlens.sources.logs import read_logs
+    from errorlens.streaming.keyed import ingest_keyed_stream
+    key = _BATCH_SQL.removeprefix("SELECT id, app_id, ").removesuffix(" FROM logs")
+    src, out = _scratch(spark, sf_dir, "keyed-in"), _scratch(spark, sf_dir, "keyed-out")
+    raw_logs(spark, sf_dir).selectExpr("*", FX.spark_sql(key)).repartition(8).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 4).parquet(src)
+    ingest_keyed_stream(stream, lambda: FX.applications(spark), f"{out}/accepted", f"{out}/rejected", f"{out}/staging",
+                        f"{out}/checkpoint", available_now=True).awaitTermination()
+    good = read_logs(spark, f"{out}/accepted").select("id", "app_id", "level", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"))
+    bad = spark.read.parquet(f"{out}/rejected").select("id", "app_id", "level", F.lit(False).alias("accepted"), "reason")
+    return good.unionByName(bad)
+
+
 @register("stream_clusters", W(O.clusters_cte("cloud", ("app_id",))) + f"SELECT app_id, {CLUSTER_COLS} FROM clusters")
 def q_stream_clusters(spark, sf_dir):
     from errorlens.operators.state import read_changes
@@ -1422,13 +1441,71 @@ def q_report_document_fields(spark, sf_dir):
                     F.transform("d.clusters", lambda c: c["id"]).alias("top_ids"))
 
 
-@register("report_json")
+_PERIOD = f"period AS (SELECT * FROM logs WHERE timestamp >= {ASOF} - INTERVAL 7 DAY AND timestamp <= {ASOF})"
+
+
+@register("report_json", W(
+    _PERIOD, O.clusters_cte("core", src="period"),
+    "lv AS (SELECT level, count(*) AS n FROM period GROUP BY level)",
+    "top AS (SELECT * FROM clusters ORDER BY occurrence_count DESC, last_seen DESC, fingerprint LIMIT 10)",
+    "entry AS (SELECT occurrence_count, last_seen, fingerprint, '{\"id\":' || to_json(cluster_id) || "
+    "coalesce(',\"exceptionClass\":' || to_json(exception_class), '') || ',\"occurrences\":' || occurrence_count || "
+    "',\"severity\":\"' || severity || '\",\"firstSeen\":\"' || first_seen || '\",\"lastSeen\":\"' || last_seen || "
+    "'\",\"location\":' || to_json(" + O.location_key("primary_class", "primary_method", "primary_line") + ") || '}' AS e FROM top)")
+    + f"SELECT '{{\"generated\":\"' || {ASOF} || '\",\"period\":{{\"lookback\":\"7d\",\"end\":\"' || {ASOF} || "
+      "'\"},\"summary\":{\"totalLogs\":' || (SELECT count(*) FROM period) || ',\"errorLogs\":' || "
+      "(SELECT count(*) FROM period WHERE level IN ('ERROR', 'FATAL')) || ',\"uniqueClusters\":' || "
+      "(SELECT count(*) FROM clusters) || '},\"levelDistribution\":{' || "
+      "(SELECT string_agg('\"' || level || '\":' || n, ',' ORDER BY list_position("
+      "['TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL'], level)) FROM lv) || '},\"clusters\":[' || "
+      "coalesce((SELECT string_agg(e, ',' ORDER BY occurrence_count DESC, last_seen DESC, fingerprint) FROM entry), '') "
+      "|| ']}' AS json")
 def q_report_json(spark, sf_dir):
     from errorlens.plans.report import report_document
     lg = logs(spark, sf_dir)
     return report_document(lg, FL.asof_of(lg), "7d")
 
 
+@register("report_files", W(_PERIOD, O.clusters_cte("core", src="period"))
+          + "SELECT 'levels' AS part, level AS name, count(*) AS n, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS last_seen "
+            "FROM period GROUP BY level UNION ALL SELECT 'clusters', fingerprint, occurrence_count, severity, "
+            "strftime(last_seen, '%Y-%m-%dT%H:%M:%S.%g') FROM clusters "
+            "UNION ALL SELECT 'summary', 'total_logs', count(*), NULL, NULL FROM period")
+def q_report_files(spark, sf_dir):
+    """The report's JSON files read back."""
+    from errorlens.plans.report import report_tables, write_report_json
+    lg = logs(spark, sf_dir)
+    path = _scratch(spark, sf_dir, "report")
+    write_report_json(report_tables(lg, FL.asof_of(lg), "7d"), path)
+    none = F.lit(None).cast("string")
+    row = lambda part, name, n, *more: [F.lit(part).alias("part"), F.col(name).alias("name") if isinstance(name, str) else name,
+                                        F.col(n).alias("n"), *[c.alias(a) for c, a in zip(more or (none, none), ("severity", "last_seen"))]]
+    levels = spark.read.schema("level string, count long").json(f"{path}/levels")
+    found = spark.read.schema("fingerprint string, occurrence_count long, severity string, last_seen string").json(f"{path}/clusters")
+    summary = spark.read.schema("total_logs long").json(f"{path}/summary")
+    # the file's time without its zone
+    seen = F.substring("last_seen", 1, 23)
+    return (levels.select(*row("levels", "level", "count"))
+            .unionByName(found.select(*row("clusters", "fingerprint", "occurrence_count", F.col("severity"), seen)))
+            .unionByName(summary.select(*row("summary", F.lit("total_logs").alias("name"), "total_logs"))))
+
+
+@register("read_source_files", W(O.clusters_cte("core"), _GSRC)
+          + "SELECT root_rank, rel_path, content || chr(10) AS content FROM gsrc")
+def q_read_source_files(spark, sf_dir):
+    """The derived source files written under ranked roots, one folder each, and read back."""
+    from errorlens.operators.context import read_sources
+    sources = checkpoint(FX.generated_sources(logs(spark, sf_dir)).select("root_rank", "rel_path", "content"))
+    path = _scratch(spark, sf_dir, "sources")
+    ranks = sorted(r[0] for r in sources.select("root_rank").distinct().collect())
+    (sources.select("root_rank", F.replace("rel_path", F.lit("/"), F.lit("~")).alias("at"), "content")
+     .write.partitionBy("root_rank", "at").text(path))
+    got = read_sources(spark, [f"{path}/root_rank={r}" for r in ranks], glob="*.txt")
+    rank = F.element_at(F.array(*[F.lit(r) for r in ranks]), F.col("root_rank") + 1)
+    at = F.replace(F.regexp_extract("rel_path", r"at=([^/]+)/", 1), F.lit("~"), F.lit("/"))
+    return got.select(rank.alias("root_rank"), at.alias("rel_path"), "content")
+
+
 # ---------------------------------------------------------------- lifecycles
 
 @register("scan_lifecycle", W(f"period AS (SELECT * FROM logs WHERE level IN ('ERROR', 'FATAL') AND timestamp >= {ASOF} "

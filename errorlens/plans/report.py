@@ -52,8 +52,9 @@ def report_document(logs: DataFrame, asof, lookback: str = "24h", mode: str = "c
     period = in_last(logs, asof, lookback, timedelta(hours=24))
     clusters = checkpoint(cluster_errors(period, mode=mode))
     summary = report_summary(period, clusters)
-    levels = level_distribution(period).select(F.map_from_entries(F.collect_list(F.struct(
-        "level", "count"))).alias("m")).select("m").scalar()
+    ranked = F.array_sort(F.collect_list(F.struct("level_rank", "level", "count")))
+    levels = level_distribution(period).select(F.map_from_entries(F.transform(
+        ranked, lambda e: F.struct(e["level"], e["count"]))).alias("m")).select("m").scalar()
     entry = F.struct(
         (-F.col("occurrence_count")).alias("o"), (-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("l"),
         F.col("fingerprint").alias("f"),
