@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_collocations": collocations.SQL, "op12_chat_format": chat_format.DIGEST_SQL}
+    return {"op8_secret_ledger": secret_scan.SQL, "op11_collocations": collocations.SQL, "op12_chat_format": chat_format.DIGEST_SQL}

@@ -121,3 +121,37 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[Da
     whole = new if ledger is None else ledger.unionByName(new)
     out = findings_by_path(versions, whole, ["doc_id"])
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob"), new
+
+
+def _sql() -> str:
+    """`scan_documents` in DuckDB. A kind's matches stand between the pieces
+    that splitting at its pattern leaves, so lengths give their places. Runs of
+    hex digits and of access keys are maximal, so their least lengths can be
+    asked for by the pattern."""
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    rules = [(ASSIGN.pattern, 2, "length(g) >= 6"), (ACCESS.pattern, 0, "length(m) >= 20"), ("[0-9a-f]{24,}", 0, "true"),
+             (PEM.pattern, 0, "true"), (JWT.pattern, 0, "true")]
+    parts = " UNION ALL ".join(
+        f"SELECT blob, text, {k} AS k, {q(KINDS[k])} AS kind, string_split_regex(text, {q(p)}) AS gaps, "
+        f"regexp_extract_all(text, {q(p)}) AS ms, regexp_extract_all(text, {q(p)}, {g}) AS gs FROM blobs "
+        f"WHERE regexp_matches(text, {q(p)})" for k, (p, g, _) in enumerate(rules))
+    taken = " OR ".join(f"(k = {k} AND {cond})" for k, (_, _, cond) in enumerate(rules))
+    joined = lambda where: (f"coalesce(string_agg(kind || ':' || a || ':' || (a + length(m)), ',' ORDER BY a, k) "
+                            f"FILTER (WHERE {where}), '')")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+blobs AS (SELECT DISTINCT sha256(text) AS blob, text FROM docs),
+parts AS ({parts}),
+places AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM parts),
+found AS (SELECT blob, k, kind, ms[i] AS m, gs[i] AS g,
+    CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+    FROM places),
+kept AS (SELECT * FROM found WHERE {taken}),
+by_blob AS (SELECT blob, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
+    count(*) FILTER (WHERE k = 2) AS n_hex, {joined(f"k < {BASE}")} AS base, {joined("true")} AS spans FROM kept GROUP BY blob)
+SELECT d.doc_id, coalesce(b.n_assign, 0) AS n_assign, coalesce(b.n_access, 0) AS n_access, coalesce(b.n_hex, 0) AS n_hex,
+    sha256(coalesce(b.base, '')) AS base_sha256, coalesce(b.spans, '') AS spans, sha256(d.text) AS blob
+FROM docs d LEFT JOIN by_blob b ON b.blob = sha256(d.text)"""
+
+
+SQL = _sql()
