@@ -79,10 +79,7 @@ class Ranked:
             total, count = total + totals[pid][0], count + totals[pid][1]
         self.total, self.count = total, count
 
-    def frame(self) -> DataFrame:
-        """The rows with ``_prefix`` (sum of the sizes before the row in the
-        global order) and ``_index`` (its number from 0). No shuffle: each
-        task adds up its own sorted partition from that partition's start."""
+    def _numbered(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         before, size = self.before, self.size
         names = [c for c in self.rows.columns if c != "_pid"]
 
@@ -101,9 +98,21 @@ class Ranked:
                     names=[*names, "_prefix", "_index"])
                 at = [at[0] + int(ends[-1]), at[1] + len(sizes)]
 
+        return run
+
+    def frame(self) -> DataFrame:
+        """The rows with ``_prefix`` (sum of the sizes before the row in the
+        global order) and ``_index`` (its number from 0). No shuffle: each
+        task adds up its own sorted partition from that partition's start."""
         kept = self.rows.drop("_pid")
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-        return self.rows.mapInArrow(run, f"{fields}, _prefix long, _index long")
+        return self.rows.mapInArrow(self._numbered(), f"{fields}, _prefix long, _index long")
+
+    def mapped(self, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """``frame().mapInArrow(fn, schema)`` in one Python worker a task; one
+        mapInArrow after the other keeps a worker and its batches for each."""
+        numbered = self._numbered()
+        return self.rows.mapInArrow(lambda batches: fn(numbered(batches)), schema)
 
 
 def ranked(df: DataFrame, order: Sequence[Column], size: str) -> Ranked:

@@ -87,7 +87,7 @@ def group_starts(order_of: Ranked, first: str, group: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_prefix").filter(pa.array(new)), index.filter(pa.array(new))],
                                              names=["_prefix", "_index"])
 
-    return order_of.frame().select(group, "_prefix", "_index").mapInArrow(run, "_prefix long, _index long")
+    return order_of.mapped(run, "_prefix long, _index long")
 
 
 def possible_cuts(edges: np.ndarray, whole: np.ndarray, total: int, low: int, high: int, n: int) -> np.ndarray:
@@ -170,8 +170,8 @@ def minimax_shards(docs: DataFrame, n_shards: int, order: Sequence[Column], size
     Null sizes count as 0, null order keys go first, equal rows keep any
     order among themselves. An empty table gives an empty result."""
     order_of = ranked(docs.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long")), order, size)
-    rows = order_of.frame()
-    starts = group_starts(order_of, *group) if group else rows.select("_prefix", "_index")
+    # two numbers a group, read again in every round
+    starts = checkpoint(group_starts(order_of, *group) if group else order_of.frame().select("_prefix", "_index"))
     _, cuts = exact_cuts(starts, order_of.total, n_shards, n_shards * resolution)
     edges = np.array([c[0] for c in cuts], dtype=np.int64)
     first = np.array([0, *(c[1] for c in cuts)], dtype=np.int64)
@@ -185,8 +185,8 @@ def minimax_shards(docs: DataFrame, n_shards: int, order: Sequence[Column], size
                                              + [pa.array(shard.astype(np.int32)), pa.array(slot)],
                                              names=[*names, "shard", "slot"])
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(place, f"{fields}, shard int, slot long")
+    fields = ", ".join(f"`{c}` {order_of.rows.schema[c].dataType.simpleString()}" for c in names)
+    return order_of.mapped(place, f"{fields}, shard int, slot long")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from .common import checkpoint, free_names, map_arrow, row_hash
 FAN = 16
 #: A group of more fingerprints is split by further bands.
 GROUP_ROWS = 4096
+#: Pairs of nodes whose children are compared at once.
+FRONTIER = 512
 
 
 # ------------------------------------------------------------ fingerprints
@@ -112,8 +114,8 @@ def linked_chunks(group: np.ndarray, fps: np.ndarray, distance: int) -> Iterator
     for level in range(len(levels) - 1, 0, -1):
         below, first = levels[level - 1], bounds[level - 1]
         out_a, out_b = [], []
-        for at in range(0, len(a), 1 << 12):  # a bounded frontier
-            pa_, pb_ = a[at:at + (1 << 12)], b[at:at + (1 << 12)]
+        for at in range(0, len(a), FRONTIER):
+            pa_, pb_ = a[at:at + FRONTIER], b[at:at + FRONTIER]
             na, nb = first[pa_ + 1] - first[pa_], first[pb_ + 1] - first[pb_]
             each = na * nb
             pair = np.repeat(np.arange(len(pa_)), each)

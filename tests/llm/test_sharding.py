@@ -115,3 +115,12 @@ def test_every_row_is_written_once(spark, odd, empty, tmp_path):
         assert sorted(map(repr, back.select(*quoted).collect())) == sorted(map(repr, docs.select(*quoted).collect()))
         assert back.select("shard", "slot").distinct().count() == back.count()
     S.write_shards(empty, f"{tmp_path}/none", 3)
+
+
+def test_a_task_holds_one_python_worker(spark):
+    """Running sums and what is made of them are one step over Arrow batches;
+    two would keep two workers and their batches a task."""
+    docs = spark.createDataFrame([(i % 7, "a" * (i % 5)) for i in range(60)], "doc_id long, text string")
+    for out in (S.shard_map(docs, 4), S.text_shard_map(docs, 4)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert out.count() == 60

@@ -71,6 +71,15 @@ def test_index_finds_all_pairs():
     assert {(int(i), int(j)) for i, j in zip(a, b)} == want
 
 
+def test_pairs_of_a_dense_group_come_in_small_chunks():
+    """All of 2016 fingerprints are near each other: two million pairs."""
+    fps = np.array([1 << i | 1 << j for i in range(64) for j in range(i)], dtype=np.uint64)
+    fps = fps[np.argsort(S.gray_rank(fps))]
+    sizes = [len(a) for a, _ in S.linked_chunks(np.zeros(len(fps), np.int64), fps, 4)]
+    assert sum(sizes) == len(fps) * (len(fps) - 1) // 2
+    assert max(sizes) <= S.FAN ** 2 * 512
+
+
 def test_gray_rank_inverts_the_gray_code():
     n = np.arange(1000, dtype=np.uint64)
     assert (S.gray_rank(n ^ n >> np.uint64(1)) == n).all()
