@@ -73,6 +73,19 @@ def test_query_equals_sql(spark):
     assert rows and rows == sorted(con.sql(oracle_sql()["op11_collocations"]).fetchall())
 
 
+def test_longest_grams_are_one_row_a_place_at_most_and_copies_add_none(spark):
+    def grams(copies):
+        parts = C.checkpoint(C.slices(documents(spark, REPEATED * copies).coalesce(1)))
+        pairs = C.pair_counts(parts, C.word_counts(parts).select("slice", "id"))
+        linked = pairs.selectExpr(f"shiftright(at, {C.COUNT_BITS}) AS slice", "pair")
+        return got(C.longest_grams(parts, linked))
+    once, often = grams(1), grams(30)
+    places = sum(max(0, len(re.findall(r"[^\x20\x09]+", piece)) - 1)
+                 for _, text, _, _ in REPEATED for piece in re.split(r"[.,;:!?\x0A-\x0D]", text or ""))
+    assert once and len(once) == len({x[:2] for x in once}) and sum(x[2] for x in once) == places
+    assert often == [(lang, gram, 30 * n) for lang, gram, n in once]
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     big = spark.createDataFrame([("en", 10**15)], "lang string, n long")
     from pyspark.sql import functions as F
