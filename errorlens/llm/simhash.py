@@ -204,7 +204,9 @@ def _group_links(rows: DataFrame, distance: int) -> DataFrame:
         if held is not None and len(held):
             yield links(held)
 
-    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask", "pattern")
+    # by a hash of the group: a shuffle by its columns alone would be left out after a join by them, and if that join
+    # then becomes a broadcast at run time, the groups come torn
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("mask", "pattern"))
     return spread.sortWithinPartitions("mask", "pattern").select("mask", "pattern", "fp").mapInArrow(run, "a long, b long")
 
 

@@ -102,6 +102,29 @@ def test_large_groups_are_split_further(spark, monkeypatch):
     assert groups(lambda f: got.get(S.signed(f), S.signed(f))) == groups(lambda f: root[f])
 
 
+def test_groups_stay_whole_when_their_join_becomes_a_broadcast(spark):
+    """The join of the groups is planned as a merge and made a broadcast at run time, which reads its rows by map task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    r, fps = random.Random(6), set()
+    for _ in range(60):
+        x = r.getrandbits(64)
+        for _ in range(12):  # copies of one text, each a bit or two away from it
+            fps.add(x ^ sum(1 << b for b in r.sample(range(64), r.randrange(0, 3))))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame([(S.signed(f),) for f in fps], "fp long").repartition(7)
+        got = {x["node"]: x["root"] for x in S.components(S.links(S.checkpoint(rows))).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    root = brute_components(fps)
+    groups = lambda m: {frozenset(k for k in fps if m(k) == m(f)) for f in fps}
+    assert groups(lambda f: got.get(S.signed(f), S.signed(f))) == groups(lambda f: root[f])
+
+
 def test_components_of_a_long_path(spark):
     n = 200
     order = list(range(n))
