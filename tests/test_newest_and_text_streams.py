@@ -139,3 +139,70 @@ def test_long_open_records_leave_the_state_in_parts(spark):
         S.STATE_CHARS = old
     assert [r.part for r in out] == list(range(len(out))) and len(out) > 5
     assert "\n".join(r.text for r in out) == "\n".join(["head", *lines])
+
+
+def test_a_task_holds_a_bounded_part_of_a_log(monkeypatch):
+    """Whole records pass as they come; the other pieces of a log, in any order, are put in place outside of memory."""
+    import tracemalloc
+
+    import pandas as pd
+    from errorlens.streaming import log_text as S
+
+    class State:
+        value = None
+        def exists(self): return self.value is not None
+        def get(self): return self.value
+        def update(self, v): self.value = v
+
+    class Handle:
+        def listTimers(self): return []
+        def registerTimer(self, at): pass
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self): return 0
+
+    monkeypatch.setattr(S, "SPOOL_BYTES", 50_000, raising=False)
+    monkeypatch.setattr(S, "BATCH_CHARS", 50_000, raising=False)
+    splits, text = 60, lambda k, seq: f"{k}.{seq} é " + "x" * 10_000
+    pieces = [(f"f{k:02d}", 0, seq, seq > 0, 0 < seq < 19, (k, seq)) for k in range(splits) for seq in range(20)]
+    random.Random(4).shuffle(pieces)
+    pulled, kept, all_at = 0, [], ["file", "block", "seq", "part", "headed"]
+
+    def frames():
+        nonlocal pulled
+        for at in range(0, len(pieces), 20):
+            pulled += 1
+            yield pd.DataFrame([(*p[:5], text(*p[5])) for p in pieces[at:at + 20]],
+                               columns=["file", "block", "seq", "headed", "whole", "text"])
+
+    record = S.OpenRecord(1000)
+    record.handle, record.open = Handle(), State()
+    tracemalloc.start()
+    first = None
+    for pdf in record.handleInputRows(("l",), frames(), Now()):
+        first = first or pulled
+        for *place, t in pdf[[*all_at, "text"]].itertuples(index=False):
+            kept.append((*place, len(t), tuple(x.split(" ")[0] for x in t.split("\n"))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first == 1 and peak < 3_000_000   # of 12 MB
+    one, n = len(text(0, 1)), lambda k, seq: len(text(k, seq))
+    want = [(f"f{k:02d}", 0, seq, 0, True, n(k, seq), (f"{k}.{seq}",)) for k in range(splits) for seq in range(1, 19)]
+    # a split's last record goes on in the first lines of the next; the last of all stays open
+    want += [(f"f{k:02d}", 0, 19, 0, True, n(k, 19) + 1 + n(k + 1, 0), (f"{k}.19", f"{k + 1}.0")) for k in range(splits - 1)]
+    want.append(("f00", 0, 0, 0, False, one, ("0.0",)))
+    assert sorted(kept) == sorted(want)
+    assert record.open.value[:4] == ("f59", 0, 19, 0) and record.open.value[4] == text(59, 19)
+
+
+def test_folded_lines_say_which_records_are_whole():
+    import pandas as pd
+    from errorlens.streaming import log_text as S
+    rows = [("l", "a", 0, h, t) for h, t in ((False, "left"), (True, "A"), (False, "a1"), (True, "B"), (True, "C"), (False, "c1"))]
+    rows += [("l", "b", 0, h, t) for h, t in ((False, "c2"), (True, "D"))] + [("l", "b", 9, False, "d1")]
+    frame = lambda x: pd.DataFrame(x, columns=["log", "file", "block", "is_head", "line"])
+    for cut in range(len(rows) + 1):   # batches of Arrow end anywhere
+        got = pd.concat(list(S.fold_lines(iter([frame(rows[:cut]), frame(rows[cut:])]))))
+        assert [(r.file, r.block, r.seq, r.headed, r.whole, r.text) for r in got.itertuples()] == [
+            ("a", 0, 0, False, False, "left"), ("a", 0, 1, True, True, "A\na1"), ("a", 0, 2, True, True, "B"),
+            ("a", 0, 3, True, False, "C\nc1"), ("b", 0, 0, False, False, "c2"), ("b", 0, 1, True, False, "D"), ("b", 9, 0, False, False, "d1")]
